@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL that checks them."""
 
-from . import language_id, minhash, packing
+from . import decontamination, language_id, minhash, packing, pii, toxicity
 
-MODULES = [minhash, packing, language_id]
+MODULES = [toxicity, packing, decontamination, pii, language_id, minhash]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
