@@ -20,6 +20,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 75
 #: 100 permutations give 200 values: 40 bands of 5. A pair at 0.75 shares no band with probability 2e-5.
 PERMUTATIONS, BANDS = 100, 40
+#: Second banding, of the few nodes that share a bucket with others without being linked: 200 bands of 10 miss 0.75 with probability 1e-5.
+NARROW_ROWS, NARROW_BANDS = 10, 200
 _ODD = np.random.default_rng(7).integers(1, 2**63, size=4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -142,56 +144,76 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _with_pivots(entries: DataFrame) -> DataFrame:
+    """Entries (node, n, bucket) of buckets that several nodes share, with the least node as pivot."""
+    pivots = entries.groupBy("bucket").agg(F.min_by("n", "node").alias("pivot_n"), F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last")
+    return entries.join(pivots.drop("last"), "bucket")
+
+
+def _components_of(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    return entries.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, similarity: int) -> DataFrame:
+    return (
+        pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
+        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
+        .select("a", "b", "a_text", "b_text")
+        .mapInArrow(lambda batches: _confirm(batches, size, similarity), "a long, b long")
+    )
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, similarity: int = SIMILARITY, permutations: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
     Rows with equal shingle sets are one node. In each bucket of a band a pivot
-    is compared with every other node of similar size; after that, buckets that
-    still hold several components get further pivots, one for each smaller
-    component, until every pair of a bucket is linked, joined through others or
-    compared. No pair between members of one component is formed.
+    is compared with every other node of similar size. Nodes of buckets that
+    still hold several components are banded again, with ``NARROW_ROWS`` values
+    to a band, so that documents which merely share a passage part; their
+    buckets get pivots, first one each, then one for each smaller component,
+    until every pair of a bucket is linked, joined through others or compared.
+    No pair between members of one component is formed.
 
     Null or empty texts have 0 shingles and stand alone. A null id keeps its
     row, with a null component, and links nothing. Rows that share an id are one
     document. An empty table gives an empty result; other columns are ignored.
     """
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    fits = f"100 * least(n, pivot_n) >= {similarity} * greatest(n, pivot_n)"
+    pair = (F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
     with Scratch(docs.sparkSession) as scratch:
         signed = scratch.save(sign(docs, size, permutations, bands), "signed")
         nodes = scratch.save(signed.filter("doc_id is not null and n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
-        entries = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-        pivots = entries.groupBy("bucket").agg(F.min_by("n", "node").alias("pivot_n"), F.min("node").alias("pivot"), F.count("*").alias("c")).filter("c > 1").drop("c")
-        shared = scratch.save(entries.join(pivots, "bucket"), "shared")
-        fits = f"100 * least(n, pivot_n) >= {similarity} * greatest(n, pivot_n)"
-        pairs = shared.filter(f"node <> pivot and {fits}").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        shared = shared.filter("node <> pivot").select("bucket", "node", "n")
-        wanted = scratch.save(pairs, "pairs-0")
-        touched = shared.select("node").unionByName(wanted.select(F.col("a").alias("node"))).distinct()
-        texts = scratch.save(docs.join(touched.withColumnRenamed("node", "doc_id"), "doc_id").dropDuplicates(["doc_id", "text"]), "texts")
-        tested, links, turn = wanted, None, 0
+        shared = scratch.save(_with_pivots(nodes.select("node", "n", F.explode("bands").alias("bucket"))), "shared")
+        wanted = scratch.save(shared.filter(f"node <> pivot and {fits}").select(*pair).distinct(), "pairs-0")
+        texts = scratch.save(docs.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id", "text"]), "texts")
+        tested, turn = wanted, 0
+        links = scratch.save(_confirmed(wanted, texts, size, similarity), "links-0")
+        groups = cut(components(links))
+        mixed = _components_of(shared, groups).groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
+        unsettled = scratch.save(shared.join(mixed, "bucket", "left_semi").select(F.col("node").alias("doc_id")).distinct(), "unsettled")
+        narrow = sign(texts.join(unsettled, "doc_id"), size, NARROW_ROWS * NARROW_BANDS // 2, NARROW_BANDS).filter("n_shingles > 0")
+        shared = scratch.save(_with_pivots(narrow.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))), "narrow")
         while True:
-            told = (
-                wanted.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-                .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
-                .select("a", "b", "a_text", "b_text")
-                .mapInArrow(lambda batches: _confirm(batches, size, similarity), "a long, b long")
-            )
-            found = scratch.save(told, f"links-{turn}")
-            links = found if links is None else links.unionByName(found)
-            groups = cut(components(links))
-            inside = shared.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            sizes = inside.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.min_by("n", "node").alias("pivot_n"), F.min("node").alias("pivot"))
-            largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("several")).filter("several > 1").drop("several")
-            next_pivots = sizes.join(largest, "bucket").filter("component <> largest").select("bucket", "pivot", "pivot_n", F.col("component").alias("pivot_component"))
             turn += 1
-            next_pivots = scratch.save(next_pivots, f"pivots-{turn}")
-            if next_pivots.isEmpty():
+            inside = _components_of(shared, groups)
+            sizes = inside.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.min_by("n", "node").alias("pivot_n"), F.min("node").alias("pivot"))
+            largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("several")).filter("several > 1")
+            if turn > 1:
+                pivots = sizes.join(largest, "bucket").filter("component <> largest").select("bucket", "pivot", "pivot_n", F.col("component").alias("pivot_component"))
+            else:
+                pivots = shared.filter("node = pivot").select("bucket", "node", "pivot_n").join(largest.select("bucket"), "bucket", "left_semi")
+                pivots = _components_of(pivots, groups).select("bucket", F.col("node").alias("pivot"), "pivot_n", F.col("component").alias("pivot_component"))
+            pivots = scratch.save(pivots.distinct(), f"pivots-{turn}")
+            if pivots.isEmpty():
                 break
-            pairs = inside.join(next_pivots, "bucket").filter(f"component <> pivot_component and {fits}").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+            pairs = inside.drop("pivot", "pivot_n").join(pivots, "bucket").filter(f"component <> pivot_component and {fits}").select(*pair).distinct()
             wanted = scratch.save(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{turn}")
             tested = tested.unionByName(wanted)
-            gone = next_pivots.select("bucket", F.col("pivot").alias("node")).distinct()
-            shared = scratch.save(shared.join(gone, ["bucket", "node"], "left_anti").join(next_pivots.select("bucket").distinct(), "bucket", "left_semi"), f"shared-{turn}")
+            links = links.unionByName(scratch.save(_confirmed(wanted, texts, size, similarity), f"links-{turn}"))
+            groups = cut(components(links))
+            rest = shared.join(pivots.select("bucket").distinct(), "bucket", "left_semi").join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
+            shared = scratch.save(rest, f"narrow-{turn}")
         by_set = signed.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
         by_set = by_set.join(groups, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id"))
         found = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(by_set, ["set_a", "set_b"], "left")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, cut, held_out, shuffle_partitions, table, utf8, words
 
 #: Bytes of context. A string of ORDER + 1 bytes is packed in an integer, the symbol last.
-ORDER = 4
+ORDER = 5
 #: Bytes that UTF-8 never holds stand for what precedes a text and for its end.
 BEFORE, END = 0xFE, 0xFF
 SYMBOLS = 256
@@ -211,7 +211,7 @@ def _score(order: int, buckets: int, ends: int):
         scores = np.zeros(len(texts))
         for a, b in _chunks(texts):
             values, text = strings(texts[a:b], order)
-            if b - a < 1 << 20 and order <= 4:  # equal strings of a text are looked up once
+            if b - a < 1 << (64 - 8 * (order + 1)):  # equal strings of a text are looked up once
                 pairs, n = counted((text.astype(np.uint64) << np.uint64(8 * (order + 1))) | values)
                 text = (pairs >> np.uint64(8 * (order + 1))).astype(np.int64)
                 values = pairs & np.uint64((1 << 8 * (order + 1)) - 1)

@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL that checks them."""
 
-from . import decontamination, language_id, minhash, packing, pii, ppm, toxicity
+from . import decontamination, language_id, licenses, minhash, packing, pii, ppm, topk, toxicity, url_filter
 
-MODULES = [toxicity, packing, decontamination, pii, language_id, minhash, ppm]
+MODULES = [url_filter, ppm, topk, licenses, toxicity, packing, decontamination, pii, language_id, minhash]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
