@@ -81,7 +81,7 @@ def _oracle() -> str:
     plain = "regexp_replace(regexp_replace(lower(text), '(?m)^[^a-z0-9\n]*(copyright|\\(c\\)|©)[^\n]*$', '', 'g'), '[\\x00-\\x09\\x0b-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g')"
     for spelling, word in SPELLINGS:
         plain = f"regexp_replace({plain}, '\\b{spelling}\\b', '{word}', 'g')"
-    lines = f"list_filter(list_transform(string_split({plain}, chr(10)), x -> trim(x)), x -> x <> '')"
+    lines = f"list_filter(list_transform(string_split({plain}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
     rows = ", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in KNOWN)
     return f"""
 WITH known AS (
