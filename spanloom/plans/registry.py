@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from . import score_queries
+
+MODULES = [score_queries]
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(QUERIES.values()))(spark, sf_dir)
+    return score_queries.flagship_escalation(spark, sf_dir)
