@@ -43,9 +43,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).filter("lang is not null and length(text) > 0")
     rows = rows.select("lang", F.substring("text", 1, document_bytes).alias("text"), F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)).alias("at"))
-    counts = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"))
-    share = counts.select("lang", F.least(F.lit(1.0), 3.0 * dictionary_bytes / F.col("size")).alias("share"))
-    sample = rows.join(share, "lang").filter(F.col("at") < F.col("share") * (1 << 30)).select("lang", "at", "text")
+    sizes = dict(rows.groupBy("lang").agg(F.sum(F.octet_length("text"))).collect())
+    if not sizes:
+        return {}
+    shares = F.create_map(*(F.lit(x) for lang, size in sizes.items() for x in (lang, min(1.0, 3.0 * dictionary_bytes / size))))
+    sample = rows.filter(F.col("at") < shares[F.col("lang")] * (1 << 30)).select("lang", "at", "text")
     parts: dict[str, list[tuple[int, bytes]]] = defaultdict(list)
     for lang, at, text in sample.collect():
         parts[lang].append((at, plain(text)))
