@@ -1 +1 @@
-
+"""Operators over annotation tables."""

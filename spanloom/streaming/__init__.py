@@ -1 +1 @@
-
+"""Streaming: the data model holds no streams; the batch plans of this library need no state between runs."""
