@@ -13,15 +13,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, table, utf8, words
+from .common import Scratch, cut, per_batch, table, utf8, words
 
 SHINGLE_WORDS = 5
 #: A link needs 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
 #: 100 permutations give 200 values: 40 bands of 5. A pair at 0.75 shares no band with probability 2e-5.
 PERMUTATIONS, BANDS = 100, 40
-#: Second banding, of the few nodes that share a bucket with others without being linked: 200 bands of 10 miss 0.75 with probability 1e-5.
-NARROW_ROWS, NARROW_BANDS = 10, 200
+#: Permutations of the sketch that tells apart the few nodes left unsettled (two bytes each), and its slack in standard deviations.
+SKETCH_PERMUTATIONS, SKETCH_SLACK = 512, 5.0
+#: Nodes of a bucket that meet in one task, on either side.
+MEETING = 4_096
 _ODD = np.random.default_rng(7).integers(1, 2**63, size=4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -150,6 +152,75 @@ def _with_pivots(entries: DataFrame) -> DataFrame:
     return entries.join(pivots.drop("last"), "bucket")
 
 
+def _sketch(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
+    hashes = _WordHashes()
+    sets = [shingle_hashes(words(t), hashes, size) for t in utf8(batch.column(1))]
+    sketches = [((signature(x, SKETCH_PERMUTATIONS) * _MIX) >> np.uint64(56)).astype(np.uint8).tobytes() for x in sets]
+    return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["node", "n", "shingles", "sketch"])
+
+
+def _rare_shingles(sets: DataFrame, similarity: int) -> DataFrame:
+    """Entries (node, n, bucket) for each node's rarest shingles among ``sets`` (node, n, shingles).
+
+    Sets of the required similarity share at least ceil(similarity * n / 100) of
+    either one's n shingles, so in any common order they share one of the first
+    n minus that plus 1. The order is by frequency; shingles of one node only
+    fill places but need no bucket.
+    """
+    sets = sets.select("node", "n", F.explode("shingles").alias("bucket"))
+    several = sets.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
+    ranked = sets.join(several, "bucket").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "bucket"))).alias("found"))
+    places = F.expr(f"n - ceil({similarity} * n / 100) + 1 - (n - size(found))").cast("int")
+    return ranked.select("node", "n", F.explode(F.slice("found", 1, F.greatest(F.lit(0), places))).alias("x")).select("node", "n", F.col("x.bucket").alias("bucket"))
+
+
+def _meet(similarity: int, slack: float):
+    """Pairs of a bucket whose sketches don't rule the similarity out; of the buckets that two nodes share the least one counts."""
+    values = 2 * SKETCH_PERMUTATIONS
+    t = similarity / 100
+    least = values * (t + (1 - t) / 256 - slack * (t * (1 - t) / values) ** 0.5)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            bucket = right["bucket"][0].as_py()
+            sketches = np.frombuffer(b"".join(right["sketch"].to_pylist()), np.uint8).reshape(right.num_rows, values)
+            nodes, sizes, groups, buckets = right["node"].to_numpy(), right["n"].to_numpy(), right["component"].to_numpy(), right["buckets"]
+            for node, n, group, sketch, own in zip(*(left[x].to_pylist() for x in ("out_node", "out_n", "out_component", "out_sketch", "out_buckets")), strict=True):
+                fits = (groups != group) & (100 * np.minimum(sizes, n) >= similarity * np.maximum(sizes, n))
+                at = np.flatnonzero(fits)
+                alike = at[(sketches[at] == np.frombuffer(sketch, np.uint8)).sum(axis=1) >= least]
+                mine = set(own)
+                out += [(min(node, int(nodes[i])), max(node, int(nodes[i]))) for i in alike.tolist() if min(mine.intersection(buckets[i].as_py())) == bucket]
+        return pa.table([pa.array([x[j] for x in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
+
+    return meet
+
+
+def _remaining(rare: DataFrame, sketched: DataFrame, groups: DataFrame, similarity: int, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of different components that a bucket of rare shingles holds and the sketches allow.
+
+    In each bucket the nodes outside its largest component meet all others. A
+    large bucket is dealt out: parts of either side meet in tasks of bounded size.
+    """
+    inside = _components_of(rare, groups)
+    sizes = inside.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.sum("c").alias("m"), F.count("*").alias("several"), F.max("c").alias("most")).filter("several > 1")
+    parts = lambda n: F.ceil(n / F.lit(float(MEETING))).cast("int")
+    mixed = mixed.select("bucket", "largest", parts(F.col("m") - F.col("most")).alias("outs"), parts(F.col("m")).alias("alls"))
+    inside = scratch.save(inside.join(mixed, "bucket"), "mixed")
+    own = inside.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+    inside = scratch.save(inside.join(own, "node").join(sketched.select("node", "sketch"), "node"), "meeting")
+    part = lambda n: F.pmod(F.xxhash64("node"), n.cast("long")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    right = inside.withColumn("all_part", part(F.col("alls"))).withColumn("out_part", each(F.col("outs")))
+    left = inside.filter("component <> largest").withColumn("out_part", part(F.col("outs"))).withColumn("all_part", each(F.col("alls")))
+    left = left.select(F.col("bucket").alias("at"), "out_part", "all_part", *(F.col(c).alias(f"out_{c}") for c in ("node", "n", "component", "sketch", "buckets")))
+    left = left.select(*(F.col(c).alias(c) for c in ("at", "all_part")), F.col("out_part").alias("part"), *(f"out_{c}" for c in ("node", "n", "component", "sketch", "buckets")))
+    right = right.select("bucket", "out_part", "all_part", "node", "n", "component", "sketch", "buckets")
+    return left.groupBy("at", "part", "all_part").cogroup(right.groupBy("bucket", "out_part", "all_part")).applyInArrow(_meet(similarity, SKETCH_SLACK), "a long, b long").distinct()
+
+
 def _components_of(entries: DataFrame, groups: DataFrame) -> DataFrame:
     return entries.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
@@ -168,10 +239,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows with equal shingle sets are one node. In each bucket of a band a pivot
     is compared with every other node of similar size. Nodes of buckets that
-    still hold several components are banded again, with ``NARROW_ROWS`` values
-    to a band, so that documents which merely share a passage part; their
-    buckets get pivots, first one each, then one for each smaller component,
-    until every pair of a bucket is linked, joined through others or compared.
+    still hold several components are dealt again by their rarest shingles (an
+    exact prefix filter: similar sets must share one), so that documents which
+    merely share a passage part. In these buckets all pairs of different
+    components are compared by sketches of 1024 values, inside the tasks, and
+    those that may be similar are confirmed on the full sets.
     No pair between members of one component is formed.
 
     Null or empty texts have 0 shingles and stand alone. A null id keeps its
@@ -187,33 +259,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shared = scratch.save(_with_pivots(nodes.select("node", "n", F.explode("bands").alias("bucket"))), "shared")
         wanted = scratch.save(shared.filter(f"node <> pivot and {fits}").select(*pair).distinct(), "pairs-0")
         texts = scratch.save(docs.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id", "text"]), "texts")
-        tested, turn = wanted, 0
+        tested = wanted
         links = scratch.save(_confirmed(wanted, texts, size, similarity), "links-0")
         groups = cut(components(links))
         mixed = _components_of(shared, groups).groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
         unsettled = scratch.save(shared.join(mixed, "bucket", "left_semi").select(F.col("node").alias("doc_id")).distinct(), "unsettled")
-        narrow = sign(texts.join(unsettled, "doc_id"), size, NARROW_ROWS * NARROW_BANDS // 2, NARROW_BANDS).filter("n_shingles > 0")
-        shared = scratch.save(_with_pivots(narrow.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))), "narrow")
-        while True:
-            turn += 1
-            inside = _components_of(shared, groups)
-            sizes = inside.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.min_by("n", "node").alias("pivot_n"), F.min("node").alias("pivot"))
-            largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("several")).filter("several > 1")
-            if turn > 1:
-                pivots = sizes.join(largest, "bucket").filter("component <> largest").select("bucket", "pivot", "pivot_n", F.col("component").alias("pivot_component"))
-            else:
-                pivots = shared.filter("node = pivot").select("bucket", "node", "pivot_n").join(largest.select("bucket"), "bucket", "left_semi")
-                pivots = _components_of(pivots, groups).select("bucket", F.col("node").alias("pivot"), "pivot_n", F.col("component").alias("pivot_component"))
-            pivots = scratch.save(pivots.distinct(), f"pivots-{turn}")
-            if pivots.isEmpty():
-                break
-            pairs = inside.drop("pivot", "pivot_n").join(pivots, "bucket").filter(f"component <> pivot_component and {fits}").select(*pair).distinct()
-            wanted = scratch.save(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{turn}")
-            tested = tested.unionByName(wanted)
-            links = links.unionByName(scratch.save(_confirmed(wanted, texts, size, similarity), f"links-{turn}"))
-            groups = cut(components(links))
-            rest = shared.join(pivots.select("bucket").distinct(), "bucket", "left_semi").join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
-            shared = scratch.save(rest, f"narrow-{turn}")
+        sketched = scratch.save(texts.join(unsettled, "doc_id").mapInArrow(per_batch(_sketch, size), "node long, n long, shingles array<long>, sketch binary"), "sketched")
+        sketched = sketched.filter("n > 0")
+        rare = scratch.save(_rare_shingles(sketched, similarity), "rare")
+        wanted = scratch.save(_remaining(rare, sketched, groups, similarity, scratch), "pairs-1")
+        more = scratch.save(_confirmed(wanted.join(tested, ["a", "b"], "left_anti"), texts, size, similarity), "links-1")
+        if not more.isEmpty():
+            groups = cut(components(links.unionByName(more)))
         by_set = signed.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
         by_set = by_set.join(groups, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id"))
         found = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(by_set, ["set_a", "set_b"], "left")
