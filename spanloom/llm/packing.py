@@ -8,6 +8,7 @@ fewer groups of bounded size until one group is left or a round merges nothing.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -29,10 +30,21 @@ TOKENIZER = "byte_bpe_50k.json"
 #: The vocabulary's own pre-token pattern, whose boundaries never lie inside a run it matches.
 PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _ADJOINING = re.compile(r" \s|\s ")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 _RARE = re.compile(r"[\x1c-\x1f\x85ɐ-\U0010ffff]|<\|")
 _encoders: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+_LETTERS = dict(enumerate(_byte_letters()))
+
+
 class _Ids(dict):
     """Piece of text -> its ids as little-endian uint32 bytes; emptied when it has grown to ``most``."""
 
@@ -61,13 +73,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.pretokens = _Ids(self.whole, 150_000)
+        self.model = self.tokenizer.model
+        self.pretokens = _Ids(self.pretoken, 50_000)
         self.first = _Ids(self.chunk, 20_000)
-        self.later = _Ids(lambda chunk: self.chunk(" " + chunk), 250_000)
+        self.later = _Ids(self.later_chunk, 900_000)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def pretoken(self, piece: str) -> bytes:
+        found = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]
+        return struct.pack(f"<{len(found)}I", *found)
+
     def chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
@@ -75,10 +92,18 @@ class Encoder:
             return self.whole(chunk)
         return b"".join(map(self.pretokens.__getitem__, PRETOKENS.findall(chunk)))
 
+    def later_chunk(self, chunk: str) -> bytes:
+        """A chunk after its space; letters alone are one pre-token, a mark after letters another."""
+        if chunk.isalpha() and not _RARE.search(chunk):
+            return self.pretoken(" " + chunk)
+        if chunk[-1:] in {".", ","} and chunk[:-1].isalpha():
+            return self.later[chunk[:-1]] + self.pretokens[chunk[-1]]
+        return self.chunk(" " + chunk)
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _ADJOINING.search(text):
+        if ("  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text)) and _ADJOINING.search(text):
             return self.whole(text) if _RARE.search(text) else self.chunk(text)
         head, *rest = text.split(" ")
         return b"".join([self.first[head], *map(self.later.__getitem__, rest)])
