@@ -26,6 +26,8 @@ ORDER = 5
 #: Bytes that UTF-8 never holds stand for what precedes a text and for its end.
 BEFORE, END = 0xFE, 0xFF
 SYMBOLS = 256
+#: Blocks of documents for each shuffle partition: a block, its strings and words are in memory at once.
+BLOCKS_PER_PARTITION = 2
 #: Text bytes handled at once inside a block.
 CHUNK_BYTES = 1 << 21
 
@@ -72,8 +74,11 @@ def _add(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
 
 
 def block_strings(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    parts = [counted(strings(texts[a:b], order)[0]) for a, b in _chunks(texts)]
-    return _add(parts) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    """Distinct strings of the texts and their counts, added up chunk by chunk."""
+    total = (np.empty(0, np.uint64), np.empty(0, np.int64))
+    for a, b in _chunks(texts):
+        total = _add([total, counted(strings(texts[a:b], order)[0])])
+    return total
 
 
 def bucket_of_strings(values: np.ndarray, buckets: int) -> np.ndarray:
@@ -82,15 +87,12 @@ def bucket_of_strings(values: np.ndarray, buckets: int) -> np.ndarray:
     return ((suffix * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
 
 
-def block_words(texts: list[bytes], buckets: int) -> tuple[list[list[bytes]], Counter]:
-    """The block's distinct words in order, dealt into buckets by hash, and their counts."""
-    counts: Counter = Counter()
-    for t in texts:
-        counts.update(words(t))
+def dealt_words(found, buckets: int) -> list[list[bytes]]:
+    """Distinct words in order, dealt into buckets by hash."""
     dealt: list[list[bytes]] = [[] for _ in range(buckets)]
-    for w in sorted(counts):
+    for w in sorted(found):
         dealt[xxhash.xxh3_64_intdigest(w) % buckets].append(w)
-    return dealt, counts
+    return dealt
 
 
 _SENT = "block int, kind string, bucket int, keys binary, counts binary"
@@ -100,24 +102,25 @@ _SENT_ARROW = pa.schema([("block", pa.int32()), ("kind", pa.string()), ("bucket"
 def _gather(rows: pa.Table, order: int, buckets: int) -> pa.Table:
     """A block's distinct strings and words, each with its training count (0 if only held-out documents have it)."""
     block, texts = rows["block"][0].as_py(), utf8(rows["text"].combine_chunks())
-    train = [t for t, held in zip(texts, rows["held_out"].to_pylist(), strict=True) if not held]
+    held = rows["held_out"].to_pylist()
+    train, other = ([t for t, h in zip(texts, held, strict=True) if h is x] for x in (False, True))
     out: list[tuple] = []
-    own, _ = block_strings(texts, order)
     known, counts = block_strings(train, order)
-    full = np.zeros(len(own), np.int64)
-    full[np.searchsorted(own, known)] = counts
+    unseen, none = block_strings(other, order)
+    own, full = _add([(known, counts), (unseen, np.zeros_like(none))])
     of = bucket_of_strings(own, buckets)
     for b in np.unique(of).tolist():
         out.append((block, "string", b, own[of == b].tobytes(), full[of == b].tobytes()))
-    symbols, n = _add([((known & np.uint64(0xFFFF)), counts)]) if len(known) else (known, counts)
+    symbols, n = _add([(known & np.uint64(0xFFFF), counts)])
     out.append((block, "pair", 0, symbols.astype(np.uint64).tobytes(), n.astype(np.int64).tobytes()))
-    dealt, _ = block_words(texts, buckets)
+    del own, full, known, unseen
     learnt: Counter = Counter()
     for t in train:
         learnt.update(words(t))
-    for b, mine in enumerate(dealt):
+    met = {w for t in other for w in words(t)}
+    for b, mine in enumerate(dealt_words(met.union(learnt), buckets)):
         if mine:
-            out.append((block, "word", b, b"\n".join(mine), np.array([learnt[w] for w in mine], np.int64).tobytes()))
+            out.append((block, "word", b, b"\n".join(mine), np.array([learnt.get(w, 0) for w in mine], np.int64).tobytes()))
     out.append((block, "end", 0, b"", np.array([len(train)], np.int64).tobytes()))
     return pa.table([pa.array(x) for x in zip(*out, strict=True)], schema=_SENT_ARROW)
 
@@ -199,25 +202,30 @@ _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, word_log
 def _score(order: int, buckets: int, ends: int):
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts = utf8(docs["text"].combine_chunks()) if docs.num_rows else []
-        own, _ = block_strings(texts, order)
+        parts, wide = [], np.uint64(8 * (order + 1))
+        for a, b in _chunks(texts):
+            values, text = strings(texts[a:b], order)
+            if b - a < 1 << (64 - int(wide)):  # equal strings of a text are looked up once
+                pairs, n = counted((text.astype(np.uint64) << wide) | values)
+                parts.append((a, b, pairs & ((np.uint64(1) << wide) - np.uint64(1)), (pairs >> wide).astype(np.int32), n.astype(np.int32)))
+            else:
+                parts.append((a, b, values, text.astype(np.int32), np.ones(len(values), np.int32)))
+        own = np.empty(0, np.uint64)
+        for _, _, values, _, _ in parts:
+            own = counted(np.concatenate([own, counted(values)[0]]))[0]
         of, log = bucket_of_strings(own, buckets), np.zeros(len(own), np.float64)
-        dealt, _ = block_words(texts, buckets) if texts else ([], None)
+        dealt = dealt_words({w for t in texts for w in words(t)}, buckets)
         counts: dict[bytes, int] = {}
         for kind, b, keys in zip(*(answers[x].to_pylist() for x in ("kind", "bucket", "keys")), strict=True):
             if kind == "string":
                 log[of == b] = np.frombuffer(keys, np.float32)
             else:
                 counts.update(zip(dealt[b], np.frombuffer(keys, np.int64).tolist(), strict=True))
+        del dealt
         scores = np.zeros(len(texts))
-        for a, b in _chunks(texts):
-            values, text = strings(texts[a:b], order)
-            if b - a < 1 << (64 - 8 * (order + 1)):  # equal strings of a text are looked up once
-                pairs, n = counted((text.astype(np.uint64) << np.uint64(8 * (order + 1))) | values)
-                text = (pairs >> np.uint64(8 * (order + 1))).astype(np.int64)
-                values = pairs & np.uint64((1 << 8 * (order + 1)) - 1)
-                scores[a:b] = np.bincount(text, log[np.searchsorted(own, values)] * n, b - a)
-            else:
-                scores[a:b] = np.bincount(text, log[np.searchsorted(own, values)], b - a)
+        for a, b, values, text, n in parts:
+            scores[a:b] = np.bincount(text, log[np.searchsorted(own, values)] * n, b - a)
+        del parts
         n_tokens, n_known, word_log = [], [], []
         for t in texts:
             c = np.fromiter(map(counts.__getitem__, tokens), np.int64, len(tokens)) if (tokens := words(t)) else np.empty(0, np.int64)
@@ -236,12 +244,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     score is the log10 probability of the text and its end under the trie;
     base_score that of its words and end under add-one unigrams.
 
-    Documents are dealt into as many blocks as there are shuffle partitions, by
-    a hash of id and text. Null and empty texts are an end alone. Repeated rows
+    Documents are dealt into blocks, two for each shuffle partition, by a hash
+    of id and text. Null and empty texts are an end alone. Repeated rows
     are scored each; null ids stay. Without training rows the trie is uniform.
     """
     spark = docs.sparkSession
-    blocks = buckets = shuffle_partitions(spark)
+    buckets = shuffle_partitions(spark)
+    blocks = BLOCKS_PER_PARTITION * buckets
     held = F.coalesce(docs[held_col].cast("boolean"), F.lit(False)) if held_col else F.lit(False)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), held.alias("held_out"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
