@@ -29,7 +29,7 @@ SYMBOLS = 256
 #: Blocks of documents for each shuffle partition: a block, its strings and words are in memory at once.
 BLOCKS_PER_PARTITION = 2
 #: Text bytes handled at once inside a block.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def strings(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
