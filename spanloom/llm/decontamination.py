@@ -2,14 +2,18 @@
 
 Passages are TF-IDF vectors over the benchmark's terms. A distributed randomised
 SVD of all passages gives a latent space; passages whose cosine with a benchmark
-item is high enough become candidates, which a longest common subsequence and an
-answer check confirm, so paraphrases with inserted or changed words are found.
+item is high enough become candidates, and so do passages that share enough word
+pairs with an item. A longest common subsequence and an answer check confirm
+them, so paraphrases with inserted or changed words are found.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from functools import partial
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +26,15 @@ from .common import Scratch, cut, table, utf8
 #: in passages of the least span that is as long as it, or else of the largest.
 BLOCK_WORDS, SPANS = 16, (2, 4)
 RANK, OVERSAMPLE = 96, 12
-#: Terms in more than this share of all passages get weight 0.
-COMMON = 0.004
+#: A term's weight follows its distinct surroundings (NEIGHBOURS words on either side), counted in so many registers;
+#: copies of a passage count once. No weight is less than LEAST_WEIGHT.
+NEIGHBOURS, REGISTERS, LEAST_WEIGHT = 2, 256, 0.01
+#: Least share of an item's word pairs in a passage that shares them, and the least count (or all, where an item has fewer).
+PAIRS, LEAST_PAIRS = 0.25, 4
+#: Terms of a row of partial results.
+SKETCH_TERMS = 256
+#: Words of documents that are handled at once.
+LOT_WORDS = 65_536
 #: Least cosine of a candidate; least share of the item in the common subsequence, and of its answer terms in the passage.
 COSINE, SUBSEQUENCE, ANSWER = 0.62, 0.6, 0.5
 #: Benchmark items in one search; a larger benchmark is searched in several.
@@ -78,45 +89,110 @@ def _width(n_terms: int) -> type:
     return np.int16 if n_terms < 2**15 else np.int32
 
 
+class _Numbers(dict):
+    """Term numbers; any other word gets a negative number by its checksum, so that surroundings differ."""
+
+    def __missing__(self, word: bytes) -> int:
+        return ~(crc32(word) % 0x7FFF + 1)
+
+
 def _number(batches, numbers: dict[bytes, int]):
     """Documents as term numbers, packed as integers of the least width."""
-    number, width = numbers.get, _width(len(numbers))
+    number, width = _Numbers(numbers).__getitem__, _width(len(numbers))
     for batch in batches:
-        coded = [np.array([number(w, -1) for w in plain_words(t)], width).tobytes() for t in utf8(batch.column(1))]
+        coded = [np.array(list(map(number, plain_words(t))), width).tobytes() for t in utf8(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary())], names=["doc_id", "terms"])
 
 
-def _blocks(row: bytes, width: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A document's terms, and position block and number of those that any item has."""
-    terms = np.frombuffer(row, width)
-    known = np.flatnonzero(terms >= 0)
-    return terms, known // BLOCK_WORDS, terms[known].astype(np.int64)
-
-
-def _frequencies(batches, n_terms: int):
-    """Passages (blocks) that hold each term; the last entry counts passages."""
-    counts = np.zeros(n_terms + 1, np.int64)
+@dataclass
+class Lot:
+    """Some documents end to end. Each starts at a block and ends with a padding of -1; ``starts`` are their first blocks."""
+
+    rows: list[int]
+    starts: np.ndarray
+    words: np.ndarray
+
+    @property
+    def known(self) -> np.ndarray:
+        return np.flatnonzero(self.words >= 0)
+
+
+def _lots(column: pa.Array, width: type):
+    """Lots of about LOT_WORDS; a longer document is a lot of its own."""
+
+    def lot() -> Lot:
+        starts = np.cumsum([0, *(len(t) // BLOCK_WORDS + 1 for t in held)])
+        words = np.full(starts[-1] * BLOCK_WORDS, -1, np.int64)
+        for t, at in zip(held, starts[:-1] * BLOCK_WORDS, strict=True):
+            words[at : at + len(t)] = t
+        return Lot(rows, starts, words)
+
+    rows, held, size = [], [], 0
+    for i, row in enumerate(column.to_pylist()):
+        terms = np.frombuffer(row, width)
+        if held and size + len(terms) > LOT_WORDS:
+            yield lot()
+            rows, held, size = [], [], 0
+        rows.append(i)
+        held.append(terms)
+        size += len(terms)
+    if held:
+        yield lot()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _surroundings(batches, n_terms: int):
+    """Registers of each term's distinct surroundings; those of the last number are of all words'. One row for each SKETCH_TERMS terms."""
+    most = np.zeros((n_terms + 1) * REGISTERS, np.uint8)
     for batch in batches:
-        for row in batch.column(0).to_pylist():
-            terms, block, term = _blocks(row, _width(n_terms))
-            seen = np.unique(block * n_terms + term) % n_terms
-            counts[:n_terms] += np.bincount(seen, minlength=n_terms)
-            counts[n_terms] += -(-len(terms) // BLOCK_WORDS)
-    if counts[n_terms]:
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["term", "n"])
-
-
-def _rows_of(batch: pa.RecordBatch, weights: np.ndarray, span: int):
-    """Weighted terms of a batch with the number of their passage: non-overlapping passages of ``span`` blocks."""
-    passages, terms, base = [], [], 0
-    for row in batch.column(0).to_pylist():
-        whole, block, term = _blocks(row, _width(len(weights)))
-        keep = weights[term] > 0
-        passages.append(block[keep] // span + base)
-        terms.append(term[keep])
-        base += len(whole) // (BLOCK_WORDS * span) + 1
-    return (np.concatenate(passages), np.concatenate(terms)) if passages else (np.empty(0, int), np.empty(0, int))
+        for lot in _lots(batch.column(0), _width(n_terms)):
+            padded = np.r_[np.full(NEIGHBOURS, -1), lot.words, np.full(NEIGHBOURS, -1)].astype(np.uint64)
+            key = np.zeros(len(lot.words), np.uint64)
+            for j in range(2 * NEIGHBOURS + 1):
+                key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + padded[j : j + len(key)] + np.uint64(j))
+            at = (key % np.uint64(REGISTERS)).astype(np.int64)
+            zeros = (65 - np.frexp((key // np.uint64(REGISTERS)).astype(np.float64))[1] - 8).astype(np.uint8)
+            there = lot.known
+            np.maximum.at(most, lot.words[there] * REGISTERS + at[there], zeros[there])
+            held = np.flatnonzero(lot.words != -1)
+            np.maximum.at(most, n_terms * REGISTERS + at[held], zeros[held])
+    if most.any():
+        for low in range(0, n_terms + 1, SKETCH_TERMS):
+            part = most[low * REGISTERS : (low + SKETCH_TERMS) * REGISTERS]
+            yield pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["at", "part"])
+
+
+def _most(rows: pa.Table) -> pa.Table:
+    most = np.maximum.reduce([np.frombuffer(x, np.uint8) for x in rows["part"].to_pylist()])
+    return pa.table([pa.array([rows["at"][0].as_py()], pa.int64()), pa.array([most.tobytes()], pa.binary())], names=["at", "part"])
+
+
+def distinct(registers: np.ndarray) -> np.ndarray:
+    """Distinct keys that each row of registers has seen (HyperLogLog; linear counting while registers are empty)."""
+    m = registers.shape[1]
+    raw = 0.7213 / (1 + 1.079 / m) * m * m / np.ldexp(1.0, -registers.astype(np.int64)).sum(axis=1)
+    empty = (registers == 0).sum(axis=1)
+    return np.where((raw <= 2.5 * m) & (empty > 0), m * np.log(m / np.maximum(empty, 1)), raw)
+
+
+def term_weights(counts: np.ndarray, total: float) -> np.ndarray:
+    """Inverse frequencies: minus the log of the share of blocks that would hold the term, if it were dealt evenly; never 0."""
+    share = np.minimum((1 + counts) / (2 + total), 1.0)
+    return np.maximum(-np.log(np.maximum(-np.expm1(BLOCK_WORDS * np.log1p(-np.minimum(share, 1 - 1e-9))), 1e-300)), LEAST_WEIGHT)
+
+
+def _rows_of(lot: Lot, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Terms with the number of their passage: non-overlapping passages of ``span`` blocks, from the start of each document."""
+    known = lot.known
+    block = known // BLOCK_WORDS
+    doc = np.searchsorted(lot.starts, block, side="right") - 1
+    firsts = np.cumsum(np.r_[0, -(-np.diff(lot.starts) // span)])
+    return firsts[doc] + (block - lot.starts[doc]) // span, lot.words[known]
 
 
 def _sums(values: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,15 +203,12 @@ def _sums(values: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return groups[starts], np.add.reduceat(values, starts, axis=0)
 
 
-SKETCH_TERMS = 256
-
-
 def _sketch(batches, weights: np.ndarray, omega: np.ndarray, span: int):
     """This partition's share of A'(A omega) for unit rows A; one row for each SKETCH_TERMS terms."""
     total = np.zeros(omega.shape, np.float64)
     weighted = (omega * weights[:, None]).astype(np.float32)
-    for batch in batches:
-        passage, term = _rows_of(batch, weights, span)
+    for lot in (x for batch in batches for x in _lots(batch.column(0), _width(len(weights)))):
+        passage, term = _rows_of(lot, span)
         if not len(term):
             continue
         of, y = _sums(weighted[term], passage)
@@ -169,55 +242,105 @@ def right_vectors(sketch: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarra
     return np.linalg.svd(low, full_matrices=False)[0][:, :rank]
 
 
+class Pairs:
+    """Word pairs of the items, sorted, with the items that hold each; an item of one word has that word alone."""
+
+    def __init__(self, items: Items, spans: np.ndarray):
+        self.n = n = len(items.numbers)
+        own = [sorted({a * n + b for a, b in zip(t, t[1:])} or {n * n + t[0]}) for t in items.terms]  # noqa: B905
+        codes, which = np.concatenate([np.array(x, np.int64) for x in own]), np.repeat(np.arange(len(own)), [len(x) for x in own])
+        order = np.argsort(codes, kind="stable")
+        self.items = which[order]
+        self.codes, self.firsts, self.counts = np.unique(codes[order], return_index=True, return_counts=True)
+        self.singles = bool(self.codes[-1] >= n * n)
+        self.least = np.array([max(math.ceil(PAIRS * len(x)), min(len(x), LEAST_PAIRS)) for x in own])
+        self.steps = spans * BLOCK_WORDS
+
+    def shared(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, start): passages of twice the item's step that hold enough of its pairs."""
+        at = np.flatnonzero((words[:-1] >= 0) & (words[1:] >= 0))
+        code = words[at] * self.n + words[at + 1]
+        if self.singles:
+            alone = np.flatnonzero(words >= 0)
+            at, code = np.r_[at, alone], np.r_[code, self.n * self.n + words[alone]]
+        found = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        hit = np.flatnonzero(self.codes[found] == code)
+        at, found = at[hit], found[hit]
+        n = self.counts[found]
+        item = self.items[np.repeat(self.firsts[found] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        wide = len(words) + 2
+        key, count = np.unique(item * wide + np.repeat(at, n) // self.steps[item] + 1, return_counts=True)
+        starts = np.unique(np.r_[key, key - 1])
+        total = np.zeros(len(starts), np.int64)
+        total[np.searchsorted(starts, key)] += count
+        total[np.searchsorted(starts, key - 1)] += count
+        item = starts // wide
+        enough = total >= self.least[item]
+        item, start = item[enough], starts[enough] % wide - 1
+        return item, start * self.steps[item]
+
+
+def _near(lot: Lot, latent: np.ndarray, sought: list, cosine: float):
+    """(item, first and last word of a passage, cosine) by the latent space; the items of each span at once."""
+    known = lot.known
+    if not len(known):
+        return
+    of, part = _sums(latent[lot.words[known]], known // BLOCK_WORDS)
+    blocks = np.zeros((lot.starts[-1] + max(SPANS), part.shape[1]), np.float32)
+    blocks[of] = part
+    for span, which, mine in sought:
+        step = span // 2  # a passage starts at every half of its length
+        rows = sum(blocks[j : lot.starts[-1] + j : step] for j in range(span))
+        size = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+        some = np.flatnonzero(size > 0)
+        close = (rows[some] @ mine) / size[some, None]
+        i, k = np.nonzero(close >= cosine)
+        yield which[k], step * some[i] * BLOCK_WORDS, (step * some[i] + span) * BLOCK_WORDS, close[i, k]
+
+
 def _search(batches, items: Items, weights: np.ndarray, vectors: np.ndarray, cosine: float, subsequence: float, answer: float):
     latent = (vectors * weights[:, None]).astype(np.float32)
     targets = np.stack([latent[t].sum(axis=0) for t in items.terms])
     norms = np.linalg.norm(targets, axis=1)
     targets = (targets / np.where(norms > 0, norms, 1)[:, None]).T.astype(np.float32)
-    span_of = np.array([next((x for x in SPANS if len(t) <= x * BLOCK_WORDS), max(SPANS)) for t in items.terms])
-    sought = [(span, np.flatnonzero(span_of == span), np.ascontiguousarray(targets[:, span_of == span])) for span in SPANS]
+    lengths = np.array([len(t) for t in items.terms])
+    span_of = np.array([next((x for x in SPANS if n <= x * BLOCK_WORDS), max(SPANS)) for n in lengths])
+    sought = [(span, np.flatnonzero(span_of == span), np.ascontiguousarray(targets[:, span_of == span])) for span in SPANS if (span_of == span).any()]
+    pairs = Pairs(items, np.maximum(span_of, -(-lengths // BLOCK_WORDS)))
+    cosine_of = lambda passage, k: float(latent[passage].sum(axis=0) @ targets[:, k] / max(np.linalg.norm(latent[passage].sum(axis=0)), 1e-12)) if len(passage) else 0.0
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()
-        held = [_blocks(row, _width(len(weights))) for row in batch.column("terms").to_pylist()]
-        passages, terms, bases, base = [], [], [], 0
-        for whole, block, term in held:
-            keep = weights[term] > 0
-            passages.append(block[keep] + base)
-            terms.append(term[keep])
-            bases.append(base)
-            base += len(whole) // BLOCK_WORDS + 1 + max(SPANS)  # no passage reaches into the next document
-        term = np.concatenate(terms)
-        if not len(term):
-            continue
-        of, part = _sums(latent[term], np.concatenate(passages))
-        blocks = np.zeros((base + max(SPANS), part.shape[1]), np.float32)
-        blocks[of] = part
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        starts = np.array(bases)
-        for span, which, mine in sought:
-            if not len(which):
-                continue
-            step = span // 2  # a passage starts at every half of its length
-            for low in range(0, base, 20_000):
-                rows = sum(blocks[low + j : min(low + 20_000, base) + j : step] for j in range(span))
-                size = np.sqrt(np.einsum("ij,ij->i", rows, rows))
-                some = np.flatnonzero(size > 0)
-                close = (rows[some] @ mine) / size[some, None]
-                for i, k in zip(*np.nonzero(close >= cosine), strict=True):
-                    block, near, k = low + step * int(some[i]), float(close[i, k]), int(which[k])
-                    doc = int(np.searchsorted(starts, block, side="right")) - 1
-                    item = items.terms[k]
-                    first = max(0, (block - bases[doc]) * BLOCK_WORDS - len(item))
-                    passage = held[doc][0][first : (block - bases[doc] + span) * BLOCK_WORDS + len(item)].tolist()
-                    there = set(passage)
-                    if sum(map(there.__contains__, item)) < subsequence * len(item):
-                        continue  # the subsequence can't be longer
-                    share = common_subsequence(item, passage) / len(item)
-                    if share >= subsequence:
-                        wanted = items.answers[k]
-                        told = sum(t in there for t in wanted) / len(wanted) if wanted else 1.0
-                        if told >= answer:
-                            best[doc, k] = max(best.get((doc, k), (0.0, 0.0, 0.0)), (share, told, near))
+        for lot in _lots(batch.column("terms"), _width(len(weights))):
+            words, bounds = lot.words.tolist(), (lot.starts * BLOCK_WORDS).tolist()
+
+            def confirm(k: int, doc: int, first: int, last: int, near: float | None) -> None:
+                item = items.terms[k]
+                passage = words[max(first, bounds[doc]) : min(last, bounds[doc + 1])]
+                there = set(passage)
+                if sum(map(there.__contains__, item)) < subsequence * len(item):
+                    return  # the subsequence can't be longer
+                share = common_subsequence(item, passage) / len(item)
+                if share >= subsequence:
+                    wanted = items.answers[k]
+                    told = sum(t in there for t in wanted) / len(wanted) if wanted else 1.0
+                    if told >= answer:
+                        near = cosine_of([t for t in passage if t >= 0], k) if near is None else near
+                        key = (lot.rows[doc], k)
+                        best[key] = max(best.get(key, (0.0, 0.0, -1.0)), (share, told, near))
+
+            for k, first, last, near in _near(lot, latent, sought, cosine):
+                doc = np.searchsorted(bounds, first, side="right") - 1
+                n = lengths[k]
+                for x in zip(k.tolist(), doc.tolist(), (first - n).tolist(), (last + n).tolist(), near.tolist(), strict=True):
+                    confirm(*x)
+            k, first = pairs.shared(lot.words)
+            last = first + 2 * pairs.steps[k]
+            for k, first, last in zip(k.tolist(), first.tolist(), last.tolist(), strict=True):
+                # a passage may reach over several documents
+                for doc in range(max(bisect_right(bounds, first) - 1, 0), bisect_left(bounds, last)):
+                    if doc < len(lot.rows):
+                        confirm(k, doc, first, last, None)
         if best:
             yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _ in best], pa.int64()), pa.array([items.ids[k] for _, k in best], pa.int64()), *(pa.array([x[j] for x in best.values()], pa.float64()) for j in (2, 0, 1))], names=["doc_id", "item_id", "cosine", "subsequence", "answer"])
 
@@ -226,10 +349,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """doc_id, item_id, cosine, subsequence, answer: the confirmed pairs, the best passage of each.
 
     Items come to the driver ``ITEMS_AT_ONCE`` at a time. Term counts and the SVD
-    cover every passage of every document, and each is searched. Items and
-    documents without text have no pairs; items all of whose terms are common
-    can't be told from plain prose and have none either. Repeated rows give
-    repeated pairs; null document ids stay null; null item ids are left out.
+    cover every passage of every document, and each is searched. No term is left
+    out, however common: its weight is low, and an exact join on the items' word
+    pairs adds the passages that hold enough of them (all, of an item with few
+    pairs), to be confirmed as the others. Items and documents without text have
+    no pairs. Repeated rows give repeated pairs; null document ids stay null;
+    null item ids are left out.
     """
     spark = docs.sparkSession
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -247,11 +372,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             coded = scratch.save(docs.mapInArrow(partial(_number, numbers=items.numbers), "doc_id long, terms binary"), "coded")
             only = coded.select("terms")
             n = len(items.numbers)
-            counts = np.zeros(n + 1)
-            for term, c in only.mapInArrow(partial(_frequencies, n_terms=n), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-                counts[term] = c
-            passages = max(counts[n], 1.0)
-            weights = np.where(counts[:n] <= COMMON * passages, np.log((1 + passages) / (1 + counts[:n])), 0.0)
+            registers = np.zeros((n + 1, REGISTERS), np.uint8)
+            for at, part in only.mapInArrow(partial(_surroundings, n_terms=n), "at long, part binary").groupBy("at").applyInArrow(_most, "at long, part binary").collect():
+                rows = np.frombuffer(part, np.uint8).reshape(-1, REGISTERS)
+                registers[at : at + len(rows)] = rows
+            counts = distinct(registers)
+            weights = term_weights(counts[:n], counts[n])
             omega = np.random.default_rng(seed).standard_normal((n, min(n, rank + OVERSAMPLE)))
             sketch = np.zeros(omega.shape)
             for at, part in only.mapInArrow(partial(_sketch, weights=weights, omega=omega, span=max(SPANS)), "at long, part binary").groupBy("at").applyInArrow(_add_sketch, "at long, part binary").collect():

@@ -306,6 +306,28 @@ def test_benchmark_passages_are_found(spark):
     assert decontamination.contaminated(docs_of(spark, rows), benchmark.limit(0)).count() == 0
 
 
+def test_widespread_benchmark_passages_are_found(spark):
+    rng = random.Random(31)
+    items = [(i, prose(rng, "en", 40)) for i in range(4)]
+    rows = [(i, prose(rng, "en", 60) + (" " + items[0][1] + " " if i % 2 else " ") + prose(rng, "en", 60)) for i in range(120)]
+    rows += [(200, prose(rng, "de", 30) + " wholly of the " + prose(rng, "de", 30)), (201, prose(rng, "de", 60))]
+    items.append((4, "Wholly of the!"))  # an item of few words, two of them common
+    got = decontamination.contaminated(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, 0) for i in range(1, 120, 2)} | {(200, 4)}
+
+
+def test_distinct_surroundings():
+    keys = [f"the passage number {i} is unlike any other".split() for i in range(3000)]
+    numbers = {w.encode(): i for i, w in enumerate(dict.fromkeys(w for k in keys[:1] * 5 for w in k))}
+    texts = [" ".join(keys[0])] * 2000 + [" ".join(k) for k in keys[1:]]
+    batch = decontamination.pa.RecordBatch.from_arrays([decontamination.pa.array(range(len(texts))), decontamination.pa.array(texts)], names=["doc_id", "text"])
+    coded = [x.select(["terms"]) for x in decontamination._number([batch], numbers)]
+    parts = b"".join(x.column(1)[0].as_py() for x in decontamination._surroundings(coded, len(numbers)))
+    counts = decontamination.distinct(np.frombuffer(parts, np.uint8).reshape(-1, decontamination.REGISTERS))
+    assert abs(counts[numbers[b"number"]] - 3000) < 600 and counts[numbers[b"0"]] < 2  # the copies count once
+    assert (decontamination.term_weights(np.array([0.0, 5, 1e9]), 10.0) > 0).all()
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
