@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, cut, table, utf8
 
-#: A passage is BLOCK_WORDS * one of SPANS words long and starts at every half of its length; an item is sought
-#: in passages of the least span that is as long as it, or else of the largest.
-BLOCK_WORDS, SPANS = 16, (2, 4)
-RANK, OVERSAMPLE = 96, 12
+#: A passage is BLOCK_WORDS * a power of two words long, LEAST_SPAN blocks at least, and starts at every block of its
+#: document; an item is sought in passages of the least span that is as long as it.
+BLOCK_WORDS, LEAST_SPAN = 16, 2
+#: Least rank, and items for each further dimension of a larger benchmark.
+RANK, ITEMS_A_RANK, OVERSAMPLE = 96, 2, 12
 #: A term's weight follows its distinct surroundings (NEIGHBOURS words on either side), counted in so many registers;
 #: copies of a passage count once. No weight is less than LEAST_WEIGHT.
 NEIGHBOURS, REGISTERS, LEAST_WEIGHT = 2, 256, 0.01
@@ -34,11 +35,11 @@ PAIRS, LEAST_PAIRS = 0.25, 4
 #: Terms of a row of partial results.
 SKETCH_TERMS = 256
 #: Words of documents that are handled at once.
-LOT_WORDS = 65_536
+LOT_WORDS = 16_384
 #: Least cosine of a candidate; least share of the item in the common subsequence, and of its answer terms in the passage.
-COSINE, SUBSEQUENCE, ANSWER = 0.62, 0.6, 0.5
+COSINE, SUBSEQUENCE, ANSWER = 0.5, 0.6, 0.5
 #: Benchmark items in one search; a larger benchmark is searched in several.
-ITEMS_AT_ONCE = 4_000
+ITEMS_AT_ONCE = 1_000
 #: ASCII in lower case, its marks as spaces.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not (48 <= c <= 57 or 97 <= c <= 122) else c for c in range(256))
 
@@ -73,6 +74,15 @@ def read_items(rows: list[tuple[int, str, str | None]]) -> Items:
     return Items(ids, terms, answers, numbers)
 
 
+def rank_of(n_items: int) -> int:
+    return max(RANK, -(-n_items // ITEMS_A_RANK))
+
+
+def spans_of(items: Items) -> np.ndarray:
+    """Blocks of the passages in which each item is sought."""
+    return np.array([max(LEAST_SPAN, 1 << (-(-len(t) // BLOCK_WORDS) - 1).bit_length()) for t in items.terms])
+
+
 def common_subsequence(item: list[int], passage: list[int]) -> int:
     """Length of the longest common subsequence, bit-parallel over the item."""
     at: dict[int, int] = {}
@@ -92,8 +102,13 @@ def _width(n_terms: int) -> type:
 class _Numbers(dict):
     """Term numbers; any other word gets a negative number by its checksum, so that surroundings differ."""
 
+    most = 200_000
+
     def __missing__(self, word: bytes) -> int:
-        return ~(crc32(word) % 0x7FFF + 1)
+        number = ~(crc32(word) % 0x7FFF + 1)
+        if len(self) < self.most:
+            self[word] = number
+        return number
 
 
 def _number(batches, numbers: dict[bytes, int]):
@@ -214,9 +229,8 @@ def _sketch(batches, weights: np.ndarray, omega: np.ndarray, span: int):
         of, y = _sums(weighted[term], passage)
         _, square = _sums(weights[term] ** 2, passage)
         y /= square[:, None]  # both rows of the product have the passage's norm
-        back = y[np.searchsorted(of, passage)]
         order = np.argsort(term, kind="stable")
-        which, share = _sums(back[order], term[order])
+        which, share = _sums(y[np.searchsorted(of, passage[order])], term[order])
         total[which] += share * weights[which][:, None]
     for at in range(0, len(total), SKETCH_TERMS):
         part = total[at : at + SKETCH_TERMS]
@@ -280,22 +294,52 @@ class Pairs:
         return item, start * self.steps[item]
 
 
-def _near(lot: Lot, latent: np.ndarray, sought: list, cosine: float):
-    """(item, first and last word of a passage, cosine) by the latent space; the items of each span at once."""
+def _longer(rows: np.ndarray, left: np.ndarray, by: int, join) -> np.ndarray:
+    """Rows joined with those ``by`` blocks on in the same document; ``left``: blocks from each to its document's end."""
+    out, at = rows.copy(), np.flatnonzero(left > by)
+    out[at] = join(rows[at], rows[at + by])
+    return out
+
+
+def _near(lot: Lot, latent: np.ndarray, sought: list, cosine: float, filled: dict[int, np.ndarray], least: np.ndarray):
+    """(item, first and last block of a passage, cosine) by the latent space; the items of each span at once.
+
+    ``filled``: for each span its items' terms, filled up with the number after
+    the last one; ``least``: how many of them a passage and a span on either
+    side of it must hold, as the subsequence can't be longer.
+    """
     known = lot.known
     if not len(known):
         return
-    of, part = _sums(latent[lot.words[known]], known // BLOCK_WORDS)
-    blocks = np.zeros((lot.starts[-1] + max(SPANS), part.shape[1]), np.float32)
-    blocks[of] = part
-    for span, which, mine in sought:
-        step = span // 2  # a passage starts at every half of its length
-        rows = sum(blocks[j : lot.starts[-1] + j : step] for j in range(span))
+    numbers = np.where(lot.words >= 0, lot.words, len(latent)).reshape(-1, BLOCK_WORDS)
+    latent = np.vstack([latent, np.zeros_like(latent[:1])])
+    rows = latent[numbers[:, 0]]
+    for j in range(1, BLOCK_WORDS):
+        rows += latent[numbers[:, j]]
+    there = np.zeros((len(rows), len(latent)), bool)
+    there[known // BLOCK_WORDS, lot.words[known]] = True
+    there = np.packbits(there, axis=1, bitorder="little")
+    left, span = np.repeat(lot.starts[1:], np.diff(lot.starts)) - np.arange(lot.starts[-1]), 1
+    begin = np.repeat(lot.starts[:-1], np.diff(lot.starts))
+    for wanted, which, mine in sought:
+        while span < wanted:
+            rows, there = _longer(rows, left, span, np.add), _longer(there, left, span, np.bitwise_or)
+            span *= 2
+        block = np.arange(len(rows))
+        around = there | there[np.maximum(block - span, begin)] | there[np.minimum(block + span, block + left - 1)]
         size = np.sqrt(np.einsum("ij,ij->i", rows, rows))
         some = np.flatnonzero(size > 0)
-        close = (rows[some] @ mine) / size[some, None]
-        i, k = np.nonzero(close >= cosine)
-        yield which[k], step * some[i] * BLOCK_WORDS, (step * some[i] + span) * BLOCK_WORDS, close[i, k]
+        for low in range(0, len(some), 2_048):
+            at = some[low : low + 2_048]
+            i, k = np.nonzero((rows[at] @ mine) >= cosine * size[at, None])
+            for low_i in range(0, len(i), 50_000):
+                block, j = at[i[low_i : low_i + 50_000]], k[low_i : low_i + 50_000]
+                item = which[j]
+                own = filled[wanted][item]
+                shared = (around[block[:, None], own >> 3] >> (own & 7).astype(np.uint8) & 1).sum(axis=1)
+                enough = shared >= least[item]
+                block, item, j = block[enough], item[enough], j[enough]
+                yield item, block, block + span, np.einsum("ij,ij->i", rows[block], mine.T[j]) / size[block]
 
 
 def _search(batches, items: Items, weights: np.ndarray, vectors: np.ndarray, cosine: float, subsequence: float, answer: float):
@@ -303,10 +347,15 @@ def _search(batches, items: Items, weights: np.ndarray, vectors: np.ndarray, cos
     targets = np.stack([latent[t].sum(axis=0) for t in items.terms])
     norms = np.linalg.norm(targets, axis=1)
     targets = (targets / np.where(norms > 0, norms, 1)[:, None]).T.astype(np.float32)
-    lengths = np.array([len(t) for t in items.terms])
-    span_of = np.array([next((x for x in SPANS if n <= x * BLOCK_WORDS), max(SPANS)) for n in lengths])
-    sought = [(span, np.flatnonzero(span_of == span), np.ascontiguousarray(targets[:, span_of == span])) for span in SPANS if (span_of == span).any()]
-    pairs = Pairs(items, np.maximum(span_of, -(-lengths // BLOCK_WORDS)))
+    lengths, span_of = np.array([len(t) for t in items.terms]), spans_of(items)
+    sought = [(int(span), np.flatnonzero(span_of == span), np.ascontiguousarray(targets[:, span_of == span])) for span in np.unique(span_of)]
+    pairs = Pairs(items, span_of)
+    filled = {}
+    for span, which, _ in sought:
+        filled[span] = np.full((len(items.ids), lengths[which].max()), len(weights))
+        for k in which:
+            filled[span][k, : lengths[k]] = items.terms[k]
+    least = subsequence * lengths
     cosine_of = lambda passage, k: float(latent[passage].sum(axis=0) @ targets[:, k] / max(np.linalg.norm(latent[passage].sum(axis=0)), 1e-12)) if len(passage) else 0.0
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()
@@ -329,9 +378,9 @@ def _search(batches, items: Items, weights: np.ndarray, vectors: np.ndarray, cos
                         key = (lot.rows[doc], k)
                         best[key] = max(best.get(key, (0.0, 0.0, -1.0)), (share, told, near))
 
-            for k, first, last, near in _near(lot, latent, sought, cosine):
-                doc = np.searchsorted(bounds, first, side="right") - 1
-                n = lengths[k]
+            for k, first, last, near in _near(lot, latent, sought, cosine, filled, least):
+                doc = np.searchsorted(lot.starts, first, side="right") - 1
+                first, last, n = first * BLOCK_WORDS, last * BLOCK_WORDS, lengths[k]
                 for x in zip(k.tolist(), doc.tolist(), (first - n).tolist(), (last + n).tolist(), near.tolist(), strict=True):
                     confirm(*x)
             k, first = pairs.shared(lot.words)
@@ -345,7 +394,7 @@ def _search(batches, items: Items, weights: np.ndarray, vectors: np.ndarray, cos
             yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _ in best], pa.int64()), pa.array([items.ids[k] for _, k in best], pa.int64()), *(pa.array([x[j] for x in best.values()], pa.float64()) for j in (2, 0, 1))], names=["doc_id", "item_id", "cosine", "subsequence", "answer"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, rank: int = RANK, cosine: float = COSINE, subsequence: float = SUBSEQUENCE, answer: float = ANSWER, seed: int = 5) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, rank: int | None = None, cosine: float = COSINE, subsequence: float = SUBSEQUENCE, answer: float = ANSWER, seed: int = 5) -> DataFrame:
     """doc_id, item_id, cosine, subsequence, answer: the confirmed pairs, the best passage of each.
 
     Items come to the driver ``ITEMS_AT_ONCE`` at a time. Term counts and the SVD
@@ -378,9 +427,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 registers[at : at + len(rows)] = rows
             counts = distinct(registers)
             weights = term_weights(counts[:n], counts[n])
-            omega = np.random.default_rng(seed).standard_normal((n, min(n, rank + OVERSAMPLE)))
+            dimensions = rank or rank_of(len(items.ids))
+            omega = np.random.default_rng(seed).standard_normal((n, min(n, dimensions + OVERSAMPLE)))
             sketch = np.zeros(omega.shape)
-            for at, part in only.mapInArrow(partial(_sketch, weights=weights, omega=omega, span=max(SPANS)), "at long, part binary").groupBy("at").applyInArrow(_add_sketch, "at long, part binary").collect():
+            for at, part in only.mapInArrow(partial(_sketch, weights=weights, omega=omega, span=int(np.median(spans_of(items)))), "at long, part binary").groupBy("at").applyInArrow(_add_sketch, "at long, part binary").collect():
                 rows = np.frombuffer(part, np.float64).reshape(-1, omega.shape[1])
                 sketch[at : at + len(rows)] = rows
             # The items are passages of the corpus too.
@@ -389,7 +439,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 np.add.at(own[i], terms, weights[terms])
             own /= np.maximum(np.linalg.norm(own, axis=1), 1e-12)[:, None]
             sketch += own.T @ (own @ omega)
-            vectors = right_vectors(sketch, omega, rank)
+            vectors = right_vectors(sketch, omega, dimensions)
             pairs = coded.mapInArrow(partial(_search, items=items, weights=weights, vectors=vectors, cosine=cosine, subsequence=subsequence, answer=answer), "doc_id long, item_id long, cosine double, subsequence double, answer double")
             pairs = cut(pairs)
         found = pairs if found is None else found.unionByName(pairs)

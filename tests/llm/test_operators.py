@@ -316,6 +316,19 @@ def test_widespread_benchmark_passages_are_found(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, 0) for i in range(1, 120, 2)} | {(200, 4)}
 
 
+def test_long_items_spread_by_inserted_words_are_found(spark):
+    rng = random.Random(37)
+    items = [(i, prose(rng, "en", 300)) for i in range(5)]
+    rows = [(i, prose(rng, "fr", rng.randrange(100, 400))) for i in range(40)]
+    for i, text in items:  # no word pair of the item stays, and two blocks hold little of it
+        spread = " ".join(f"{w} {prose(rng, 'de', 3)}x" for w in text.split())
+        rows.append((100 + i, prose(rng, "fr", 77) + " " + spread + " " + prose(rng, "fr", 60)))
+    got = decontamination.contaminated(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(100 + i, i) for i in range(5)}
+    assert all(r["subsequence"] > 0.9 for r in got)
+    assert decontamination.rank_of(200) < decontamination.rank_of(1000)
+
+
 def test_distinct_surroundings():
     keys = [f"the passage number {i} is unlike any other".split() for i in range(3000)]
     numbers = {w.encode(): i for i, w in enumerate(dict.fromkeys(w for k in keys[:1] * 5 for w in k))}
