@@ -68,6 +68,19 @@ def held_out(column: Any, modulus: int, remainder: int) -> Any:
     return F.coalesce(F.crc32(column.cast("string")) % modulus == remainder, F.lit(True))
 
 
+#: A column for keys of rows, whose name no table has.
+ROW_KEY = "_row_key"
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with a 64-bit key of each row's id and text in ``ROW_KEY``.
+
+    Decisions on a text are joined on it, as ids may be null or shared by
+    different texts; rows alike in both have one key and get one decision.
+    """
+    return docs.withColumn(ROW_KEY, F.xxhash64(docs["doc_id"].isNull(), docs["doc_id"], docs["text"].isNull(), docs["text"]))
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts of an Arrow string column as UTF-8 bytes; null becomes empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

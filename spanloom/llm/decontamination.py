@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, table, utf8
+from .common import ROW_KEY, Scratch, cut, table, utf8, with_row_key
 
 #: A passage is BLOCK_WORDS * a power of two words long, LEAST_SPAN blocks at least, and starts at every block of its
 #: document; an item is sought in passages of the least span that is as long as it.
@@ -452,8 +452,9 @@ def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a confirmed benchmark passage stay."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    rows = with_row_key(docs)
+    found = contaminated(rows, table(spark, sf_dir, "benchmark"), id_col=ROW_KEY).select(F.col("doc_id").alias(ROW_KEY)).distinct()
+    return rows.join(found, ROW_KEY, "left_anti").select(docs.columns)
 
 
 QUERIES = {"op7_latent_decontamination": op7_latent_decontamination}

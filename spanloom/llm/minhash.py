@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, per_batch, table, utf8, words
+from .common import ROW_KEY, Scratch, cut, per_batch, table, utf8, with_row_key, words
 
 SHINGLE_WORDS = 5
 #: A link needs 100 * intersection >= SIMILARITY * union.
@@ -283,11 +283,20 @@ def op10_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each near-duplicate component stays."""
+    """Pipeline stage: one document of each near-duplicate component stays, that of the least id.
+
+    Each text is judged for itself, also where ids are null (they come last) or
+    shared. Rows with neither an id nor a word stay.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
-    found = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    rows = with_row_key(docs)
+    found = near_duplicates(rows, id_col=ROW_KEY).select(F.col("doc_id").alias(ROW_KEY), "n_shingles", "component_id").distinct()
+    ids = rows.select(ROW_KEY, F.col("doc_id").alias("id")).distinct()
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col(ROW_KEY).alias("key")))
+    kept = found.join(ids, ROW_KEY).groupBy("component_id").agg(first.alias("first")).select(F.col("first.key").alias(ROW_KEY))
+    blank = found.filter("n_shingles = 0").join(ids.filter("id is null"), ROW_KEY, "left_semi").select(ROW_KEY)
+    one = rows.join(kept.join(blank, ROW_KEY, "left_anti"), ROW_KEY, "left_semi").dropDuplicates(["doc_id", ROW_KEY])
+    return one.unionByName(rows.join(blank, ROW_KEY, "left_semi")).select(docs.columns)
 
 
 QUERIES = {"op10_minmax_near_dedup": op10_minmax_near_dedup}

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, per_batch, table
+from .common import ROW_KEY, Scratch, cut, per_batch, table, with_row_key
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring; least distinct seed instances and least score of a reliable pattern; least confidence of an instance.
@@ -201,8 +201,9 @@ def _redact(batch: pa.RecordBatch) -> pa.RecordBatch:
 def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays, its personal data replaced; n_chars follows the new text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
-    found = find(docs).filter("size(spans) > 0 and doc_id is not null").groupBy("doc_id").agg(F.first("spans").alias("spans"))
-    joined = docs.join(found, "doc_id", "left").select(*docs.columns, "spans")
+    rows = with_row_key(docs)
+    found = find(rows, id_col=ROW_KEY).filter("size(spans) > 0").groupBy(F.col("doc_id").alias(ROW_KEY)).agg(F.first("spans").alias("spans"))
+    joined = rows.join(found, ROW_KEY, "left").select(*docs.columns, "spans")
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in joined.schema if x.name != "spans")
     done = joined.mapInArrow(per_batch(_redact), schema)
     return done.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else done

@@ -445,3 +445,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept[3][302].endswith("mail <EMAIL> now") and len(kept[3]) == len(kept[2])
     packed = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == set(kept[3])
+
+
+def test_stages_judge_rows_without_or_with_shared_ids(spark, tmp_path):
+    rng = random.Random(41)
+    item = prose(rng, "en", 45)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    mail, clean = "write to me@site.example.com " + prose(rng, "en", 20), prose(rng, "fr", 30)
+    leak, copied = prose(rng, "de", 30) + " " + item, prose(rng, "de", 40)
+    rows = [(None, mail), (7, mail), (7, clean), (None, leak), (8, leak), (8, prose(rng, "fr", 40)), (None, copied), (None, copied), (9, copied + " x"), (None, None), (None, "")]
+    frame = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    pairs = lambda out: sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    told = mail.replace("me@site.example.com", "<EMAIL>")
+    assert pairs(pii.redact_stage(spark, frame, str(tmp_path))) == sorted([(i, told if t == mail else t) for i, t in rows], key=str)
+    assert pairs(decontamination.drop_contaminated(spark, frame, str(tmp_path))) == sorted([x for x in rows if x[1] != leak], key=str)
+    kept = pairs(minhash.keep_one(spark, frame, str(tmp_path)))
+    assert kept == sorted([(7, mail), (7, clean), (8, leak), rows[5], (9, copied + " x"), (None, None), (None, "")], key=str)
