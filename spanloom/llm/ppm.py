@@ -1,12 +1,18 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
-A context trie of byte counts, with escape estimates (an escape counts once for
-each distinct symbol of its context) and exclusion of symbols that longer
-contexts have seen, gives every document's code length. The trie is pretrained
-on the training documents and never whole in one place: it is dealt out by the
-last two bytes of the context, and each block of documents gets the
+A context trie of byte counts, with escape estimates (half a count for each
+distinct symbol of a context) and exclusion of symbols that longer contexts have
+seen, gives every document's code length. Shorter contexts count a symbol once
+for each longer context that it followed, not for each occurrence. The trie is
+pretrained on the training documents and never whole in one place: it is dealt
+out by the last two bytes of the context, and each block of documents gets the
 probabilities of its own byte strings back. Word counts for the unigram base
 travel the same way.
+
+Blocks hold about BLOCK_BYTES of text and the number of buckets is fixed, so
+messages grow in proportion to the text. A bucket of more than BUCKET_BYTES is
+cut into parts by block: each part adds up its own counts, the sums form the
+bucket's trie, and every part meets a copy of it.
 """
 
 from __future__ import annotations
@@ -16,20 +22,25 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, held_out, shuffle_partitions, table, utf8, words
+from .common import Scratch, cut, held_out, table, utf8, words
 
 #: Bytes of context. A string of ORDER + 1 bytes is packed in an integer, the symbol last.
 ORDER = 5
 #: Bytes that UTF-8 never holds stand for what precedes a text and for its end.
 BEFORE, END = 0xFE, 0xFF
 SYMBOLS = 256
-#: Blocks of documents for each shuffle partition: a block, its strings and words are in memory at once.
-BLOCKS_PER_PARTITION = 2
+#: Text bytes in a block of documents, on average: a block, its strings and words are in memory at once.
+BLOCK_BYTES = 1 << 22
 #: Text bytes handled at once inside a block.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Buckets of strings and of words, and the packed bytes of a bucket that one task takes.
+BUCKETS, BUCKET_BYTES = 256, 1 << 24
+#: Parts of the set of byte trigrams, by their first bits.
+TRIGRAM_PARTS = 16
 
 
 def strings(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,30 +110,61 @@ _SENT = "block int, kind string, bucket int, keys binary, counts binary"
 _SENT_ARROW = pa.schema([("block", pa.int32()), ("kind", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def _gather(rows: pa.Table, order: int, buckets: int) -> pa.Table:
+def packed(values: np.ndarray) -> bytes:
+    """Integers as bytes, most significant ones together, compressed: sorted strings share their first bytes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    columns = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(columns.T).view(">u8").ravel().astype(np.uint64)
+
+
+def _frame(out: list[tuple]) -> pa.Table:
+    columns = zip(*out, strict=True) if out else [()] * len(_SENT_ARROW)
+    return pa.table([pa.array(x, f.type) for x, f in zip(columns, _SENT_ARROW, strict=True)], schema=_SENT_ARROW)
+
+
+def _gather(rows: pa.Table, order: int) -> pa.Table:
     """A block's distinct strings and words, each with its training count (0 if only held-out documents have it)."""
     block, texts = rows["block"][0].as_py(), utf8(rows["text"].combine_chunks())
     held = rows["held_out"].to_pylist()
     train, other = ([t for t, h in zip(texts, held, strict=True) if h is x] for x in (False, True))
     out: list[tuple] = []
     known, counts = block_strings(train, order)
+    trigrams = np.unique(known & np.uint64(0xFFFFFF))
+    for part in np.unique(trigrams >> np.uint64(20)).tolist():
+        out.append((block, "trigram", part, packed(trigrams[trigrams >> np.uint64(20) == part]), None))
     unseen, none = block_strings(other, order)
     own, full = _add([(known, counts), (unseen, np.zeros_like(none))])
-    of = bucket_of_strings(own, buckets)
+    del known, counts, unseen, none
+    of = bucket_of_strings(own, BUCKETS)
     for b in np.unique(of).tolist():
-        out.append((block, "string", b, own[of == b].tobytes(), full[of == b].tobytes()))
-    symbols, n = _add([(known & np.uint64(0xFFFF), counts)])
-    out.append((block, "pair", 0, symbols.astype(np.uint64).tobytes(), n.astype(np.int64).tobytes()))
-    del own, full, known, unseen
+        at = of == b
+        out.append((block, "string", b, packed(own[at]), packed(full[at])))
+    del own, full, of
     learnt: Counter = Counter()
     for t in train:
         learnt.update(words(t))
     met = {w for t in other for w in words(t)}
-    for b, mine in enumerate(dealt_words(met.union(learnt), buckets)):
+    for b, mine in enumerate(dealt_words(met.union(learnt), BUCKETS)):
         if mine:
-            out.append((block, "word", b, b"\n".join(mine), np.array([learnt.get(w, 0) for w in mine], np.int64).tobytes()))
-    out.append((block, "end", 0, b"", np.array([len(train)], np.int64).tobytes()))
-    return pa.table([pa.array(x) for x in zip(*out, strict=True)], schema=_SENT_ARROW)
+            out.append((block, "word", b, b"\n".join(mine), packed(np.array([learnt.get(w, 0) for w in mine], np.int64))))
+    out.append((block, "end", 0, b"", packed(np.array([len(train)]))))
+    return _frame(out)
+
+
+def _union(rows: pa.Table) -> pa.Table:
+    """The distinct values of a part."""
+    values = np.unique(np.concatenate([unpacked(x) for x in rows["keys"].to_pylist()]))
+    return pa.table([pa.array([packed(values)], pa.binary())], names=["keys"])
+
+
+def pair_counts(trigrams: np.ndarray) -> np.ndarray:
+    """Symbol counts after each byte, 256 x 256: once for each byte that stood before the two."""
+    pairs = np.zeros((SYMBOLS, SYMBOLS), np.int64)
+    np.add.at(pairs, ((trigrams >> np.uint64(8)).astype(np.int64) & 255, trigrams.astype(np.int64) & 255), 1)
+    return pairs
 
 
 class Trie:
@@ -131,14 +173,16 @@ class Trie:
     def __init__(self, values: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int):
         """values, counts: strings seen in training. pairs: symbol counts after each byte, 256 x 256."""
         self.order, self.pairs = order, pairs
-        self.symbols = pairs.sum(axis=0)
+        self.symbols = (pairs > 0).sum(axis=0)
         self.nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        keys, n = values, counts
         for k in range(order, 1, -1):
-            keys, n = _add([(values & np.uint64((1 << 8 * (k + 1)) - 1), counts)]) if len(values) else (values, counts)
+            if k < order and len(keys):
+                keys, n = _add([(keys & np.uint64((1 << 8 * (k + 1)) - 1), np.ones_like(n))])
             self.nodes.append((keys >> np.uint64(8), (keys & np.uint64(255)).astype(np.int64), n))
 
     def after(self, context: int) -> np.ndarray:
-        """log10 probability of each symbol after ``context``: escapes of method C, exclusion of symbols seen higher up."""
+        """log10 probability of each symbol after ``context``: escapes of method D, exclusion of symbols seen higher up."""
         free, left, log = np.ones(SYMBOLS, bool), 0.0, np.full(SYMBOLS, -np.inf)
         for k in range(self.order, -1, -1):
             if k >= 2:
@@ -154,8 +198,8 @@ class Trie:
             s, n = s[keep], n[keep]
             if not len(s):
                 continue
-            total = n.sum() + len(s)
-            log[s] = left + np.log10(n / total)
+            total = 2 * n.sum()
+            log[s] = left + np.log10((2 * n - 1) / total)
             left += np.log10(len(s) / total)
             free[s] = False
         if free.any():
@@ -163,35 +207,76 @@ class Trie:
         return log
 
 
-def _answer_strings(rows: pa.Table, pairs: np.ndarray, order: int) -> list[tuple]:
-    keys = [np.frombuffer(x, np.uint64) for x in rows["keys"].to_pylist()]
-    values, counts = _add([(k, np.frombuffer(c, np.int64)) for k, c in zip(keys, rows["counts"].to_pylist(), strict=True)])
-    seen = counts > 0
-    trie = Trie(values[seen], counts[seen], pairs, order)
-    contexts, symbols = values >> np.uint64(8), (values & np.uint64(255)).astype(np.int64)
-    log = np.empty(len(values), np.float32)
-    starts = np.flatnonzero(np.r_[True, contexts[1:] != contexts[:-1]])
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(values)], strict=True):
-        log[a:b] = trie.after(int(contexts[a]))[symbols[a:b]]
-    return [(block, "string", bucket, log[np.searchsorted(values, k)].tobytes(), None) for block, bucket, k in zip(rows["block"].to_pylist(), rows["bucket"].to_pylist(), keys, strict=True)]
+def _strings_of(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return _add([(unpacked(k), unpacked(c).astype(np.int64)) for k, c in zip(keys, counts, strict=True)])
 
 
-def _answer_words(rows: pa.Table) -> list[tuple]:
+def _words_of(keys: list[bytes], counts: list[bytes]) -> dict[bytes, int]:
     total: dict[bytes, int] = {}
-    keys = [x.split(b"\n") for x in rows["keys"].to_pylist()]
-    for mine, counts in zip(keys, rows["counts"].to_pylist(), strict=True):
-        for w, c in zip(mine, np.frombuffer(counts, np.int64).tolist(), strict=True):
+    for mine, n in zip(keys, counts, strict=True):
+        for w, c in zip(mine.split(b"\n"), unpacked(n).tolist(), strict=True):
             total[w] = total.get(w, 0) + c
-    sums = np.array([sum(total.values()), sum(c > 0 for c in total.values())], np.int64)
-    out = [(block, "word", bucket, np.fromiter(map(total.__getitem__, mine), np.int64, len(mine)).tobytes(), None) for block, bucket, mine in zip(rows["block"].to_pylist(), rows["bucket"].to_pylist(), keys, strict=True)]
-    return [*out, (-1, "sums", 0, None, sums.tobytes())]
+    return total
+
+
+def _sum_part(rows: pa.Table) -> pa.Table:
+    """One row with the training counts of a bucket's part, or of the parts' sums."""
+    kind, bucket, keys, counts = rows["kind"][0].as_py(), rows["bucket"][0].as_py(), rows["keys"].to_pylist(), rows["counts"].to_pylist()
+    if kind == "string":
+        values, n = _strings_of(keys, counts)
+        return _frame([(-1, kind, bucket, packed(values[n > 0]), packed(n[n > 0]))])
+    total = {w: c for w, c in _words_of(keys, counts).items() if c}
+    return _frame([(-1, kind, bucket, b"\n".join(total), packed(np.fromiter(total.values(), np.int64, len(total))))] if total else [])
+
+
+def _answers(asked: pa.Table, known: pa.Table, pairs: np.ndarray, order: int) -> list[tuple]:
+    """What each block asked of a bucket, by the counts in ``known``."""
+    kind, bucket = asked["kind"][0].as_py(), asked["bucket"][0].as_py()
+    keys, counts = known["keys"].to_pylist(), known["counts"].to_pylist()
+    out = []
+    if kind == "word":
+        total = _words_of(keys, counts)
+        for block, mine in zip(asked["block"].to_pylist(), asked["keys"].to_pylist(), strict=True):
+            mine = mine.split(b"\n")
+            out.append((block, kind, bucket, packed(np.fromiter((total.get(w, 0) for w in mine), np.int64, len(mine))), None))
+        return out
+    values, n = _strings_of(keys, counts) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    trie = Trie(values[n > 0], n[n > 0], pairs, order)
+    del n, keys, counts
+    wanted = np.empty(0, np.uint64)
+    for mine in asked["keys"].to_pylist():
+        wanted = np.union1d(wanted, unpacked(mine))
+    contexts, symbols = wanted >> np.uint64(8), (wanted & np.uint64(255)).astype(np.int64)
+    log = np.empty(len(wanted), np.float32)
+    starts = np.flatnonzero(np.r_[True, contexts[1:] != contexts[:-1]])
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(wanted)], strict=True):
+        log[a:b] = trie.after(int(contexts[a]))[symbols[a:b]]
+    for block, mine in zip(asked["block"].to_pylist(), asked["keys"].to_pylist(), strict=True):
+        out.append((block, kind, bucket, log[np.searchsorted(wanted, unpacked(mine))].tobytes(), None))
+    return out
+
+
+def _sums(known: pa.Table) -> tuple:
+    """Tokens and distinct words of a bucket of words."""
+    total = _words_of(known["keys"].to_pylist(), known["counts"].to_pylist())
+    return (-1, "sums", known["bucket"][0].as_py(), packed(np.array([sum(total.values()), sum(c > 0 for c in total.values())])), None)
 
 
 def _answer(pairs: np.ndarray, order: int):
+    """A whole bucket: its counts and its answers at once."""
+
     def answer(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        out = _answer_strings(rows, pairs, order) if rows["kind"][0].as_py() == "string" else _answer_words(rows)
-        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _SENT_ARROW, strict=True)], schema=_SENT_ARROW)
+        return _frame([*_answers(rows, rows, pairs, order), *([_sums(rows)] if rows["kind"][0].as_py() == "word" else [])])
+
+    return answer
+
+
+def _answer_part(pairs: np.ndarray, order: int):
+    """A part of a bucket that meets the bucket's counts; the first part tells the sums."""
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        first = known.num_rows and known["part"][0].as_py() == 0 and known["kind"][0].as_py() == "word"
+        return _frame([*(_answers(asked, known, pairs, order) if asked.num_rows else []), *([_sums(known)] if first else [])])
 
     return answer
 
@@ -199,7 +284,7 @@ def _answer(pairs: np.ndarray, order: int):
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, word_log double, score double"
 
 
-def _score(order: int, buckets: int, ends: int):
+def _score(order: int, ends: int):
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts = utf8(docs["text"].combine_chunks()) if docs.num_rows else []
         parts, wide = [], np.uint64(8 * (order + 1))
@@ -213,18 +298,18 @@ def _score(order: int, buckets: int, ends: int):
         own = np.empty(0, np.uint64)
         for _, _, values, _, _ in parts:
             own = counted(np.concatenate([own, counted(values)[0]]))[0]
-        of, log = bucket_of_strings(own, buckets), np.zeros(len(own), np.float64)
-        dealt = dealt_words({w for t in texts for w in words(t)}, buckets)
+        of, log = bucket_of_strings(own, BUCKETS), np.zeros(len(own), np.float32)
+        dealt = dealt_words({w for t in texts for w in words(t)}, BUCKETS)
         counts: dict[bytes, int] = {}
         for kind, b, keys in zip(*(answers[x].to_pylist() for x in ("kind", "bucket", "keys")), strict=True):
             if kind == "string":
                 log[of == b] = np.frombuffer(keys, np.float32)
             else:
-                counts.update(zip(dealt[b], np.frombuffer(keys, np.int64).tolist(), strict=True))
-        del dealt
+                counts.update(zip(dealt[b], unpacked(keys).tolist(), strict=True))
+        del dealt, of
         scores = np.zeros(len(texts))
         for a, b, values, text, n in parts:
-            scores[a:b] = np.bincount(text, log[np.searchsorted(own, values)] * n, b - a)
+            scores[a:b] = np.bincount(text, log[np.searchsorted(own, values)].astype(np.float64) * n, b - a)
         del parts
         n_tokens, n_known, word_log = [], [], []
         for t in texts:
@@ -244,39 +329,48 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     score is the log10 probability of the text and its end under the trie;
     base_score that of its words and end under add-one unigrams.
 
-    Documents are dealt into blocks, two for each shuffle partition, by a hash
-    of id and text. Null and empty texts are an end alone. Repeated rows
-    are scored each; null ids stay. Without training rows the trie is uniform.
+    Documents are dealt into blocks by a hash of id and text. Null and empty
+    texts are an end alone. Repeated rows are scored each; null ids stay. ``order``
+    is 2 to 7.
+    Without training rows the trie is uniform; an empty table gives an empty
+    result. A text longer than a block is a block's whole work, in chunks.
     """
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
-    blocks = BLOCKS_PER_PARTITION * buckets
     held = F.coalesce(docs[held_col].cast("boolean"), F.lit(False)) if held_col else F.lit(False)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), held.alias("held_out"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // BLOCK_BYTES)))).cast("int"))
     with Scratch(spark) as scratch:
-        sent = scratch.save(rows.groupBy("block").applyInArrow(lambda t: _gather(t, order, buckets), _SENT), "sent")
-        # At most 65,536 pairs of bytes, whatever the input: their sums are formed in executors.
-        pairs = np.zeros((SYMBOLS, SYMBOLS), np.int64)
-        for symbols, counts in sent.filter("kind = 'pair'").groupBy((F.col("block") % 64).alias("part")).applyInArrow(_sum_pairs, "symbols binary, counts binary").collect():
-            at = np.frombuffer(symbols, np.uint64).astype(np.int64)
-            pairs[at >> 8, at & 255] += np.frombuffer(counts, np.int64)
-        ends = sum(np.frombuffer(x, np.int64)[0] for (x,) in sent.filter("kind = 'end'").select("counts").collect())
-        answers = scratch.save(sent.filter("kind in ('string', 'word')").groupBy("kind", "bucket").applyInArrow(_answer(pairs, order), _SENT), "answers")
+        sent = scratch.save(rows.groupBy("block").applyInArrow(lambda t: _gather(t, order), _SENT), "sent")
+        # At most 2**24 trigrams, whatever the input: their union is formed in executors, each part once.
+        trigrams = [unpacked(x) for (x,) in sent.filter("kind = 'trigram'").groupBy("bucket").applyInArrow(_union, "keys binary").collect()]
+        pairs = pair_counts(np.concatenate([np.empty(0, np.uint64), *trigrams]))
+        ends = sum(int(unpacked(x)[0]) for (x,) in sent.filter("kind = 'end'").groupBy((F.col("block") % 64).alias("part")).applyInArrow(_add_ends, "ends binary").collect())
+        asked = sent.filter("kind in ('string', 'word')")
+        parts = asked.groupBy("kind", "bucket").agg(F.ceil(F.sum(F.length("keys") + F.length("counts")) / F.lit(float(BUCKET_BYTES))).alias("parts"))
+        large = {(r["kind"], r["bucket"]): r["parts"] for r in parts.filter("parts > 1").collect()}  # at most 2 * BUCKETS
+        if large:
+            of = F.create_map(*(F.lit(x) for (kind, bucket), n in large.items() for x in (f"{kind}{bucket}", n)))
+            asked = asked.withColumn("parts", F.coalesce(of[F.concat("kind", F.col("bucket").cast("string"))], F.lit(1)))
+            cut_up = asked.filter("parts > 1").withColumn("part", F.pmod(F.xxhash64("block"), "parts").cast("int"))
+            asked = asked.filter("parts = 1")
+            summed = cut_up.groupBy("kind", "bucket", "part").applyInArrow(_sum_part, _SENT).groupBy("kind", "bucket").applyInArrow(_sum_part, _SENT)
+            summed = scratch.save(summed, "summed").withColumn("part", F.explode(F.sequence(F.lit(0), of[F.concat("kind", F.col("bucket").cast("string"))].cast("int") - 1)))
+            in_parts = cut_up.groupBy("kind", "bucket", "part").cogroup(summed.groupBy("kind", "bucket", "part")).applyInArrow(_answer_part(pairs, order), _SENT)
+        answers = asked.select(*sent.columns).groupBy("kind", "bucket").applyInArrow(_answer(pairs, order), _SENT)
+        answers = scratch.save(answers.unionByName(in_parts) if large else answers, "answers")
         scratch.drop("sent")
-        tokens, distinct = 0, 0
-        for (x,) in answers.filter("kind = 'sums'").select("counts").collect():
-            n, v = np.frombuffer(x, np.int64).tolist()
+        tokens, distinct = ends, int(ends > 0)
+        for (x,) in answers.filter("kind = 'sums'").select("keys").collect():  # at most BUCKETS
+            n, v = unpacked(x).tolist()
             tokens, distinct = tokens + n, distinct + v
-        tokens, distinct = tokens + int(ends), distinct + (ends > 0)
-        scored = rows.groupBy("block").cogroup(answers.filter("kind <> 'sums'").groupBy("block")).applyInArrow(_score(order, buckets, int(ends)), _SCORED)
+        scored = rows.groupBy("block").cogroup(answers.filter("kind <> 'sums'").groupBy("block")).applyInArrow(_score(order, ends), _SCORED)
         base = F.col("word_log") - F.col("n_tokens") * float(np.log10(tokens + distinct + 1))
         return cut(scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score"))
 
 
-def _sum_pairs(rows: pa.Table) -> pa.Table:
-    values, counts = _add([(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)) for k, c in zip(rows["keys"].to_pylist(), rows["counts"].to_pylist(), strict=True)])
-    return pa.table([pa.array([values.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["symbols", "counts"])
+def _add_ends(rows: pa.Table) -> pa.Table:
+    return pa.table([pa.array([packed(np.array([sum(int(unpacked(x)[0]) for x in rows["counts"].to_pylist())]))], pa.binary())], names=["ends"])
 
 
 def op2_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

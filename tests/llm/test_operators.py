@@ -152,52 +152,68 @@ def test_languages_held_out(spark):
     assert language_id.identify(frame, {}).filter("lang_pred <> 'und'").count() == 0
 
 
-def test_ppm_against_plain_counts(spark):
+@pytest.mark.parametrize(("order", "bucket_bytes"), [(2, 1 << 24), (5, 60)])
+def test_ppm_against_plain_counts(spark, monkeypatch, order, bucket_bytes):
+    """Also with buckets that are cut into parts, and several blocks."""
+    monkeypatch.setattr(ppm, "BUCKET_BYTES", bucket_bytes)
+    monkeypatch.setattr(ppm, "BLOCK_BYTES", 500)
     rng = random.Random(9)
     rows = [(i, prose(rng, "en", rng.randrange(30)), i % 4 == 0) for i in range(40)] + [(90, None, False), (91, "", True), (None, "the the", False), (92, "Ünï the", True)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, held boolean").withColumn("block", F.lit("clash"))
-    got = ppm.score(frame, held_col="held", order=2).collect()
+    got = ppm.score(frame, held_col="held", order=order).collect()
     counts = Counter(w for _, t, h in rows if not h for w in (t or "").encode().lower().split())
     ends = sum(not h for *_, h in rows)
     tokens, distinct = sum(counts.values()) + ends, len(counts) + 1
 
+    padded = lambda t: bytes([ppm.BEFORE] * order) + (t or "").encode() + bytes([ppm.END])
     nodes: dict = {}
-    for _, t, h in rows:
-        if not h:
-            data = bytes([ppm.BEFORE] * 2) + (t or "").encode() + bytes([ppm.END])
-            for i in range(2, len(data)):
-                for k in range(3):
-                    nodes.setdefault(data[i - k : i], Counter())[data[i]] += 1
+    longer = Counter(data[i - order : i + 1] for _, t, h in rows if not h for data in [padded(t)] for i in range(order, len(data)))
+    for _ in range(order + 1):
+        for x, n in longer.items():
+            nodes.setdefault(x[:-1], Counter())[x[-1]] = n
+        longer = Counter(x[1:] for x in longer if len(x) > 1)  # a symbol counts once for each longer context
 
     def log_p(data, i):
         out, p = set(), 1.0
-        for k in (2, 1, 0):
+        for k in range(order, -1, -1):
             seen = {s: c for s, c in nodes.get(data[i - k : i], {}).items() if s not in out}
             if not seen:
                 continue
-            total = sum(seen.values()) + len(seen)
+            total = 2 * sum(seen.values())
             if data[i] in seen:
-                return math.log10(p * seen[data[i]] / total)
+                return math.log10(p * (2 * seen[data[i]] - 1) / total)
             p *= len(seen) / total
             out |= set(seen)
         return math.log10(p / (256 - len(out)))
 
     want = {}
     for doc, t, h in rows:
-        data = bytes([ppm.BEFORE] * 2) + (t or "").encode() + bytes([ppm.END])
+        data = padded(t)
         w = (t or "").encode().lower().split()
         base = sum(math.log10((counts[x] + 1) / (tokens + distinct + 1)) for x in w) + math.log10((ends + 1) / (tokens + distinct + 1))
-        want[doc] = (h, len(w) + 1, sum(counts[x] > 0 for x in w) + 1, tokens, base, sum(log_p(data, i) for i in range(2, len(data))))
+        want[doc] = (h, len(w) + 1, sum(counts[x] > 0 for x in w) + 1, tokens, base, sum(log_p(data, i) for i in range(order, len(data))))
     assert len(got) == len(rows)
     for r in got:
         assert tuple(r[1:]) == pytest.approx(want[r["doc_id"]], abs=1e-4)
 
 
+def test_ppm_of_nothing_and_of_repeats(spark):
+    assert ppm.score(docs_of(spark, [])).count() == 0
+    rows = [(1, "the end"), (1, "the end"), (1, "the other"), (2, "x" * 3_000_000)]
+    got = sorted((r["doc_id"], r["n_tokens"], round(r["score"], 3)) for r in ppm.score(docs_of(spark, rows)).collect())
+    assert len(got) == 4 and len(set(got)) == 3 and all(x[2] < 0 for x in got)
+    held = spark.createDataFrame([(1, "abc", True)], "doc_id long, text string, held boolean")
+    assert ppm.score(held, held_col="held").first()["score"] == pytest.approx(-4 * math.log10(256))
+
+
+def test_packed_integers():
+    values = np.array([0, 1, 255, 256, 2**47, 2**63], np.uint64)
+    assert (ppm.unpacked(ppm.packed(values)) == values).all() and not len(ppm.unpacked(ppm.packed(values[:0])))
+
+
 def test_trie_probabilities_sum_to_one():
     values, counts = ppm.block_strings([b"abracadabra", b"abc"], 3)
-    pairs = np.zeros((256, 256), np.int64)
-    for v, c in zip(values.tolist(), counts.tolist()):
-        pairs[(v >> 8) & 255, v & 255] += c
+    pairs = ppm.pair_counts(np.unique(values & np.uint64(0xFFFFFF)))
     trie = ppm.Trie(values, counts, pairs, 3)
     for context in (b"abr", b"zzz", b"xab"):
         assert (10 ** trie.after(int.from_bytes(context, "big"))).sum() == pytest.approx(1.0)
