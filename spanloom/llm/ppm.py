@@ -36,9 +36,9 @@ SYMBOLS = 256
 #: Text bytes in a block of documents, on average: a block, its strings and words are in memory at once.
 BLOCK_BYTES = 1 << 22
 #: Text bytes handled at once inside a block.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 21
 #: Buckets of strings and of words, and the packed bytes of a bucket that one task takes.
-BUCKETS, BUCKET_BYTES = 256, 1 << 24
+BUCKETS, BUCKET_BYTES = 256, 1 << 23
 #: Parts of the set of byte trigrams, by their first bits.
 TRIGRAM_PARTS = 16
 
@@ -68,10 +68,15 @@ def _chunks(texts: list[bytes]):
         yield first, len(texts)
 
 
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
+
+
 def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values in order and how often each occurs."""
     values = np.sort(values)
-    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
+    starts = _runs(values)
     return values[starts], np.diff(np.r_[starts, len(values)])
 
 
@@ -80,7 +85,7 @@ def _add(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     values, counts = np.concatenate([v for v, _ in parts]), np.concatenate([c for _, c in parts])
     order = np.argsort(values, kind="stable")
     values, counts = values[order], counts[order]
-    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
+    starts = _runs(values)
     return values[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
@@ -167,44 +172,68 @@ def pair_counts(trigrams: np.ndarray) -> np.ndarray:
     return pairs
 
 
+def _found(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each wanted value in sorted ``values``, and whether it is there."""
+    if not len(values):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return at, values[at] == wanted
+
+
 class Trie:
-    """Counts of symbols after the contexts of one bucket, for orders 2 and up, over the counts of orders 1 and 0."""
+    """Counts of symbols after the contexts of one bucket, for orders 2 and up, over the counts of orders 1 and 0.
+
+    A symbol that followed a context also followed its shorter ones, so the
+    symbols to exclude at an order are those of the next longer context, and
+    sums over them are taken once for each context.
+    """
 
     def __init__(self, values: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int):
         """values, counts: strings seen in training. pairs: symbol counts after each byte, 256 x 256."""
-        self.order, self.pairs = order, pairs
-        self.symbols = (pairs > 0).sum(axis=0)
-        self.nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.order = order
+        symbols = (pairs > 0).sum(axis=0)
+        #: For each order: strings with their counts; contexts with sum and number of their symbols, and the sum of
+        #: those symbols' counts one order down.
+        self.levels: list[tuple[np.ndarray, ...]] = []
         keys, n = values, counts
-        for k in range(order, 1, -1):
-            if k < order and len(keys):
+        for k in range(order, -1, -1):
+            if k == 1:
+                b, s = np.nonzero(pairs)
+                keys, n = (b.astype(np.uint64) << np.uint64(8)) | s.astype(np.uint64), pairs[b, s]
+            elif k == 0:
+                keys = np.flatnonzero(symbols).astype(np.uint64)
+                n = symbols[keys.astype(np.int64)]
+            elif k < order:
                 keys, n = _add([(keys & np.uint64((1 << 8 * (k + 1)) - 1), np.ones_like(n))])
-            self.nodes.append((keys >> np.uint64(8), (keys & np.uint64(255)).astype(np.int64), n))
-
-    def after(self, context: int) -> np.ndarray:
-        """log10 probability of each symbol after ``context``: escapes of method D, exclusion of symbols seen higher up."""
-        free, left, log = np.ones(SYMBOLS, bool), 0.0, np.full(SYMBOLS, -np.inf)
-        for k in range(self.order, -1, -1):
-            if k >= 2:
-                contexts, symbols, counts = self.nodes[self.order - k]
-                key = np.uint64(context & ((1 << 8 * k) - 1))
-                a, b = np.searchsorted(contexts, key), np.searchsorted(contexts, key, side="right")
-                s, n = symbols[a:b], counts[a:b]
-            else:
-                row = self.pairs[context & 255] if k else self.symbols
-                s = np.flatnonzero(row)
-                n = row[s]
-            keep = free[s]
-            s, n = s[keep], n[keep]
-            if not len(s):
+            starts = _runs(keys >> np.uint64(8))
+            if self.levels:
+                above, _, above_starts, *_ = self.levels[-1]
+                below = n[np.searchsorted(keys, above & np.uint64((1 << 8 * (k + 1)) - 1))] if len(above) else np.empty(0, np.int64)
+                self.levels[-1] = (*self.levels[-1], np.add.reduceat(below, above_starts) if len(above) else below)
+            sums = np.add.reduceat(n, starts) if len(n) else np.empty(0, np.int64)
+            self.levels.append((keys, n, starts, (keys >> np.uint64(8))[starts], sums, np.diff(np.r_[starts, len(keys)])))
+
+    def log10(self, values: np.ndarray) -> np.ndarray:
+        """log10 probability of the symbol of each string after its context: escapes of method D, exclusion of symbols seen higher up."""
+        left, out, open_ = np.zeros(len(values)), np.zeros(len(values)), np.ones(len(values), bool)
+        shut_sum, shut = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
+        for k, (keys, n, _, contexts, sums, distinct, *below) in zip(range(self.order, -1, -1), self.levels, strict=True):
+            at, there = _found(contexts, (values >> np.uint64(8)) & np.uint64((1 << 8 * k) - 1))
+            if not len(contexts):
                 continue
-            total = 2 * n.sum()
-            log[s] = left + np.log10((2 * n - 1) / total)
-            left += np.log10(len(s) / total)
-            free[s] = False
-        if free.any():
-            log[free] = left - np.log10(free.sum())
-        return log
+            total, fresh = 2 * (sums[at] - shut_sum), distinct[at] - shut
+            active = open_ & there & (fresh > 0)
+            place, hit = _found(keys, values & np.uint64((1 << 8 * (k + 1)) - 1))
+            hit &= active
+            out[hit] = left[hit] + np.log10((2 * n[place[hit]] - 1) / total[hit])
+            open_ &= ~hit
+            miss = active & ~hit
+            left[miss] += np.log10(fresh[miss] / total[miss])
+            shut = np.where(there, distinct[at], 0)
+            shut_sum = np.where(there, below[0][at], 0) if below else shut
+        if open_.any():
+            out[open_] = left[open_] - np.log10(SYMBOLS - shut[open_])
+        return out
 
 
 def _strings_of(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -243,14 +272,8 @@ def _answers(asked: pa.Table, known: pa.Table, pairs: np.ndarray, order: int) ->
     values, n = _strings_of(keys, counts) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
     trie = Trie(values[n > 0], n[n > 0], pairs, order)
     del n, keys, counts
-    wanted = np.empty(0, np.uint64)
-    for mine in asked["keys"].to_pylist():
-        wanted = np.union1d(wanted, unpacked(mine))
-    contexts, symbols = wanted >> np.uint64(8), (wanted & np.uint64(255)).astype(np.int64)
-    log = np.empty(len(wanted), np.float32)
-    starts = np.flatnonzero(np.r_[True, contexts[1:] != contexts[:-1]])
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(wanted)], strict=True):
-        log[a:b] = trie.after(int(contexts[a]))[symbols[a:b]]
+    wanted = np.unique(np.concatenate([unpacked(mine) for mine in asked["keys"].to_pylist()]))
+    log = trie.log10(wanted).astype(np.float32)
     for block, mine in zip(asked["block"].to_pylist(), asked["keys"].to_pylist(), strict=True):
         out.append((block, kind, bucket, log[np.searchsorted(wanted, unpacked(mine))].tobytes(), None))
     return out
@@ -287,17 +310,13 @@ _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, word_log
 def _score(order: int, ends: int):
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts = utf8(docs["text"].combine_chunks()) if docs.num_rows else []
-        parts, wide = [], np.uint64(8 * (order + 1))
+        parts = []
         for a, b in _chunks(texts):
             values, text = strings(texts[a:b], order)
-            if b - a < 1 << (64 - int(wide)):  # equal strings of a text are looked up once
-                pairs, n = counted((text.astype(np.uint64) << wide) | values)
-                parts.append((a, b, pairs & ((np.uint64(1) << wide) - np.uint64(1)), (pairs >> wide).astype(np.int32), n.astype(np.int32)))
-            else:
-                parts.append((a, b, values, text.astype(np.int32), np.ones(len(values), np.int32)))
-        own = np.empty(0, np.uint64)
-        for _, _, values, _, _ in parts:
-            own = counted(np.concatenate([own, counted(values)[0]]))[0]
+            distinct, at = np.unique(values, return_inverse=True)
+            parts.append((a, b, distinct, at.astype(np.int32), text.astype(np.int32)))
+            del values, text, at
+        own = np.unique(np.concatenate([np.empty(0, np.uint64), *(x[2] for x in parts)]))
         of, log = bucket_of_strings(own, BUCKETS), np.zeros(len(own), np.float32)
         dealt = dealt_words({w for t in texts for w in words(t)}, BUCKETS)
         counts: dict[bytes, int] = {}
@@ -308,8 +327,8 @@ def _score(order: int, ends: int):
                 counts.update(zip(dealt[b], unpacked(keys).tolist(), strict=True))
         del dealt, of
         scores = np.zeros(len(texts))
-        for a, b, values, text, n in parts:
-            scores[a:b] = np.bincount(text, log[np.searchsorted(own, values)].astype(np.float64) * n, b - a)
+        for a, b, distinct, at, text in parts:
+            scores[a:b] = np.bincount(text, log[np.searchsorted(own, distinct)][at], b - a)
         del parts
         n_tokens, n_known, word_log = [], [], []
         for t in texts:
