@@ -24,6 +24,8 @@ PERMUTATIONS, BANDS = 100, 40
 SKETCH_PERMUTATIONS, SKETCH_SLACK = 512, 5.0
 #: Nodes of a bucket that meet in one task, on either side.
 MEETING = 4_096
+#: A bucket of more than LARGE entries and a LARGE_SHARE of all of them is cut into parts, each with a pivot of its own.
+LARGE, LARGE_SHARE = 512, 1e-4
 _ODD = np.random.default_rng(7).integers(1, 2**63, size=4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -127,8 +129,9 @@ def _confirm(batches, size, similarity):
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``links`` (a, b): the smallest node reachable.
 
-    Alternating large-star and small-star steps; each keeps one minimum for a
-    node, so a hub's links are never gathered in a task.
+    Alternating large-star and small-star steps. Each forms a node's minimum
+    before it shuffles; a hub's links are joined to it as rows that may spill or
+    be split, never held as a group.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
@@ -146,10 +149,26 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _with_pivots(entries: DataFrame) -> DataFrame:
-    """Entries (node, n, bucket) of buckets that several nodes share, with the least node as pivot."""
-    pivots = entries.groupBy("bucket").agg(F.min_by("n", "node").alias("pivot_n"), F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last")
-    return entries.join(pivots.drop("last"), "bucket")
+def _with_pivots(entries: DataFrame, total: int, scratch: Scratch) -> DataFrame:
+    """Entries (node, n, bucket) of buckets that several nodes share, with the least node as pivot.
+
+    Large buckets (at most 1 / LARGE_SHARE, so they are broadcast) are cut by
+    node into a power of two of parts. An entry's pivot is its part's, and a
+    part's pivot has one more row with that of the whole bucket, so no task
+    and no pivot gets a whole large bucket.
+    """
+    least = (F.min_by("n", "node").alias("pivot_n"), F.min("node").alias("pivot"), F.max("node").alias("last"))
+    pivots = scratch.save(entries.groupBy("bucket").agg(*least, F.count("*").alias("c")).filter("pivot <> last").drop("last"), "pivots")
+    at_most = max(LARGE, int(LARGE_SHARE * total))
+    parts = F.pow(F.lit(2), F.ceil(F.log2(F.col("c") / at_most))).cast("long")
+    large = F.broadcast(pivots.filter(F.col("c") > at_most).select("bucket", parts.alias("parts")))
+    part = F.coalesce(F.pmod(F.xxhash64("node"), "parts"), F.lit(0))
+    in_parts = entries.join(large, "bucket").withColumn("part", part).groupBy("bucket", "part").agg(*least[:2])
+    in_parts = scratch.save(in_parts, "part-pivots")
+    of_bucket = pivots.filter(F.col("c") <= at_most).select("bucket", F.lit(0).cast("long").alias("part"), "pivot_n", "pivot")
+    shared = entries.join(large, "bucket", "left").withColumn("part", part).join(of_bucket.unionByName(in_parts), ["bucket", "part"]).select("bucket", "node", "n", "pivot_n", "pivot")
+    bridges = in_parts.select("bucket", F.col("pivot").alias("node"), F.col("pivot_n").alias("n")).join(pivots.select("bucket", "pivot_n", "pivot"), "bucket")
+    return shared.unionByName(bridges)
 
 
 def _sketch(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
@@ -237,8 +256,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, similarity: int) -
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, similarity: int = SIMILARITY, permutations: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
-    Rows with equal shingle sets are one node. In each bucket of a band a pivot
-    is compared with every other node of similar size. Nodes of buckets that
+    Rows with equal shingle sets are one node. In each bucket of a band, or part
+    of a large one, a pivot is compared with every other node of similar size. Nodes of buckets that
     still hold several components are dealt again by their rarest shingles (an
     exact prefix filter: similar sets must share one), so that documents which
     merely share a passage part. In these buckets all pairs of different
@@ -256,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with Scratch(docs.sparkSession) as scratch:
         signed = scratch.save(sign(docs, size, permutations, bands), "signed")
         nodes = scratch.save(signed.filter("doc_id is not null and n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
-        shared = scratch.save(_with_pivots(nodes.select("node", "n", F.explode("bands").alias("bucket"))), "shared")
+        shared = scratch.save(_with_pivots(nodes.select("node", "n", F.explode("bands").alias("bucket")), nodes.count() * bands, scratch), "shared")
         wanted = scratch.save(shared.filter(f"node <> pivot and {fits}").select(*pair).distinct(), "pairs-0")
         texts = scratch.save(docs.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id", "text"]), "texts")
         tested = wanted
@@ -286,7 +305,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each near-duplicate component stays, that of the least id.
 
     Each text is judged for itself, also where ids are null (they come last) or
-    shared. Rows with neither an id nor a word stay.
+    shared. Rows with neither an id nor a word stay; repeated rows become one;
+    an empty table stays empty; all columns are kept.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     rows = with_row_key(docs)
