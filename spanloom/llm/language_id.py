@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import held_out, per_batch, table
 
-#: Bytes of training text that make up a language's dictionary, and the longest share of one document in it.
-DICTIONARY_BYTES, DOCUMENT_BYTES = 64_000, 1_000
+#: Bytes of training text that make up a language's dictionary, and characters of one document in it: a window from anywhere in the text.
+DICTIONARY_BYTES, WINDOW_CHARS = 64_000, 1_000
 #: A text is compressed in blocks of so many bytes, so that the dictionary and not the text's own past decides.
 BLOCK_BYTES = 8_192
 #: A margin below this share of the smallest size is narrow: the prediction is marked as rejected.
@@ -34,24 +34,29 @@ def plain(text: str) -> bytes:
     return b" ".join(text.encode().translate(_PLAIN).split())
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dictionary_bytes: int = DICTIONARY_BYTES, document_bytes: int = DOCUMENT_BYTES) -> dict[str, bytes]:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dictionary_bytes: int = DICTIONARY_BYTES, window: int = WINDOW_CHARS) -> dict[str, bytes]:
     """A raw-content dictionary for each language of ``docs``.
 
-    A bounded sample: for each language documents in hash order, at most
-    ``document_bytes`` of each, up to ``dictionary_bytes``. A first pass counts
-    each language's documents, which sets the hash range that the second reads.
+    A bounded sample: for each language distinct texts in hash order, of each a
+    window of at most ``window`` characters at a place that the hash chooses, up
+    to ``dictionary_bytes``. A first pass sizes each language's distinct texts,
+    which sets the hash range that the second reads. Null languages and null or
+    empty texts teach nothing, null ids do; repeated texts count once; an empty
+    table gives no dictionary.
     """
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).filter("lang is not null and length(text) > 0")
-    rows = rows.select("lang", F.substring("text", 1, document_bytes).alias("text"), F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)).alias("at"))
-    sizes = dict(rows.groupBy("lang").agg(F.sum(F.octet_length("text"))).collect())
+    rows = docs.select(docs[text_col].alias("text"), docs[lang_col].alias("lang")).filter("lang is not null and length(text) > 0")
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    first = F.pmod(F.xxhash64("hash"), F.greatest(F.lit(1), F.length("text") - window + 1).cast("long")).cast("int") + 1
+    rows = rows.select("lang", F.substring("text", first, F.lit(window)).alias("text"), "hash", F.pmod("hash", F.lit(1 << 30)).alias("at"))
+    sizes = dict(rows.groupBy("lang", "hash").agg(F.max(F.octet_length("text")).alias("n")).groupBy("lang").agg(F.sum("n")).collect())
     if not sizes:
         return {}
     shares = F.create_map(*(F.lit(x) for lang, size in sizes.items() for x in (lang, min(1.0, 3.0 * dictionary_bytes / size))))
-    sample = rows.filter(F.col("at") < shares[F.col("lang")] * (1 << 30)).select("lang", "at", "text")
-    parts: dict[str, list[tuple[int, bytes]]] = defaultdict(list)
-    for lang, at, text in sample.collect():
-        parts[lang].append((at, plain(text)))
-    return {lang: b" ".join(t for _, t in sorted(found))[:dictionary_bytes] for lang, found in sorted(parts.items())}
+    sample = rows.filter(F.col("at") < shares[F.col("lang")] * (1 << 30)).groupBy("lang", "at", "hash").agg(F.min("text").alias("text"))
+    parts: dict[str, list[tuple[int, int, bytes]]] = defaultdict(list)
+    for lang, at, key, text in sample.collect():
+        parts[lang].append((at, key, plain(text)))
+    return {lang: b" ".join(t for *_, t in sorted(found))[:dictionary_bytes] for lang, found in sorted(parts.items())}
 
 
 def _classify(batch: pa.RecordBatch, dictionaries: dict[str, bytes], narrow: float, block: int) -> pa.RecordBatch:
@@ -95,7 +100,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
 
     ``und``, score 0 and rejected: null texts, texts without a letter, or no
     dictionary at all. Ties go to the first language by name. ``rejected`` marks
-    margins below ``narrow``. Null ids and repeated rows are kept as they are.
+    margins below ``narrow``. Null ids and repeated rows are kept as they are; an
+    empty table gives an empty result. Texts of any length are packed whole, block
+    by block; other columns are ignored.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return rows.mapInArrow(per_batch(_classify, dictionaries, narrow, block), "doc_id long, lang_pred string, score double, rejected boolean")
