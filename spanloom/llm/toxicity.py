@@ -23,8 +23,8 @@ from .minhash import _WordHashes, shingle_hashes
 
 #: Labelled rows to fit on, at most: the first in hash order.
 TRAINING_ROWS = 20_000
-#: Units in a lexicon at most, and how many toxic texts a unit needs at least.
-LEXICON_UNITS, LEXICON_TEXTS = 20_000, 5
+#: How many toxic texts a unit of the lexicon needs at least.
+LEXICON_TEXTS = 5
 #: Least log-odds of a unit in toxic against other texts.
 LEXICON_ODDS = 2.5
 PREFIXES = (4, 6)
@@ -42,6 +42,10 @@ _EDGES = ".,;:!?\"'()[]{}<>«»„“”…"
 _MIXED = re.compile(r"[^\W\d_][\d@$!*._-]+[^\W\d_]")
 _LONG = re.compile(r"(.)\1\1")
 _WORD, _PREFIX4, _PREFIX6, _SECOND, _CAPITALS, _OBFUSCATED, _UNVEILED, _ELONGATED = (1 << i for i in range(8))
+#: Marks a token too long for the packed counts, which are then taken from the token itself.
+_GREAT, GREAT = 1 << 40, 31
+#: Where the packed counts start, five bits each.
+_AT = (8, 13, 18, 23, 28)
 
 
 def units(token: str) -> tuple[str, str, str]:
@@ -49,6 +53,12 @@ def units(token: str) -> tuple[str, str, str]:
     return (token, *(f"{k}:{token[:k]}" if len(token) > k else "" for k in PREFIXES))
 
 
+def counts_of(token: str) -> tuple[int, int, int, int, int]:
+    """Exclamation and question marks, all marks, capitals and letters of a token."""
+    letters, upper = sum(map(str.isalpha, token)), sum(map(str.isupper, token))
+    return token.count("!"), token.count("?"), len(token) - letters - sum(map(str.isdigit, token)), upper, letters
+
+
 class _Codes(dict):
     """Token as written -> its flags and counts, packed in an integer."""
 
@@ -66,10 +76,11 @@ class _Codes(dict):
         code |= _SECOND * (word in SECOND_PERSON) | _CAPITALS * (len(word) > 1 and token.isupper()) | _ELONGATED * bool(_LONG.search(word))
         if _MIXED.search(word):
             code |= _OBFUSCATED | _UNVEILED * (word.translate(STANDS_FOR) in self.lexicon)
-        letters, upper = sum(map(str.isalpha, token)), sum(map(str.isupper, token))
-        marks = len(token) - letters - sum(map(str.isdigit, token))
-        for at, n in ((8, token.count("!")), (13, token.count("?")), (18, marks), (23, upper), (29, letters)):
-            code |= min(n, 31 if at < 23 else 63) << at
+        if len(token) > GREAT:
+            code |= _GREAT
+        else:
+            for at, n in zip(_AT, counts_of(token), strict=True):
+                code |= n << at
         self[token] = code
         return code
 
@@ -82,7 +93,8 @@ def features(text: str, codes: _Codes) -> np.ndarray:
         return np.zeros(len(NAMES))
     code = np.fromiter(map(codes.__getitem__, tokens), np.int64, n)
     flag = lambda bit: (code & bit) != 0
-    count = lambda at, width: float(((code >> at) & (2**width - 1)).sum())
+    great = [counts_of(tokens[i]) for i in np.flatnonzero(flag(_GREAT)).tolist()]
+    exclamations, questions, marks, upper, letters = (float(((code >> at) & 31).sum()) + sum(x[j] for x in great) for j, at in enumerate(_AT))
     hit = flag(_WORD | _UNVEILED)
     at, second = np.flatnonzero(hit), np.flatnonzero(flag(_SECOND))
     near, densest = 0.0, float(len(at))
@@ -92,10 +104,9 @@ def features(text: str, codes: _Codes) -> np.ndarray:
             gap = np.minimum(np.abs(second[np.minimum(right, len(second) - 1)] - at), np.abs(second[np.maximum(right - 1, 0)] - at))
             near = float((gap <= NEAR_WORDS).mean())
         densest = float((np.searchsorted(at, at + WINDOW_WORDS) - np.arange(len(at))).max())
-    letters = max(1.0, count(29, 6))
     return np.array([
         np.log1p(len(at)), len(at) / n, np.log1p(len({tokens[i].lower().strip(_EDGES) for i in at.tolist()})), flag(_PREFIX4).mean(), flag(_PREFIX6).mean(),
-        np.log1p(densest), near, len(second) / n, count(23, 6) / letters, flag(_CAPITALS).mean(), count(8, 5) / n, count(13, 5) / n, count(18, 5) / n,
+        np.log1p(densest), near, len(second) / n, upper / max(1.0, letters), flag(_CAPITALS).mean(), exclamations / n, questions / n, marks / n,
         flag(_OBFUSCATED).mean(), flag(_UNVEILED).mean(), flag(_ELONGATED).mean(), np.log1p(n),
     ])
 
@@ -174,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             return ToxicityModel(frozenset(), None, None, float(toxic or 0) / max(n, 1))
         counts = rows.select("toxic", "text").mapInArrow(_count_units, "unit string, toxic long, other long").groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
         odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("o") + 0.5) / (n - toxic + 1.0))
-        chosen = counts.filter(F.col("t") >= LEXICON_TEXTS).withColumn("odds", odds).filter(F.col("odds") >= LEXICON_ODDS).orderBy(F.desc("odds"), "unit").limit(LEXICON_UNITS)
+        chosen = counts.filter(F.col("t") >= LEXICON_TEXTS).withColumn("odds", odds).filter(F.col("odds") >= LEXICON_ODDS)
         lexicon = frozenset(x[0] for x in chosen.select("unit").collect())
         rows = scratch.save(rows.mapInArrow(per_batch(_featurise, lexicon), "doc_id long, toxic int, features array<double>"), "features")
         rows = rows.select("doc_id", F.col("toxic").cast("double").alias("label"), array_to_vector("features").alias("features"))
@@ -216,7 +227,12 @@ def op5_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose score is below 0.5 stay, with the columns of ``docs``."""
+    """Pipeline stage: documents whose score is below 0.5 stay, with the columns of ``docs``.
+
+    Null and empty texts are scored as empty, repeated rows each, null ids stay;
+    an empty table stays empty. Without labels of both classes the share of
+    toxic labels decides for all.
+    """
     model = _model(spark, docs, sf_dir)
     if model.trees is None:
         return docs if model.prior < 0.5 else docs.limit(0)
