@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -26,9 +27,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or in local mode a temporary one where it is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -42,6 +45,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, least: int = 10_000, share: float = 1e-4) -> DataFrame:
+    """Inner join with a ``right`` of distinct keys, whose rows for common keys are broadcast.
+
+    A key is common if it has more than ``least`` rows of ``left`` and more than
+    ``share`` of all, so there are at most 1 / share of them; their rows of
+    ``left`` stay where they are and only the others are dealt out by the key.
+    """
+    sizes = left.groupBy(key).agg(F.count("*").alias("_rows"))
+    total = left.count()
+    common = F.broadcast(cut(sizes.filter(F.col("_rows") > max(least, int(share * total))).select(key)))
+    hot = left.join(F.broadcast(right.join(common, key, "left_semi")), key)
+    return left.join(common, key, "left_anti").join(right, key).unionByName(hot)
+
+
 class Scratch:
     """Parquet tables in the shared folder for the time of a ``with`` block."""
 

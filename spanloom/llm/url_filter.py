@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, per_batch, table, utf8
+from .common import Scratch, cut, join_hot, per_batch, table, utf8
 
 #: (rule, verdict): a host and a path prefix.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -23,14 +23,14 @@ RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 SEEDS = frozenset("adult porn xxx sex nude escort casino casinos poker bet bets betting gambling jackpot slots pill pills viagra cialis pharmacy spam malware phishing warez torrent crack keygen ads adserver popunder tracker track loan loans replica hacked".split())
 #: Longest word of a segmentation; a seed word counts as seen this often.
 LONGEST, SEED_COUNT = 20, 50
-_TAGS = re.compile(rb"<script.*?</script>|<style.*?</style>|<[^>]*>", re.S)
 _WORDS = re.compile(rb"[a-z]+")
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host (ASCII lower case) and path of each row."""
     url = F.coalesce(pages[url_col], F.lit(""))
-    rest = F.when(url.contains("://"), F.substring_index(F.regexp_replace(url, r"(?s)\A.*?://", "\u0000"), "\u0000", -1)).otherwise("")
+    at = F.locate("://", url)
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
     host = F.regexp_extract(rest, r"(?s)\A([^/?#]*)", 1)
     lower = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(rest, r"(?s)\A[^/?#]*([^?#]*)", 1)
@@ -47,11 +47,25 @@ def rule_of(host, path, rules: list[tuple[str, str]]) -> F.Column:
     return chosen
 
 
+def visible(html: bytes) -> bytes:
+    """Lower-case text between tags, without scripts and styles; linear in the page. What is never closed hides the rest."""
+    html, out, at = html.lower(), [], 0
+    while (tag := html.find(b"<", at)) >= 0:
+        out.append(html[at:tag])
+        close = next((b"</" + x for x in (b"script", b"style") if html.startswith(x, tag + 1)), b"")
+        end = html.find(close, tag) if close else tag
+        end = html.find(b">", end) if end >= 0 else -1
+        if end < 0:
+            return b" ".join(out)
+        at = end + 1
+    return b" ".join([*out, html[at:]])
+
+
 def _count_words(batches, longest: int):
     counts: Counter = Counter()
     for batch in batches:
         for html in utf8(batch.column(0)):
-            counts.update(w for w in _WORDS.findall(_TAGS.sub(b" ", html).lower()) if len(w) <= longest)
+            counts.update(w for w in _WORDS.findall(visible(html)) if len(w) <= longest)
         if len(counts) > 300_000:
             yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts]), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
             counts.clear()
@@ -89,7 +103,8 @@ def segmented(names: DataFrame, counts: DataFrame, longest: int = LONGEST) -> Da
     total = counts.agg(F.sum("n")).first()[0] or 1
     starts = F.sequence(F.lit(1), F.length("name"))
     parts = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("name") - i + 1)), lambda n: F.substring(F.col("name"), i, n)))))
-    found = names.select("name", F.explode(parts).alias("word")).join(counts, "word").groupBy("name").agg(F.collect_list("word").alias("known"), F.collect_list("n").alias("n"))
+    found = names.select("name", F.explode(parts).alias("word"))
+    found = join_hot(found, counts, "word").groupBy("name").agg(F.collect_list("word").alias("known"), F.collect_list("n").alias("n"))
     return names.join(found, "name", "left").mapInArrow(per_batch(_segment, total, longest), "name string, words array<string>")
 
 
@@ -99,8 +114,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str =
     score: the log-odds of block against allow by naive Bayes; it decides where
     no rule fits. Names are the runs of letters in host and path. Null urls and
     urls without ``://`` have empty host and path, no names, and are allowed;
-    repeated rows and null ids are kept. Without a page of either class every
-    score is 0 or below.
+    repeated rows and null ids are kept, equal rules' lengths can't tie on one
+    url, other columns are ignored, an empty table gives an empty result. Pages
+    of any length are read in linear time. Without a page of the block class
+    every score is 0 or below.
     """
     spark = pages.sparkSession
     with Scratch(spark) as scratch:
@@ -109,10 +126,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str =
         counts = scratch.save(counts.unionByName(known).groupBy("word").agg(F.sum("n").alias("n")), "words")
         rows = scratch.save(parsed(pages, id_col, url_col).withColumn("row", F.monotonically_increasing_id()), "rows")
         names = F.filter(F.split(F.lower(F.concat_ws("/", "host", "path")), "[^a-z]+"), lambda x: x != "")
-        tokens = rows.select("row", F.explode(names).alias("name")).groupBy("row", "name").agg(F.count("*").alias("n"))
+        tokens = scratch.save(rows.select("row", F.explode(names).alias("name")).groupBy("row", "name").agg(F.count("*").alias("n")), "named")
         split = scratch.save(segmented(tokens.select("name").distinct(), counts, longest), "names")
         split = split.withColumn("seed", F.exists("words", lambda w: w.isin(sorted(seeds))))
-        tokens = scratch.save(tokens.join(split.select("name", "seed"), "name"), "tokens")
+        tokens = scratch.save(join_hot(tokens, split.select("name", "seed"), "name"), "tokens")
         classes = tokens.groupBy("row").agg(F.max("seed").alias("block"))
         by_name = tokens.join(classes, "row").groupBy("name").agg(F.sum(F.when(F.col("block"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("block"), 0).otherwise(F.col("n"))).alias("a"))
         by_word = scratch.save(by_name.join(split, "name").select(F.explode("words").alias("word"), "b", "a").groupBy("word").agg(F.sum("b").alias("b"), F.sum("a").alias("a")), "classes")
@@ -121,7 +138,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str =
         prior = math.log((n_block + 1) / (n_rows - n_block + 1))
         odds = F.log((F.col("b") + 1) / F.lit(float(b_total + size))) - F.log((F.col("a") + 1) / F.lit(float(a_total + size))) if size else F.lit(0.0)
         by_name = split.select("name", F.explode("words").alias("word")).join(by_word.select("word", odds.alias("odds")), "word").groupBy("name").agg(F.sum("odds").alias("odds"))
-        scores = tokens.join(by_name, "name").groupBy("row").agg(F.sum(F.col("n") * F.col("odds")).alias("score"))
+        scores = join_hot(tokens, by_name, "name").groupBy("row").agg(F.sum(F.col("n") * F.col("odds")).alias("score"))
         rule = rule_of(F.col("host"), F.col("path"), rules)
         judged = rows.join(scores, "row", "left").withColumn("score", F.coalesce("score", F.lit(0.0)) + prior).withColumn("rule", rule)
         verdicts = F.create_map(*(F.lit(x) for pair in rules for x in pair)) if rules else F.create_map().cast("map<string,string>")
