@@ -7,6 +7,7 @@ fewer groups of bounded size until one group is left or a round merges nothing.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -65,7 +66,8 @@ class Encoder:
     A single space between two non-space characters starts a pre-token, so the
     ids of a text are those of its chunks in turn. Texts in which a space
     adjoins other white space are cut at pre-tokens; chunks with rare characters
-    or special-token marks are encoded whole.
+    or special-token marks are encoded whole. A vocabulary file with other steps
+    before its model than PRETOKENS stands for encodes all texts whole.
     """
 
     def __init__(self, name: str):
@@ -74,6 +76,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.model = self.tokenizer.model
+        steps = json.loads(self.tokenizer.to_str())
+        before = steps["pre_tokenizer"] or {}
+        if steps["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or steps["model"]["type"] != "BPE":
+            self.encode = self.whole  # type: ignore[method-assign]
         self.pretokens = _Ids(self.pretoken, 50_000)
         self.first = _Ids(self.chunk, 20_000)
         self.later = _Ids(self.later_chunk, 900_000)
@@ -227,7 +233,7 @@ def op6_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents that are left, as packed pieces."""
+    """Pipeline stage: all documents that are left, as packed pieces; null and empty texts as their end id alone, repeated rows each."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     return pack(docs)
 
