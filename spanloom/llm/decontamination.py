@@ -434,11 +434,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 rows = np.frombuffer(part, np.float64).reshape(-1, omega.shape[1])
                 sketch[at : at + len(rows)] = rows
             # The items are passages of the corpus too.
-            own = np.zeros((len(items.ids), n))
-            for i, terms in enumerate(items.terms):
-                np.add.at(own[i], terms, weights[terms])
-            own /= np.maximum(np.linalg.norm(own, axis=1), 1e-12)[:, None]
-            sketch += own.T @ (own @ omega)
+            for terms in items.terms:
+                which, times = np.unique(terms, return_counts=True)
+                own = weights[which] * times
+                own /= np.linalg.norm(own)
+                sketch[which] += np.outer(own, own @ omega[which])
             vectors = right_vectors(sketch, omega, dimensions)
             pairs = coded.mapInArrow(partial(_search, items=items, weights=weights, vectors=vectors, cosine=cosine, subsequence=subsequence, answer=answer), "doc_id long, item_id long, cosine double, subsequence double, answer double")
             pairs = cut(pairs)
@@ -451,7 +451,11 @@ def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a confirmed benchmark passage stay."""
+    """Pipeline stage: documents without a confirmed benchmark passage stay, with all columns.
+
+    Rows are judged by id and text, so null and shared ids are safe; null and
+    empty texts stay, repeated rows share a verdict, empty tables stay empty.
+    """
     rows = with_row_key(docs)
     found = contaminated(rows, table(spark, sf_dir, "benchmark"), id_col=ROW_KEY).select(F.col("doc_id").alias(ROW_KEY)).distinct()
     return rows.join(found, ROW_KEY, "left_anti").select(docs.columns)
