@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import decontamination, language_id, licenses, minhash, packing, pii, ppm, topk, toxicity, url_filter
-from spanloom.llm.common import held_out
+from spanloom.llm.common import held_out, join_hot
 
 SYLLABLES = {"en": "the th ing er on an re he in ed nd ha at en es of or".split(), "de": "der die und ein sch ich ung keit ver zu ge heit".split(), "fr": "le la de eau oi eux ment tion re par pour ou".split()}
 
@@ -87,6 +88,17 @@ def test_rare_shingle_filter_loses_no_pair(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_large_buckets_in_parts_lose_no_link(spark, monkeypatch):
+    rng = random.Random(23)
+    base = prose(rng, "en", 150)
+    rows = near_rows() + [(1000 + i, varied(rng, base, rng.randrange(7))) for i in range(150)]
+    want, _ = linked(rows)
+    monkeypatch.setattr(minhash, "LARGE", 4)
+    monkeypatch.setattr(minhash, "LARGE_SHARE", 0.0)
+    got = minhash.near_duplicates(docs_of(spark, rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_near_duplicates_of_repeats_nulls_and_nothing(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")]
     got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in minhash.near_duplicates(docs_of(spark, rows)).collect())
@@ -153,6 +165,29 @@ def test_languages_held_out(spark):
     assert language_id.identify(frame, {}).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_sizes_against_plain_compression(spark):
+    """Also long and repeated texts, clashing columns, and a sample that copies don't fill."""
+    import zstandard
+
+    rng = random.Random(19)
+    rows = [(i, prose(rng, lang, 40), lang) for i in range(60) for lang in ("en", "de")] + [(0, "the end of it " * 5, "en")] * 300
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"at": F.lit("x"), "hash": F.lit("y")})
+    dictionaries = language_id.learn(frame, dictionary_bytes=4000)
+    assert all(len(x) > 3000 for x in dictionaries.values()) and dictionaries["en"].count(b"the end of it the end") <= 5
+    assert language_id.learn(frame.limit(0)) == {}
+    asked = [(1, "the thing " * 20_000), (1, "der die und " * 3), (2, "the thing"), (2, "the thing")]
+    got = sorted(map(tuple, language_id.identify(docs_of(spark, asked), dictionaries).collect()))
+    want = []
+    for doc, text in asked:
+        data, sizes = language_id.plain(text), []
+        for lang in sorted(dictionaries):
+            packer = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(packer.compress(data[at : at + language_id.BLOCK_BYTES])) for at in range(0, len(data), language_id.BLOCK_BYTES)))
+        want.append((doc, sorted(dictionaries)[sizes.index(min(sizes))], (max(sizes) - min(sizes)) / max(sizes) < language_id.NARROW))
+    assert [(r[0], r[1], r[3]) for r in got] == sorted(want)
+    assert language_id.identify(docs_of(spark, []), dictionaries).count() == 0
+
+
 @pytest.mark.parametrize(("order", "bucket_bytes"), [(2, 1 << 24), (5, 60)])
 def test_ppm_against_plain_counts(spark, monkeypatch, order, bucket_bytes):
     """Also with buckets that are cut into parts, and several blocks."""
@@ -460,6 +495,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(frame, nothing).filter("score > 0").count() == 0
 
 
+def test_features_against_plain_counts():
+    lexicon = frozenset({"idiot", "4:verm"})
+    text = "YOU idiot!! you're " + "A" * 70 + "?" * 40 + " 1d10t v-e-r-m vermin so sooo x " * 3
+    codes = toxicity._Codes(lexicon)
+    got = dict(zip(toxicity.NAMES, toxicity.features(text, codes)))
+    tokens = text.split()
+    letters = sum(c.isalpha() for c in text)
+    assert got["exclamations"] == text.count("!") / len(tokens) and got["questions"] == text.count("?") / len(tokens)
+    assert got["capitals"] == pytest.approx(sum(c.isupper() for c in text) / letters)
+    assert got["punctuation"] == pytest.approx(sum(not c.isalnum() and not c.isspace() for c in text) / len(tokens))
+    words_ = [t.lower().strip(toxicity._EDGES) for t in tokens]
+    hits = [i for i, w in enumerate(words_) if w == "idiot" or (toxicity._MIXED.search(w) and w.translate(toxicity.STANDS_FOR) == "idiot")]
+    assert got["hit_rate"] == pytest.approx(len(hits) / len(tokens)) and got["prefix4_rate"] == pytest.approx(sum(w.startswith("verm") and len(w) > 4 for w in words_) / len(tokens))
+    second = [i for i, w in enumerate(words_) if w in toxicity.SECOND_PERSON]
+    assert got["near_second_person"] == pytest.approx(sum(any(abs(i - j) <= toxicity.NEAR_WORDS for j in second) for i in hits) / len(hits))
+    assert not toxicity.features(" ", codes).any()
+
+
 def test_licences(spark):
     known = spark.createDataFrame(licenses.KNOWN, "license_id string, text string")
     rows = [(1, "Copyright (c) 2020 Someone\nreleased UNDER the mit licence!"), (2, "prose\nReleased under the MIT License.\nmore"), (3, None), (4, ""), (5, "prose about the MIT License")]
@@ -485,6 +538,53 @@ def test_url_rules_and_bayes(spark):
     assert url_filter.judge(frame.limit(0)).count() == 0
 
 
+def test_visible_text_is_found_in_linear_time():
+    assert url_filter.visible(b"<P>One<SCRIPT>var t='</p>';</Script >two<b").split() == [b"one", b"two"]
+    assert url_filter.visible(b"a < b").split() == [b"a"] and url_filter.visible(b"<style>x").split() == [] and url_filter.visible(b"") == b""
+    for page in (b"<" * 300_000, b"<script>a" * 100_000, b"</" * 200_000, b"<p>a" * 100_000):
+        began = time.process_time()
+        url_filter.visible(page)
+        assert time.process_time() - began < 1
+
+
+def test_segmentation_against_all_splits():
+    rng = random.Random(3)
+    counts = {w: rng.randrange(1, 50) for w in ("a", "ab", "abc", "b", "ba", "c", "cab", "bc")}
+    total = sum(counts.values())
+    value = lambda w: math.log10(counts[w] / total) if w in counts else 1 - math.log10(total) - len(w)
+    for _ in range(60):
+        name = "".join(rng.choices("abcx", k=rng.randrange(1, 9)))
+        splits = [[name[i:j] for i, j in zip([0, *at], [*at, len(name)])] for n in range(len(name)) for at in itertools.combinations(range(1, len(name)), n)]
+        best = max(sum(map(value, x)) for x in splits)
+        assert sum(map(value, url_filter.viterbi(name, counts, total))) == pytest.approx(best)
+
+
+def test_url_scores_against_plain_naive_bayes(spark):
+    rng = random.Random(29)
+    names = ["casino", "win", "news", "thing", "cheap", "pills", "daily"]
+    rows = [(i, f"http://{''.join(rng.sample(names, 2))}.{rng.choice(('com', 'net'))}/{rng.choice(names)}/{rng.choice(names)}", " ".join(rng.choices(names, k=5))) for i in range(80)] + [(None, None, None), (3, "x://", "")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = Counter((r["page_id"], round(r["score"], 6), r["verdict"]) for r in url_filter.judge(frame, rules=[]).collect())
+    counts = Counter({w: url_filter.SEED_COUNT for w in url_filter.SEEDS})
+    counts.update(w for *_, html in rows for w in (html or "").split())
+    total = sum(counts.values())
+    split = [[w for name in re.findall("[a-z]+", (u or "").partition("://")[2].lower()) for w in url_filter.viterbi(name, counts, total)] for _, u, _ in rows]
+    block = [any(w in url_filter.SEEDS for w in x) for x in split]
+    b, a = (Counter(w for x, y in zip(split, block) if y is side for w in x) for side in (True, False))
+    size = len(set(b) | set(a))
+    odds = lambda w: math.log((b[w] + 1) / (sum(b.values()) + size)) - math.log((a[w] + 1) / (sum(a.values()) + size))
+    prior = math.log((sum(block) + 1) / (len(rows) - sum(block) + 1))
+    want = Counter((i, round(prior + sum(map(odds, x)), 6), "block" if prior + sum(map(odds, x)) > 0 else "allow") for (i, *_), x in zip(rows, split))
+    assert got == want
+
+
+def test_joins_on_common_keys(spark):
+    left = spark.createDataFrame([(i, "a" if i % 3 else f"k{i}") for i in range(90)], "i long, k string")
+    right = spark.createDataFrame([("a", 1), *((f"k{i}", i) for i in range(0, 90, 6))], "k string, v long")
+    got = sorted(map(tuple, join_hot(left, right, "k", least=10, share=0.1).select("i", "k", "v").collect()))
+    assert got == sorted(map(tuple, left.join(right, "k").select("i", "k", "v").collect())) and len(got) == 75
+
+
 def test_viterbi():
     counts = {"the": 100, "thing": 50, "casino": 50, "win": 50, "in": 20}
     assert url_filter.viterbi("casinowin", counts, 270) == ["casino", "win"]
