@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Labels that name no entity.
+from spanloom.functions.labels import canonical, to_old
+
+#: Labels that name no entity.
 NEGATIVE = ["o", "non_lsf", "lsf_out_of_context"]
 
 
@@ -13,10 +17,14 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once for a row, not once for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp((x - top) / temperature))
-    return F.transform(powers, lambda x: x / _sum(powers))
+    powers = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp((x - top) / temperature)))
+    return let(powers, lambda e: let(_sum(e), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def top1(p: Column) -> Column:
@@ -53,15 +61,14 @@ def margin_uncertainty(p: Column) -> Column:
 
 def evidential(logits: Column) -> tuple[Column, Column]:
     """(uncertainty, expected probabilities) of a Dirichlet with softplus evidence."""
-    alpha = F.transform(logits, lambda x: F.log1p(F.exp(x)) + 1)
-    total = _sum(alpha)
-    return F.size(logits) / total, F.transform(alpha, lambda a: a / total)
+    alpha = F.transform(logits, lambda x: F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x))) + 1)
+    return F.size(logits) / _sum(alpha), let(alpha, lambda e: let(_sum(e), lambda total: F.transform(e, lambda a: a / total)))
 
 
 def unit(vector: Column) -> Column:
     """The vector at length 1; a zero vector is divided by 1e-10."""
     norm = F.sqrt(_sum(F.transform(vector, lambda x: x.cast("double") * x.cast("double"))))
-    return F.transform(vector, lambda x: x.cast("double") / F.when(norm == 0, F.lit(1e-10)).otherwise(norm))
+    return let(F.when(norm == 0, F.lit(1e-10)).otherwise(norm), lambda n: F.transform(vector, lambda x: x.cast("double") / n))
 
 
 def logistic(score: Column, mean: Column, deviation: Column) -> Column:
@@ -105,12 +112,36 @@ def vetoed(answer: Column, local: Column, margin: Column, p_o: Column, margin_mi
     return F.when(veto & (p_o < p_o_max) if p_o_max is not None else veto, local).otherwise(answer)
 
 
+#: Uncertainty from which a proposal of a class is escalated.
+CATEGORY_THRESHOLDS = [
+    ("Nutrition", 0.25),
+    ("Physical_activity", 0.25),
+    ("Physical_activities", 0.25),
+    ("Sleep", 0.35),
+    ("Socioeconomic_factors", 0.35),
+    ("Environmental_exposures", 0.35),
+    ("Drugs", 0.25),
+    ("Substance_use", 0.25),
+    ("Non_physical_leisure_time_activities", 0.35),
+    ("Mental_health_practices", 0.40),
+    ("Beauty_and_Cleaning", 0.40),
+    ("Personal_care_products_and_cosmetic_procedures", 0.40),
+]
+
+
+def category_threshold(label: Column, default: Column | float, thresholds: list[tuple[str, float]] = CATEGORY_THRESHOLDS) -> Column:
+    """The threshold of a label, else of its legacy name, else the default; a threshold of 0 counts as none."""
+    table = F.create_map(*(F.lit(x) for name, value in thresholds if value for x in (name, value)))
+    return F.coalesce(table[label], table[to_old(label)], default if isinstance(default, Column) else F.lit(default))
+
+
 def positive(label: Column) -> Column:
     return ~F.lower(label).isin(NEGATIVE)
 
 
 def outcome(gold: Column, local: Column, final: Column, escalated: Column) -> Column:
-    """One of twelve outcomes of a candidate."""
+    """One of eleven outcomes of a candidate, over canonical labels."""
+    gold, local, final = canonical(gold), canonical(local), canonical(final)
     s, g, f = positive(local), positive(gold), positive(final)
     return (
         F.when(~escalated & s & (local == gold), "UNESCALATED_CORRECT")
@@ -164,13 +195,12 @@ def pair_outcome(first_right: Column, second_right: Column) -> Column:
 
 
 def token_error(gold: Column, predicted: Column) -> Column:
-    """TN, FP, FN, TP, CLSS_ERR or BIO_ERR of two tags."""
-    kind = lambda t: F.regexp_extract(t, "^[BI]-(.*)$", 1)
+    """TN, FP, FN, TP, CLSS_ERR (another class) or BIO_ERR (another prefix) of two tags."""
     return (
         F.when((gold == "O") & (predicted == "O"), "TN")
         .when(gold == "O", "FP")
         .when(predicted == "O", "FN")
         .when(gold == predicted, "TP")
-        .when(kind(gold) != kind(predicted), "CLSS_ERR")
+        .when(F.left(gold, F.lit(1)) == F.left(predicted, F.lit(1)), "CLSS_ERR")
         .otherwise("BIO_ERR")
     )

@@ -5,12 +5,15 @@ Frames: gold (doc_id, gold_id, start, end, label, text), predictions the same wi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.labels import normal_text
+from spanloom.functions.labels import active, normal_text
+from spanloom.functions.metrics import ratio
+from spanloom.functions.scores import token_error
 
 from .ranges import overlapping
+from .text import chunks
 
 
 def _sides(gold: DataFrame, predicted: DataFrame, reach: int = 0) -> DataFrame:
@@ -50,13 +53,14 @@ def one_to_one(gold: DataFrame, predicted: DataFrame, mode: str = "strict") -> D
 
     strict: equal offsets, or equal text and start. nested: start may slip by
     one for equal text. partial: overlap, or containment within five characters.
+    exact and overlap look at offsets only.
     The joined pairs are folded per document and label, carrying the golds already taken.
     """
     same = normal_text(F.col("p_text")) == normal_text(F.col("g_text"))
     exact = F.expr("p_start = g_start and p_end = g_end")
     slip = F.abs(F.expr("p_start - g_start"))
-    rule = {"strict": exact | (same & (slip == 0)), "nested": exact | (same & (slip <= 1)), "partial": overlap() | (contains() & (slip <= 5))}[mode]
-    reach = {"strict": 0, "nested": 1, "partial": 5}[mode]
+    rule = {"strict": exact | (same & (slip == 0)), "nested": exact | (same & (slip <= 1)), "partial": overlap() | (contains() & (slip <= 5)), "exact": exact, "overlap": overlap()}[mode]
+    reach = {"nested": 1, "partial": 5}.get(mode, 0)
     pairs = _sides(gold, predicted, reach).filter(F.expr("p_label = g_label") & rule)
     ordered = pairs.groupBy("doc_id", "p_label").agg(F.array_sort(F.collect_list(F.struct("p_start", "pred_id", "g_start", "gold_id"))).alias("pairs"))
     empty = F.struct(F.array().cast("array<bigint>").alias("p"), F.array().cast("array<bigint>").alias("g"))
@@ -68,14 +72,109 @@ def one_to_one(gold: DataFrame, predicted: DataFrame, mode: str = "strict") -> D
 
 
 def mention_coverage(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(doc_id, n_gold, n_pred, tp, covered): predictions with a cover of their label, golds covered; no lock-out."""
-    pairs = _sides(gold, predicted).filter(F.expr("p_label = g_label") & overlap())
+    """(doc_id, n_gold, n_pred, tp, covered): predictions that a gold of their label covers, and golds covered; no lock-out.
+
+    Covered: overlap, or containment within five characters; a prediction's first gold counts.
+    """
+    near = overlap() | (contains() & (F.abs(F.expr("p_start - g_start")) <= 5))
+    pairs = _sides(gold, predicted, 5).filter(F.expr("p_label = g_label") & near)
     first = pairs.groupBy("doc_id", "pred_id").agg(F.min_by("gold_id", F.struct("g_start", "gold_id")).alias("gold_id"))
     found = first.groupBy("doc_id").agg(F.count("*").alias("tp"), F.countDistinct("gold_id").alias("covered"))
     counts = gold.groupBy("doc_id").agg(F.count("*").alias("n_gold")).join(predicted.groupBy("doc_id").agg(F.count("*").alias("n_pred")), "doc_id", "full_outer")
     return counts.join(found, "doc_id", "left").select("doc_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_gold", "n_pred", "tp", "covered")))
 
 
+def coverage_scores(covered: DataFrame) -> DataFrame:
+    """Adds precision, recall and f1 to counts of mention_coverage; without either side a score is 1, without one side 0."""
+    both_empty = lambda other: F.when(F.col(other) == 0, 1.0).otherwise(0.0)
+    p = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(both_empty("n_gold"))
+    r = F.when(F.col("n_gold") > 0, F.col("covered") / F.col("n_gold")).otherwise(both_empty("n_pred"))
+    rows = covered.withColumn("precision", p).withColumn("recall", r)
+    return rows.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
+
+
+def formulations(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(formulation, tp, fp, fn, n_pred, n_gold, covered, precision, recall, f1) of a corpus: strict, nested, partial and mention."""
+    sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn", "n_pred", "n_gold", "covered")]
+    rows = None
+    for mode in ("strict", "nested", "partial"):
+        now = one_to_one(gold, predicted, mode).withColumn("covered", F.col("tp")).agg(*sums).withColumn("formulation", F.lit(mode))
+        rows = now if rows is None else rows.unionByName(now)
+    mention = mention_coverage(gold, predicted).withColumn("fp", F.col("n_pred") - F.col("tp")).withColumn("fn", F.col("n_gold") - F.col("covered"))
+    rows = rows.unionByName(mention.agg(*sums).withColumn("formulation", F.lit("mention")))
+    rows = rows.withColumn("p", ratio(F.col("tp"), F.col("n_pred"))).withColumn("r", ratio(F.col("covered"), F.col("n_gold")))
+    f1 = ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r"))
+    return rows.select("formulation", "tp", "fp", "fn", "n_pred", "n_gold", "covered", F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"), F.round(f1, 6).alias("f1"))
+
+
+def document_scores(gold: DataFrame, predicted: DataFrame, documents: DataFrame) -> DataFrame:
+    """Exact and partial precision, recall and F1 of each of ``documents`` (doc_id), rounded to 4.
+
+    Without golds and predictions all scores are 1; without golds recall is 1
+    and without predictions precision, the others 0. Labels that name no entity
+    are left out of the counts, but not of that question.
+    """
+    named = lambda rows: rows.filter(active(F.col("label")))
+    exact, partial = (one_to_one(named(gold), named(predicted), mode).select("doc_id", F.col("tp").alias(mode), *(() if mode == "overlap" else ("n_gold", "n_pred"))) for mode in ("exact", "overlap"))
+    any_of = lambda rows, name: rows.groupBy("doc_id").agg(F.count("*").alias(name))
+    rows = documents.select("doc_id").join(any_of(gold, "golds"), "doc_id", "left").join(any_of(predicted, "preds"), "doc_id", "left").join(exact, "doc_id", "left").join(partial, "doc_id", "left").na.fill(0)
+    no_gold, no_pred = F.col("golds") == 0, F.col("preds") == 0
+
+    def scores(tp: str, prefix: str) -> list[Column]:
+        p, r = F.col(tp) / F.greatest("n_pred", F.lit(1)), F.col(tp) / F.greatest("n_gold", F.lit(1))
+        values = {"precision": F.when(no_pred, 1.0).when(no_gold, 0.0).otherwise(p), "recall": F.when(no_gold, 1.0).when(no_pred, 0.0).otherwise(r), "f1": F.when(no_gold & no_pred, 1.0).when(no_gold | no_pred, 0.0).otherwise(2 * p * r / F.greatest(p + r, F.lit(1e-9)))}
+        return [F.round(v, 4).alias(f"{prefix}_{k}") for k, v in values.items()]
+
+    return rows.select("doc_id", "n_gold", "n_pred", F.col("exact").alias("tp_exact"), *scores("exact", "exact"), *scores("overlap", "partial"))
+
+
+def coverage_checks(gold_files: DataFrame, test_files: DataFrame) -> DataFrame:
+    """(doc_id, state): documents that only the gold or only the test side has: no_test or extra_test."""
+    gold, test = gold_files.select("doc_id").distinct(), test_files.select("doc_id").distinct()
+    return gold.join(test, "doc_id", "left_anti").withColumn("state", F.lit("no_test")).unionByName(test.join(gold, "doc_id", "left_anti").withColumn("state", F.lit("extra_test")))
+
+
+def merged(confident: DataFrame, arbitrated: DataFrame) -> DataFrame:
+    """Confident and arbitrated spans in one shape, with ``place``: their order in the document by start, the longest first.
+
+    Absent columns count as null. final_label is the given one, else the
+    arbitrated, else the proposed label; scores that are absent are 0.
+    """
+    rows = confident.withColumn("escalated", F.lit(False)).unionByName(arbitrated.withColumn("escalated", F.lit(True)), allowMissingColumns=True)
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("final_label", "arbitrated_label", "proposed_label", "answer") if c not in rows.columns} | {c: F.lit(None).cast("double") for c in ("uncertainty", "unreliability", "novelty") if c not in rows.columns})
+    proposed = F.coalesce("proposed_label", F.lit("O"))
+    final = F.coalesce("final_label", F.when(F.col("escalated"), F.col("arbitrated_label")), proposed)
+    answer = F.coalesce("answer", "arbitrated_label", F.when(F.col("escalated"), final).otherwise("O"))
+    rows = rows.select("doc_id", "start", "end", "text", proposed.alias("proposed_label"), answer.alias("answer"), final.alias("final_label"), "escalated", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("uncertainty", "unreliability", "novelty")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("start", F.desc(F.col("end") - F.col("start")), "escalated", "final_label")))
+
+
+def document_ids(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """The ids that either side has."""
+    return gold.select("doc_id").union(predicted.select("doc_id")).distinct()
+
+
+def discrepancies(zipped: DataFrame) -> DataFrame:
+    """(doc_id, error, n, lines): tokens of zip_tags by their error, with line numbers from 1, in order."""
+    line = F.struct((F.col("pos") + 1).alias("line"), "token", "gold_tag", "pred_tag")
+    return zipped.withColumn("error", token_error(F.col("gold_tag"), F.col("pred_tag"))).groupBy("doc_id", "error").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(line)).alias("lines"))
+
+
+def chunk_scores(zipped: DataFrame, mode: str = "exact") -> DataFrame:
+    """(label, n_gold, n_pred, tp_gold, tp_pred, precision, recall, f1) of chunks of tags, by class and over all (null).
+
+    exact: equal first and last token and class; an I after O or another class
+    opens a chunk. overlap: a shared token and equal class; such an I opens none.
+    """
+    side = lambda c: chunks(zipped.select("doc_id", "pos", F.col(c).alias("tag")), orphans=mode == "exact")
+    gold, predicted = side("gold_tag").withColumn("gold_id", F.col("first")), side("pred_tag").withColumn("pred_id", F.col("first"))
+    as_spans = lambda rows: rows.select("*", F.col("first").alias("start"), (F.col("last") + 1).alias("end"), F.lit("").alias("text"))
+    found = agreement(as_spans(gold), as_spans(predicted), mode, by=["label"])
+    sums = found.rollup("label").agg(*(F.sum(c).alias(c) for c in ("n_gold", "n_test", "tp_gold", "tp_test")))
+    sums = sums.withColumn("p", ratio(F.col("tp_test"), F.col("n_test"))).withColumn("r", ratio(F.col("tp_gold"), F.col("n_gold")))
+    return sums.select("label", "n_gold", F.col("n_test").alias("n_pred"), "tp_gold", F.col("tp_test").alias("tp_pred"), F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"), F.round(ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), 6).alias("f1"))
+
+
 def agreement(gold: DataFrame, test: DataFrame, mode: str = "exact", ignore_type: bool = False, by: list[str] | None = None) -> DataFrame:
     """True positives of either side, and what is unmatched, by document and further keys.
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.labels import normal_text
 
+from .ranges import overlapping
+
 ANSWER = "struct<labeled_entities:array<struct<entity:string,final_label:string,rationale:string>>,new_discovered_entities:array<struct<entity:string,final_label:string,rationale:string>>>"
 ITEMS = "array<struct<entity:string,final_label:string,rationale:string>>"
 
@@ -85,9 +87,10 @@ def numbered_lines(answers: DataFrame, labels: list[str]) -> DataFrame:
 
 def located(discoveries: DataFrame, docs: DataFrame, taken: DataFrame) -> DataFrame:
     """(doc_id, entity, start, end): the first occurrence of each new entity, without case, that is no span already."""
-    rows = discoveries.select("doc_id", "entity").distinct().join(docs, "doc_id").filter("entity <> ''")
-    low, text = F.lower("entity"), F.lower("text")
-    pieces = F.split(text, F.concat(F.lit("\\Q"), low, F.lit("\\E")))
+    rows = discoveries.select("doc_id", "entity").distinct().join(docs.select("doc_id", "text"), "doc_id").filter("entity <> ''")
+    # Case is folded character by character, so that offsets stay those of the text.
+    plain = lambda c: F.regexp_replace(c, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
+    pieces = F.split("text", F.concat(F.lit("(?iu)"), plain(F.col("entity"))))
     size = F.length("entity")
     starts = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, x: a + F.length(x)) + (i - 1) * size)
     rows = rows.filter(F.size(pieces) > 1).select("doc_id", "entity", F.explode(starts).alias("start")).withColumn("end", F.col("start") + size)
@@ -101,3 +104,117 @@ def error_table(reflections: DataFrame) -> DataFrame:
     cells = F.transform(F.split(F.trim("line"), r"\|"), lambda x: F.trim(x))
     rows = lines.select("doc_id", F.get(cells, F.lit(1)).alias("token"), F.get(cells, F.lit(2)).alias("error_type"))
     return rows.filter(~F.col("token").rlike("^[-: ]*$") & (F.lower("token") != "token"))
+
+
+def _marked(text: Column, marks: Column) -> Column:
+    """The text with each of ``marks`` (start, end, by), sorted from the right, in place of what it covers."""
+    return F.aggregate(marks, text, lambda t, m: F.concat(F.substring(t, F.lit(1), m.start), m.by, F.substring(t, m.end + 1, F.length(t))))
+
+
+def _from_right(marks: Column) -> Column:
+    return F.sort_array(F.collect_list(marks), asc=False)
+
+
+def _mark(kind: str) -> Column:
+    by = F.concat(F.lit("[TARGET: "), F.col("text"), F.lit("]")) if kind == "target" else F.concat(F.lit("[ANCHOR: "), F.col("text"), F.lit(" ("), F.col("label"), F.lit(")]"))
+    return F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), by.alias("by"))
+
+
+def anchored_documents(docs: DataFrame, targets: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(doc_id, text): documents with [TARGET: ...] for uncertain and [ANCHOR: ... (label)] for sure spans, which may not overlap."""
+    marks = targets.select("doc_id", _mark("target").alias("m")).unionByName(anchors.select("doc_id", _mark("anchor").alias("m"))).groupBy("doc_id").agg(_from_right(F.col("m")).alias("marks"))
+    none = F.array().cast("array<struct<start:int,end:int,by:string>>")
+    return docs.join(marks, "doc_id", "left").select("doc_id", _marked(F.col("text"), F.coalesce("marks", none)).alias("text"))
+
+
+def anchored_sentences(docs: DataFrame, targets: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(doc_id, span_id, sentence): each target's sentence with the target and the anchors inside it marked.
+
+    A sentence lies between breaks: white space after a full stop, exclamation or
+    question mark. Targets are (doc_id, span_id, start, end, text), anchors
+    (doc_id, start, end, text, label); an anchor with the target's offsets is the
+    target. Sentences are found once for a document and meet spans by range join.
+    """
+    parts = F.split(F.regexp_replace("text", r"(?<=[.!?])(\s+)", "\u0001$1\u0002"), "\u0002")
+    size = lambda x: F.length(x) - F.when(x.contains("\u0001"), 1).otherwise(0)
+    begins = F.aggregate(parts, F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("n")), lambda a, x: F.struct(F.array_append(a.at, a.n).alias("at"), (a.n + size(x)).alias("n"))).at
+    rows = docs.select("doc_id", F.explode(F.arrays_zip(parts.alias("part"), begins.alias("at"))).alias("x")).select("doc_id", F.col("x.at").alias("s_start"), F.substring_index("x.part", "\u0001", 1).alias("sentence")).withColumn("s_end", F.col("s_start") + F.length("sentence"))
+    inside = overlapping(rows, targets.select("doc_id", "span_id", F.col("start").alias("t_start"), F.col("end").alias("t_end"), F.col("text").alias("t_text")), ("s_start", "s_end"), ("t_start", "t_end"))
+    whole = inside.groupBy("doc_id", "span_id", "t_start", "t_end", "t_text").agg(F.min("s_start").alias("from"), F.max("s_end").alias("to"))
+    named = anchors.select("doc_id", F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.concat(F.lit("[ANCHOR: "), F.col("text"), F.lit(" ("), F.col("label"), F.lit(")]")).alias("by"))
+    within = overlapping(whole, named, ("from", "to"), ("a_start", "a_end")).filter("a_start >= `from` and a_end <= `to` and not (a_start = t_start and a_end = t_end)")
+    mark = lambda s, e, by: F.struct((F.col(s) - F.col("from")).cast("int").alias("start"), (F.col(e) - F.col("from")).cast("int").alias("end"), by.alias("by"))
+    target = whole.select("doc_id", "span_id", "from", "to", mark("t_start", "t_end", F.concat(F.lit("[TARGET: "), F.col("t_text"), F.lit("]"))).alias("m"))
+    marks = target.unionByName(within.select("doc_id", "span_id", "from", "to", mark("a_start", "a_end", F.col("by")).alias("m"))).groupBy("doc_id", "span_id", "from", "to").agg(_from_right(F.col("m")).alias("marks"))
+    cut = F.substring(F.col("text"), F.col("from") + 1, F.col("to") - F.col("from"))
+    return marks.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "span_id", F.trim(_marked(cut, F.col("marks"))).alias("sentence"))
+
+
+def mention_list(spans: DataFrame, suggestions: bool = True) -> DataFrame:
+    """(doc_id, mentions): numbered mentions of a document in order, with the local model's suggestion."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end"))
+    line = F.format_string('%d. "%s"', "place", "text")
+    line = F.concat(line, F.lit(" (Local suggestion: "), "label", F.lit(")")) if suggestions else line
+    rows = spans.withColumn("place", place).withColumn("line", line)
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x.line), "\n").alias("mentions"))
+
+
+def definitions_block(definitions: DataFrame) -> DataFrame:
+    """One row: (definitions), the category list of a prompt. definitions: (place, label, definition, includes, excludes), a row for each class."""
+    line = F.concat(F.lit("- **"), "label", F.lit("**:\n  - *Definition*: "), "definition", F.lit("\n  - *Includes*: "), "includes", F.lit("\n  - *Excludes*: "), "excludes")
+    return definitions.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x.line), "\n\n").alias("definitions"))
+
+
+def mention_prompts(docs: DataFrame, mentions: DataFrame, definitions: DataFrame, examples: str, template: str) -> DataFrame:
+    """(doc_id, prompt): {text}, {mentions}, {definitions} and {examples} filled in; the definitions are one row."""
+    rows = docs.join(mentions, "doc_id").join(F.broadcast(definitions), F.lit(True))
+    filled = F.lit(template)
+    for name, value in (("examples", F.lit(examples)), ("definitions", F.col("definitions")), ("mentions", F.col("mentions")), ("text", F.col("text"))):
+        filled = F.replace(filled, F.lit("{" + name + "}"), value)
+    return rows.select("doc_id", filled.alias("prompt"))
+
+
+def evidence_line(entity: Column, **parts: Column) -> Column:
+    """``- Entity: '...' | Name: value | ...``, without the parts that are null or empty; names are given with underscores."""
+    told = [F.when(v.cast("string") != "", F.concat(F.lit(f"{k.replace('_', ' ')}: "), v.cast("string"))) for k, v in parts.items()]
+    return F.concat_ws(" | ", F.concat(F.lit("- Entity: '"), entity, F.lit("'")), *told)
+
+
+HINTS = "array<struct<target_entity:string,entity:string,resolution_hint:string,hint:string,competing_categories:array<string>>>"
+
+
+def parsed_hints(answers: DataFrame) -> DataFrame:
+    """(doc_id, place, entity, hint, competing) of raw answers (doc_id, raw): an object with hints or new_hints, or a bare list."""
+    body = unfenced(F.col("raw"))
+    whole = F.from_json(body, f"struct<hints:{HINTS},new_hints:{HINTS}>")
+    items = F.coalesce(F.when(body.startswith("["), F.from_json(body, HINTS)), whole.hints, whole.new_hints)
+    rows = answers.select("doc_id", F.posexplode(items).alias("place", "x"))
+    return rows.select("doc_id", "place", F.coalesce("x.target_entity", "x.entity", F.lit("")).alias("entity"), F.coalesce("x.resolution_hint", "x.hint", F.lit("")).alias("hint"), F.coalesce("x.competing_categories", F.array().cast("array<string>")).alias("competing"))
+
+
+def hint_block(hints: DataFrame) -> DataFrame:
+    """(doc_id, block): a numbered line for each hint, with its competing classes."""
+    competing = F.when(F.size("competing") > 0, F.concat(F.lit(" [Competing: "), F.array_join("competing", ", "), F.lit("]"))).otherwise("")
+    line = F.concat(F.format_string("- Hint %d for '%s'", F.col("place") + 1, "entity"), competing, F.lit(": "), "hint")
+    return hints.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x.line), "\n").alias("block"))
+
+
+def candidate_block(candidates: DataFrame) -> DataFrame:
+    """(doc_id, block): a document's candidates as a JSON list in order, scores rounded to 4."""
+    item = F.struct("start", "end", F.struct(F.col("text").alias("entity"), F.col("label").alias("predicted_label"), F.col("second").alias("second_best_label"), *(F.round(c, 4).alias(c) for c in ("uncertainty", "novelty_score", "margin"))).alias("item"))
+    return candidates.groupBy("doc_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.item)).alias("block"))
+
+
+def cited_ids(raw: Column) -> Column:
+    """Rule ids of an answer: the JSON list inside a fence, else every id (NUT-0007) in the text, each once, in order."""
+    body = unfenced(raw)
+    return F.coalesce(F.from_json(body, "array<string>"), F.array_distinct(F.regexp_extract_all(body, F.lit("([A-Z]{2,}-[0-9]+)"), 1)))
+
+
+def containing_sentence(errors: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(doc_id, token, error_type, sentence): the first sentence that holds the token as a word, else within one, else null."""
+    rows = errors.join(sentences.select("doc_id", "sent_id", F.col("text").alias("sentence")), "doc_id")
+    low, token = F.lower("sentence"), F.lower("token")
+    rank = F.when(F.array_contains(F.split(low, r"[^\p{L}\p{N}_]+"), token), 0).when(low.contains(token), 1)
+    best = rows.withColumn("rank", rank).filter("rank is not null").groupBy("doc_id", "token", "error_type").agg(F.min_by("sentence", F.struct("rank", "sent_id")).alias("sentence"))
+    return errors.select("doc_id", "token", "error_type").distinct().join(best, ["doc_id", "token", "error_type"], "left")

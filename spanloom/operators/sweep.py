@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from spanloom.functions import scores as S
 from spanloom.functions.metrics import prf
 
-FIELDS = ["run_id", "sweep", "mode", "w_n", "w_u", "method", "metric", "tau", "tau_novelty", "margin_min", "arbitrate", "veto"]
-BASE = {"mode": "weighted", "w_n": 0.5, "w_u": 0.5, "method": "mcd", "metric": "knn", "tau": 0.38, "tau_novelty": 0.55, "margin_min": 0.5, "arbitrate": True, "veto": True}
+FIELDS = ["run_id", "sweep", "mode", "w_n", "w_u", "method", "metric", "tau", "tau_novelty", "margin_min", "arbitrate", "exemplars", "anchoring", "top2", "veto"]
+#: The settings from which the sweeps start.
+BASE = {"mode": "weighted", "w_n": 0.5, "w_u": 0.5, "method": "mcd", "metric": "knn", "tau": 0.38, "tau_novelty": 0.55, "margin_min": 0.5, "arbitrate": True, "exemplars": True, "anchoring": True, "top2": True, "veto": True}
+#: Components of arbitration, and the combinations of them that an ablation switches on, after a run without any escalation.
+COMPONENTS = ("exemplars", "anchoring", "top2", "veto")
+COMBINATIONS = ["", "anchoring", "exemplars", "top2", "veto", "anchoring top2", "anchoring veto", "top2 veto", "exemplars anchoring", "anchoring top2 veto", "exemplars top2 veto", "exemplars anchoring veto", "exemplars anchoring top2", "exemplars anchoring top2 veto"]
 
 
 def _runs(name: str, settings: list[dict]) -> list[dict]:
     return [{"run_id": f"{name}-{i:02d}", "sweep": name} | BASE | s for i, s in enumerate(settings)]
 
 
+#: Fixed values of the sweeps: steps of the weights, modes, methods, metrics and thresholds.
 def weight_sweep() -> list[dict]:
     return _runs("weights", [{"w_n": round(i / 10, 1), "w_u": round(1 - i / 10, 1)} for i in range(11)])
 
@@ -36,13 +41,10 @@ def threshold_sweep() -> list[dict]:
     return _runs("thresholds", [{"tau": round(0.20 + 0.05 * i, 2)} for i in range(9)])
 
 
-def ablations() -> list[dict]:
-    """Every way to switch off some of: novelty, uncertainty, arbitration, veto (15 with at least one left on)."""
-    out = []
-    for bits in range(1, 16):
-        novelty, uncertainty, arbitrate, veto = (bool(bits >> j & 1) for j in range(4))
-        out.append({"w_n": 0.5 * novelty, "w_u": 0.5 * uncertainty, "arbitrate": arbitrate, "veto": veto})
-    return _runs("ablation", out)
+def ablations(settings: dict | None = None) -> list[dict]:
+    """Fifteen runs: proposals alone (no candidate reaches the threshold), then each of COMBINATIONS."""
+    runs = [{"tau": 1.0}] + [{c: c in names.split() for c in COMPONENTS} for names in COMBINATIONS]
+    return _runs("ablation", [(settings or {}) | x for x in runs])
 
 
 def with_configs(candidates: DataFrame, configs: list[dict]) -> DataFrame:
@@ -59,15 +61,23 @@ def decided(rows: DataFrame) -> DataFrame:
     """Adds the chosen scores, escalated and final to candidates with configurations.
 
     Candidates need u_mcd, u_pe, u_margin, u_lc, nov_knn, nov_lof, nov_centroid,
-    gold, local, answer, margin and p_o.
+    gold, local, second, margin, p_o, and the answer of each form of the prompt:
+    a map ``answers`` from two digits (exemplars, anchoring), or one ``answer`` for
+    all. With ``top2`` a challenge between the two best classes may be answered by
+    them or O only; another answer leaves the proposal.
     """
+    form = F.concat(F.col("exemplars").cast("int").cast("string"), F.col("anchoring").cast("int").cast("string"))
+    told = F.coalesce(F.col("answers")[form], F.col("answer")) if "answers" in rows.columns else F.col("answer")
+    competing = (F.col("p1") + F.col("p2") >= 0.70) & (F.col("margin") < 0.18)
+    barred = F.col("top2") & competing & (told != "O") & (told != F.col("local")) & (told != F.col("second"))
+    rows = rows.withColumn("told", F.when(barred, F.col("local")).otherwise(told))
     u = _chosen("method", "u", ("mcd", "pe", "margin", "lc"))
     n = _chosen("metric", "nov", ("knn", "lof", "centroid"))
     rows = rows.withColumn("u", u).withColumn("n", n)
     rows = rows.withColumn("fused", S.unreliability(F.col("mode"), F.col("u"), F.col("n"), F.col("w_n"), F.col("w_u")))
     escalated = S.escalates(F.col("mode"), F.col("u"), F.col("n"), F.col("fused"), F.col("tau"), F.col("tau"), F.col("tau_novelty"))
     rows = rows.withColumn("escalated", escalated)
-    kept = F.when(F.col("veto"), S.vetoed(F.col("answer"), F.col("local"), F.col("margin"), F.col("p_o"), F.col("margin_min"))).otherwise(F.col("answer"))
+    kept = F.when(F.col("veto"), S.vetoed(F.col("told"), F.col("local"), F.col("margin"), F.col("p_o"), F.col("margin_min"))).otherwise(F.col("told"))
     return rows.withColumn("final", F.when(F.col("escalated") & F.col("arbitrate"), kept).otherwise(F.col("local")))
 
 
@@ -106,7 +116,7 @@ def non_dominated(metrics: DataFrame) -> DataFrame:
 def chained(candidates: DataFrame, by: str = "macro_f1") -> list[dict]:
     """Sweeps in turn, each starting from the best settings so far; one small job for each."""
     settings, log = {}, []
-    for make in (weight_sweep, operator_sweep, uncertainty_sweep, novelty_sweep, threshold_sweep):
+    for make in (weight_sweep, operator_sweep, uncertainty_sweep, novelty_sweep, threshold_sweep, ablations):
         varied = [c for c in make()]
         keys = [k for k in BASE if len({c[k] for c in varied}) > 1]
         configs = [c | {k: v for k, v in settings.items() if k not in keys} for c in varied]

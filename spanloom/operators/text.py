@@ -2,28 +2,66 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranges import overlapping
 
+#: Tokens of an Arrow batch at most, but for a longer document.
+TOKENS_AT_ONCE = 100_000
+
+
+#: Runs of ASCII letters and digits, line ends, and every other character but white space alone.
+_PIECE = re.compile("[0-9a-zA-Z]+|\n|[^0-9a-zA-Z \t\n\x0b\f\r]")
+_SPACE = " \t\n\x0b\f\r"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of a batch of documents, in runs of at most TOKENS_AT_ONCE or one document."""
+    for batch in batches:
+        rows, starts, ends, found, pos, sent = [], [], [], [], [], []
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            n, at = 0, 0
+            for m in _PIECE.finditer(text or ""):
+                piece = m[0]
+                if piece == "\n":
+                    at += 1
+                    continue
+                s, e = m.span()
+                rows.append(i)
+                starts.append(s)
+                ends.append(e)
+                found.append(piece)
+                pos.append(n)
+                sent.append(at)
+                n += 1
+                if piece in ".!?" and text[e : e + 1] in _SPACE:
+                    at += 1
+            if len(rows) > TOKENS_AT_ONCE:
+                yield _tokens_of(batch, rows, pos, starts, ends, found, sent)
+                rows, starts, ends, found, pos, sent = [], [], [], [], [], []
+        if rows:
+            yield _tokens_of(batch, rows, pos, starts, ends, found, sent)
+
+
+def _tokens_of(batch: pa.RecordBatch, rows: list[int], *columns: list) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), *map(pa.array, columns, kinds)], names=["doc_id", "pos", "start", "end", "token", "sent_id"])
+
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, pos, start, end, token, sent_id): runs of ASCII letters and digits, and every other character alone.
 
     White space moves the offset and makes no token. A sentence ends after a run
-    of terminators before white space, and at a line end.
+    of terminators before white space, and at a line end. Each document is cut in
+    its own row, without a shuffle; null and empty texts have no tokens.
     """
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(r"(?s)([0-9a-zA-Z]+|[^0-9a-zA-Z])"), 1)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    rows = rows.select("doc_id", F.posexplode(pieces).alias("piece", "token"))
-    w = Window.partitionBy("doc_id").orderBy("piece")
-    rows = rows.withColumn("end", F.sum(F.length("token")).over(w).cast("int")).withColumn("start", F.col("end") - F.length("token"))
-    space = F.col("token").rlike(r"^\s$")
-    ends = (F.col("token").isin(".", "!", "?") & F.lead(space, 1, True).over(w)) | (F.col("token") == "\n")
-    rows = rows.withColumn("space", space).withColumn("ends", ends)
-    rows = rows.withColumn("sent_id", F.coalesce(F.sum(F.col("ends").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    return rows.filter(~F.col("space")).withColumn("pos", F.row_number().over(w) - 1).select("doc_id", "pos", "start", "end", "token", "sent_id")
+    return rows.mapInArrow(_cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, pos int, start int, end int, token string, sent_id int")
 
 
 def with_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,6 +107,39 @@ def tags_to_spans(tagged: DataFrame, max_gap: int | None = None) -> DataFrame:
     return rows.groupBy("doc_id", F.col("island").alias("span_id")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("kind").alias("label"))
 
 
+def chunks(tagged: DataFrame, orphans: bool = True) -> DataFrame:
+    """(doc_id, first, last, label): runs of tags by position. tagged: (doc_id, pos, tag).
+
+    With ``orphans`` an I after O or another class opens a chunk. Without, it
+    opens none and ends none: the chunk before goes on at an I of its class, up
+    to the next O or B.
+    """
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    kind = F.regexp_extract("tag", "^[BI]-(.*)$", 1)
+    rows = tagged.withColumn("kind", kind)
+    if orphans:
+        starts = (F.col("kind") != "") & (F.col("tag").startswith("B-") | (F.lag("kind", 1, "").over(w) != F.col("kind")))
+        rows = rows.withColumn("starts", starts).withColumn("chunk", F.sum(F.col("starts").cast("int")).over(w)).filter("kind <> ''")
+    else:
+        begins = F.col("tag").startswith("B-")
+        opened = F.last(F.when(begins | (F.col("kind") == ""), F.struct("pos", F.when(begins, F.col("kind")).alias("kind"))), ignorenulls=True).over(w)
+        rows = rows.withColumn("opened", opened).withColumn("chunk", F.col("opened.pos")).filter(F.col("kind") == F.col("opened.kind"))
+    return rows.groupBy("doc_id", "chunk").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.first("kind").alias("label")).drop("chunk")
+
+
+def line_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, sent_id, start, end, text): lines as sentences; blank lines make none, offsets are those of the whole text."""
+    rows = docs.select(docs[id_col].alias("doc_id"), F.split(docs[text_col], "\n").alias("lines"))
+    begins = F.aggregate("lines", F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("n")), lambda a, x: F.struct(F.array_append(a.at, a.n).alias("at"), (a.n + F.length(x) + 1).alias("n"))).at
+    rows = rows.select("doc_id", F.posexplode(F.arrays_zip("lines", begins.alias("at"))).alias("sent_id", "x")).select("doc_id", "sent_id", F.col("x.at").alias("start"), F.col("x.lines").alias("text"))
+    return rows.filter(F.trim("text") != "").select("doc_id", "sent_id", "start", (F.col("start") + F.length("text")).alias("end"), "text")
+
+
+def labelled_spans(candidates: DataFrame, gold: DataFrame) -> DataFrame:
+    """Adds class_id to candidate spans (doc_id, start, end): that of the gold with the same offsets, else 0."""
+    return candidates.join(gold.select("doc_id", "start", "end", "class_id"), ["doc_id", "start", "end"], "left").withColumn("class_id", F.coalesce("class_id", F.lit(0)))
+
+
 def candidate_spans(sentences: DataFrame, width: int = 6) -> DataFrame:
     """(doc_id, sent_id, first, last): every span of at most ``width`` tokens. sentences: (doc_id, sent_id, n)."""
     rows = sentences.filter("n > 0").withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(width), F.col("n").cast("int")))))

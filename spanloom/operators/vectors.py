@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.scores import logistic
 
 #: Rows of a shard of references and of a block of queries: what meets in a task.
-SHARD_ROWS, BLOCK_ROWS = 16_384, 4_096
+SHARD_ROWS, BLOCK_ROWS = 8_192, 1_024
 
 
 def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
@@ -37,6 +39,8 @@ def _meet(k: int, exclude_self: bool):
                 use = use[ids != own]
             for name in classes if classes is not None else [None]:
                 mine = use if name is None else use[labels[use] == name]
+                if len(mine) > k:
+                    mine = mine[row[mine] <= np.partition(row[mine], k - 1)[k - 1]]  # all that tie with the kth stay
                 best = mine[np.lexsort((ids[mine], row[mine]))[:k]]
                 out += [(own, int(ids[j]), labels[j], float(row[j])) for j in best]
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else schema.empty_table()
@@ -69,17 +73,24 @@ def knn_distance(queries: DataFrame, refs: DataFrame, k: int = 10, exclude_self:
     return nearest(queries, refs, k, exclude_self).groupBy(F.col("query_id").alias("id")).agg(F.avg("distance").alias("knn"))
 
 
-def local_outlier_factor(queries: DataFrame, refs: DataFrame, k: int = 10) -> DataFrame:
-    """(id, lof) of queries against references; the references' own densities leave each point out."""
+def local_outlier_factor(queries: DataFrame, refs: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:
+    """(id, lof) of queries against references; the references' own densities leave each point out.
+
+    Where the queries are the references and leave themselves out, one search
+    serves both. Every reference meets every other: the cost is quadratic in
+    their number, in tasks of bounded size.
+    """
     among = nearest(refs.select("id", "v"), refs, k, exclude_self=True)
     reach = among.groupBy(F.col("query_id").alias("ref_id")).agg(F.max("distance").alias("k_distance"))
 
     def density(pairs: DataFrame) -> DataFrame:
         return pairs.join(reach, "ref_id").groupBy("query_id").agg((1 / (F.avg(F.greatest("distance", "k_distance")) + 1e-10)).alias("lrd"))
 
-    own = density(among).select(F.col("query_id").alias("ref_id"), F.col("lrd").alias("ref_lrd"))
-    pairs = nearest(queries, refs, k)
-    return pairs.join(own, "ref_id").groupBy("query_id").agg(F.avg("ref_lrd").alias("m")).join(density(pairs), "query_id").select(F.col("query_id").alias("id"), (F.col("m") / F.col("lrd")).alias("lof"))
+    lrd = density(among)
+    own = lrd.select(F.col("query_id").alias("ref_id"), F.col("lrd").alias("ref_lrd"))
+    pairs, asked = (among, lrd) if queries is refs and exclude_self else (nearest(queries, refs, k, exclude_self), None)
+    asked = density(pairs) if asked is None else asked
+    return pairs.join(own, "ref_id").groupBy("query_id").agg(F.avg("ref_lrd").alias("m")).join(asked, "query_id").select(F.col("query_id").alias("id"), (F.col("m") / F.col("lrd")).alias("lof"))
 
 
 def calibration(scores: DataFrame, column: str) -> DataFrame:
@@ -88,38 +99,43 @@ def calibration(scores: DataFrame, column: str) -> DataFrame:
 
 
 def novelty(queries: DataFrame, refs: DataFrame, k: int = 10, alpha: float = 0.5, exclude_self: bool = False) -> DataFrame:
-    """(id, knn, lof, raw, novelty): the combined score, calibrated on the references' own scores, rounded to 4 at the edge.
+    """(id, knn, lof, raw, novelty): the combined score, calibrated on the references' own scores.
 
-    ``exclude_self`` False keeps each reference as its own neighbour at distance 0 in the calibration.
+    In the calibration each reference is its own neighbour at distance 0;
+    ``exclude_self`` leaves queries that are references out of their own neighbours.
     """
-    both = lambda rows, own: knn_distance(rows, refs, k, own).join(local_outlier_factor(rows, refs, k), "id").withColumn("raw", alpha * F.col("knn") + (1 - alpha) * F.col("lof"))
-    mean, deviation = calibration(both(refs.select("id", "v"), exclude_self), "raw").first() or (None, None)
-    found = both(queries, False)
+    both = lambda rows, own: knn_distance(rows, refs, k, own).join(local_outlier_factor(rows, refs, k, own), "id").withColumn("raw", alpha * F.col("knn") + (1 - alpha) * F.col("lof"))
+    mean, deviation = calibration(both(refs.select("id", "v"), False), "raw").first() or (None, None)
+    found = both(queries, exclude_self)
     return found.withColumn("novelty", logistic(F.col("raw"), F.lit(mean or 0.0), F.lit(deviation or 0.0)))
 
 
-def centroid_distance(vectors: DataFrame) -> DataFrame:
-    """(doc_id, id, centroid_distance): distance to the document's mean vector over its 95th percentile, at most 1."""
-    parts = vectors.select("doc_id", "id", F.posexplode("v").alias("i", "x"))
-    mean = parts.groupBy("doc_id", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    d = parts.join(mean, ["doc_id", "i"]).groupBy("doc_id", "id").agg(F.sqrt(F.sum((F.col("x") - F.col("m")) ** 2)).alias("d"))
+def centroid_distance(vectors: DataFrame, refs: DataFrame) -> DataFrame:
+    """(doc_id, id, centroid_distance): distance to the references' mean vector over the document's 95th percentile, at most 1.
+
+    The mean is one row, formed by partial sums, and meets the vectors by broadcast.
+    """
+    as_vector = lambda v: array_to_vector(F.transform(v, lambda x: x.cast("double")))
+    mean = refs.agg(vector_to_array(Summarizer.mean(as_vector(F.col("v")))).alias("mean"))
+    square = F.aggregate(F.zip_with("v", "mean", lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda a, x: a + x)
+    d = vectors.join(F.broadcast(mean), F.lit(True)).select("doc_id", "id", F.sqrt(square).alias("d"))
     p95 = d.groupBy("doc_id").agg(F.percentile("d", 0.95).alias("p95"))
-    return d.join(p95, "doc_id").select("doc_id", "id", F.least(F.lit(1.0), F.col("d") / F.greatest(F.col("p95"), F.lit(1e-9))).alias("centroid_distance"))
+    return d.join(p95, "doc_id").select("doc_id", "id", F.least(F.lit(1.0), F.col("d") / (F.col("p95") + 1e-9)).alias("centroid_distance"))
 
 
-def exemplars(queries: DataFrame, refs: DataFrame, k: int = 1) -> DataFrame:
+def exemplars(queries: DataFrame, refs: DataFrame, k: int = 1, exclude_self: bool = False) -> DataFrame:
     """Contrastive exemplars: the nearest references of each class that competes (``wanted``)."""
-    return nearest(queries, refs, k, by_class=True)
+    return nearest(queries, refs, k, exclude_self, by_class=True)
 
 
-def similar(queries: DataFrame, refs: DataFrame, n: int = 3, threshold: float = 0.8) -> DataFrame:
+def similar(queries: DataFrame, refs: DataFrame, n: int = 3, threshold: float = 0.8, exclude_self: bool = False) -> DataFrame:
     """query_id, rank, ref_id, similarity, and whether the best one reaches the threshold."""
-    found = nearest(queries, refs, n).withColumn("similarity", 1 - F.col("distance"))
+    found = nearest(queries, refs, n, exclude_self).withColumn("similarity", 1 - F.col("distance"))
     best = F.max("similarity").over(Window.partitionBy("query_id"))
     return found.withColumn("duplicate", best >= threshold)
 
 
-def sampled_key(vector: F.Column, size: int, samples: int = 8) -> F.Column:
-    """Key of a vector: ``samples`` coordinates at even steps, rounded to 4."""
+def sampled_key(vector: F.Column, size: int, samples: int = 8, digits: int = 4) -> F.Column:
+    """Key of a vector: ``samples`` coordinates at even steps, rounded to ``digits``; vectors of one key count as one."""
     step = max(1, size // samples)
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(samples)), lambda i: F.format_number(F.element_at(vector, (i - 1) * step + 1).cast("double"), 4)), "|")
+    return F.array_join(F.transform(F.array(*(F.lit(i * step + 1) for i in range(samples))), lambda i: F.format_string(f"%.{digits}f", F.round(F.element_at(vector, i).cast("double"), digits) + 0.0)), "|")

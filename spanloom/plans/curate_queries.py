@@ -9,6 +9,7 @@ from spanloom.functions import labels as L
 from spanloom.operators import curate as C
 from spanloom.operators import prompts as P
 from spanloom.operators import rules as R
+from spanloom.operators import vectors as V
 
 from .derived import table
 from .text_queries import MENTIONS_SQL, mentions, token_rows
@@ -85,11 +86,11 @@ def w_text_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("norm").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).filter("copies > 1")
 
 
-@query("""WITH k AS (SELECT vec_id, label, list_transform([1, 9, 17, 25, 33, 41, 49, 57], lambda i: round(CAST(embedding[i] AS DOUBLE), 1)) AS key FROM embeddings)
+@query("""WITH k AS (SELECT label, [round(CAST(embedding[i] AS DOUBLE), 1) + 0.0 FOR i IN [1, 9, 17, 25, 33, 41, 49, 57]] AS key FROM embeddings)
 SELECT label, count(*) AS n, count(DISTINCT key) AS keys FROM k GROUP BY label""")
 def w_sampled_vector_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    key = F.transform(F.array(*(F.lit(i) for i in range(1, 65, 8))), lambda i: F.round(F.element_at("embedding", i).cast("double"), 1) + 0.0)
+    key = V.sampled_key(F.col("embedding"), 64, digits=1)
     return rows.select("label", key.alias("key")).groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"))
 
 
@@ -102,24 +103,89 @@ def s_first_directory_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.first_directory_wins([first, second]).select("won", "doc_id", F.length("text").alias("n"))
 
 
-@query(f"""WITH m(old, new) AS (VALUES {', '.join(f"('{o}', '{n}')" for o, n in L.LABELS)}),
-x AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'B-' WHEN 1 THEN 'I-' ELSE '' END AS prefix, CASE WHEN event_id % 10 < 9 THEN (SELECT old FROM (SELECT old, row_number() OVER () - 1 AS i FROM m) q WHERE q.i = event_id % 10) ELSE 'Other' END AS old FROM events)
-SELECT prefix || coalesce(new, x.old) AS label, count(*) AS n FROM x LEFT JOIN m ON m.old = x.old GROUP BY ALL""")
-def p_label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The ontology as the checking SQL has it, written out for itself.
+_ONTOLOGY = """m(i, old, new) AS (VALUES (0, 'Beauty_and_Cleaning', 'Personal_care_products_and_cosmetic_procedures'), (1, 'Drugs', 'Substance_use'), (2, 'Environmental_exposures', 'Environmental_exposures'),
+(3, 'Lifestyle_factor', 'Lifestyle_factor'), (4, 'Mental_health_practices', 'Mental_health_practices'), (5, 'Non_physical_leisure_time_activities', 'Non_physical_leisure_time_activities'),
+(6, 'Nutrition', 'Nutrition'), (7, 'Physical_activity', 'Physical_activities'), (8, 'Sleep', 'Sleep'), (9, 'Socioeconomic_factors', 'Socioeconomic_factors'))"""
+_PREFIX = "CASE event_id % 3 WHEN 0 THEN 'B-' WHEN 1 THEN 'I-' ELSE '' END"
+
+
+def _tags(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """(event_id, label, tag): a label for each event, by its number, and the label with a prefix."""
     i = F.col("event_id")
-    names = F.array(*(F.lit(o) for o, _ in L.LABELS), F.lit("Other"))
-    prefix = F.when(i % 3 == 0, "B-").when(i % 3 == 1, "I-").otherwise("")
-    rows = table(spark, sf_dir, "events").select(F.concat(prefix, F.get(names, (i % 10).cast("int"))).alias("tag"))
+    label = F.get(F.array(*(F.lit(x) for x in names)), (i % len(names)).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", label.alias("label"), F.concat(F.when(i % 3 == 0, "B-").when(i % 3 == 1, "I-").otherwise(""), label).alias("tag"))
+
+
+@query(f"WITH {_ONTOLOGY}, x AS (SELECT {_PREFIX} AS prefix, event_id % 11 AS i FROM events) SELECT prefix || coalesce(new, 'Other') AS label, count(*) AS n FROM x LEFT JOIN m USING (i) GROUP BY ALL")
+def p_label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tags(spark, sf_dir, [*(old for old, _ in L.LABELS), "Other"])
     return rows.groupBy(L.map_label(F.col("tag"), "new").alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT CASE WHEN event_type IS NULL THEN 'O' WHEN event_id % 4 = 0 THEN 'Sleep' WHEN event_id % 4 = 1 THEN 'Substance_use' WHEN event_id % 4 = 2 THEN 'Nutrition' ELSE 'O' END AS label, count(*) AS n FROM events GROUP BY ALL""")
+@query(f"WITH {_ONTOLOGY}, x AS (SELECT {_PREFIX} AS prefix, event_id % 11 AS i FROM events) SELECT prefix || coalesce(old, 'Other') AS label, count(*) AS n FROM x LEFT JOIN m USING (i) GROUP BY ALL")
+def p_label_map_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tags(spark, sf_dir, [*(new for _, new in L.LABELS), "Other"]).withColumn("answer", F.lit("❌ none"))
+    mapped = L.map_columns(rows, ["tag", "answer"], "legacy").filter("answer = '❌ none'")
+    return mapped.groupBy(F.col("tag").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_ONTOLOGY}, x AS (SELECT event_id % 12 AS i, event_id % 4 AS form FROM events),
+y AS (SELECT CASE form WHEN 0 THEN new WHEN 1 THEN new WHEN 2 THEN new ELSE new END AS label, i FROM x JOIN m USING (i) UNION ALL SELECT CASE i WHEN 10 THEN 'O' ELSE 'Other' END, i FROM x WHERE i >= 10)
+SELECT label, i IN (3, 10) AS inactive, count(*) AS n FROM y GROUP BY ALL""")
+def p_canonical_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of either ontology, in other cases and with spaces around them, in one spelling."""
+    rows = _tags(spark, sf_dir, [*(old for old, _ in L.LABELS), "O", "Other"])
+    new = F.create_map(*(F.lit(x) for pair in L.LABELS for x in pair))[F.col("label")]
+    form = F.col("event_id") % 4
+    known = ~F.col("label").isin("O", "Other")
+    said = F.when(known & (form == 0), F.upper("label")).when(known & (form == 1), new).when(known & (form == 2), F.concat(F.lit(" "), F.lower(new), F.lit("  "))).otherwise(F.col("label"))
+    label = L.canonical(said)
+    return rows.groupBy(label.alias("label"), (~L.active(label)).alias("inactive")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH a(i, label) AS (VALUES (0, 'Sleep'), (1, 'Substance_use'), (2, 'Nutrition'), (3, 'O'), (4, 'O'), (5, 'Physical_activities'), (6, 'Personal_care_products_and_cosmetic_procedures'), (7, 'no idea'), (8, 'O'), (9, 'O'), (10, 'Substance_use'))
+SELECT label, count(*) AS n FROM events JOIN a ON event_id % 11 = i GROUP BY ALL""")
 def p_answered_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("event_id") % 4
-    raw = F.when(i == 0, " SLEEP ").when(i == 1, "drugs").when(i == 2, "probably nutrition, I think").otherwise("none")
+    raw = F.get(F.array(*(F.lit(x) for x in (" SLEEP ", "'drugs'", "probably nutrition, I think", "None of the above", "Lifestyle_factor", '"Physical_activity"', "category: beauty_and_cleaning", "no idea", "non-LSF", None, "`Substance_use`"))), (F.col("event_id") % 11).cast("int"))
     return table(spark, sf_dir, "events").groupBy(L.answered_label(raw).alias("label")).agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {_ONTOLOGY}, x AS (SELECT event_id % 10 AS i FROM events)
+SELECT CASE i WHEN 0 THEN 'personal_care' WHEN 1 THEN 'substance_use' WHEN 7 THEN 'physical_activities' ELSE lower(old) END AS category, count(*) AS n FROM x JOIN m USING (i) GROUP BY ALL""")
+def p_category_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both ontologies' names of a category, with spaces, dashes and capitals, have one key."""
+    names = [old if i % 2 else new for i, (old, new) in enumerate(L.LABELS)]
+    rows = _tags(spark, sf_dir, names)
+    said = F.when(F.col("event_id") % 2 == 0, F.upper(F.translate("label", "_", " "))).otherwise(F.translate("label", "_", "-"))
+    return rows.groupBy(L.category_key(said).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_ONTOLOGY}, k AS (SELECT new, row_number() OVER (ORDER BY i) AS id FROM m WHERE i <> 3), x AS (SELECT event_id % 10 AS i, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS p FROM events)
+SELECT m.new AS label, p AS prefix, CAST(any_value(k.id) AS INTEGER) AS id10, CAST(any_value(m.i + 1) AS INTEGER) AS id11, CAST(any_value(2 * m.i + p) AS INTEGER) AS id21, count(*) AS n FROM x JOIN m USING (i) LEFT JOIN k ON k.new = m.new GROUP BY ALL""")
+def p_label_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tags(spark, sf_dir, [new for _, new in L.LABELS])
+    back = F.when(L.label_name(L.label_id(F.col("label"), 11), 11) == F.col("label"), L.label_id(F.col("label"), 11))
+    prefix = F.when(F.col("event_id") % 3 == 0, 1).when(F.col("event_id") % 3 == 1, 2)
+    return rows.groupBy("label", prefix.alias("prefix"), L.label_id(F.col("label"), 10).alias("id10"), back.alias("id11"), L.label_id(F.col("tag"), 21).alias("id21")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CASE event_id % 5 WHEN 0 THEN 'B' WHEN 1 THEN 'I' WHEN 2 THEN 'O' WHEN 3 THEN 'B' ELSE 'odd' END AS prefix, CASE event_id % 5 WHEN 0 THEN 'Sleep' WHEN 1 THEN 'A-B' WHEN 3 THEN '' ELSE '' END AS kind,
+CASE event_id % 5 WHEN 0 THEN 'B-ENT' WHEN 1 THEN 'I-ENT' WHEN 2 THEN 'O' WHEN 3 THEN 'B-ENT' ELSE 'odd' END AS single, CASE event_id % 5 WHEN 0 THEN 1.5 WHEN 1 THEN 0.0 WHEN 2 THEN -2.0 WHEN 3 THEN 0.0 ELSE 1000.0 END AS number, count(*) AS n FROM events GROUP BY ALL""")
+def p_tag_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda values: F.get(F.array(*(F.lit(x) for x in values)), (F.col("event_id") % 5).cast("int"))
+    tag = pick(["B-Sleep", "I-A-B", "O", "B-", "odd"])
+    prefix, kind = L.tag_parts(tag)
+    number = L.tolerant_double(pick([" 1.5", "n/a", "-2", None, "1e3"]))
+    return table(spark, sf_dir, "events").groupBy(prefix.alias("prefix"), kind.alias("kind"), L.single_class(tag).alias("single"), number.alias("number")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT ['Nutrition', 'Sleep', 'Substance_use', NULL, 'Environmental_exposures'][event_id % 5 + 1] AS section, count(*) AS n FROM events GROUP BY ALL""")
+def p_resolved_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.get(F.array(*(F.lit(x) for x in ("NUT-0007", "sleep", " Substance use", "XYZ-1", "env"))), (F.col("event_id") % 5).cast("int"))
+    return table(spark, sf_dir, "events").groupBy(L.resolved_section(said, [(s, a) for s, a, _ in R.SECTIONS]).alias("section")).agg(F.count("*").alias("n"))
+
+
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored rules: the benchmark's texts, dealt to the sections, with vectors of the same number."""
     s = F.array(*(F.lit(x) for x, _, _ in R.SECTIONS))
@@ -140,6 +206,10 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.concat(F.get(abbr, (n % 4).cast("int")), F.lit("-"), F.lpad(F.floor(n / 4).cast("string"), 4, "0")).alias("bullet_id"), tag.alias("tag"))
 
 
+def counted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.counted(rules(spark, sf_dir), tags(spark, sf_dir))
+
+
 _ABBR = "['NUT', 'SLE', 'SUB', 'ENV']"
 _RULES = f"""ru AS (SELECT item_id AS rule_no, {_ABBR}[item_id % 4 + 1] || '-' || lpad(CAST(item_id // 4 AS VARCHAR), 4, '0') AS bullet_id, ['Nutrition', 'Sleep', 'Substance_use', 'Environmental_exposures'][item_id % 4 + 1] AS section, text AS content FROM benchmark),
 tg AS (SELECT {_ABBR}[user_id % 40 % 4 + 1] || '-' || lpad(CAST(user_id % 40 // 4 AS VARCHAR), 4, '0') AS bullet_id, event_id % 3 AS t FROM events),
@@ -149,18 +219,18 @@ cr AS (SELECT ru.*, coalesce(h, 0) AS helpful, coalesce(x, 0) AS harmful, coales
 
 @query(f"WITH {_RULES} SELECT bullet_id, helpful, harmful, used FROM cr")
 def a_rule_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.counted(rules(spark, sf_dir), tags(spark, sf_dir)).select("bullet_id", "helpful", "harmful", F.col("usage_count").alias("used"))
+    return counted_rules(spark, sf_dir).select("bullet_id", "helpful", "harmful", F.col("usage_count").alias("used"))
 
 
 @query(f"WITH {_RULES} SELECT bullet_id, harmful - helpful AS margin FROM cr WHERE harmful - helpful >= 5")
 def b_pruned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.pruned(R.counted(rules(spark, sf_dir), tags(spark, sf_dir)))[1].select("bullet_id", (F.col("harmful") - F.col("helpful")).alias("margin"))
+    return R.pruned(counted_rules(spark, sf_dir))[1].select("bullet_id", (F.col("harmful") - F.col("helpful")).alias("margin"))
 
 
 @query(f"""WITH {_RULES}, g AS (SELECT CASE WHEN section IN ('Nutrition', 'Sleep') THEN 'behaviour' ELSE 'exposure' END AS grp, * FROM cr)
 SELECT grp, section, count(*) AS n, CAST(sum(helpful) AS BIGINT) AS helpful, CAST(sum(harmful) AS BIGINT) AS harmful, CAST(sum(used) AS BIGINT) AS used FROM g GROUP BY ROLLUP (grp, section)""")
 def a_rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.statistics(R.counted(rules(spark, sf_dir), tags(spark, sf_dir)))
+    return R.statistics(counted_rules(spark, sf_dir))
 
 
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,14 +21,15 @@ def _slice(first: int) -> Column:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate spans: ten components of each embedding are logits, twenty more two stochastic passes."""
+    """Candidate spans: ten components of each embedding are logits, fifty more five stochastic passes."""
     rows = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("cand_id"),
         (F.col("vec_id") % 50).alias("doc_id"),
         class_name(F.col("label")).alias("gold"),
         class_name((F.col("label") + F.col("vec_id") % 3) % 10).alias("answer"),
+        F.create_map(*(x for i, form in enumerate(("00", "01", "10", "11")) for x in (F.lit(form), class_name((F.col("label") + (F.col("vec_id") + i) % 5 % 3) % 10)))).alias("answers"),
         _slice(1).alias("logits"),
-        F.array(_slice(11), _slice(21)).alias("passes"),
+        F.array(*(_slice(i) for i in range(11, 60, 10))).alias("passes"),
     )
     rows = rows.withColumn("p", S.softmax(F.col("logits")))
     p = F.col("p")
@@ -41,7 +42,8 @@ c0 AS (
   SELECT vec_id AS cand_id, vec_id % 50 AS doc_id,
          CASE WHEN label = 0 THEN 'O' ELSE 'C' || label END AS gold,
          CASE WHEN (label + vec_id % 3) % 10 = 0 THEN 'O' ELSE 'C' || ((label + vec_id % 3) % 10) END AS answer,
-         CAST(embedding[1:10] AS DOUBLE[]) AS logits, CAST(embedding[11:20] AS DOUBLE[]) AS pass1, CAST(embedding[21:30] AS DOUBLE[]) AS pass2
+         [CASE WHEN x = 0 THEN 'O' ELSE 'C' || x END FOR x IN [(label + (vec_id + i) % 5 % 3) % 10 FOR i IN [0, 1, 2, 3]]] AS answers,
+         CAST(embedding[1:10] AS DOUBLE[]) AS logits, [CAST(embedding[i + 1:i + 10] AS DOUBLE[]) FOR i IN [10, 20, 30, 40, 50]] AS passes
   FROM embeddings
 ), c1 AS (
   SELECT *, list_transform(logits, lambda x: exp(x - list_max(logits))) AS e FROM c0
@@ -53,12 +55,10 @@ cand AS (
 )"""
 
 
-def references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(queries, references): every fifth vector asks, the others are the labelled references."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label"), F.col("embedding").alias("v"))
-    return rows.filter("id % 5 = 0"), rows.filter("id % 5 <> 0")
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors with their labels: each is a query against all others."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label"), F.col("embedding").alias("v"))
 
 
 REFERENCES_SQL = """
-q AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 5 = 0),
-r AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 5 <> 0)"""
+r AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""

@@ -31,8 +31,9 @@ def r6(x) -> F.Column:
 
 _ENTROPY = "(-list_sum(list_transform({p}, lambda x: x * ln(x + 1e-9))) / ln(len({p})))"
 _MEAN_P = """
-m0 AS (SELECT *, list_transform(pass1, lambda x: exp(x - list_max(pass1))) AS e1, list_transform(pass2, lambda x: exp(x - list_max(pass2))) AS e2 FROM cand),
-m1 AS (SELECT *, list_transform(e1, lambda x: x / list_sum(e1)) AS q1, list_transform(e2, lambda x: x / list_sum(e2)) AS q2 FROM m0)"""
+m0 AS (SELECT *, [[exp(x - list_max(z)) FOR x IN z] FOR z IN passes] AS es FROM cand),
+m1 AS (SELECT *, [[x / list_sum(e) FOR x IN e] FOR e IN es] AS qs FROM m0)"""
+_MCD = "list_avg([(-list_sum([x * ln(x + 1e-9) FOR x IN q]) / ln(len(q))) FOR q IN qs])"
 
 
 @query(f"WITH {CANDIDATES_SQL} SELECT cand_id, local, second, round(p1, 6) AS p1, round(p2, 6) AS p2, round(margin, 6) AS margin, round(p_o, 6) AS p_o FROM cand")
@@ -62,8 +63,8 @@ def mean_passes(rows: DataFrame) -> DataFrame:
 
 
 @query(f"""WITH {CANDIDATES_SQL}, {_MEAN_P},
-m AS (SELECT *, list_transform(q1, lambda x, i: (x + q2[i]) / 2) AS mp FROM m1)
-SELECT cand_id, round(({_ENTROPY.format(p="q1")} + {_ENTROPY.format(p="q2")}) / 2, 6) AS u_mcd,
+m AS (SELECT *, [list_avg([q[i] FOR q IN qs]) FOR i IN range(1, 11)] AS mp FROM m1)
+SELECT cand_id, round({_MCD}, 6) AS u_mcd,
        round(list_max(mp), 6) AS p1, round(1 - (list_max(mp) - list_sort(mp, 'DESC')[2]), 6) AS u_margin FROM m""")
 def u_stochastic_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mean_passes(candidates(spark, sf_dir))
@@ -79,30 +80,30 @@ def v_unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KNN = f"""WITH {REFERENCES_SQL},
-d AS (SELECT q.id AS id, r.id AS ref_id, r.label AS ref_label, greatest(0, least(2, 1 - list_cosine_similarity(q.v, r.v))) AS distance FROM q CROSS JOIN r),
+d AS (SELECT a.id AS id, b.id AS ref_id, b.label AS ref_label, greatest(0, least(2, 1 - list_cosine_similarity(a.v, b.v))) AS distance FROM r a JOIN r b ON a.id <> b.id),
 n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, ref_id) AS rank FROM d)"""
 
 
 @query(f"{_KNN} SELECT id, round(avg(distance), 6) AS knn FROM n WHERE rank <= 10 GROUP BY id")
 def v_knn_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.knn_distance(*references(spark, sf_dir), k=10).select("id", r6("knn").alias("knn"))
+    rows = references(spark, sf_dir)
+    return V.knn_distance(rows, rows, k=10, exclude_self=True).select("id", r6("knn").alias("knn"))
 
 
 _LOF = """
-dd AS (SELECT a.id AS id, b.id AS ref_id, greatest(0, least(2, 1 - list_cosine_similarity(a.v, b.v))) AS distance FROM r a JOIN r b ON a.id <> b.id),
-nn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, ref_id) AS rank FROM dd),
-kd AS (SELECT id AS ref_id, max(distance) AS kd FROM nn WHERE rank <= 10 GROUP BY id),
-rl AS (SELECT nn.id AS ref_id, 1 / (avg(greatest(distance, kd)) + 1e-10) AS lrd FROM nn JOIN kd USING (ref_id) WHERE rank <= 10 GROUP BY nn.id),
-ql AS (SELECT n.id, 1 / (avg(greatest(distance, kd)) + 1e-10) AS lrd, avg(rl.lrd) AS m FROM n JOIN kd USING (ref_id) JOIN rl USING (ref_id) WHERE rank <= 10 GROUP BY n.id)"""
+kd AS (SELECT id AS ref_id, max(distance) AS kd FROM n WHERE rank <= 10 GROUP BY id),
+rl AS (SELECT n.id AS ref_id, 1 / (avg(greatest(distance, kd)) + 1e-10) AS lrd FROM n JOIN kd USING (ref_id) WHERE rank <= 10 GROUP BY n.id),
+ql AS (SELECT n.id, any_value(own.lrd) AS lrd, avg(rl.lrd) AS m FROM n JOIN rl USING (ref_id) JOIN rl own ON own.ref_id = n.id WHERE rank <= 10 GROUP BY n.id)"""
 
 
 @query(f"{_KNN}, {_LOF} SELECT id, round(m / lrd, 6) AS lof FROM ql")
 def v_local_outlier_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.local_outlier_factor(*references(spark, sf_dir), k=10).select("id", r6("lof").alias("lof"))
+    rows = references(spark, sf_dir)
+    return V.local_outlier_factor(rows, rows, k=10, exclude_self=True).select("id", r6("lof").alias("lof"))
 
 
 @query(f"""{_KNN}, {_LOF},
-self AS (SELECT a.id AS id, b.id AS ref_id, greatest(0, least(2, 1 - list_cosine_similarity(a.v, b.v))) AS distance FROM r a CROSS JOIN r b),
+self AS (SELECT id, ref_id, distance FROM d UNION ALL SELECT id, id, greatest(0, least(2, 1 - list_cosine_similarity(v, v))) FROM r),
 sn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, ref_id) AS rank FROM self),
 sk AS (SELECT id, avg(distance) AS knn FROM sn WHERE rank <= 10 GROUP BY id),
 sl AS (SELECT sn.id, avg(rl.lrd) / (1 / (avg(greatest(distance, kd)) + 1e-10)) AS lof FROM sn JOIN kd USING (ref_id) JOIN rl USING (ref_id) WHERE rank <= 10 GROUP BY sn.id),
@@ -112,69 +113,72 @@ f AS (SELECT id, knn, m / lrd AS lof, 0.5 * knn + 0.5 * m / lrd AS raw FROM qk J
 SELECT id, round(knn, 4) AS knn, round(lof, 4) AS lof, round(raw, 4) AS raw,
        round(1 / (1 + exp(-greatest(least((raw - mean) / CASE WHEN dev < 1e-6 THEN 1 ELSE dev END, 30), -30))), 4) AS novelty FROM f, cal""")
 def v_calibrated_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.novelty(*references(spark, sf_dir)).select("id", *(F.round(c, 4).alias(c) for c in ("knn", "lof", "raw", "novelty")))
+    rows = references(spark, sf_dir)
+    return V.novelty(rows, rows, exclude_self=True).select("id", *(F.round(c, 4).alias(c) for c in ("knn", "lof", "raw", "novelty")))
 
 
 _CENTROID = """
 e AS (SELECT vec_id % 50 AS doc_id, vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 u AS (SELECT doc_id, id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
-mu AS (SELECT doc_id, i, avg(x) AS m FROM u GROUP BY ALL),
-cd AS (SELECT u.doc_id, u.id, sqrt(sum((x - m) * (x - m))) AS d FROM u JOIN mu USING (doc_id, i) GROUP BY ALL),
+mu AS (SELECT i, avg(x) AS m FROM u GROUP BY ALL),
+cd AS (SELECT u.doc_id, u.id, sqrt(sum((x - m) * (x - m))) AS d FROM u JOIN mu USING (i) GROUP BY ALL),
 cp AS (SELECT doc_id, quantile_cont(d, 0.95) AS p95 FROM cd GROUP BY doc_id),
-cent AS (SELECT doc_id, id, least(1, d / greatest(p95, 1e-9)) AS c FROM cd JOIN cp USING (doc_id))"""
+cent AS (SELECT doc_id, id, least(1, d / (p95 + 1e-9)) AS c FROM cd JOIN cp USING (doc_id))"""
 
 
 @query(f"WITH {_CENTROID} SELECT doc_id, id, round(c, 6) AS centroid_distance FROM cent")
 def v_centroid_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("doc_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return V.centroid_distance(rows).select("doc_id", "id", r6("centroid_distance").alias("centroid_distance"))
+    return V.centroid_distance(rows, rows).select("doc_id", "id", r6("centroid_distance").alias("centroid_distance"))
 
 
 @query(f"{_KNN} SELECT id, ref_id, rank, round(1 - distance, 6) AS similarity FROM n WHERE rank <= 3")
 def v_nearest_representation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = V.nearest(*references(spark, sf_dir), k=3)
+    rows = references(spark, sf_dir)
+    found = V.nearest(rows, rows, k=3, exclude_self=True)
     return found.select(F.col("query_id").alias("id"), "ref_id", "rank", r6(1 - F.col("distance")).alias("similarity"))
 
 
 @query(f"""{_KNN}, t AS (SELECT *, 1 - distance AS s FROM n WHERE rank <= 3)
 SELECT id, ref_id, rank, round(s, 6) AS similarity, max(s) OVER (PARTITION BY id) >= 0.45 AS duplicate FROM t""")
 def j_similar_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = V.similar(*references(spark, sf_dir), n=3, threshold=0.45)
+    rows = references(spark, sf_dir)
+    found = V.similar(rows, rows, n=3, threshold=0.45, exclude_self=True)
     return found.select(F.col("query_id").alias("id"), "ref_id", "rank", r6("similarity").alias("similarity"), "duplicate")
 
 
 @query(f"""WITH {REFERENCES_SQL},
-w AS (SELECT id, v, unnest([label, CAST((CAST(label AS INTEGER) + 1) % 10 AS VARCHAR)]) AS wanted FROM q),
-d AS (SELECT w.id, wanted, r.id AS ref_id, greatest(0, least(2, 1 - list_cosine_similarity(w.v, r.v))) AS distance FROM w JOIN r ON r.label = w.wanted),
+w AS (SELECT id, v, unnest([label, CAST((CAST(label AS INTEGER) + 1) % 10 AS VARCHAR)]) AS wanted FROM r),
+d AS (SELECT w.id, wanted, r.id AS ref_id, greatest(0, least(2, 1 - list_cosine_similarity(w.v, r.v))) AS distance FROM w JOIN r ON r.label = w.wanted AND r.id <> w.id),
 n AS (SELECT *, row_number() OVER (PARTITION BY id, wanted ORDER BY distance, ref_id) AS rank FROM d)
 SELECT id, wanted AS label, ref_id, rank, round(distance, 6) AS distance FROM n WHERE rank <= 2""")
 def j_contrastive_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, refs = references(spark, sf_dir)
-    asked = asked.withColumn("wanted", F.array("label", ((F.col("label").cast("int") + 1) % 10).cast("string")))
-    return V.exemplars(asked, refs, k=2).select(F.col("query_id").alias("id"), F.col("ref_label").alias("label"), "ref_id", "rank", r6("distance").alias("distance"))
+    refs = references(spark, sf_dir)
+    asked = refs.withColumn("wanted", F.array("label", ((F.col("label").cast("int") + 1) % 10).cast("string")))
+    return V.exemplars(asked, refs, k=2, exclude_self=True).select(F.col("query_id").alias("id"), F.col("ref_label").alias("label"), "ref_id", "rank", r6("distance").alias("distance"))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The wide table that sweeps read: every score of every fifth vector as a candidate."""
-    asked, refs = references(spark, sf_dir)
-    rows = candidates(spark, sf_dir).filter("cand_id % 5 = 0")
+    """The wide table that sweeps read: every score of every candidate."""
+    refs = references(spark, sf_dir)
+    rows = candidates(spark, sf_dir)
     p = F.col("p")
     rows = rows.withColumns({"u_pe": S.entropy(p), "u_lc": S.least_confidence(p), "u_margin": S.margin_uncertainty(S.softmax(F.col("logits"), 1.8))})
     vectors = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("doc_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    knn = V.knn_distance(asked, refs).select(F.col("id").alias("cand_id"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "knn")).alias("nov_knn"))
-    lof = V.local_outlier_factor(asked, refs).select(F.col("id").alias("cand_id"), (F.col("lof") / (1 + F.col("lof"))).alias("nov_lof"))
-    center = V.centroid_distance(vectors).select(F.col("id").alias("cand_id"), F.col("centroid_distance").alias("nov_centroid"))
+    knn = V.knn_distance(refs, refs, exclude_self=True).select(F.col("id").alias("cand_id"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "knn")).alias("nov_knn"))
+    lof = V.local_outlier_factor(refs, refs, exclude_self=True).select(F.col("id").alias("cand_id"), (F.col("lof") / (1 + F.col("lof"))).alias("nov_lof"))
+    center = V.centroid_distance(vectors, refs).select(F.col("id").alias("cand_id"), F.col("centroid_distance").alias("nov_centroid"))
     return rows.join(mean_passes(rows).select("cand_id", "u_mcd"), "cand_id").join(knn, "cand_id").join(lof, "cand_id").join(center, "cand_id")
 
 
 _FEATURES = f"""{_KNN}, {_LOF}, {_CENTROID}, {CANDIDATES_SQL}, {_MEAN_P},
-f0 AS (SELECT *, list_transform(logits, lambda x: exp((x - list_max(logits)) / 1.8)) AS te FROM m1 WHERE cand_id % 5 = 0),
+f0 AS (SELECT *, list_transform(logits, lambda x: exp((x - list_max(logits)) / 1.8)) AS te FROM m1),
 f1 AS (SELECT *, list_transform(te, lambda x: x / list_sum(te)) AS tp FROM f0),
 qk AS (SELECT id, avg(distance) AS knn FROM n WHERE rank <= 10 GROUP BY id),
 feat AS (
   SELECT f1.cand_id, f1.doc_id, gold, answer, local, second, p1, p2, margin, p_o, {_ENTROPY.format(p="f1.p")} AS u_pe, 1 - p1 AS u_lc,
          1 - (list_max(tp) - list_sort(tp, 'DESC')[2]) AS u_margin,
-         ({_ENTROPY.format(p="q1")} + {_ENTROPY.format(p="q2")}) / 2 AS u_mcd,
+         {_MCD} AS u_mcd, answers,
          greatest(0, least(1, knn)) AS nov_knn, (ql.m / ql.lrd) / (1 + ql.m / ql.lrd) AS nov_lof, c AS nov_centroid
   FROM f1 JOIN qk ON qk.id = f1.cand_id JOIN ql ON ql.id = f1.cand_id JOIN cent ON cent.id = f1.cand_id)"""
 _COLUMNS = ("u_mcd", "u_pe", "u_margin", "u_lc", "nov_knn", "nov_lof", "nov_centroid")
@@ -196,7 +200,9 @@ s0 AS (SELECT *, CASE method WHEN 'mcd' THEN u_mcd WHEN 'pe' THEN u_pe WHEN 'mar
 s1 AS (SELECT *, CASE mode WHEN 'weighted' THEN w_n * nv + w_u * u WHEN 'or' THEN greatest(u, nv) WHEN 'and' THEN least(u, nv) WHEN 'prob_or' THEN 1 - (1 - nv) * (1 - u)
   WHEN 'copula' THEN greatest(0, least(1, u + nv - 1.5 * u * nv)) ELSE 2 * nv * u / (nv + u + 1e-6) END AS fused FROM s0),
 s2 AS (SELECT *, CASE mode WHEN 'or' THEN u >= tau OR nv >= tau_novelty WHEN 'and' THEN u >= tau AND nv >= tau_novelty ELSE fused >= tau END AS escalated FROM s1),
-s3 AS (SELECT *, CASE WHEN escalated AND arbitrate THEN CASE WHEN veto AND answer = 'O' AND local <> 'O' AND margin >= margin_min AND p_o < 0.2 THEN local ELSE answer END ELSE local END AS final FROM s2),
+s2a AS (SELECT *, answers[CAST(exemplars AS INTEGER) * 2 + CAST(anchoring AS INTEGER) + 1] AS said FROM s2),
+s2b AS (SELECT *, CASE WHEN top2 AND p1 + p2 >= 0.70 AND margin < 0.18 AND said NOT IN ('O', local, second) THEN local ELSE said END AS told FROM s2a),
+s3 AS (SELECT *, CASE WHEN escalated AND arbitrate THEN CASE WHEN veto AND told = 'O' AND local <> 'O' AND margin >= margin_min AND p_o < 0.2 THEN local ELSE told END ELSE local END AS final FROM s2b),
 s4 AS (SELECT sweep, run_id, gold, final, unnest(list_distinct([gold, final])) AS label FROM s3),
 s5 AS (SELECT sweep, run_id, label, count(*) FILTER (gold = label AND final = label) AS tp, count(*) FILTER (gold <> label AND final = label) AS fp, count(*) FILTER (gold = label AND final <> label) AS fn FROM s4 WHERE label <> 'O' GROUP BY ALL),
 s6 AS (SELECT *, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1 FROM s5),

@@ -56,3 +56,38 @@ def vector_table(entities: DataFrame, prefix: str) -> DataFrame:
     """Rows with ids <doc>_<prefix>_<i>, for a table of vectors."""
     i = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end")) - 1
     return entities.withColumn("id", F.concat_ws("_", F.col("doc_id").cast("string"), F.lit(prefix), i.cast("string")))
+
+
+def pair_lines(zipped: DataFrame) -> DataFrame:
+    """(doc_id, n, line): token, gold and predicted tag of each token, tab-separated, for write_by_document."""
+    return zipped.select("doc_id", F.col("pos").alias("n"), F.concat_ws("\t", F.coalesce("token", F.lit("<UNK>")), "gold_tag", "pred_tag").alias("line"))
+
+
+def rules_flat(rules: DataFrame) -> DataFrame:
+    """(section, bullet_id, line): a rule to a line, as [id] section: content."""
+    return rules.select("section", "bullet_id", F.format_string("[%s] %s: %s", "bullet_id", "section", "content").alias("line"))
+
+
+def rules_csv(rules: DataFrame, path: str) -> None:
+    """Rules as CSV with a head; histories become one cell, a line for each entry."""
+    rows = rules.withColumn("content_history", F.array_join("content_history", "\n")) if "content_history" in rules.columns else rules
+    rows.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
+
+
+def curator_markdown(rules: DataFrame, similar: DataFrame) -> DataFrame:
+    """(section, bullet_id, line): the curator's list; only rules in ``similar`` (bullet_id) show counters and history."""
+    rows = rules.join(similar.select("bullet_id").distinct().withColumn("alike", F.lit(True)), "bullet_id", "left")
+    detail = F.concat(F.format_string(" (helpful %d, harmful %d, used %d)", "helpful", "harmful", "usage_count"), F.when(F.size("content_history") > 0, F.concat(F.lit("\n  - before: "), F.array_join("content_history", "; "))).otherwise(""))
+    return rows.select("section", "bullet_id", F.concat(F.format_string("- [%s] %s", "bullet_id", "content"), F.when(F.col("alike"), detail).otherwise("")).alias("line"))
+
+
+def write_subsets(texts: DataFrame, subsets: DataFrame, path: str) -> None:
+    """The documents of each subset (doc_id, subset) under a folder of its own."""
+    texts.join(subsets.select("doc_id", "subset"), "doc_id").write.mode("overwrite").partitionBy("subset").parquet(path)
+
+
+def write_sweeps(metrics: DataFrame, best: DataFrame, path: str) -> None:
+    """Sweep tables as CSV, a folder for each sweep, the best settings and a summary (runs, best and mean F1) as JSON."""
+    metrics.write.mode("overwrite").partitionBy("sweep").csv(f"{path}/sweeps", header=True)
+    best.write.mode("overwrite").json(f"{path}/best")
+    metrics.groupBy("sweep").agg(F.count("*").alias("runs"), F.max("macro_f1").alias("best_f1"), F.round(F.avg("macro_f1"), 6).alias("mean_f1")).write.mode("overwrite").json(f"{path}/summary")
