@@ -1,12 +1,17 @@
 """License scans by canonical digest lookup.
 
-A text in canonical form (case, punctuation, copyright lines and equivalent
-spellings made alike) is hashed, and the digests of whole texts and of their
-lines are hash-joined to the digests of known licences.
+A text in canonical form (case, punctuation, list marks, copyright statements
+and equivalent spellings made alike) is hashed, and the digests of whole texts,
+of their paragraphs and of their lines are hash-joined to the digests of known
+licences. Whole texts are compared without the headings that name a licence.
+The known ones are the short notices below and the full texts in
+``license_texts``, named by their SPDX identifiers.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,38 +43,67 @@ KNOWN = [
 #: Spellings that licences count as equal, as (pattern over lower-case words, word).
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"), ("calibre", "caliber"), ("cancelled", "canceled"), ("catalogue", "catalog"), ("centre", "center"), ("favour", "favor"), ("favourite", "favorite"), ("fulfil", "fulfill"), ("fulfilment", "fulfillment"), ("initialise", "initialize"), ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"), ("merchantibility", "merchantability"), ("modelling", "modeling"), ("organisation", "organization"), ("organise", "organize"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful")]
 
-#: A copyright line, and what is neither letter nor digit nor line end (characters beyond ASCII count as letters).
-COPYRIGHT = "(?md)^[^a-z0-9\n]*(copyright|\\(c\\)|©)[^\n]*$"
-MARKS = "[\\x00-\\x09\\x0b-\\x2f\\x3a-\\x60\\x7b-\\x7f]+"
+#: How a copyright statement begins, and a sentence after it that is more than the statement.
+_STATEMENT = "[^a-z0-9\n]*(?:copyright[ \t]*(?:\\(c\\)|©|[0-9]{4}|<|\\[|\\{|by )|\\(c\\)[ \t]*(?:copyright|[0-9]{4}|by )|©)[^\n]*"
+_MORE = "\\.[ \t]+((?:released|licensed|distributed|permission|redistribution|this |use of this)[^\n]*)"
+#: In order: patterns over lower-case text and what takes their place. Characters beyond ASCII count as letters.
+STEPS = [
+    (f"^{_STATEMENT}?{_MORE}$", "\\1"),
+    (f"^{_STATEMENT}$", ""),
+    ("^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$", ""),
+    ("^[^a-z0-9\n]*(?:[0-9]{1,2}|[a-z])[.)][ \t]+", ""),
+    ("[\\x00-\\x09\\x0b-\\x2f\\x3a-\\x60\\x7b-\\x7f]+", " "),
+]
+#: A line in canonical form that only names a licence.
+HEADING = "^(the )?(mit|isc|x11|zlib|boost|bsd|new bsd|modified bsd|simplified bsd|revised bsd|apache|unlicense|0bsd)( [0-9] clause)?( software)? license( version [0-9 ]+[a-z0-9 ]*)?( (mit|isc|x11|0bsd))?$"
+#: Known licences that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of the notices and the full texts."""
+    return [*KNOWN, *((x.stem, x.read_text()) for x in sorted(Path(__file__).with_name("license_texts").glob("*.txt")))]
 
 
 def canonical_lines(text: Column) -> Column:
-    """The lines of a text in canonical form: no copyright lines, lower case, words and single spaces, one spelling."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT, ""), MARKS, " ")
+    """The lines of a text in canonical form, blank ones too: lower case, words and single spaces, one spelling."""
+    plain = F.lower(text)
+    for pattern, by in STEPS:
+        plain = F.regexp_replace(plain, f"(?md){pattern}", by.replace("\\", "$"))
     alike = plain
     for spelling, word in SPELLINGS:
         alike = F.regexp_replace(alike, f"\\b{spelling}\\b", word)
     plain = F.when(plain.rlike("\\b(" + "|".join(x for x, _ in SPELLINGS) + ")\\b"), alike).otherwise(plain)
-    return F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(F.split(plain, "\n"), lambda x: F.trim(x))
 
 
-def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, scope (text or line), license_id, n for each licence that a row's whole text or a line of it is.
+def _whole(lines: Column) -> Column:
+    return F.array_join(F.filter(lines, lambda x: (x != "") & ~x.rlike(HEADING)), " ")
 
-    ``known`` (license_id, text) is canonicalised by the same rules; its digests
-    are joined by hash. Null and empty texts match nothing, repeated rows give
-    repeated results, ids may be null, other columns are ignored.
+
+def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, scope, license_id, n: the licences that a row's whole text, a paragraph of several lines or a line is, and how often.
+
+    scope is text, block or line. ``known`` (license_id, text) is canonicalised by
+    the same rules; its digests are joined by hash, and broadcast if they are few.
+    Null and empty texts and texts of headings and copyright statements alone
+    match nothing, repeated rows give repeated results, ids may be null, other
+    columns are ignored, an empty table gives an empty result. Texts of any
+    length are hashed whole, in time linear in their length.
     """
-    digests = known.select("license_id", F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256).alias("digest")).distinct()
-    lines = docs.select(docs[id_col].cast("long").alias("doc_id"), canonical_lines(docs[text_col]).alias("lines"), F.monotonically_increasing_id().alias("row")).filter("size(lines) > 0")
-    whole = F.struct(F.lit("text").alias("scope"), F.sha2(F.array_join("lines", " "), 256).alias("digest"))
-    each = F.transform("lines", lambda x: F.struct(F.lit("line").alias("scope"), F.sha2(x, 256).alias("digest")))
-    units = lines.select("doc_id", "row", F.explode(F.concat(F.array(whole), each)).alias("unit")).select("doc_id", "row", "unit.*")
+    digests = known.select("license_id", _whole(canonical_lines(F.col("text"))).alias("whole")).filter("whole <> ''").select("license_id", F.sha2("whole", 256).alias("digest")).distinct()
+    digests = F.broadcast(digests) if known.count() <= BROADCAST_ROWS else digests
+    lines = docs.select(docs[id_col].cast("long").alias("doc_id"), canonical_lines(docs[text_col]).alias("lines"), F.monotonically_increasing_id().alias("row"))
+    blocks = F.filter(F.transform(F.split(F.array_join("lines", "\n"), "\n\n+"), lambda x: F.trim(x, F.lit("\n"))), lambda x: x.contains("\n"))
+    unit = lambda scope, text: F.struct(F.lit(scope).alias("scope"), F.sha2(text, 256).alias("digest"))
+    whole = F.transform(F.filter(F.array(_whole(F.col("lines"))), lambda x: x != ""), lambda x: unit("text", x))
+    each = F.concat(whole, F.transform(blocks, lambda x: unit("block", F.replace(x, F.lit("\n"), F.lit(" ")))), F.transform(F.filter("lines", lambda x: x != ""), lambda x: unit("line", x)))
+    units = lines.select("doc_id", "row", F.explode(each).alias("unit")).select("doc_id", "row", "unit.*")
     return units.join(digests, "digest").groupBy("doc_id", "row", "scope", "license_id").agg(F.count("*").alias("n")).select("doc_id", "scope", "license_id", "n")
 
 
 def op4_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame(KNOWN, "license_id string, text string")
+    known = spark.createDataFrame(known_texts(), "license_id string, text string")
     return scan(table(spark, sf_dir, "documents"), known)
 
 
@@ -78,19 +112,25 @@ ORACLE: dict[str, str] = {}
 
 
 def _oracle() -> str:
-    plain = "regexp_replace(regexp_replace(lower(text), '(?m)^[^a-z0-9\n]*(copyright|\\(c\\)|©)[^\n]*$', '', 'g'), '[\\x00-\\x09\\x0b-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g')"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    plain = "lower(text)"
+    for pattern, by in STEPS:
+        plain = f"regexp_replace({plain}, {quoted('(?m)' + pattern)}, {quoted(by)}, 'g')"
     for spelling, word in SPELLINGS:
         plain = f"regexp_replace({plain}, '\\b{spelling}\\b', '{word}', 'g')"
-    lines = f"list_filter(list_transform(string_split({plain}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
-    rows = ", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in KNOWN)
+    lines = f"list_transform(string_split({plain}, chr(10)), lambda x: trim(x))"
+    whole = f"array_to_string(list_filter(lines, lambda x: x <> '' AND NOT regexp_matches(x, {quoted(HEADING)})), ' ')"
+    rows = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in known_texts())
     return f"""
-WITH known AS (
-  SELECT DISTINCT license_id, sha256(array_to_string({lines}, ' ')) AS digest FROM (VALUES {rows}) AS k(license_id, text)
-), d AS (SELECT doc_id, {lines} AS lines FROM documents),
+WITH kl AS (SELECT license_id, {lines} AS lines FROM (VALUES {rows}) AS k(license_id, text)),
+known AS (SELECT DISTINCT license_id, sha256({whole}) AS digest FROM kl WHERE {whole} <> ''),
+d AS (SELECT doc_id, {lines} AS lines FROM documents),
 u AS (
-  SELECT doc_id, 'text' AS scope, sha256(array_to_string(lines, ' ')) AS digest FROM d WHERE len(lines) > 0
+  SELECT doc_id, 'text' AS scope, sha256({whole}) AS digest FROM d WHERE {whole} <> ''
+  UNION ALL
+  SELECT doc_id, 'block', sha256(replace(x, chr(10), ' ')) FROM (SELECT doc_id, trim(unnest(string_split_regex(array_to_string(lines, chr(10)), '\n\n+')), chr(10)) AS x FROM d) WHERE contains(x, chr(10))
   UNION ALL
-  SELECT doc_id, 'line' AS scope, sha256(x) AS digest FROM (SELECT doc_id, unnest(lines) AS x FROM d)
+  SELECT doc_id, 'line', sha256(x) FROM (SELECT doc_id, unnest(lines) AS x FROM d) WHERE x <> ''
 )
 SELECT doc_id, scope, license_id, count(*) AS n FROM u JOIN known USING (digest) GROUP BY ALL
 """

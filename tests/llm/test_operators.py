@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import time
 import zlib
 from collections import Counter
@@ -514,10 +515,20 @@ def test_features_against_plain_counts():
 
 
 def test_licences(spark):
-    known = spark.createDataFrame(licenses.KNOWN, "license_id string, text string")
+    known = spark.createDataFrame(licenses.known_texts(), "license_id string, text string")
+    full = dict(licenses.known_texts())
+    mit = "MIT License\n\nCopyright (c) 2020 J. Smith\n\n" + next(t for i, t in licenses.KNOWN if i == "MIT" and len(t) > 500)
+    clauses = [textwrap.fill(re.sub(r"^[0-9][.]", "*", x), 60) for x in full["BSD-3-Clause"].upper().split("\n\n")[1:]]
+    bsd = "BSD 3-Clause License\n\nCopyright (c) 2019, Me\nAll rights reserved.\n\n" + "\n\n".join(clauses)
     rows = [(1, "Copyright (c) 2020 Someone\nreleased UNDER the mit licence!"), (2, "prose\nReleased under the MIT License.\nmore"), (3, None), (4, ""), (5, "prose about the MIT License")]
-    got = {(r["doc_id"], r["scope"], r["license_id"], r["n"]) for r in licenses.scan(docs_of(spark, rows), known).collect()}
-    assert got == {(1, "text", "MIT", 1), (1, "line", "MIT", 1), (2, "line", "MIT", 1)}
+    rows += [(6, mit), (7, mit.replace("License", "Licence").replace("\n", "\n\n")), (8, full["Apache-2.0"]), (9, full["GPL-3.0-only"].upper()), (10, "Copyright 2024 A. Released under the MIT License."), (11, "Copyright (c) 2020 Someone\nMIT License\n")]
+    rows += [(12, "# Licensed under the Apache License,\n# Version 2.0.\n#\nimport x\n"), (13, "Released under the MIT License.\n" * 3), (13, "Released under the MIT License.\n" * 3), (None, "x\nReleased under the MIT License."), (14, "word " * 50_000), (15, full["MPL-2.0"].replace("\n", "\r\n"))]
+    got = Counter((r["doc_id"], r["scope"], r["license_id"], r["n"]) for r in licenses.scan(docs_of(spark, rows), known).collect())
+    want = [(1, "text", "MIT", 1), (1, "line", "MIT", 1), (2, "line", "MIT", 1), (6, "text", "MIT", 1), (6, "line", "MIT", 1), (7, "text", "MIT", 1), (7, "line", "MIT", 1), (8, "text", "Apache-2.0", 1), (9, "text", "GPL-3.0-only", 1), (10, "text", "MIT", 1), (10, "line", "MIT", 1)]
+    want += [(12, "block", "Apache-2.0", 1), *[(13, "line", "MIT", 3)] * 2, (None, "line", "MIT", 1), (15, "text", "MPL-2.0", 1), (15, "block", "MPL-2.0", 1)]  # its exhibit is a notice
+    assert got == Counter(want)
+    assert licenses.scan(docs_of(spark, []), known).count() == 0 and licenses.scan(docs_of(spark, rows), known.limit(0)).count() == 0
+    assert [tuple(r) for r in licenses.scan(docs_of(spark, [(1, bsd)]), known).collect()] == [(1, "text", "BSD-3-Clause", 1)]
 
 
 def test_url_rules_and_bayes(spark):
