@@ -256,7 +256,11 @@ def test_trie_probabilities_sum_to_one():
         assert (10 ** trie.log10(np.uint64(int.from_bytes(context, "big") << 8) | np.arange(256, dtype=np.uint64))).sum() == pytest.approx(1.0)
 
 
-def test_top_k_against_brute_force(spark):
+@pytest.mark.parametrize("shard", [8192, 40])
+def test_top_k_against_brute_force(spark, monkeypatch, shard):
+    """Also with many shards, some of which a query's bounds exclude, and few queries at once."""
+    monkeypatch.setattr(topk, "SHARD", shard)
+    monkeypatch.setattr(topk, "SHARDS_AT_ONCE", 3)
     rng = np.random.default_rng(2)
     vectors = [(i, [float(x) for x in np.round(rng.standard_normal(6), 1)]) for i in range(400)]
     rows = vectors + [(500, None), (600, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (700, [float("nan")] * 6), (800, [float("inf")] * 6), (900, []), (1000, [1.0, 2.0])]
@@ -271,6 +275,20 @@ def test_top_k_against_brute_force(spark):
     assert not got
 
 
+def test_top_k_of_ties_repeats_and_nothing(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(30)] + [(7, [1.0, 0.0])] * 3 + [(0, [1.0, 0.0])] * 2
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(frame).collect())
+    assert [x[1] for x in got] == [1, 2, 3, 4, 5, 6, 7, 7, 7, 7] and {x[2] for x in got} == {1024**2}
+    assert topk.top_k(frame.limit(0)).count() == 0 and topk.top_k(frame.filter("vec_id = 0")).count() == 0
+
+
+def test_bounds_exclude_shards():
+    high, low = topk.block_bounds(np.array([[1.0, -5.0], [2.0, 3.0], [-1.0, 0.0]]), 2)
+    assert high.tolist() == [[2, 3], [-1, 0]] and low.tolist() == [[1, -5], [-1, 0]]
+    assert topk.upper_bounds(np.array([[1.0, -1.0]]), high, low).tolist() == [[7.0, -1.0]]
+
+
 def test_top_k_is_exact_for_huge_components():
     rows = np.array([[2.0**40, 3.0], [2.0**40 + 1, 1.0], [1.0, 1.0]])
     found = topk.search_shard(np.array([9]), np.array([[2.0**40 + 3, 1.0]]), np.arange(3), rows, 2, 1)
