@@ -23,7 +23,7 @@ PERMUTATIONS, BANDS = 100, 40
 #: Permutations of the sketch that tells apart the few nodes left unsettled (two bytes each), and its slack in standard deviations.
 SKETCH_PERMUTATIONS, SKETCH_SLACK = 512, 5.0
 #: Nodes of a bucket that meet in one task, on either side.
-MEETING = 4_096
+MEETING = 1_024
 #: A bucket of more than LARGE entries and a LARGE_SHARE of all of them is cut into parts, each with a pivot of its own.
 LARGE, LARGE_SHARE = 512, 1e-4
 _ODD = np.random.default_rng(7).integers(1, 2**63, size=4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
