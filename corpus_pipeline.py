@@ -7,11 +7,9 @@ columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm.common import shared_dir, table
+from spanloom.llm.common import Scratch, cut, table
 from spanloom.llm.decontamination import drop_contaminated
 from spanloom.llm.minhash import keep_one
 from spanloom.llm.packing import pack_stage
@@ -31,10 +29,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each result written to the shared folder and read again."""
+    """The stages over ``documents``, each result written to the shared folder and read again; a result is a checkpoint, the folder goes.
+
+    Nulls, empty texts, repeated rows and shared ids are handled by each stage
+    as its docstring says; an empty table gives no pieces.
+    """
     docs = table(spark, sf_dir, "documents")
-    root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{i}-{name}")
-        docs = spark.read.parquet(f"{root}/{i}-{name}")
-    return docs
+    with Scratch(spark) as scratch:
+        for i, (name, stage) in enumerate(STAGES):
+            docs = scratch.save(stage(spark, docs, sf_dir), f"{i}-{name}")
+            if i > 1:
+                scratch.drop(f"{i - 2}-{STAGES[i - 2][0]}")
+        return cut(docs)
