@@ -11,11 +11,23 @@ from .vectors import nearest
 SECTIONS = [("Nutrition", "NUT", "behaviour"), ("Sleep", "SLE", "behaviour"), ("Substance_use", "SUB", "exposure"), ("Environmental_exposures", "ENV", "exposure")]
 
 
+#: Values of ``seq`` that are numbered in one task.
+SEQ_RANGE = 10_000
+
+
 def next_ids(rules: DataFrame, added: DataFrame) -> DataFrame:
-    """Gives rows of ``added`` (abbr, seq, ...) the ids after the last of their section, as NUT-0007."""
+    """Gives rows of ``added`` (abbr, seq, ...) the ids after the last of their section, as NUT-0007.
+
+    Rows are numbered inside ranges of ``seq``; what stands before a range is a
+    running sum of the ranges' counts, so no section is sorted in one task.
+    """
     last = rules.groupBy(F.substring_index("bullet_id", "-", 1).alias("abbr")).agg(F.max(F.substring_index("bullet_id", "-", -1).cast("int")).alias("last"))
-    n = F.coalesce("last", F.lit(0)) + F.row_number().over(Window.partitionBy("abbr").orderBy("seq"))
-    return added.join(last, "abbr", "left").withColumn("bullet_id", F.concat("abbr", F.lit("-"), F.lpad(n.cast("string"), 4, "0"))).drop("last")
+    ranged = added.withColumn("_range", F.floor(F.col("seq") / SEQ_RANGE))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("abbr").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranged.groupBy("abbr", "_range").agg(F.count("*").alias("_n")).select("abbr", "_range", before.alias("_before"))
+    n = F.coalesce("last", F.lit(0)) + F.col("_before") + F.row_number().over(Window.partitionBy("abbr", "_range").orderBy("seq"))
+    rows = ranged.join(ranges, ["abbr", "_range"]).join(last, "abbr", "left")
+    return rows.withColumn("bullet_id", F.concat("abbr", F.lit("-"), F.lpad(n.cast("string"), F.greatest(F.lit(4), F.length(n.cast("string"))), F.lit("0")))).drop("last", "_range", "_before")
 
 
 def counted(rules: DataFrame, tags: DataFrame) -> DataFrame:
@@ -25,6 +37,11 @@ def counted(rules: DataFrame, tags: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.col(c) + F.coalesce(d, F.lit(0)) for c, d in (("helpful", "h"), ("harmful", "x"), ("usage_count", "u"))}).drop("h", "x", "u")
 
 
+def due(additions_before: int, additions_now: int, every: int = 50) -> bool:
+    """Whether pruning runs of itself: each time that so many more rules have been added."""
+    return additions_before // every < (additions_before + additions_now) // every
+
+
 def pruned(rules: DataFrame, margin: int = 5, section: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept, removed): a rule goes whose harm outweighs its help by ``margin``."""
     bad = F.col("harmful") - F.col("helpful") >= margin

@@ -63,7 +63,15 @@ def w_balanced_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.balanced_subset(statistics(spark, sf_dir), CLASSES, 90, 20.0)
 
 
-@query()
+def _subset_sql(i: int, size: int) -> str:
+    """CTEs up to b<i>: quota by class, then a back-fill by score, of what the subsets before left."""
+    left = f"sc{i} AS (SELECT * FROM sc WHERE " + (" AND ".join(f"doc_id NOT IN (SELECT doc_id FROM b{j})" for j in range(i)) or "true") + ")"
+    return f"""{left}, own{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY majority_class ORDER BY score DESC, doc_id) AS rank FROM sc{i}) WHERE rank <= {size // 9}),
+b{i} AS (SELECT doc_id, majority_class, score, 'quota' AS source, {i} AS subset FROM own{i} UNION ALL SELECT doc_id, majority_class, score, 'fill', {i} FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rr FROM sc{i} WHERE doc_id NOT IN (SELECT doc_id FROM own{i})) WHERE rr <= {size} - (SELECT count(*) FROM own{i}))"""
+
+
+@query(f"""WITH {_STATS}, sc AS (SELECT *, round(0.5 * purity / 100 + 0.5 * least(1, density / 20.0), 6) AS score FROM st), {", ".join(_subset_sql(i, n) for i, n in enumerate((90, 45, 45)))}
+SELECT * FROM b0 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2""")
 def w_disjoint_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.subsets(statistics(spark, sf_dir), CLASSES, [90, 45, 45], 20.0)
 

@@ -24,7 +24,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate spans: ten components of each embedding are logits, fifty more five stochastic passes."""
     rows = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("cand_id"),
-        (F.col("vec_id") % 50).alias("doc_id"),
+        F.floor(F.col("vec_id") / 20).alias("doc_id"),
         class_name(F.col("label")).alias("gold"),
         class_name((F.col("label") + F.col("vec_id") % 3) % 10).alias("answer"),
         F.create_map(*(x for i, form in enumerate(("00", "01", "10", "11")) for x in (F.lit(form), class_name((F.col("label") + (F.col("vec_id") + i) % 5 % 3) % 10)))).alias("answers"),
@@ -39,7 +39,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same candidates in DuckDB, as common table expressions.
 CANDIDATES_SQL = """
 c0 AS (
-  SELECT vec_id AS cand_id, vec_id % 50 AS doc_id,
+  SELECT vec_id AS cand_id, vec_id // 20 AS doc_id,
          CASE WHEN label = 0 THEN 'O' ELSE 'C' || label END AS gold,
          CASE WHEN (label + vec_id % 3) % 10 = 0 THEN 'O' ELSE 'C' || ((label + vec_id % 3) % 10) END AS answer,
          [CASE WHEN x = 0 THEN 'O' ELSE 'C' || x END FOR x IN [(label + (vec_id + i) % 5 % 3) % 10 FOR i IN [0, 1, 2, 3]]] AS answers,

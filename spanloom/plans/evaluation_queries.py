@@ -9,7 +9,7 @@ from spanloom.functions.metrics import prf
 from spanloom.operators import match as M
 
 from .derived import CANDIDATES_SQL, candidates, table
-from .score_queries import gated
+from .score_queries import _GATED, gated
 from .text_queries import MENTIONS_SQL, both, mentions, system, token_rows
 
 QUERIES, ORACLE = {}, {}
@@ -84,8 +84,9 @@ def a_call_log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").rollup("conv_id", "role").agg(F.count("*").alias("calls"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@query()
+@query(f"{_GATED} SELECT doc_id, array_to_string(list(cand_id ORDER BY round(fused, 9) DESC, cand_id), ',') AS queue FROM gated WHERE escalated GROUP BY doc_id")
 def g_escalation_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The work list of arbitration: escalated candidates of each document in order of their fused score."""
     rows = gated(spark, sf_dir).filter("escalated")
-    return rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("fused")).alias("k"), "cand_id"))), lambda x: x.cand_id).alias("queue"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.round("fused", 9)).alias("k"), "cand_id")))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x.cand_id.cast("string")), ",").alias("queue"))

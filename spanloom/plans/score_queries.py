@@ -118,7 +118,7 @@ def v_calibrated_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CENTROID = """
-e AS (SELECT vec_id % 50 AS doc_id, vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+e AS (SELECT vec_id // 20 AS doc_id, vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 u AS (SELECT doc_id, id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
 mu AS (SELECT i, avg(x) AS m FROM u GROUP BY ALL),
 cd AS (SELECT u.doc_id, u.id, sqrt(sum((x - m) * (x - m))) AS d FROM u JOIN mu USING (i) GROUP BY ALL),
@@ -128,7 +128,7 @@ cent AS (SELECT doc_id, id, least(1, d / (p95 + 1e-9)) AS c FROM cd JOIN cp USIN
 
 @query(f"WITH {_CENTROID} SELECT doc_id, id, round(c, 6) AS centroid_distance FROM cent")
 def v_centroid_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("doc_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("doc_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return V.centroid_distance(rows, rows).select("doc_id", "id", r6("centroid_distance").alias("centroid_distance"))
 
 
@@ -164,7 +164,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = candidates(spark, sf_dir)
     p = F.col("p")
     rows = rows.withColumns({"u_pe": S.entropy(p), "u_lc": S.least_confidence(p), "u_margin": S.margin_uncertainty(S.softmax(F.col("logits"), 1.8))})
-    vectors = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("doc_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("doc_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     knn = V.knn_distance(refs, refs, exclude_self=True).select(F.col("id").alias("cand_id"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "knn")).alias("nov_knn"))
     lof = V.local_outlier_factor(refs, refs, exclude_self=True).select(F.col("id").alias("cand_id"), (F.col("lof") / (1 + F.col("lof"))).alias("nov_lof"))
     center = V.centroid_distance(vectors, refs).select(F.col("id").alias("cand_id"), F.col("centroid_distance").alias("nov_centroid"))

@@ -57,9 +57,9 @@ def s_column_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT item_id, ['NUT', 'SLE', 'SUB', 'ENV'][item_id % 4 + 1] || '-' || lpad(CAST(item_id // 4 AS VARCHAR), 4, '0') AS b, ['Nutrition', 'Sleep', 'Substance_use', 'Environmental_exposures'][item_id % 4 + 1] AS section, text FROM benchmark)
-SELECT section, md5('## ' || section || chr(10) || string_agg('- [' || b || '] ' || text || ' (helpful 0, harmful 0)', chr(10) ORDER BY b)) AS digest FROM r GROUP BY section""")
+SELECT section, b AS bullet_id, '- [' || b || '] ' || text || ' (helpful 0, harmful 0)' AS line FROM r UNION ALL SELECT DISTINCT section, '', '## ' || section FROM r""")
 def k_rules_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.rules_markdown(rules(spark, sf_dir)).select("section", F.md5("text").alias("digest"))
+    return K.rules_markdown(rules(spark, sf_dir))
 
 
 @query("SELECT user_id AS run_id, max(event_id) AS seq, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")

@@ -195,11 +195,20 @@ def t_eliminate_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.eliminate_overlaps(_windows(mentions(token_rows(spark, sf_dir)))).groupBy("doc_id").agg(F.count("*").alias("kept"))
 
 
-@query()
+def _suppression_sql(order: str) -> str:
+    """Spans in order, a span at a time: one that overlaps a kept span goes."""
+    return f"""WITH RECURSIVE {MENTIONS_SQL}, {_WINDOWS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {order}, start, span_id) AS r FROM (SELECT *, (span_id * 37 % 101) / 101.0 AS p FROM w)),
+k AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(i BIGINT, s BIGINT, e BIGINT)[]) AS kept FROM o UNION ALL
+  SELECT k.doc_id, o.r, CASE WHEN len(list_filter(kept, lambda y: y.s < o."end" AND o.start < y.e)) = 0 THEN list_append(kept, {{'i': CAST(o.span_id AS BIGINT), 's': CAST(o.start AS BIGINT), 'e': CAST(o."end" AS BIGINT)}}) ELSE kept END FROM k JOIN o ON o.doc_id = k.doc_id AND o.r = k.r + 1),
+z AS (SELECT doc_id, unnest(arg_max(kept, r)) AS x FROM k GROUP BY doc_id)
+SELECT doc_id, x.i AS span_id, x.s AS start, x.e AS "end" FROM z"""
+
+
+@query(_suppression_sql('"end" - start DESC, p DESC'))
 def w_suppression_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.suppress(_windows(mentions(token_rows(spark, sf_dir))), "length")
 
 
-@query()
+@query(_suppression_sql('p DESC, "end" - start DESC'))
 def w_suppression_by_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.suppress(_windows(mentions(token_rows(spark, sf_dir))), "probability")

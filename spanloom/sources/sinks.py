@@ -46,10 +46,10 @@ def snapshot(rules: DataFrame, path: str, label: str) -> None:
 
 
 def rules_markdown(rules: DataFrame) -> DataFrame:
-    """(section, text): the rules of a section as a Markdown list."""
+    """(section, bullet_id, line): a Markdown list, a row to a line; a section's heading has an empty id, and lines sort by section and id."""
+    head = rules.select("section").distinct().select("section", F.lit("").alias("bullet_id"), F.concat(F.lit("## "), "section").alias("line"))
     line = F.format_string("- [%s] %s (helpful %d, harmful %d)", "bullet_id", "content", "helpful", "harmful")
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bullet_id", line.alias("line")))), lambda x: x.line), "\n")
-    return rules.groupBy("section").agg(listed.alias("body")).select("section", F.concat(F.lit("## "), "section", F.lit("\n"), "body").alias("text"))
+    return head.unionByName(rules.select("section", "bullet_id", line.alias("line")))
 
 
 def vector_table(entities: DataFrame, prefix: str) -> DataFrame:
