@@ -137,5 +137,5 @@ def similar(queries: DataFrame, refs: DataFrame, n: int = 3, threshold: float =
 
 def sampled_key(vector: F.Column, size: int, samples: int = 8, digits: int = 4) -> F.Column:
     """Key of a vector: ``samples`` coordinates at even steps, rounded to ``digits``; vectors of one key count as one."""
-    step = max(1, size // samples)
+    step, samples = max(1, size // samples), min(size, samples)
     return F.array_join(F.transform(F.array(*(F.lit(i * step + 1) for i in range(samples))), lambda i: F.format_string(f"%.{digits}f", F.round(F.element_at(vector, i).cast("double"), digits) + 0.0)), "|")
