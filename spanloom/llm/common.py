@@ -12,13 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: keeps a batch of long documents small in a Python worker.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch: keep a batch of long documents small in a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds this session's Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` under ``sf_dir``; also bounds Arrow batches for this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

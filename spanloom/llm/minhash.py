@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, Scratch, cut, per_batch, table, utf8, with_row_key, words
+from .common import ROW_KEY, Scratch, bounded, cut, per_batch, table, utf8, with_row_key, words
 
 SHINGLE_WORDS = 5
 #: A link needs 100 * intersection >= SIMILARITY * union.
@@ -308,7 +308,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shared. Rows with neither an id nor a word stay; repeated rows become one;
     an empty table stays empty; all columns are kept.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    bounded(spark)
     rows = with_row_key(docs)
     found = near_duplicates(rows, id_col=ROW_KEY).select(F.col("doc_id").alias(ROW_KEY), "n_shingles", "component_id").distinct()
     ids = rows.select(ROW_KEY, F.col("doc_id").alias("id")).distinct()

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, table
+from .common import Scratch, bounded, cut, table
 
 CAPACITY = 2048
 #: A bin with at most this much room is emitted at once.
@@ -234,7 +234,7 @@ def op6_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents that are left, as packed pieces; null and empty texts as their end id alone, repeated rows each."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    bounded(spark)
     return pack(docs)
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, Scratch, cut, per_batch, table, with_row_key
+from .common import ROW_KEY, Scratch, bounded, cut, per_batch, table, with_row_key
 
 KINDS = ("email", "ip", "card", "phone")
 #: All kinds, in the order of spans that start together.
@@ -270,7 +270,7 @@ def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     empty texts stay as they are, repeated rows stay repeated, an empty table
     stays empty; all columns are kept.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    bounded(spark)
     rows = with_row_key(docs)
     found = find(rows, id_col=ROW_KEY).filter("size(spans) > 0").groupBy(F.col("doc_id").alias(ROW_KEY)).agg(F.first("spans").alias("spans"))
     joined = rows.join(found, ROW_KEY, "left").select(*docs.columns, "spans")
