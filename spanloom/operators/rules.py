@@ -65,7 +65,7 @@ def checked(operations: DataFrame) -> DataFrame:
 def near_duplicates(added: DataFrame, rules: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) additions (seq, section, v): rejected if a stored rule of the section is as similar as ``threshold``."""
     asked = added.select(F.col("seq").alias("id"), "v", F.array("section").alias("wanted"))
-    refs = rules.select(F.col("rule_no").alias("id"), F.col("section").alias("label"), "v")
+    refs = rules.filter("v is not null").select(F.col("rule_no").alias("id"), F.col("section").alias("label"), "v")
     near = nearest(asked, refs, 1, by_class=True).filter(1 - F.col("distance") >= threshold).select(F.col("query_id").alias("seq"))
     return added.join(near, "seq", "left_anti"), added.join(near, "seq", "left_semi")
 

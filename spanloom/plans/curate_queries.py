@@ -203,7 +203,7 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = {c: F.lit(0).cast("long") for c in ("helpful", "harmful", "usage_count", "modification_count")}
     rows = rows.withColumns(zero | {"content_history": F.array().cast("array<string>")})
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rule_no"), F.col("embedding").alias("v"))
-    return rows.join(vectors, "rule_no")
+    return rows.join(vectors, "rule_no", "left")
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +263,13 @@ def b_near_duplicate_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted.select("seq", F.lit(False).alias("rejected")).unionByName(rejected.select("seq", F.lit(True).alias("rejected")))
 
 
-@query()
+@query(f"""WITH {_RULES}, mo AS (SELECT 'NUT-0001' AS bullet_id, arg_max('rule text ' || vec_id, vec_id) AS told, count(*) AS n FROM embeddings WHERE vec_id % 10 = 8),
+kept AS (SELECT cr.bullet_id, section, coalesce(told, content) AS content, helpful, harmful, used AS usage_count, coalesce(n, 0) AS modification_count FROM cr LEFT JOIN mo ON mo.bullet_id = cr.bullet_id),
+ad AS (SELECT vec_id AS seq, {_ABBR}[vec_id % 4 + 1] AS abbr, ['Nutrition', 'Sleep', 'Substance_use', 'Environmental_exposures'][vec_id % 4 + 1] AS section, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 < 7),
+s AS (SELECT seq, max(list_cosine_similarity(ad.v, CAST(e.embedding AS DOUBLE[]))) AS best FROM ad JOIN ru ON ru.section = ad.section JOIN embeddings e ON e.vec_id = ru.rule_no GROUP BY seq),
+la AS (SELECT split_part(bullet_id, '-', 1) AS abbr, max(CAST(split_part(bullet_id, '-', 2) AS INTEGER)) AS last FROM ru GROUP BY ALL),
+nw AS (SELECT ad.*, CAST(coalesce(last, 0) + row_number() OVER (PARTITION BY ad.abbr ORDER BY seq) AS VARCHAR) AS no FROM ad LEFT JOIN s USING (seq) LEFT JOIN la ON la.abbr = ad.abbr WHERE NOT coalesce(best >= 0.8, false))
+SELECT * FROM kept WHERE harmful - helpful < 5 UNION ALL SELECT abbr || '-' || lpad(no, CAST(greatest(4, length(no)) AS INTEGER), '0'), section, 'rule text ' || seq, 0, 0, 0, 0 FROM nw""")
 def b_curation_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.curated(rules(spark, sf_dir), tags(spark, sf_dir), operations(spark, sf_dir))[0].select("bullet_id", "section", "content", "helpful", "harmful", "usage_count", "modification_count")
 
