@@ -446,6 +446,31 @@ def test_widespread_benchmark_passages_are_found(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, 0) for i in range(1, 120, 2)} | {(200, 4)}
 
 
+def test_recall_of_paraphrases_with_more_items_than_dimensions(spark, monkeypatch):
+    """A fifth of the words changed, an item's last sentence kept; also common, repeated and very long documents."""
+    monkeypatch.setattr(decontamination, "RANK", 10)
+    rng = random.Random(43)
+    items = [(i, prose(rng, "en", rng.randrange(25, 90)) + ". " + prose(rng, "fr", 6)) for i in range(40)]
+    items.append((40, items[3][1]))  # an item twice
+    rows = [(i, prose(rng, rng.choice(("en", "fr", "de")), rng.randrange(20, 250))) for i in range(60)]
+    planted = set()
+    for i in range(80):
+        body, _, last = items[i % 40][1].partition(". ")
+        w = body.split()
+        for k in rng.sample(range(len(w)), len(w) // 5):
+            w[k] = prose(rng, "de", 2)
+        rows.append((100 + i, prose(rng, "en", 60) + " " + " ".join(w) + ". " + last + " " + prose(rng, "en", 60)))
+        planted.add((100 + i, i % 40))
+    long = prose(rng, "en", 30_000) + " " + items[5][1] + " " + prose(rng, "en", 100)
+    rows += [(300, long), (301, items[7][1]), (301, items[7][1]), (302, None), (303, "")]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs_of(spark, rows), frame).collect())
+    found = {(d, i) for d, i in got if i != 40}
+    assert len(found & planted) >= 0.9 * len(planted) and (300, 5) in found and got[301, 7] == 2
+    assert found - planted == {(300, 5), (301, 7)}
+    assert {d for d, i in got if i == 40} == {d for d, i in found if i == 3}
+
+
 def test_long_items_spread_by_inserted_words_are_found(spark):
     rng = random.Random(37)
     items = [(i, prose(rng, "en", 300)) for i in range(5)]
