@@ -103,6 +103,13 @@ def bucket_of_strings(values: np.ndarray, buckets: int) -> np.ndarray:
     return ((suffix * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
 
 
+def by_bucket(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the values in order of their buckets, and where each of the BUCKETS begins and the last ends."""
+    of = bucket_of_strings(values, BUCKETS).astype(np.uint8)
+    order = np.argsort(of, kind="stable")
+    return order, np.searchsorted(of[order], np.arange(BUCKETS + 1))
+
+
 def dealt_words(found, buckets: int) -> list[list[bytes]]:
     """Distinct words in order, dealt into buckets by hash."""
     dealt: list[list[bytes]] = [[] for _ in range(buckets)]
@@ -130,24 +137,24 @@ def _frame(out: list[tuple]) -> pa.Table:
     return pa.table([pa.array(x, f.type) for x, f in zip(columns, _SENT_ARROW, strict=True)], schema=_SENT_ARROW)
 
 
-def _gather(rows: pa.Table, order: int) -> pa.Table:
+def _gather(rows: pa.Table, longest: int) -> pa.Table:
     """A block's distinct strings and words, each with its training count (0 if only held-out documents have it)."""
     block, texts = rows["block"][0].as_py(), utf8(rows["text"].combine_chunks())
     held = rows["held_out"].to_pylist()
     train, other = ([t for t, h in zip(texts, held, strict=True) if h is x] for x in (False, True))
     out: list[tuple] = []
-    known, counts = block_strings(train, order)
-    trigrams = np.unique(known & np.uint64(0xFFFFFF))
+    known, counts = block_strings(train, longest)
+    trigrams = counted(known & np.uint64(0xFFFFFF))[0]
     for part in np.unique(trigrams >> np.uint64(20)).tolist():
         out.append((block, "trigram", part, packed(trigrams[trigrams >> np.uint64(20) == part]), None))
-    unseen, none = block_strings(other, order)
+    unseen, none = block_strings(other, longest)
     own, full = _add([(known, counts), (unseen, np.zeros_like(none))])
     del known, counts, unseen, none
-    of = bucket_of_strings(own, BUCKETS)
-    for b in np.unique(of).tolist():
-        at = of == b
+    order, starts = by_bucket(own)
+    for b in np.flatnonzero(np.diff(starts)).tolist():
+        at = order[starts[b] : starts[b + 1]]
         out.append((block, "string", b, packed(own[at]), packed(full[at])))
-    del own, full, of
+    del own, full, order
     learnt: Counter = Counter()
     for t in train:
         learnt.update(words(t))
@@ -161,7 +168,7 @@ def _gather(rows: pa.Table, order: int) -> pa.Table:
 
 def _union(rows: pa.Table) -> pa.Table:
     """The distinct values of a part."""
-    values = np.unique(np.concatenate([unpacked(x) for x in rows["keys"].to_pylist()]))
+    values = counted(np.concatenate([unpacked(x) for x in rows["keys"].to_pylist()]))[0]
     return pa.table([pa.array([packed(values)], pa.binary())], names=["keys"])
 
 
@@ -272,7 +279,7 @@ def _answers(asked: pa.Table, known: pa.Table, pairs: np.ndarray, order: int) ->
     values, n = _strings_of(keys, counts) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
     trie = Trie(values[n > 0], n[n > 0], pairs, order)
     del n, keys, counts
-    wanted = np.unique(np.concatenate([unpacked(mine) for mine in asked["keys"].to_pylist()]))
+    wanted = counted(np.concatenate([unpacked(mine) for mine in asked["keys"].to_pylist()]))[0]
     log = trie.log10(wanted).astype(np.float32)
     for block, mine in zip(asked["block"].to_pylist(), asked["keys"].to_pylist(), strict=True):
         out.append((block, kind, bucket, log[np.searchsorted(wanted, unpacked(mine))].tobytes(), None))
@@ -316,13 +323,14 @@ def _score(order: int, ends: int):
             distinct, at = np.unique(values, return_inverse=True)
             parts.append((a, b, distinct, at.astype(np.int32), text.astype(np.int32)))
             del values, text, at
-        own = np.unique(np.concatenate([np.empty(0, np.uint64), *(x[2] for x in parts)]))
-        of, log = bucket_of_strings(own, BUCKETS), np.zeros(len(own), np.float32)
-        dealt = dealt_words({w for t in texts for w in words(t)}, BUCKETS)
+        own = counted(np.concatenate([np.empty(0, np.uint64), *(x[2] for x in parts)]))[0]
+        (of, begin), log = by_bucket(own), np.zeros(len(own), np.float32)
+        tokens_of = [words(t) for t in texts]
+        dealt = dealt_words(set().union(*tokens_of), BUCKETS)
         counts: dict[bytes, int] = {}
         for kind, b, keys in zip(*(answers[x].to_pylist() for x in ("kind", "bucket", "keys")), strict=True):
             if kind == "string":
-                log[of == b] = np.frombuffer(keys, np.float32)
+                log[of[begin[b] : begin[b + 1]]] = np.frombuffer(keys, np.float32)
             else:
                 counts.update(zip(dealt[b], unpacked(keys).tolist(), strict=True))
         del dealt, of
@@ -331,8 +339,8 @@ def _score(order: int, ends: int):
             scores[a:b] = np.bincount(text, log[np.searchsorted(own, distinct)][at], b - a)
         del parts
         n_tokens, n_known, word_log = [], [], []
-        for t in texts:
-            c = np.fromiter(map(counts.__getitem__, tokens), np.int64, len(tokens)) if (tokens := words(t)) else np.empty(0, np.int64)
+        for tokens in tokens_of:
+            c = np.fromiter(map(counts.__getitem__, tokens), np.int64, len(tokens))
             n_tokens.append(len(c) + 1)
             n_known.append(int((c > 0).sum()) + (ends > 0))
             word_log.append(float(np.log10(c + 1.0).sum()) + float(np.log10(ends + 1.0)))
