@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.labels import canonical, to_old
@@ -135,6 +135,36 @@ def category_threshold(label: Column, default: Column | float, thresholds: list[
     return F.coalesce(table[label], table[to_old(label)], default if isinstance(default, Column) else F.lit(default))
 
 
+def safe(margin: Column, p_o: Column, least: float = 0.5, p_o_max: float | None = 0.20) -> Column:
+    """Whether a proposal's margin is so decisive that it isn't escalated; ``p_o_max`` None drops the background bound."""
+    return (margin >= least) & (p_o < p_o_max) if p_o_max is not None else margin >= least
+
+
+def allowed_labels(challenge_type: Column, local: Column, second: Column, entities_only: bool = False) -> Column:
+    """The classes that an answer may choose from: the two best ones where they compete, else none named (any).
+
+    ``entities_only`` leaves out O and a double as second.
+    """
+    pair = F.array(local, second)
+    pair = F.when((F.upper(second) == "O") | (second == local), F.array(local)).otherwise(pair) if entities_only else pair
+    return F.when(challenge_type == "TOP2_COMPETITION", pair).otherwise(F.array().cast("array<string>"))
+
+
+def decision_source(escalated: Column, answer: Column, final: Column) -> Column:
+    """Who decided: local, answer, or veto where the answer didn't stand."""
+    return F.when(~escalated, "local").when(final == answer, "answer").otherwise("veto")
+
+
+def right(label: Column, gold: Column) -> Column:
+    """Whether a label is right; only a gold entity can be answered right."""
+    return (label == gold) & (F.upper(gold) != "O")
+
+
+def benefit(before: Column, after: Column) -> Column:
+    """1, 0 or -1: what an answer's being right adds to the proposal's."""
+    return after.cast("int") - before.cast("int")
+
+
 def positive(label: Column) -> Column:
     return ~F.lower(label).isin(NEGATIVE)
 
@@ -184,6 +214,13 @@ def audit_group(category: Column) -> Column:
     return F.coalesce(table[category], F.lit("NOT_FIXED"))
 
 
+def audit_summary(audited: DataFrame) -> DataFrame:
+    """One row: total, fixed, ruined, net, shielded, confirmed, confused of rows with an audit ``category``."""
+    n = lambda *names: F.count_if(F.col("category").isin(*names))
+    of = lambda group: n(*(name for name, g, _ in AUDIT if g == group))
+    return audited.agg(F.count("*").alias("total"), of("FIXED").alias("fixed"), of("RUINED").alias("ruined"), (of("FIXED") - of("RUINED")).alias("net"), n("ARBITRATION_SHIELD").alias("shielded"), of("CONFIRMED_CORRECT").alias("confirmed"), of("NOT_FIXED").alias("confused"))
+
+
 def explanation(local: Column, answer: Column, final: Column, gold: Column, category: Column) -> Column:
     told = F.create_map(*(F.lit(x) for name, _, text in AUDIT for x in (name, text)))
     return F.format_string("proposed %s, answered %s, kept %s, gold %s: %s", local, answer, final, gold, told[category])

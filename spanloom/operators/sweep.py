@@ -11,6 +11,8 @@ from spanloom.functions.metrics import prf
 FIELDS = ["run_id", "sweep", "mode", "w_n", "w_u", "method", "metric", "tau", "tau_novelty", "margin_min", "arbitrate", "exemplars", "anchoring", "top2", "veto"]
 #: The settings from which the sweeps start.
 BASE = {"mode": "weighted", "w_n": 0.5, "w_u": 0.5, "method": "mcd", "metric": "knn", "tau": 0.38, "tau_novelty": 0.55, "margin_min": 0.5, "arbitrate": True, "exemplars": True, "anchoring": True, "top2": True, "veto": True}
+#: The recommended settings.
+OPTIMUM = {"mode": "prob_or", "w_n": 0.3, "w_u": 0.7, "method": "margin", "metric": "lof", "tau": 0.35, "margin_min": 0.5, "veto": True}
 #: Components of arbitration, and the combinations of them that an ablation switches on, after a run without any escalation.
 COMPONENTS = ("exemplars", "anchoring", "top2", "veto")
 COMBINATIONS = ["", "anchoring", "exemplars", "top2", "veto", "anchoring top2", "anchoring veto", "top2 veto", "exemplars anchoring", "anchoring top2 veto", "exemplars top2 veto", "exemplars anchoring veto", "exemplars anchoring top2", "exemplars anchoring top2 veto"]
@@ -47,6 +49,10 @@ def ablations(settings: dict | None = None) -> list[dict]:
     return _runs("ablation", [(settings or {}) | x for x in runs])
 
 
+def optimum() -> list[dict]:
+    return _runs("optimum", [OPTIMUM])
+
+
 def with_configs(candidates: DataFrame, configs: list[dict]) -> DataFrame:
     """Each candidate with each configuration: the settings are a literal array, so nothing is joined or shuffled."""
     rows = F.array(*(F.struct(*(F.lit(c[k]).alias(k) for k in FIELDS)) for c in configs))

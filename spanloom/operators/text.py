@@ -140,6 +140,17 @@ def labelled_spans(candidates: DataFrame, gold: DataFrame) -> DataFrame:
     return candidates.join(gold.select("doc_id", "start", "end", "class_id"), ["doc_id", "start", "end"], "left").withColumn("class_id", F.coalesce("class_id", F.lit(0)))
 
 
+def realigned(tagged: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, start, end, token, tag, sent_id) of tags without offsets (doc_id, pos, token, tag): the text's own tokens by place.
+
+    White space is skipped, so tags made of another layout of the same text
+    fit. A token that isn't the text's at its place makes ``aligned`` false.
+    """
+    own = tokens(docs)
+    said = tagged.select("doc_id", "pos", F.col("token").alias("said"), "tag")
+    return own.join(said, ["doc_id", "pos"]).withColumn("aligned", F.col("said") == F.col("token")).drop("said")
+
+
 def candidate_spans(sentences: DataFrame, width: int = 6) -> DataFrame:
     """(doc_id, sent_id, first, last): every span of at most ``width`` tokens. sentences: (doc_id, sent_id, n)."""
     rows = sentences.filter("n > 0").withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(width), F.col("n").cast("int")))))

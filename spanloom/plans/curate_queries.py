@@ -170,12 +170,13 @@ def p_category_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_ONTOLOGY}, k AS (SELECT new, row_number() OVER (ORDER BY i) AS id FROM m WHERE i <> 3), x AS (SELECT event_id % 10 AS i, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS p FROM events)
-SELECT m.new AS label, p AS prefix, CAST(any_value(k.id) AS INTEGER) AS id10, CAST(any_value(m.i + 1) AS INTEGER) AS id11, CAST(any_value(2 * m.i + p) AS INTEGER) AS id21, count(*) AS n FROM x JOIN m USING (i) LEFT JOIN k ON k.new = m.new GROUP BY ALL""")
+SELECT m.new AS label, coalesce(p, 0) AS prefix, CAST(coalesce(any_value(k.id), -1) AS INTEGER) AS id10, CAST(any_value(m.i + 1) AS INTEGER) AS id11, CAST(coalesce(any_value(2 * m.i + p), -1) AS INTEGER) AS id21, count(*) AS n FROM x JOIN m USING (i) LEFT JOIN k ON k.new = m.new GROUP BY ALL""")
 def p_label_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _tags(spark, sf_dir, [new for _, new in L.LABELS])
     back = F.when(L.label_name(L.label_id(F.col("label"), 11), 11) == F.col("label"), L.label_id(F.col("label"), 11))
-    prefix = F.when(F.col("event_id") % 3 == 0, 1).when(F.col("event_id") % 3 == 1, 2)
-    return rows.groupBy("label", prefix.alias("prefix"), L.label_id(F.col("label"), 10).alias("id10"), back.alias("id11"), L.label_id(F.col("tag"), 21).alias("id21")).agg(F.count("*").alias("n"))
+    prefix = F.when(F.col("event_id") % 3 == 0, 1).when(F.col("event_id") % 3 == 1, 2).otherwise(0)
+    known = lambda column: F.coalesce(column, F.lit(-1))
+    return rows.groupBy("label", prefix.alias("prefix"), known(L.label_id(F.col("label"), 10)).alias("id10"), back.alias("id11"), known(L.label_id(F.col("tag"), 21)).alias("id21")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT CASE event_id % 5 WHEN 0 THEN 'B' WHEN 1 THEN 'I' WHEN 2 THEN 'O' WHEN 3 THEN 'B' ELSE 'odd' END AS prefix, CASE event_id % 5 WHEN 0 THEN 'Sleep' WHEN 1 THEN 'A-B' WHEN 3 THEN '' ELSE '' END AS kind,
@@ -274,6 +275,14 @@ def b_curation_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.curated(rules(spark, sf_dir), tags(spark, sf_dir), operations(spark, sf_dir))[0].select("bullet_id", "section", "content", "helpful", "harmful", "usage_count", "modification_count")
 
 
+@query(f"""WITH {_RULES}, ad AS (SELECT vec_id AS seq, ['Nutrition', 'Sleep', 'Substance_use', 'Environmental_exposures'][vec_id % 4 + 1] AS section, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 < 7),
+s AS (SELECT seq, max(list_cosine_similarity(ad.v, CAST(e.embedding AS DOUBLE[]))) >= 0.8 AS near FROM ad JOIN ru ON ru.section = ad.section JOIN embeddings e ON e.vec_id = ru.rule_no GROUP BY seq),
+z AS (SELECT 'invalid' AS state, count(*) AS n FROM embeddings WHERE vec_id % 10 IN (7, 9) UNION ALL SELECT 'added', count(*) FILTER (NOT coalesce(near, false)) FROM ad LEFT JOIN s USING (seq) UNION ALL SELECT 'rejected', count(*) FILTER (coalesce(near, false)) FROM ad LEFT JOIN s USING (seq)
+  UNION ALL SELECT 'removed', count(*) FROM cr WHERE harmful - helpful >= 5) SELECT * FROM z WHERE n > 0""")
+def a_curation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.curated(rules(spark, sf_dir), tags(spark, sf_dir), operations(spark, sf_dir))[1]
+
+
 @query("""WITH e AS (SELECT user_id % 40 AS bullet_id, event_type AS error_type, event_id % 25 AS sentence, event_id AS seq FROM events),
 o AS (SELECT bullet_id, error_type, sentence, seq FROM (SELECT *, row_number() OVER (PARTITION BY bullet_id, sentence ORDER BY seq DESC) AS r FROM e) WHERE r = 1),
 k AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY bullet_id, error_type ORDER BY seq DESC) > 1 THEN 1 ELSE 0 END AS of_type FROM o),

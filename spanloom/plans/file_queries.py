@@ -14,7 +14,7 @@ from spanloom.sources.scratch import through_files
 
 from .curate_queries import _RULES, counted_rules, rules
 from .derived import CANDIDATES_SQL, candidates, table
-from .score_queries import _ALL, _sweep_sql, features
+from .score_queries import _ALL, _CATEGORY, _GATED, _OUTCOME, _sweep_sql, audited, features
 from .text_queries import MENTIONS_SQL, mentions
 
 QUERIES, ORACLE = {}, {}
@@ -254,6 +254,18 @@ def k_sweep_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_files(spark, steps)
 
 
+@query(f"{_GATED}, a AS (SELECT doc_id, cand_id, {_OUTCOME} AS outcome, {_CATEGORY} AS category FROM gated) SELECT CAST(doc_id % 3 AS INTEGER) AS run_id, outcome, category, count(*) AS n FROM a GROUP BY ALL")
+def k_audit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows of three runs through Parquet."""
+    rows = audited(spark, sf_dir).select((F.col("doc_id") % 3).cast("int").alias("run_id"), "doc_id", "cand_id", "gold", "local", "answer", "final", "outcome", "category")
+
+    def steps(folder: str) -> DataFrame:
+        K.audit_rows(rows, folder)
+        return spark.read.parquet(folder).groupBy("run_id", "outcome", "category").agg(F.count("*").alias("n"))
+
+    return through_files(spark, steps)
+
+
 @query("SELECT CAST(doc_id % 4 AS INTEGER) AS subset, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents WHERE doc_id % 4 <> 3 GROUP BY ALL")
 def k_subset_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import scores as S
-from spanloom.functions.metrics import prf
+from spanloom.functions.metrics import by_system, deltas, prf, system_scores
 from spanloom.operators import sweep as X
 from spanloom.operators import vectors as V
 
@@ -236,6 +236,11 @@ def x_best_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.best(X.sweep(features(spark, sf_dir), _ALL))
 
 
+@query(_sweep_sql(X.optimum(), "SELECT * FROM metrics"))
+def x_named_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.sweep(features(spark, sf_dir), X.optimum())
+
+
 @query()
 def x_chained_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir).persist()
@@ -258,7 +263,7 @@ def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     rows = rows.withColumn("fused", S.unreliability(F.lit("prob_or"), c("u"), c("nv"), F.lit(0.3), F.lit(0.7)))
     tau = F.lit(0.9)
-    sure = (c("margin") >= 0.5) & (c("p_o") < 0.2)
+    sure = S.safe(c("margin"), c("p_o"))
     rows = rows.withColumn("escalated", S.escalates(F.lit("prob_or"), c("u"), c("nv"), c("fused"), tau, tau, tau) & ~sure)
     rows = rows.withColumn("challenge", S.challenge(c("p1"), c("p2"), c("margin"), c("p_o"), c("nv"), c("u")))
     return rows.withColumn("final", F.when(c("escalated"), S.vetoed(c("answer"), c("local"), c("margin"), c("p_o"), F.lit(0.05))).otherwise(c("local")))
@@ -280,8 +285,9 @@ def g_unreliability_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_GATED} SELECT cand_id, challenge, CASE WHEN challenge = 'TOP2_COMPETITION' THEN local || ',' || second ELSE 'ALL' END AS allowed, escalated, final, CASE WHEN NOT escalated THEN 'local' WHEN final = answer THEN 'answer' ELSE 'veto' END AS source FROM gated")
 def g_challenges_and_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    allowed = F.when(F.col("challenge") == "TOP2_COMPETITION", F.array_join(F.array("local", "second"), ",")).otherwise("ALL")
-    source = F.when(~F.col("escalated"), "local").when(F.col("final") == F.col("answer"), "answer").otherwise("veto")
+    allowed = S.allowed_labels(F.col("challenge"), F.col("local"), F.col("second"))
+    allowed = F.when(F.size(allowed) > 0, F.array_join(allowed, ",")).otherwise("ALL")
+    source = S.decision_source(F.col("escalated"), F.col("answer"), F.col("final"))
     return gated(spark, sf_dir).select("cand_id", "challenge", allowed.alias("allowed"), "escalated", "final", source.alias("source"))
 
 
@@ -325,16 +331,33 @@ m AS (SELECT system, class, count(*) FILTER (gold = class AND label = class) AS
 SELECT system, class, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1 FROM m""")
 def a_two_systems_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = gated(spark, sf_dir)
-    long = rows.select("gold", F.explode(F.array(*(F.struct(F.lit(s).alias("system"), F.col(s).alias("label")) for s in ("local", "final")))).alias("x")).select("gold", "x.*")
-    long = long.withColumn("class", F.explode(F.array_distinct(F.array("gold", "label")))).filter("class <> 'O'")
-    counts = long.groupBy("system", "class").agg(
-        F.count_if((F.col("gold") == F.col("class")) & (F.col("label") == F.col("class"))).alias("tp"),
-        F.count_if((F.col("gold") != F.col("class")) & (F.col("label") == F.col("class"))).alias("fp"),
-        F.count_if((F.col("gold") == F.col("class")) & (F.col("label") != F.col("class"))).alias("fn"),
-    )
+    counts = by_system(rows, ["local", "final"])
     return counts.select("*", *(v.alias(k) for k, v in prf(F.col("tp"), F.col("fp"), F.col("fn")).items()))
 
 
+_BY_SYSTEM = f"""{_GATED}, l AS (SELECT 'local' AS system, gold, local AS label FROM gated UNION ALL SELECT 'answer', gold, answer FROM gated UNION ALL SELECT 'final', gold, final FROM gated),
+x AS (SELECT system, gold, label, unnest(list_distinct([gold, label])) AS class FROM l),
+m AS (SELECT system, class, count(*) FILTER (gold = class AND label = class) AS tp, count(*) FILTER (gold <> class AND label = class) AS fp, count(*) FILTER (gold = class AND label <> class) AS fn FROM x WHERE class <> 'O' GROUP BY ALL),
+s AS (SELECT system, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, round(avg(round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END, 6)), 6) AS macro_f1 FROM m GROUP BY system),
+sc AS (SELECT system, tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1, macro_f1 FROM s)"""
+
+
+@query(f"{_BY_SYSTEM} SELECT * FROM sc")
+def a_system_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return system_scores(by_system(gated(spark, sf_dir), ["local", "answer", "final"]))
+
+
+@query(f"{_BY_SYSTEM} SELECT round(b.precision - a.precision, 6) AS precision, round(b.recall - a.recall, 6) AS recall, round(b.f1 - a.f1, 6) AS f1, round(b.macro_f1 - a.macro_f1, 6) AS macro_f1 FROM sc a, sc b WHERE a.system = 'local' AND b.system = 'final'")
+def a_system_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deltas(system_scores(by_system(gated(spark, sf_dir), ["local", "final"])), "local", "final")
+
+
+@query(f"""{_GATED}, a AS (SELECT {_CATEGORY} AS category FROM gated WHERE escalated) SELECT count(*) AS total, count(*) FILTER (category IN ('CATEGORY_CORRECTION', 'FALSE_NEGATIVE_RECOVERY', 'FALSE_POSITIVE_FILTER')) AS fixed, count(*) FILTER (category IN ('CLASS_OVERRIDE_ERROR', 'DROPPED_ENTITY')) AS ruined,
+count(*) FILTER (category IN ('CATEGORY_CORRECTION', 'FALSE_NEGATIVE_RECOVERY', 'FALSE_POSITIVE_FILTER')) - count(*) FILTER (category IN ('CLASS_OVERRIDE_ERROR', 'DROPPED_ENTITY')) AS net, count(*) FILTER (category = 'ARBITRATION_SHIELD') AS shielded, count(*) FILTER (category IN ('ARBITRATION_SHIELD', 'CONFIRMED_ENTITY')) AS confirmed, count(*) FILTER (category = 'CONFUSED_CATEGORY') AS confused FROM a""")
+def a_audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.audit_summary(audited(spark, sf_dir).filter("escalated"))
+
+
 @query(f"{_GATED} SELECT doc_id, count(*) AS n, count(*) FILTER (escalated) AS escalated, round(100.0 * count(*) FILTER (NOT escalated) / count(*), 6) AS saved_percent, count(*) FILTER (final = gold) AS right_final, count(*) FILTER (local = gold) AS right_local FROM gated GROUP BY doc_id")
 def a_document_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("escalated").alias("escalated"), r6(100.0 * F.count_if(~F.col("escalated")) / F.count("*")).alias("saved_percent"), F.count_if(F.expr("final = gold")).alias("right_final"), F.count_if(F.expr("local = gold")).alias("right_local"))
@@ -348,14 +371,14 @@ CASE WHEN s_right AND v2_right THEN 'both_correct' WHEN s_right THEN 'degradatio
 def gating_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two answers of each candidate against proposal and gold; only a gold entity can be answered right."""
     c = F.col
-    right = lambda x: (c(x) == c("gold")) & (c("gold") != "O")
+    right = lambda x: S.right(c(x), c("gold"))
     rows = candidates(spark, sf_dir).select("cand_id", right("local").alias("s_right"), right("answer").alias("v1_right"), right("second").alias("v2_right"), (c("answer") == c("second")).alias("agree"))
     return rows.withColumn("v1_outcome", S.pair_outcome(c("s_right"), c("v1_right"))).withColumn("v2_outcome", S.pair_outcome(c("s_right"), c("v2_right")))
 
 
 @query(f"{_PAIRS} SELECT cand_id, v1_outcome, v2_outcome, CAST(v1_right AS INTEGER) - CAST(s_right AS INTEGER) AS v1_benefit, s_right OR v1_right OR v2_right AS oracle FROM w")
 def o_pair_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gating_dataset(spark, sf_dir).select("cand_id", "v1_outcome", "v2_outcome", (F.col("v1_right").cast("int") - F.col("s_right").cast("int")).alias("v1_benefit"), (F.col("s_right") | F.col("v1_right") | F.col("v2_right")).alias("oracle"))
+    return gating_dataset(spark, sf_dir).select("cand_id", "v1_outcome", "v2_outcome", S.benefit(F.col("s_right"), F.col("v1_right")).alias("v1_benefit"), (F.col("s_right") | F.col("v1_right") | F.col("v2_right")).alias("oracle"))
 
 
 @query(f"""{_PAIRS} SELECT count(*) AS n, count(*) FILTER (s_right) AS local_right, count(*) FILTER (v1_right) AS v1_right, count(*) FILTER (v2_right) AS v2_right, count(*) FILTER (v1_outcome = 'rescue') AS rescues, count(*) FILTER (v1_outcome = 'degradation') AS degradations,

@@ -11,7 +11,8 @@ from spanloom.sources import sinks as K
 
 from .curate_queries import rules
 from .derived import table
-from .text_queries import MENTIONS_SQL, mentions, token_rows
+from .text_queries import _WINDOWS, MENTIONS_SQL, mentions, token_rows
+from .text_queries import _windows as windows
 
 QUERIES, ORACLE = {}, {}
 
@@ -56,6 +57,19 @@ def s_column_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.countDistinct("sent_id").alias("sentences"), F.count_if(F.col("cells")[0] != "O").alias("tagged"))
 
 
+@query(f"""WITH {MENTIONS_SQL}, {_WINDOWS}, kept AS (SELECT * FROM w a WHERE NOT EXISTS (SELECT 1 FROM w b WHERE b.doc_id = a.doc_id AND b.span_id <> a.span_id AND a.start < b."end" AND b.start < a."end" AND a."end" - a.start <= b."end" - b.start)),
+x AS (SELECT tok.*, k.label FROM tok LEFT JOIN (SELECT kept.*, gold.label FROM kept JOIN gold ON gold.doc_id = kept.doc_id AND gold.gold_id = kept.span_id) k ON k.doc_id = tok.doc_id AND tok.start < k."end" AND k.start < tok."end"),
+y AS (SELECT *, lag(label) OVER (PARTITION BY doc_id, sent_id ORDER BY pos) AS before FROM x), t AS (SELECT *, CASE WHEN label IS NULL THEN 'O' WHEN label IS NOT DISTINCT FROM before THEN 'I-' || label ELSE 'B-' || label END AS tag FROM y)
+SELECT doc_id, md5(string_agg(tag || chr(9) || start || chr(9) || "end" || chr(9) || token, chr(10) ORDER BY pos)) AS digest FROM t GROUP BY doc_id""")
+def s_corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and overlapping spans as column lines, one digest for each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gold = mentions(token_rows(spark, sf_dir))
+    spans = windows(gold).join(gold.select("doc_id", F.col("gold_id").alias("span_id"), "label"), ["doc_id", "span_id"])
+    lines = K.corpus_lines(docs, spans)
+    return lines.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n")).alias("digest"))
+
+
 @query("""WITH r AS (SELECT item_id, ['NUT', 'SLE', 'SUB', 'ENV'][item_id % 4 + 1] || '-' || lpad(CAST(item_id // 4 AS VARCHAR), 4, '0') AS b, ['Nutrition', 'Sleep', 'Substance_use', 'Environmental_exposures'][item_id % 4 + 1] AS section, text FROM benchmark)
 SELECT section, b AS bullet_id, '- [' || b || '] ' || text || ' (helpful 0, harmful 0)' AS line FROM r UNION ALL SELECT DISTINCT section, '', '## ' || section FROM r""")
 def k_rules_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:

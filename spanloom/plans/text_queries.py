@@ -181,6 +181,26 @@ def a_corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("label", "tp", "fp", "fn", *(v.alias(k) for k, v in prf(F.col("tp"), F.col("fp"), F.col("fn")).items()))
 
 
+@query(f"""WITH {MENTIONS_SQL}, k AS (SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, coalesce(g.label, p.label) AS label, count(g.gold_id) AS n_gold, count(p.pred_id) AS n_pred, count(*) FILTER (g.gold_id IS NOT NULL AND p.pred_id IS NOT NULL) AS tp FROM gold g FULL JOIN pred p ON p.doc_id = g.doc_id AND p.label = g.label AND p.start = g.start AND p."end" = g."end" GROUP BY ALL),
+s AS (SELECT doc_id, label, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(n_pred - tp) AS BIGINT) AS fp, CAST(sum(n_gold - tp) AS BIGINT) AS fn FROM k GROUP BY GROUPING SETS ((doc_id), (label), ()))
+SELECT *, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1 FROM s""")
+def a_scores_by_file_and_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact scores of each document, of each class and of all, as grouping sets of one aggregation."""
+    by = M.agreement(*both(spark, sf_dir), mode="exact", by=["doc_id", "label"])
+    sums = by.groupingSets([["doc_id"], ["label"], []], "doc_id", "label").agg(F.sum("tp_gold").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    return sums.select("doc_id", "label", "tp", "fp", "fn", *(v.alias(k) for k, v in prf(F.col("tp"), F.col("fp"), F.col("fn")).items()))
+
+
+@query(f"""WITH {MENTIONS_SQL}, {_TAGS} SELECT doc_id, label, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts FROM tagged WHERE tag LIKE 'B-%' GROUP BY ALL""")
+def t_realigned_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of a text laid out with other white space, put back on the text's own offsets; B tags of each class."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = T.tokens(docs)
+    tagged = T.spans_to_tags(rows, mentions(rows).withColumnRenamed("gold_id", "span_id").select("doc_id", "span_id", "start", "end", "label"))
+    back = T.realigned(tagged.select("doc_id", "pos", "token", "tag"), docs).filter("aligned and tag like 'B-%'")
+    return back.groupBy("doc_id", F.substring("tag", 3, 10).alias("label")).agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
+
+
 def _windows(gold: DataFrame) -> DataFrame:
     """Overlapping spans: each mention, and from every third a longer one that reaches over what follows."""
     wide = F.when(F.col("gold_id") % 3 == 0, 25).otherwise(0)

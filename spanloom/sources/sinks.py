@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.text import eliminate_overlaps, spans_to_tags
+from spanloom.operators.text import tokens as tokens_of
+
 
 def standoff_lines(entities: DataFrame) -> DataFrame:
     """(doc_id, n, line): T lines with running ids in each document. entities: (doc_id, start, end, label, text)."""
@@ -91,3 +94,13 @@ def write_sweeps(metrics: DataFrame, best: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").partitionBy("sweep").csv(f"{path}/sweeps", header=True)
     best.write.mode("overwrite").json(f"{path}/best")
     metrics.groupBy("sweep").agg(F.count("*").alias("runs"), F.max("macro_f1").alias("best_f1"), F.round(F.avg("macro_f1"), 6).alias("mean_f1")).write.mode("overwrite").json(f"{path}/summary")
+
+
+def corpus_lines(docs: DataFrame, spans: DataFrame, offsets: bool = True) -> DataFrame:
+    """(doc_id, sent_id, pos, line) of a corpus: texts cut into tokens, overlapping spans dropped, the others as tags."""
+    return column_lines(spans_to_tags(tokens_of(docs), eliminate_overlaps(spans)), offsets)
+
+
+def audit_rows(audited: DataFrame, path: str) -> None:
+    """Rows of an audit (run_id, doc_id, candidate, labels, outcome, category) as Parquet, a folder for each run."""
+    audited.write.mode("overwrite").partitionBy("run_id").parquet(path)
