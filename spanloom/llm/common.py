@@ -104,6 +104,17 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW_KEY, F.xxhash64(docs["doc_id"].isNull(), docs["doc_id"], docs["text"].isNull(), docs["text"]))
 
 
+_held: dict[str, dict] = {}
+
+
+def cache_of(operator: str) -> dict:
+    """The cache of one operator in this Python worker. Workers outlive stages, so the others' are emptied."""
+    for name, cache in _held.items():
+        if name != operator:
+            cache.clear()
+    return _held.setdefault(operator, {})
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts of an Arrow string column as UTF-8 bytes; null becomes empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, Scratch, cut, table, utf8, with_row_key
+from .common import ROW_KEY, Scratch, cache_of, cut, table, utf8, with_row_key
 
 #: A passage is BLOCK_WORDS * a power of two words long, LEAST_SPAN blocks at least, and starts at every block of its
 #: document; an item is sought in passages of the least span that is as long as it.
@@ -113,6 +113,7 @@ class _Numbers(dict):
 
 def _number(batches, numbers: dict[bytes, int]):
     """Documents as term numbers, packed as integers of the least width."""
+    cache_of("decontamination")
     number, width = _Numbers(numbers).__getitem__, _width(len(numbers))
     for batch in batches:
         coded = [np.array(list(map(number, plain_words(t))), width).tobytes() for t in utf8(batch.column(1))]

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, Scratch, bounded, cut, per_batch, table, utf8, with_row_key, words
+from .common import ROW_KEY, Scratch, bounded, cache_of, cut, per_batch, table, utf8, with_row_key, words
 
 SHINGLE_WORDS = 5
 #: A link needs 100 * intersection >= SIMILARITY * union.
@@ -23,7 +23,7 @@ PERMUTATIONS, BANDS = 100, 40
 #: Permutations of the sketch that tells apart the few nodes left unsettled (two bytes each), and its slack in standard deviations.
 SKETCH_PERMUTATIONS, SKETCH_SLACK = 512, 5.0
 #: Nodes of a bucket that meet in one task, on either side.
-MEETING = 1_024
+MEETING = 4_096
 #: A bucket of more than LARGE entries and a LARGE_SHARE of all of them is cut into parts, each with a pivot of its own.
 LARGE, LARGE_SHARE = 512, 1e-4
 _ODD = np.random.default_rng(7).integers(1, 2**63, size=4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,6 +84,7 @@ _SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), (
 
 
 def _sign(batches, size, permutations, bands):
+    cache_of("minhash")
     hashes = _WordHashes()
     for batch in batches:
         counts, first, second, keys = [], [], [], []

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, cut, table
+from .common import Scratch, bounded, cache_of, cut, table
 
 CAPACITY = 2048
 #: A bin with at most this much room is emitted at once.
@@ -33,7 +33,6 @@ PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 _ADJOINING = re.compile(r" \s|\s ")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _RARE = re.compile(r"[\x1c-\x1f\x85ɐ-\U0010ffff]|<\|")
-_encoders: dict[str, Encoder] = {}
 
 
 def _byte_letters() -> list[str]:
@@ -116,9 +115,10 @@ class Encoder:
 
 
 def encoder(name: str) -> Encoder:
-    if name not in _encoders:
-        _encoders[name] = Encoder(name)
-    return _encoders[name]
+    encoders = cache_of("packing")
+    if name not in encoders:
+        encoders[name] = Encoder(name)
+    return encoders[name]
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

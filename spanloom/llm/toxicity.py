@@ -18,7 +18,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, held_out, per_batch, table
+from .common import Scratch, cache_of, held_out, per_batch, table
 from .minhash import _WordHashes, shingle_hashes
 
 #: Labelled rows to fit on, at most: the first in hash order.
@@ -151,16 +151,13 @@ def _featurise(batch: pa.RecordBatch, lexicon: frozenset[str]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([*(batch.column(x) for x in batch.schema.names if x != "text"), pa.array([x.tolist() for x in rows], pa.list_(pa.float64()))], names=[*(x for x in batch.schema.names if x != "text"), "features"])
 
 
-_kept: dict[int, tuple[frozenset[str], _Codes]] = {}
-
-
 def _codes(lexicon: frozenset[str]) -> _Codes:
     """One cache of codes for each lexicon in a worker."""
-    key = hash(lexicon)
-    if key not in _kept or _kept[key][0] != lexicon:
-        _kept.clear()
-        _kept[key] = (lexicon, _Codes(lexicon))
-    return _kept[key][1]
+    kept, key = cache_of("toxicity"), hash(lexicon)
+    if key not in kept or kept[key][0] != lexicon:
+        kept.clear()
+        kept[key] = (lexicon, _Codes(lexicon))
+    return kept[key][1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", training_rows: int = TRAINING_ROWS, seed: int = 11) -> ToxicityModel:
