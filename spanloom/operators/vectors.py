@@ -2,95 +2,61 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.scores import logistic
+from spanloom.sources.scratch import kept
 
-#: Rows of a shard of references and of a block of queries: what meets in a task.
-SHARD_ROWS, BLOCK_ROWS = 8_192, 1_024
-
-
-def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
-    rows = column.combine_chunks()
-    out = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
-    norms = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norms == 0, 1e-10, norms)
-
-
-def _meet(k: int, exclude_self: bool):
-    def meet(asked: pa.Table, refs: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("ref_id", pa.int64()), ("ref_label", pa.string()), ("distance", pa.float64())])
-        if not asked.num_rows or not refs.num_rows:
-            return schema.empty_table()
-        q, r = _unit_rows(asked["v"]), _unit_rows(refs["ref_v"])
-        ids, labels = refs["ref_id"].to_numpy(), np.array(refs["ref_label"].to_pylist(), object)
-        wanted = asked["wanted"].to_pylist()
-        near = np.clip(1 - q @ r.T, 0.0, 2.0)
-        out = []
-        for i, (own, classes) in enumerate(zip(asked["id"].to_pylist(), wanted, strict=True)):
-            row = near[i]
-            use = np.arange(len(ids))
-            if exclude_self:
-                use = use[ids != own]
-            for name in classes if classes is not None else [None]:
-                mine = use if name is None else use[labels[use] == name]
-                if len(mine) > k:
-                    mine = mine[row[mine] <= np.partition(row[mine], k - 1)[k - 1]]  # all that tie with the kth stay
-                best = mine[np.lexsort((ids[mine], row[mine]))[:k]]
-                out += [(own, int(ids[j]), labels[j], float(row[j])) for j in best]
-        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else schema.empty_table()
-
-    return meet
+from .neighbours import BLOCK_ROWS, SHARD_ROWS, PivotIndex, best, meet
 
 
 def nearest(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool = False, by_class: bool = False) -> DataFrame:
     """query_id, rank, ref_id, ref_label, distance: the ``k`` references at the least cosine distance, ties to smaller ids.
 
     queries: (id, v) and, with ``by_class``, ``wanted``: the labels that get k
-    references each. refs: (id, label, v). Both are dealt by hash into parts of
-    bounded size that meet in pairs; each pair returns its own best.
+    references each. refs: (id, label, v). References that fit one task meet the
+    queries in blocks; more of them are searched through a pivot index.
     """
-    n_refs, n_queries = refs.count(), queries.count()
-    shards, blocks = max(1, -(-n_refs // SHARD_ROWS)), max(1, -(-n_queries // BLOCK_ROWS))
+    if refs.count() > SHARD_ROWS:
+        return PivotIndex(refs, k).search(queries, exclude_self, by_class)
+    blocks = max(1, -(-queries.count() // BLOCK_ROWS))
     wanted = F.col("wanted") if by_class else F.lit(None).cast("array<string>")
-    left = queries.select("id", "v", wanted.alias("wanted"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    right = refs.select(F.col("id").alias("ref_id"), F.col("label").cast("string").alias("ref_label"), F.col("v").alias("ref_v"), F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = right.withColumns({"block": F.col("block").cast("long"), "shard": F.col("shard").cast("long")})
-    left = left.withColumns({"block": F.col("block").cast("long"), "shard": F.col("shard").cast("long")})
-    found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(_meet(k, exclude_self), "query_id long, ref_id long, ref_label string, distance double")
-    key = ["query_id", "ref_label"] if by_class else ["query_id"]
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("distance", "ref_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    left = queries.select("id", "v", wanted.alias("wanted"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long").alias("block"))
+    right = refs.select(F.col("id").alias("ref_id"), F.col("label").cast("string").alias("ref_label"), F.col("v").alias("ref_v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    return best(left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(meet(k, exclude_self), "query_id long, ref_id long, ref_label string, distance double"), k, by_class)
+
+
+def _means(found: DataFrame) -> DataFrame:
+    return found.groupBy(F.col("query_id").alias("id")).agg(F.avg("distance").alias("knn"))
 
 
 def knn_distance(queries: DataFrame, refs: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:
     """(id, knn): mean distance to the k nearest references."""
-    return nearest(queries, refs, k, exclude_self).groupBy(F.col("query_id").alias("id")).agg(F.avg("distance").alias("knn"))
+    return _means(nearest(queries, refs, k, exclude_self))
 
 
-def local_outlier_factor(queries: DataFrame, refs: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:
-    """(id, lof) of queries against references; the references' own densities leave each point out.
+def _densities(pairs: DataFrame, reach: DataFrame) -> DataFrame:
+    return pairs.join(reach, "ref_id").groupBy("query_id").agg((1 / (F.avg(F.greatest("distance", "k_distance")) + 1e-10)).alias("lrd"))
 
-    Where the queries are the references and leave themselves out, one search
-    serves both. Every reference meets every other: the cost is quadratic in
-    their number, in tasks of bounded size.
-    """
-    among = nearest(refs.select("id", "v"), refs, k, exclude_self=True)
+
+def _outlier_factors(pairs: DataFrame, among: DataFrame) -> DataFrame:
+    """Factors of the queries of ``pairs``, from the references' neighbours ``among`` themselves."""
     reach = among.groupBy(F.col("query_id").alias("ref_id")).agg(F.max("distance").alias("k_distance"))
+    own = _densities(among, reach).select(F.col("query_id").alias("ref_id"), F.col("lrd").alias("ref_lrd"))
+    return pairs.join(own, "ref_id").groupBy("query_id").agg(F.avg("ref_lrd").alias("m")).join(_densities(pairs, reach), "query_id").select(F.col("query_id").alias("id"), (F.col("m") / F.col("lrd")).alias("lof"))
 
-    def density(pairs: DataFrame) -> DataFrame:
-        return pairs.join(reach, "ref_id").groupBy("query_id").agg((1 / (F.avg(F.greatest("distance", "k_distance")) + 1e-10)).alias("lrd"))
 
-    lrd = density(among)
-    own = lrd.select(F.col("query_id").alias("ref_id"), F.col("lrd").alias("ref_lrd"))
-    pairs, asked = (among, lrd) if queries is refs and exclude_self else (nearest(queries, refs, k, exclude_self), None)
-    asked = density(pairs) if asked is None else asked
-    return pairs.join(own, "ref_id").groupBy("query_id").agg(F.avg("ref_lrd").alias("m")).join(asked, "query_id").select(F.col("query_id").alias("id"), (F.col("m") / F.col("lrd")).alias("lof"))
+def local_outlier_factor(queries: DataFrame, refs: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:
+    """(id, lof) of queries against references; the references' own densities leave each point out.
+
+    Where the queries are the references and leave themselves out, one search serves both.
+    """
+    among = kept(nearest(refs.select("id", "v"), refs, k, exclude_self=True))
+    pairs = among if queries is refs and exclude_self else kept(nearest(queries, refs, k, exclude_self))
+    return _outlier_factors(pairs, among)
 
 
 def calibration(scores: DataFrame, column: str) -> DataFrame:
@@ -102,12 +68,17 @@ def novelty(queries: DataFrame, refs: DataFrame, k: int = 10, alpha: float = 0.5
     """(id, knn, lof, raw, novelty): the combined score, calibrated on the references' own scores.
 
     In the calibration each reference is its own neighbour at distance 0;
-    ``exclude_self`` leaves queries that are references out of their own neighbours.
+    ``exclude_self`` leaves queries that are references out of their own
+    neighbours. One search of the references for k + 1 neighbours gives those
+    with and without themselves, and serves the queries too where they are the references.
     """
-    both = lambda rows, own: knn_distance(rows, refs, k, own).join(local_outlier_factor(rows, refs, k, own), "id").withColumn("raw", alpha * F.col("knn") + (1 - alpha) * F.col("lof"))
-    mean, deviation = calibration(both(refs.select("id", "v"), False), "raw").first() or (None, None)
-    found = both(queries, exclude_self)
-    return found.withColumn("novelty", logistic(F.col("raw"), F.lit(mean or 0.0), F.lit(deviation or 0.0)))
+    both = kept(nearest(refs.select("id", "v"), refs, k + 1))
+    among = kept(best(both.filter("query_id <> ref_id").drop("rank"), k, False))
+    itself = both.filter(F.col("rank") <= k)
+    asked = (among if exclude_self else itself) if queries is refs else kept(nearest(queries, refs, k, exclude_self))
+    score = lambda pairs: _means(pairs).join(_outlier_factors(pairs, among), "id").withColumn("raw", alpha * F.col("knn") + (1 - alpha) * F.col("lof"))
+    mean, deviation = calibration(score(itself), "raw").first() or (None, None)
+    return score(asked).withColumn("novelty", logistic(F.col("raw"), F.lit(mean or 0.0), F.lit(deviation or 0.0)))
 
 
 def centroid_distance(vectors: DataFrame, refs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from spanloom.functions import scores as S
 from spanloom.functions.metrics import by_system, deltas, prf, system_scores
 from spanloom.operators import sweep as X
 from spanloom.operators import vectors as V
+from spanloom.operators.neighbours import PivotIndex
 
 from .derived import CANDIDATES_SQL, REFERENCES_SQL, candidates, class_name, references, table
 
@@ -139,6 +140,14 @@ def v_nearest_representation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query_id").alias("id"), "ref_id", "rank", r6(1 - F.col("distance")).alias("similarity"))
 
 
+@query(f"{_KNN} SELECT id, ref_id, rank, round(distance, 6) AS distance FROM n WHERE rank <= 5")
+def v_pivot_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through the pivot index at any size of the table, with small shards."""
+    rows = references(spark, sf_dir)
+    found = PivotIndex(rows, 5, rows=64).search(rows, exclude_self=True)
+    return found.select(F.col("query_id").alias("id"), "ref_id", "rank", r6("distance").alias("distance"))
+
+
 @query(f"""{_KNN}, t AS (SELECT *, 1 - distance AS s FROM n WHERE rank <= 3)
 SELECT id, ref_id, rank, round(s, 6) AS similarity, max(s) OVER (PARTITION BY id) >= 0.45 AS duplicate FROM t""")
 def j_similar_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
