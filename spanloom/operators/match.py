@@ -1,4 +1,4 @@
-"""Matching predicted against gold spans: joins within a document and order-dependent one-to-one folds.
+"""Matching predicted against gold spans: joins within a document, and order-dependent one-to-one matching by a sweep.
 
 Frames: gold (doc_id, gold_id, start, end, label, text), predictions the same with pred_id.
 """
@@ -12,6 +12,7 @@ from spanloom.functions.labels import active, normal_text
 from spanloom.functions.metrics import ratio
 from spanloom.functions.scores import token_error
 
+from .folds import matched
 from .ranges import overlapping
 from .text import chunks
 
@@ -53,21 +54,10 @@ def one_to_one(gold: DataFrame, predicted: DataFrame, mode: str = "strict") -> D
 
     strict: equal offsets, or equal text and start. nested: start may slip by
     one for equal text. partial: overlap, or containment within five characters.
-    exact and overlap look at offsets only.
-    The joined pairs are folded per document and label, carrying the golds already taken.
+    exact and overlap look at offsets only. One sweep over a document's islands
+    of overlapping spans; no pairs are formed.
     """
-    same = normal_text(F.col("p_text")) == normal_text(F.col("g_text"))
-    exact = F.expr("p_start = g_start and p_end = g_end")
-    slip = F.abs(F.expr("p_start - g_start"))
-    rule = {"strict": exact | (same & (slip == 0)), "nested": exact | (same & (slip <= 1)), "partial": overlap() | (contains() & (slip <= 5)), "exact": exact, "overlap": overlap()}[mode]
-    reach = {"nested": 1, "partial": 5}.get(mode, 0)
-    pairs = _sides(gold, predicted, reach).filter(F.expr("p_label = g_label") & rule)
-    ordered = pairs.groupBy("doc_id", "p_label").agg(F.array_sort(F.collect_list(F.struct("p_start", "pred_id", "g_start", "gold_id"))).alias("pairs"))
-    empty = F.struct(F.array().cast("array<bigint>").alias("p"), F.array().cast("array<bigint>").alias("g"))
-    step = lambda a, x: F.when(F.array_contains(a.p, x.pred_id.cast("long")) | F.array_contains(a.g, x.gold_id.cast("long")), a).otherwise(F.struct(F.array_append(a.p, x.pred_id.cast("long")).alias("p"), F.array_append(a.g, x.gold_id.cast("long")).alias("g")))
-    tp = ordered.select("doc_id", F.size(F.aggregate("pairs", empty, step).p).alias("tp")).groupBy("doc_id").agg(F.sum("tp").alias("tp"))
-    counts = gold.groupBy("doc_id").agg(F.count("*").alias("n_gold")).join(predicted.groupBy("doc_id").agg(F.count("*").alias("n_pred")), "doc_id", "full_outer")
-    rows = counts.join(tp, "doc_id", "left").select("doc_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_gold", "n_pred", "tp")))
+    rows = matched(gold, predicted, (mode,)).withColumnRenamed(f"tp_{mode}", "tp")
     return rows.withColumn("fp", F.col("n_pred") - F.col("tp")).withColumn("fn", F.col("n_gold") - F.col("tp"))
 
 
@@ -76,12 +66,7 @@ def mention_coverage(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
     Covered: overlap, or containment within five characters; a prediction's first gold counts.
     """
-    near = overlap() | (contains() & (F.abs(F.expr("p_start - g_start")) <= 5))
-    pairs = _sides(gold, predicted, 5).filter(F.expr("p_label = g_label") & near)
-    first = pairs.groupBy("doc_id", "pred_id").agg(F.min_by("gold_id", F.struct("g_start", "gold_id")).alias("gold_id"))
-    found = first.groupBy("doc_id").agg(F.count("*").alias("tp"), F.countDistinct("gold_id").alias("covered"))
-    counts = gold.groupBy("doc_id").agg(F.count("*").alias("n_gold")).join(predicted.groupBy("doc_id").agg(F.count("*").alias("n_pred")), "doc_id", "full_outer")
-    return counts.join(found, "doc_id", "left").select("doc_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_gold", "n_pred", "tp", "covered")))
+    return matched(gold, predicted, ("mention",)).withColumnRenamed("tp_mention", "tp")
 
 
 def coverage_scores(covered: DataFrame) -> DataFrame:
@@ -94,14 +79,12 @@ def coverage_scores(covered: DataFrame) -> DataFrame:
 
 
 def formulations(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(formulation, tp, fp, fn, n_pred, n_gold, covered, precision, recall, f1) of a corpus: strict, nested, partial and mention."""
-    sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn", "n_pred", "n_gold", "covered")]
-    rows = None
-    for mode in ("strict", "nested", "partial"):
-        now = one_to_one(gold, predicted, mode).withColumn("covered", F.col("tp")).agg(*sums).withColumn("formulation", F.lit(mode))
-        rows = now if rows is None else rows.unionByName(now)
-    mention = mention_coverage(gold, predicted).withColumn("fp", F.col("n_pred") - F.col("tp")).withColumn("fn", F.col("n_gold") - F.col("covered"))
-    rows = rows.unionByName(mention.agg(*sums).withColumn("formulation", F.lit("mention")))
+    """(formulation, tp, fp, fn, n_pred, n_gold, covered, precision, recall, f1) of a corpus: strict, nested, partial and mention, from one sweep."""
+    modes = ("strict", "nested", "partial", "mention")
+    sums = matched(gold, predicted, modes).agg(*(F.sum(c).alias(c) for c in ("n_gold", "n_pred", "covered", *(f"tp_{m}" for m in modes))))
+    of = lambda m: F.struct(F.lit(m).alias("formulation"), F.col(f"tp_{m}").alias("tp"), F.col("covered" if m == "mention" else f"tp_{m}").alias("covered"))
+    rows = sums.select("n_gold", "n_pred", F.explode(F.array(*map(of, modes))).alias("x")).select("n_gold", "n_pred", "x.*")
+    rows = rows.withColumn("fp", F.col("n_pred") - F.col("tp")).withColumn("fn", F.col("n_gold") - F.col("covered"))
     rows = rows.withColumn("p", ratio(F.col("tp"), F.col("n_pred"))).withColumn("r", ratio(F.col("covered"), F.col("n_gold")))
     f1 = ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r"))
     return rows.select("formulation", "tp", "fp", "fn", "n_pred", "n_gold", "covered", F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"), F.round(f1, 6).alias("f1"))
@@ -115,9 +98,9 @@ def document_scores(gold: DataFrame, predicted: DataFrame, documents: DataFrame)
     are left out of the counts, but not of that question.
     """
     named = lambda rows: rows.filter(active(F.col("label")))
-    exact, partial = (one_to_one(named(gold), named(predicted), mode).select("doc_id", F.col("tp").alias(mode), *(() if mode == "overlap" else ("n_gold", "n_pred"))) for mode in ("exact", "overlap"))
+    found = matched(named(gold), named(predicted), ("exact", "overlap")).withColumnsRenamed({"tp_exact": "exact", "tp_overlap": "overlap"})
     any_of = lambda rows, name: rows.groupBy("doc_id").agg(F.count("*").alias(name))
-    rows = documents.select("doc_id").join(any_of(gold, "golds"), "doc_id", "left").join(any_of(predicted, "preds"), "doc_id", "left").join(exact, "doc_id", "left").join(partial, "doc_id", "left").na.fill(0)
+    rows = documents.select("doc_id").join(any_of(gold, "golds"), "doc_id", "left").join(any_of(predicted, "preds"), "doc_id", "left").join(found, "doc_id", "left").na.fill(0)
     no_gold, no_pred = F.col("golds") == 0, F.col("preds") == 0
 
     def scores(tp: str, prefix: str) -> list[Column]:

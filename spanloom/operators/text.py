@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import suppressed
 from .ranges import overlapping
 
 #: Tokens of an Arrow batch at most, but for a longer document.
@@ -168,14 +169,8 @@ def suppress(spans: DataFrame, order: str = "length") -> DataFrame:
 
     order: ``length`` (longest, then likeliest) or ``probability`` (likeliest,
     then longest); then start and id. Rows need doc_id, span_id, start, end, p.
-    A fold over the document's spans, which are few, inside the JVM.
+    Spans are folded an island of overlapping ones at a time.
     """
-    size, p = F.col("end") - F.col("start"), F.coalesce(F.col("p"), F.lit(0.0))
-    key = (-size, -p) if order == "length" else (-p, -size.cast("double"))
-    item = F.struct(key[0].cast("double").alias("k1"), key[1].cast("double").alias("k2"), F.col("start"), F.col("span_id"), F.col("end"))
-    rows = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    empty = F.array().cast("array<struct<k1:double,k2:double,start:bigint,span_id:bigint,end:bigint>>")
-    clear = lambda kept, x: ~F.exists(kept, lambda y: (y.start < x.end) & (x.start < y.end))
-    as_long = F.transform("all", lambda x: F.struct(x.k1.alias("k1"), x.k2.alias("k2"), x.start.cast("long").alias("start"), x.span_id.cast("long").alias("span_id"), x.end.cast("long").alias("end")))
-    kept = F.aggregate(as_long, empty, lambda a, x: F.when(clear(a, x), F.array_append(a, x)).otherwise(a))
-    return rows.select("doc_id", F.explode(kept).alias("x")).select("doc_id", F.col("x.span_id").alias("span_id"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+    size, p = (F.col("start") - F.col("end")).cast("double"), -F.coalesce(F.col("p").cast("double"), F.lit(0.0))
+    first, second = (size, p) if order == "length" else (p, size)
+    return suppressed(spans.withColumn("k1", first).withColumn("k2", second))
