@@ -27,7 +27,7 @@ from .packing import _RARE, PRETOKENS, _byte_letters
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block, and words that a worker keeps aligned.
-BLOCK_BYTES, KEPT_WORDS = 8 << 20, 500_000
+BLOCK_BYTES, KEPT_WORDS = 4 << 20, 300_000
 #: An id pair is one number: the first id times this plus the second.
 _SECOND_IDS = 1 << 31
 _MARK = "▁"
@@ -200,9 +200,15 @@ def _aligner(first: str, second: str) -> Aligner:
     return held[first, second]
 
 
-_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
-_BLOCK = pa.schema([("block", pa.int64()), ("doc_id", _LONGS), *((c, _LONGS) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.list_(pa.string())), ("doc", _INTS), ("entry", _INTS), ("times", _LONGS), ("of_entry", _INTS), ("of_pair", _INTS), ("pairs", _LONGS), ("counts", _LONGS)])
-_BLOCK_DDL = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, doc array<int>, entry array<int>, times array<long>, of_entry array<int>, of_pair array<int>, pairs array<long>, counts array<long>"
+_LONGS = pa.list_(pa.int64())
+#: Results of a block's documents; then, packed as little-endian 32-bit numbers: distinct entries of each document and their times, pairs of each entry.
+_RESULTS, _PACKED = ("n_a", "n_b", "n_groups", "n_links"), ("entries_of", "entry", "times", "pairs_of", "pair")
+_BLOCK = pa.schema([("block", pa.int64()), ("doc_id", _LONGS), *((c, _LONGS) for c in _RESULTS), ("groups_sha256", pa.list_(pa.string())), *((c, pa.binary()) for c in _PACKED), ("pairs", _LONGS), ("counts", _LONGS)])
+_BLOCK_DDL = ", ".join(["block long", "doc_id array<long>", *(f"{c} array<long>" for c in _RESULTS), "groups_sha256 array<string>", *(f"{c} binary" for c in _PACKED), "pairs array<long>", "counts array<long>"])
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return x.astype("<i4").tobytes()
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -251,7 +257,8 @@ def _block(number: int, ids: list, texts: list[str], aligner: Aligner) -> pa.Rec
         out = np.zeros(len(ids), np.int64)
         np.add.at(out, doc, times * values[entries][entry])
         sums.append(out)
-    columns = [[number], [ids], *([x] for x in sums), [shas], [doc.astype(np.int32)], [entry.astype(np.int32)], [times.astype(np.int64)], [of_entry.astype(np.int32)], [of_pair.astype(np.int32)], [pairs], [counts]]
+    packed = map(_packed, (np.bincount(doc, minlength=len(ids)), entry, times, sizes, of_pair))
+    columns = [[number], [ids], *([x] for x in sums), [shas], *([x] for x in packed), [pairs], [counts]]
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _BLOCK, strict=True)], schema=_BLOCK)
 
 
@@ -274,21 +281,22 @@ _FOUND = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 
 def _weighed(blocks: pa.Table, pairs: pa.Table) -> pa.Table:
     """The documents of a block, with the corpus-wide counts of its pairs."""
-    row = blocks.slice(0, 1)
-    of = lambda name: row[name].combine_chunks()[0].values
-    ids = of("doc_id")
-    out = [ids, *(of(c) for c in ("n_a", "n_b", "n_groups", "n_links"))]
+    cache_of("alignment-weights")  # the tokenizers and words of the stage before go
+    of = lambda name: blocks[name].combine_chunks()[0]
+    entries_of, entry, times, pairs_of, pair = (np.frombuffer(of(c).as_buffer(), "<i4") for c in _PACKED)
+    ids = of("doc_id").values
+    doc = np.repeat(np.arange(len(ids)), entries_of)
+    of_entry = np.repeat(np.arange(len(pairs_of)), pairs_of)
     at = pairs["place"].to_numpy()
-    doc, entry, times, of_entry, of_pair = (of(c).to_numpy() for c in ("doc", "entry", "times", "of_entry", "of_pair"))
+    out = [ids, *(of(c).values for c in _RESULTS)]
     for name in ("best", "total"):
-        value = np.zeros(max(1, len(at)), np.int64)
+        value = np.zeros(len(at), np.int64)
         value[at] = pairs[name].to_numpy()
-        by_entry = np.zeros(int(of_entry.max(initial=-1)) + 1, np.int64)
-        np.add.at(by_entry, of_entry, value[of_pair])
-        by_doc = np.zeros(len(ids), np.int64)
+        by_entry, by_doc = np.zeros(len(pairs_of), np.int64), np.zeros(len(ids), np.int64)
+        np.add.at(by_entry, of_entry, value[pair])
         np.add.at(by_doc, doc, times * by_entry[entry])
         out.append(pa.array(by_doc))
-    return pa.table([*out, of("groups_sha256")], names=[x.split()[0] for x in _FOUND.split(", ")])
+    return pa.table([*out, of("groups_sha256").values], names=[x.split()[0] for x in _FOUND.split(", ")])
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first: str = FIRST, second: str = SECOND) -> DataFrame:
@@ -307,7 +315,8 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first
         highest = totals.groupBy("b").agg(F.max("total").alias("highest"))
         weights = scratch.save(totals.join(highest, "b").select("pair", "total", (F.col("total") == F.col("highest")).cast("long").alias("best")), "weights")
         weighed = scratch.save(pairs.join(weights, "pair").select("block", "place", "total", "best"), "weighed")
-        return cut(blocks.groupBy("block").cogroup(weighed.groupBy("block")).applyInArrow(_weighed, _FOUND))
+        told = blocks.drop("pairs", "counts")
+        return cut(told.groupBy("block").cogroup(weighed.groupBy("block")).applyInArrow(_weighed, _FOUND))
 
 
 def op13_galloping_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
