@@ -66,6 +66,27 @@ def meet(k: int, exclude_self: bool):
     return best_of
 
 
+def first_near(distance: float, before: bool):
+    """The least reference id of the query's label within ``distance``, for each query of a block that has one; with ``before`` below its own id."""
+
+    def least(asked: pa.Table, refs: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", pa.int64()), ("ref_id", pa.int64()), ("ref_label", pa.string()), ("distance", pa.float64())])
+        if not asked.num_rows or not refs.num_rows:
+            return schema.empty_table()
+        ids, labels = refs["ref_id"].to_numpy(), np.array(refs["ref_label"].to_pylist(), object)
+        own = np.array([w[0] for w in asked["wanted"].to_pylist()], object)
+        near = np.clip(1 - unit_rows(asked["v"]) @ unit_rows(refs["ref_v"]).T, 0.0, 2.0)
+        fits = (near <= distance) & (own[:, None] == labels[None, :])
+        if before:
+            fits &= ids[None, :] < asked["id"].to_numpy()[:, None]
+        order = np.argsort(ids)
+        at = order[fits[:, order].argmax(axis=1)]
+        some = np.flatnonzero(fits.any(axis=1))
+        return pa.table([asked["id"].take(pa.array(some)), pa.array(ids[at[some]]), pa.array(own[some], pa.string()), pa.array(near[some, at[some]])], schema=schema)
+
+    return least
+
+
 def best(found: DataFrame, k: int, by_class: bool) -> DataFrame:
     key = ["query_id", "ref_label"] if by_class else ["query_id"]
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("distance", "ref_id"))).filter(F.col("rank") <= k)
@@ -170,8 +191,8 @@ class PivotIndex:
         self.refs = kept(ringed.join(F.broadcast(numbers), ["cell", "ring", "part"]).select("shard", "ref_id", "ref_label", "ref_v"))
         self.met = 0
 
-    def _visit(self, asked: DataFrame, first: int, until: int | None, exclude_self: bool) -> DataFrame:
-        """The best of the shards that the queries (id, v, wanted, kth) still have to visit."""
+    def _visit(self, asked: DataFrame, first: int, until: int | None, meeting) -> DataFrame:
+        """What ``meeting`` finds in the shards that the queries (id, v, wanted, kth) still have to visit."""
         kind = asked.schema["v"].dataType.simpleString()
         visits = kept(asked.mapInArrow(_routed(self.pivots, self.shards, first, until), f"id long, v {kind}, wanted array<string>, shard int"))
         sizes = visits.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"), F.count("*").alias("n"))
@@ -180,7 +201,17 @@ class PivotIndex:
         sizes = F.broadcast(sizes.drop("n"))
         left = visits.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).drop("blocks")
         right = self.refs.join(sizes, "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
-        return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(meet(self.k, exclude_self), _FOUND)
+        return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(meeting, _FOUND)
+
+    def near(self, queries: DataFrame, distance: float, before: bool = False) -> DataFrame:
+        """(query_id, ref_id): the least reference of a query's label within ``distance``, for queries (id, label, v) that have one.
+
+        Only existence is asked: a shard returns one row for a query, however many are near.
+        """
+        if not len(self.shards.cell):
+            return queries.sparkSession.createDataFrame([], "query_id long, ref_id long")
+        asked = queries.select("id", "v", F.array(F.col("label").cast("string")).alias("wanted"), F.lit(float(distance)).alias("kth"))
+        return self._visit(asked, 0, None, first_near(distance, before)).groupBy("query_id").agg(F.min("ref_id").alias("ref_id"))
 
     def search(self, queries: DataFrame, exclude_self: bool = False, by_class: bool = False) -> DataFrame:
         """query_id, rank, ref_id, ref_label, distance for queries (id, v, and with ``by_class`` wanted).
@@ -191,7 +222,7 @@ class PivotIndex:
             return best(queries.sparkSession.createDataFrame([], _FOUND), self.k, by_class)
         wanted = F.col("wanted") if by_class else F.lit(None).cast("array<string>")
         asked = queries.select("id", "v", wanted.alias("wanted"))
-        found = kept(best(self._visit(asked.withColumn("kth", F.lit(2.0)), 0, 1, exclude_self), self.k, by_class).drop("rank"))
+        found = kept(best(self._visit(asked.withColumn("kth", F.lit(2.0)), 0, 1, meet(self.k, exclude_self)), self.k, by_class).drop("rank"))
         for first, until in ((1, 1 + SOON), (1 + SOON, None)):
             if len(self.shards.cell) <= first:
                 break
@@ -200,5 +231,46 @@ class PivotIndex:
                 groups = groups.groupBy("_id").agg(F.when(F.count("*") == F.count("kth"), F.max("kth")).alias("kth"), F.count("*").alias("labels"))
             far = F.when(F.size(F.array_distinct("wanted")) == F.col("labels"), F.col("kth")) if by_class else F.col("kth")
             waiting = asked.join(groups, F.col("id") == F.col("_id"), "left").select("id", "v", "wanted", F.coalesce(far, F.lit(2.0)).alias("kth"))
-            found = kept(best(found.unionByName(self._visit(waiting, first, until, exclude_self)), self.k, by_class).drop("rank"))
+            found = kept(best(found.unionByName(self._visit(waiting, first, until, meet(self.k, exclude_self))), self.k, by_class).drop("rank"))
         return best(found, self.k, by_class)
+
+
+def _in_turn(distance: float):
+    """The greedy choice within one label: a row is accepted if no accepted one before it is near."""
+
+    def choose(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        unit, ids, kept_at, twin = unit_rows(rows["v"]), rows["id"].to_numpy(), [], []
+        for i in range(len(ids)):
+            near = np.flatnonzero(np.clip(1 - unit[kept_at] @ unit[i], 0.0, 2.0) <= distance)
+            twin.append(int(ids[kept_at[near[0]]]) if len(near) else None)
+            if twin[-1] is None:
+                kept_at.append(i)
+        return pa.table([rows["id"], pa.array(twin, pa.int64())], names=["id", "twin"])
+
+    return choose
+
+
+def first_independent(rows: DataFrame, distance: float, at_once: int = SHARD_ROWS) -> DataFrame:
+    """(id, twin) for rows (id, label, v): the lexicographically first set of rows of which no two of a label are within ``distance``.
+
+    ``twin`` is null for its members; for others it is the least member near
+    them. Taking rows in order of id, a row is accepted unless an accepted one
+    is near. So many rows as fit a task are taken in turn there. More go in
+    rounds: every open row without an earlier open row near it is accepted, then
+    all open rows near an accepted one are settled. Both questions go to a pivot
+    index and return a row at most for each row asked. A chain of rows, each near
+    the next only, takes as many rounds as it has members.
+    """
+    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("label").cast("string").alias("label"), "v")
+    if rows.count() <= at_once:
+        return rows.groupBy("label").applyInArrow(_in_turn(distance), "id long, twin long")
+    waiting, found = kept(rows), None
+    while not waiting.isEmpty():
+        late = PivotIndex(waiting, 0, at_once).near(waiting, distance, before=True)
+        accepted = kept(waiting.join(late.select(F.col("query_id").alias("id")), "id", "left_anti"))
+        settled = PivotIndex(accepted, 0, at_once).near(waiting, distance).select(F.col("query_id").alias("id"), F.col("ref_id").alias("twin"))
+        settled = kept(accepted.select("id", F.lit(None).cast("long").alias("twin")).unionByName(settled.join(accepted, "id", "left_anti")))
+        waiting = kept(waiting.join(settled, "id", "left_anti"))
+        found = settled if found is None else found.unionByName(settled)
+    return found

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.sources.scratch import kept
+
+from .neighbours import first_independent
 from .vectors import nearest
 
 #: Sections, their abbreviation and group.
@@ -63,11 +66,21 @@ def checked(operations: DataFrame) -> DataFrame:
 
 
 def near_duplicates(added: DataFrame, rules: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) additions (seq, section, v): rejected if a stored rule of the section is as similar as ``threshold``."""
-    asked = added.select(F.col("seq").alias("id"), "v", F.array("section").alias("wanted"))
+    """(accepted, rejected) additions (seq, section, v, ...), in order of seq; all their columns are kept.
+
+    Rejected with ``rule_no``: a stored rule of the section is as similar as
+    ``threshold``. Rejected with ``twin``: an accepted addition of the same batch
+    and section is, so of siblings alike the first is added. Without a vector an
+    addition is accepted.
+    """
+    vectors = added.filter("v is not null")
+    asked = vectors.select(F.col("seq").alias("id"), "v", F.array("section").alias("wanted"))
     refs = rules.filter("v is not null").select(F.col("rule_no").alias("id"), F.col("section").alias("label"), "v")
-    near = nearest(asked, refs, 1, by_class=True).filter(1 - F.col("distance") >= threshold).select(F.col("query_id").alias("seq"))
-    return added.join(near, "seq", "left_anti"), added.join(near, "seq", "left_semi")
+    near = kept(nearest(asked, refs, 1, by_class=True).filter(1 - F.col("distance") >= threshold).select(F.col("query_id").alias("seq"), F.col("ref_id").alias("rule_no")))
+    new = vectors.join(near, "seq", "left_anti").select(F.col("seq").alias("id"), F.col("section").alias("label"), "v")
+    twins = first_independent(new, 1 - threshold).filter("twin is not null").select(F.col("id").alias("seq"), "twin")
+    out = kept(near.unionByName(twins, allowMissingColumns=True))
+    return added.join(out, "seq", "left_anti"), added.join(out, "seq")
 
 
 def modified(rules: DataFrame, operations: DataFrame) -> DataFrame:

@@ -152,6 +152,50 @@ def realigned(tagged: DataFrame, docs: DataFrame) -> DataFrame:
     return own.join(said, ["doc_id", "pos"]).withColumn("aligned", F.col("said") == F.col("token")).drop("said")
 
 
+#: Powers of two, from the largest: steps of a search for a common prefix.
+_STEPS = [1 << i for i in range(30, -1, -1)]
+
+
+def _visible(text: F.Column) -> F.Column:
+    return F.regexp_replace(text, r"\s+", "")
+
+
+def placed(tagged: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, pos, start, end, token, tag, aligned): offsets of any tokenisation of the texts. tagged: (doc_id, pos, token, tag).
+
+    Tokens and the text's runs of visible characters both lie on the axis of
+    visible characters, by prefix sums; the two are merged in one order, and a
+    token's ends fall into the last run at or before them. White space may
+    differ anywhere, also inside a token. A token is aligned if all visible
+    characters up to its end are the text's; others have no offsets. A token of
+    white space alone is null at both ends.
+    """
+    texts = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows = tagged.select("doc_id", "pos", "token", "tag", _visible(F.col("token")).alias("core"))
+    earlier = Window.partitionBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("first", F.coalesce(F.sum(F.length("core")).over(earlier.orderBy("pos")), F.lit(0))).withColumn("last", F.col("first") + F.length("core") - 1)
+    runs = texts.select("doc_id", F.posexplode(F.split("text", r"(?<=\S)(?=\s)|(?<=\s)(?=\S)")).alias("i", "run")).withColumn("seen", F.length(_visible(F.col("run"))))
+    before = lambda c: F.coalesce(F.sum(c).over(earlier.orderBy("i")), F.lit(0))
+    runs = runs.select("doc_id", "seen", before(F.length("run")).alias("start"), before(F.col("seen")).alias("at")).filter("seen > 0").select("doc_id", "at", F.lit(0).alias("kind"), F.struct("at", "start").alias("run"))
+    ends = rows.filter("core <> ''").select("doc_id", "pos", F.explode(F.array(F.struct(F.col("first").alias("at"), F.lit(1).alias("kind")), F.struct(F.col("last").alias("at"), F.lit(2).alias("kind")))).alias("x")).select("doc_id", "pos", "x.*")
+    order = Window.partitionBy("doc_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    merged = runs.unionByName(ends, allowMissingColumns=True).withColumn("run", F.last("run", ignorenulls=True).over(order)).filter("kind > 0")
+    place = F.col("run.start") + F.col("at") - F.col("run.at")
+    spans = merged.groupBy("doc_id", "pos").agg(F.max(F.when(F.col("kind") == 1, place)).alias("start"), F.max(F.when(F.col("kind") == 2, place + 1)).alias("end"))
+    said = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "core"))), lambda x: x["core"]), "").alias("said"))
+    both = texts.withColumn("own", _visible(F.col("text"))).join(said, "doc_id").withColumn("n", F.least(F.length("own"), F.length("said")))
+    step = lambda k, m: F.when((k + m <= F.col("n")) & (F.substr("own", k + 1, m) == F.substr("said", k + 1, m)), k + m).otherwise(k)
+    alike = both.select("doc_id", F.aggregate(F.array(*map(F.lit, _STEPS)), F.lit(0), step).alias("alike"))
+    found = rows.join(spans, ["doc_id", "pos"], "left").join(alike, "doc_id", "left").withColumn("aligned", F.coalesce(F.col("last") < F.col("alike"), F.lit(False)))
+    at = lambda c: F.when(F.col("aligned"), F.col(c)).cast("int").alias(c)
+    return found.select("doc_id", "pos", at("start"), at("end"), "token", "tag", "aligned")
+
+
+def mismatches(places: DataFrame) -> DataFrame:
+    """(doc_id, pos, token): the first token of each document that its text does not hold at its place."""
+    return places.filter("not aligned").groupBy("doc_id").agg(F.min(F.struct("pos", "token")).alias("x")).select("doc_id", "x.pos", "x.token")
+
+
 def candidate_spans(sentences: DataFrame, width: int = 6) -> DataFrame:
     """(doc_id, sent_id, first, last): every span of at most ``width`` tokens. sentences: (doc_id, sent_id, n)."""
     rows = sentences.filter("n > 0").withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(width), F.col("n").cast("int")))))

@@ -264,6 +264,18 @@ def b_near_duplicate_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted.select("seq", F.lit(False).alias("rejected")).unionByName(rejected.select("seq", F.lit(True).alias("rejected")))
 
 
+@query("""WITH RECURSIVE ad AS (SELECT vec_id AS seq, ['Nutrition', 'Sleep', 'Substance_use', 'Environmental_exposures'][vec_id % 4 + 1] AS section, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 < 7),
+nb AS (SELECT a.section, a.seq, list(b.seq) FILTER (b.seq IS NOT NULL AND list_cosine_similarity(a.v, b.v) >= 0.4) AS near, row_number() OVER (PARTITION BY a.section ORDER BY a.seq) AS r FROM ad a LEFT JOIN ad b ON a.section = b.section AND b.seq < a.seq GROUP BY a.section, a.seq),
+st AS (SELECT DISTINCT section, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS twin FROM ad UNION ALL
+  SELECT st.section, nb.r, CASE WHEN len(list_intersect(coalesce(near, []), taken)) = 0 THEN list_append(taken, nb.seq) ELSE taken END, nb.seq, list_min(list_intersect(coalesce(near, []), taken)) FROM st JOIN nb ON nb.section = st.section AND nb.r = st.r + 1)
+SELECT seq, section, twin FROM st WHERE seq IS NOT NULL""")
+def b_sibling_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates inside one batch, against an empty store; chains keep every other link."""
+    told = R.checked(operations(spark, sf_dir)).filter("reason is null and type = 'ADD'")
+    accepted, rejected = R.near_duplicates(told, rules(spark, sf_dir).limit(0), 0.4)
+    return accepted.select("seq", "section").unionByName(rejected.select("seq", "section", "twin"), allowMissingColumns=True)
+
+
 @query(f"""WITH {_RULES}, mo AS (SELECT 'NUT-0001' AS bullet_id, arg_max('rule text ' || vec_id, vec_id) AS told, count(*) AS n FROM embeddings WHERE vec_id % 10 = 8),
 kept AS (SELECT cr.bullet_id, section, coalesce(told, content) AS content, helpful, harmful, used AS usage_count, coalesce(n, 0) AS modification_count FROM cr LEFT JOIN mo ON mo.bullet_id = cr.bullet_id),
 ad AS (SELECT vec_id AS seq, {_ABBR}[vec_id % 4 + 1] AS abbr, ['Nutrition', 'Sleep', 'Substance_use', 'Environmental_exposures'][vec_id % 4 + 1] AS section, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 < 7),

@@ -10,6 +10,7 @@ from spanloom.operators import sweep as X
 from spanloom.operators import text as T
 from spanloom.sources import annotations as A
 from spanloom.sources import sinks as K
+from spanloom.sources.runs import RunStore
 from spanloom.sources.scratch import through_files
 
 from .curate_queries import _RULES, counted_rules, rules
@@ -309,6 +310,25 @@ def k_run_and_snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_files(spark, steps)
 
 
+@query("""WITH b AS (SELECT CAST(user_id % 20 AS VARCHAR) AS run_id, user_id % 20 AS r, event_id FROM events)
+SELECT run_id, count(*) AS n, max(event_id) AS last, CAST(CASE WHEN r % 4 = 0 THEN 4 WHEN r % 2 = 1 THEN 3 ELSE 1 END AS BIGINT) AS seq FROM b WHERE r % 4 <> 0 OR event_id % 3 = 0 GROUP BY run_id, r""")
+def k_run_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even runs, then odd ones, these again as a repeated job would, then new rows for some; read as current, with their commits."""
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("run_id"), "event_id")
+
+    def steps(folder: str) -> DataFrame:
+        store, r = RunStore(spark, f"{folder}/runs"), F.col("run_id")
+        store.write(rows.filter(r % 2 == 0))
+        store.write(rows.filter(r % 2 == 1))
+        store.write(rows.filter(r % 2 == 1))
+        store.write(rows.filter((r % 4 == 0) & (F.col("event_id") % 3 == 0)))
+        store.clean()
+        found = store.read().groupBy("run_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+        return found.join(store.manifest().select("run_id", "seq"), "run_id")
+
+    return through_files(spark, steps)
+
+
 @query("""SELECT item_id AS doc_id, 0 AS place, 'alpha' AS entity, 'first' AS hint, CASE WHEN item_id % 3 = 0 THEN 'A, B' ELSE '' END AS competing, md5('- Hint 1 for ''alpha''' || CASE WHEN item_id % 3 = 0 THEN ' [Competing: A, B]' ELSE '' END || ': first' || chr(10) || '- Hint 2 for ''beta'': second') AS block FROM benchmark
 UNION ALL SELECT item_id, 1, 'beta', 'second', '', md5('- Hint 1 for ''alpha''' || CASE WHEN item_id % 3 = 0 THEN ' [Competing: A, B]' ELSE '' END || ': first' || chr(10) || '- Hint 2 for ''beta'': second') FROM benchmark""")
 def t_hint_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.metrics import prf
@@ -201,6 +201,27 @@ def t_realigned_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("doc_id", F.substring("tag", 3, 10).alias("label")).agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
 
 
+@query(r"""WITH pc AS (SELECT doc_id, unnest(regexp_extract_all(text, '[ \t\n\x0b\f\r]+|[^ \t\n\x0b\f\r]+')) AS piece, generate_subscripts(regexp_extract_all(text, '[ \t\n\x0b\f\r]+|[^ \t\n\x0b\f\r]+'), 1) AS i FROM documents),
+pl AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM pc),
+wd AS (SELECT doc_id, i, k, CASE k WHEN 0 THEN substr(piece, 1, 4) ELSE substr(piece, 5) END AS token, s + 4 * k AS start FROM pl, (VALUES (0), (1)) t(k) WHERE NOT regexp_matches(piece, '^[ \t\n\x0b\f\r]') AND (k = 0 OR length(piece) > 4)),
+nu AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS pos FROM wd),
+fl AS (SELECT *, NOT (doc_id % 10 = 3 AND pos >= 5) AS aligned FROM nu)
+SELECT doc_id, count(*) AS n, count(*) FILTER (aligned) AS n_aligned, CAST(coalesce(sum(start) FILTER (aligned), 0) AS BIGINT) AS starts, CAST(coalesce(sum(start + length(token)) FILTER (aligned), 0) AS BIGINT) AS ends, CAST(coalesce(min(pos) FILTER (NOT aligned), -1) AS INTEGER) AS mismatch FROM fl GROUP BY doc_id""")
+def t_foreign_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of white space, long ones in two pieces, put back on the text; in some documents one token is another's."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = docs.select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("i", "word"))
+    pieces = F.when(F.length("word") > 4, F.array(F.substring("word", 1, 4), F.expr("substring(word, 5)"))).otherwise(F.array("word"))
+    foreign = words.select("doc_id", "i", F.posexplode(pieces).alias("k", "token"))
+    pos = (F.row_number().over(Window.partitionBy("doc_id").orderBy("i", "k")) - 1).alias("pos")
+    foreign = foreign.select("doc_id", pos, "token", F.lit("O").alias("tag"))
+    foreign = foreign.withColumn("token", F.when((F.col("doc_id") % 10 == 3) & (F.col("pos") == 5), "\x01\x01").otherwise(F.col("token")))
+    places = T.placed(foreign, docs)
+    first = T.mismatches(places).select("doc_id", F.col("pos").alias("mismatch"))
+    sums = places.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("aligned").alias("n_aligned"), *(F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}s") for c in ("start", "end")))
+    return sums.join(first, "doc_id", "left").withColumn("mismatch", F.coalesce("mismatch", F.lit(-1)))
+
+
 def _windows(gold: DataFrame) -> DataFrame:
     """Overlapping spans: each mention, and from every third a longer one that reaches over what follows."""
     wide = F.when(F.col("gold_id") % 3 == 0, 25).otherwise(0)

@@ -35,7 +35,8 @@ def training_tables(records: DataFrame, path: str) -> None:
 
 
 def write_runs(metrics: DataFrame, path: str) -> None:
-    metrics.write.mode("overwrite").partitionBy("run_id").json(path)
+    """Metrics as JSON, a folder for each run; runs that are not in ``metrics`` stay, and a repeated write changes nothing. See runs.RunStore for versions."""
+    metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(path)
 
 
 def upserted(index: DataFrame, runs: DataFrame, key: str = "run_id", version: str = "seq") -> DataFrame:
@@ -45,7 +46,8 @@ def upserted(index: DataFrame, runs: DataFrame, key: str = "run_id", version: st
 
 
 def snapshot(rules: DataFrame, path: str, label: str) -> None:
-    rules.withColumn("snapshot", F.lit(label)).write.mode("append").partitionBy("snapshot").parquet(path)
+    """A labelled snapshot; one of the same label is replaced, so a repeated job does not double it."""
+    rules.withColumn("snapshot", F.lit(label)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot").parquet(path)
 
 
 def rules_markdown(rules: DataFrame) -> DataFrame:
@@ -102,5 +104,5 @@ def corpus_lines(docs: DataFrame, spans: DataFrame, offsets: bool = True) -> Dat
 
 
 def audit_rows(audited: DataFrame, path: str) -> None:
-    """Rows of an audit (run_id, doc_id, candidate, labels, outcome, category) as Parquet, a folder for each run."""
-    audited.write.mode("overwrite").partitionBy("run_id").parquet(path)
+    """Rows of an audit (run_id, doc_id, candidate, labels, outcome, category) as Parquet, a folder for each run; other runs stay."""
+    audited.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
