@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -104,6 +105,27 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW_KEY, F.xxhash64(docs["doc_id"].isNull(), docs["doc_id"], docs["text"].isNull(), docs["text"]))
 
 
+#: Columns of documents, which stages know by name; all others travel as one.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+_REST = "_other_columns"
+
+
+def apart(stage: Any) -> Any:
+    """A pipeline stage for which the columns that documents do not have are one struct, so that none clashes with its own."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in OWN]
+        if not others:
+            return stage(spark, docs, sf_dir)
+        quoted = [f"`{c}`" for c in docs.columns]
+        held = docs.select(*(f"`{c}`" for c in docs.columns if c in OWN), F.struct(*(f"`{c}`" for c in others)).alias(_REST))
+        found = stage(spark, held, sf_dir)
+        return found.select(*(F.col(q if c in OWN else f"{_REST}.{q}").alias(c) for c, q in zip(docs.columns, quoted, strict=True)))
+
+    return run
+
+
 _held: dict[str, dict] = {}
 
 

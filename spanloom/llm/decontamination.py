@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, Scratch, cache_of, cut, table, utf8, with_row_key
+from .common import ROW_KEY, Scratch, apart, cache_of, cut, table, utf8, with_row_key
 
 #: A passage is BLOCK_WORDS * a power of two words long, LEAST_SPAN blocks at least, and starts at every block of its
 #: document; an item is sought in passages of the least span that is as long as it.
@@ -451,6 +451,7 @@ def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@apart
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a confirmed benchmark passage stay, with all columns.
 

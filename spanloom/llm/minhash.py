@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, Scratch, bounded, cache_of, cut, per_batch, table, utf8, with_row_key, words
+from .common import ROW_KEY, Scratch, apart, bounded, cache_of, cut, per_batch, table, utf8, with_row_key, words
 
 SHINGLE_WORDS = 5
 #: A link needs 100 * intersection >= SIMILARITY * union.
@@ -302,6 +302,7 @@ def op10_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@apart
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each near-duplicate component stays, that of the least id.
 

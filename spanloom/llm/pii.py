@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, Scratch, bounded, cut, per_batch, table, with_row_key
+from .common import ROW_KEY, Scratch, apart, bounded, cut, per_batch, table, with_row_key
 
 KINDS = ("email", "ip", "card", "phone")
 #: All kinds, in the order of spans that start together.
@@ -202,7 +202,10 @@ def reliable(edges: DataFrame, seeds: DataFrame, allowed: DataFrame, rounds: int
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confident: float = CONFIDENT, **scoring) -> DataFrame:
-    """Each row's doc_id, base and spans (kind, start, end): what the rules find, and that with what the patterns and secrets' seeds add.
+    """Each row's doc_id, base and spans (kind, start, end): what the rules find, and that with what the patterns add; and secrets (start, end).
+
+    Secrets' seeds and what the patterns add to them are no kind of personal
+    data and have a column of their own.
 
     Offsets are code points, ends exclusive, ordered by start and then kind. A
     candidate of several sure kinds gets the likeliest, of equal ones the first.
@@ -226,11 +229,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confid
         sure_places = sure_places.filter(F.array_contains("kinds", F.col("kind"))).select("row", "start", "end", "value", "kind").distinct()
         found = sure_places.join(sure, ["value", "kind"]).groupBy("row", "start", "end").agg(likeliest.alias("kind"))
         found = found.unionByName(seen.filter("seed and kinds[0] = 'secret'").select("row", "start", "end", F.lit("secret").alias("kind")))
-        added = found.groupBy("row").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
+        personal = F.when(F.col("kind") != "secret", F.struct("kind", "start", "end"))
+        secret = F.when(F.col("kind") == "secret", F.struct("start", "end"))
+        added = found.groupBy("row").agg(F.collect_set(personal).alias("added"), F.array_sort(F.collect_set(secret)).alias("secrets"))
         both = F.concat("base", F.coalesce("added", F.array().cast("array<struct<kind:string,start:long,end:long>>")))
         keyed = F.array_sort(F.transform(both, lambda s: F.struct(s.start.alias("start"), order[s.kind].alias("rank"), s.end.alias("end"), s.kind.alias("kind"))))
         spans = F.transform(keyed, lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end")))
-        return cut(scanned.select("row", "doc_id", "base").join(added, "row", "left").select("doc_id", "base", spans.alias("spans")))
+        return cut(scanned.select("row", "doc_id", "base").join(added, "row", "left").select("doc_id", "base", spans.alias("spans"), F.coalesce("secrets", F.array().cast("array<struct<start:long,end:long>>")).alias("secrets")))
 
 
 def _joined(spans) -> F.Column:
@@ -244,7 +249,7 @@ def _of(kind: str):
 def op8_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", _of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("secrets").cast("long").alias("n_secret"))
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -258,11 +263,12 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def _redact(batch: pa.RecordBatch) -> pa.RecordBatch:
-    texts = [t if t is None or not s else redact(t, [(x["kind"], x["start"], x["end"]) for x in s]) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-    names = [x for x in batch.schema.names if x != "spans"]
+    texts = [t if t is None or not s else redact(t, [(x["kind"], x["start"], x["end"]) for x in s]) for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
+    names = [x for x in batch.schema.names if x != "_spans"]
     return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if x == "text" else batch.column(x) for x in names], names=names)
 
 
+@apart
 def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays, its personal data and secrets replaced; n_chars follows the new text.
 
@@ -272,10 +278,12 @@ def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     bounded(spark)
     rows = with_row_key(docs)
-    found = find(rows, id_col=ROW_KEY).filter("size(spans) > 0").groupBy(F.col("doc_id").alias(ROW_KEY)).agg(F.first("spans").alias("spans"))
-    joined = rows.join(found, ROW_KEY, "left").select(*docs.columns, "spans")
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in joined.schema if x.name != "spans")
-    done = joined.mapInArrow(per_batch(_redact), schema)
+    rank = F.create_map(*(F.lit(x) for i, k in enumerate(ALL_KINDS) for x in (k, i)))
+    listed = lambda column, kind: F.transform(column, lambda x: F.struct(x.start.alias("start"), rank[kind(x)].alias("rank"), x.end.alias("end"), kind(x).alias("kind")))
+    spans = F.array_sort(F.concat(listed("spans", lambda x: x.kind), listed("secrets", lambda _: F.lit("secret"))))
+    found = find(rows, id_col=ROW_KEY).select(F.col("doc_id").alias(ROW_KEY), spans.alias("_spans")).filter("size(_spans) > 0").groupBy(ROW_KEY).agg(F.first("_spans").alias("_spans"))
+    joined = rows.join(found, ROW_KEY, "left").select(*docs.columns, "_spans")
+    done = joined.mapInArrow(per_batch(_redact), docs.schema)
     return done.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else done
 
 

@@ -12,13 +12,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import Scratch, cache_of, held_out, per_batch, table
+from .common import Scratch, apart, cache_of, held_out, per_batch, table
 from .minhash import _WordHashes, shingle_hashes
 
 #: Labelled rows to fit on, at most: the first in hash order.
@@ -139,10 +141,11 @@ def _count_units(batches):
         yield from out()
 
 
-def _least_shingle(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _whole_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Adds a 128-bit digest of the whole shingle set of each text: rows of equal sets are copies."""
     hashes = _WordHashes()
-    least = [int(found[0] >> np.uint64(1)) if len(found := shingle_hashes((t or "").encode().lower().split(), hashes)) else 0 for t in batch.column("text").to_pylist()]
-    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=[*batch.schema.names, "copy"])
+    found = [xxhash.xxh3_128_digest(shingle_hashes((t or "").encode().lower().split(), hashes).tobytes()) for t in batch.column("text").to_pylist()]
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "copy"])
 
 
 def _featurise(batch: pa.RecordBatch, lexicon: frozenset[str]) -> pa.RecordBatch:
@@ -164,9 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learns from at most ``training_rows`` labelled documents.
 
     The ids of the sample are bounded, so they are broadcast to the texts. Of
-    copies (equal least shingle hash) one is kept. A share of the rows is kept
+    copies (equal whole shingle sets and labels) one is kept. A share of the rows is kept
     from the trees and calibrates them. Null labels are left out; of repeated
-    labels the largest counts.
+    labels the largest counts. Whole texts are read, however long. Empty tables,
+    or labels of one class, give a model that scores all with the share of toxic ones.
     """
     spark = docs.sparkSession
     docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
@@ -175,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     with Scratch(spark) as scratch:
         sample = scratch.save(sample, "labels")
         rows = docs.join(F.broadcast(sample), "doc_id")
-        marked = rows.mapInArrow(per_batch(_least_shingle), "doc_id long, text string, toxic int, copy long")
+        marked = rows.mapInArrow(per_batch(_whole_sets), "doc_id long, text string, toxic int, copy binary")
         rows = scratch.save(marked.groupBy("copy", "toxic").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("row")).select("row.*", "toxic"), "training")
         n, toxic = rows.agg(F.count("*"), F.sum("toxic")).first()
         if not n or not toxic or toxic == n:
@@ -223,6 +227,7 @@ def op5_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
 
 
+@apart
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose score is below 0.5 stay, with the columns of ``docs``.
 
@@ -233,19 +238,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = _model(spark, docs, sf_dir)
     if model.trees is None:
         return docs if model.prior < 0.5 else docs.limit(0)
-    names = docs.columns
-    rows = docs.select(*names, docs["text"].alias("text_to_score"))
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + ", features array<double>"
-    dense = rows.mapInArrow(per_batch(_with_features, model.lexicon), schema).withColumn("features", array_to_vector("features"))
+    schema = StructType([*docs.schema, StructField("features", ArrayType(DoubleType()))])
+    dense = docs.mapInArrow(per_batch(_with_features, model.lexicon), schema).withColumn("features", array_to_vector("features"))
     raw = model.trees.transform(dense).withColumn("p", vector_to_array("probability")[1])
-    return model.calibration.setPredictionCol("calibrated").transform(raw).filter("0.99 * calibrated + 0.01 * p < 0.5").select(*names)
+    return model.calibration.setPredictionCol("calibrated").transform(raw).filter("0.99 * calibrated + 0.01 * p < 0.5").select(docs.columns)
 
 
 def _with_features(batch: pa.RecordBatch, lexicon: frozenset[str]) -> pa.RecordBatch:
     codes = _codes(lexicon)
-    rows = [features(t or "", codes).tolist() for t in batch.column("text_to_score").to_pylist()]
-    keep = [x for x in batch.schema.names if x != "text_to_score"]
-    return pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), pa.array(rows, pa.list_(pa.float64()))], names=[*keep, "features"])
+    rows = [features(t or "", codes).tolist() for t in batch.column("text").to_pylist()]
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float64()))], names=[*batch.schema.names, "features"])
 
 
 QUERIES = {"op5_boosted_toxicity": op5_boosted_toxicity}

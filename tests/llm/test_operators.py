@@ -390,7 +390,7 @@ def test_bootstrapping_against_plain_dictionaries(spark):
         k = rng.randrange(len(leads))
         texts.append(f"{prose(rng, 'en', 4)} {leads[k]}{values[rng.choice(pick[k])]()}{'"' * (k == 2)} {rng.choice(['thanks', 'today', prose(rng, 'de', 1)])} {prose(rng, 'en', 3)}")
     want = plain_bootstrap(texts)
-    got = {r["doc_id"]: {tuple(s) for s in r["spans"]} for r in pii.find(docs_of(spark, list(enumerate(texts)))).collect()}
+    got = {r["doc_id"]: {tuple(s) for s in r["spans"]} | {("secret", *s) for s in r["secrets"]} for r in pii.find(docs_of(spark, list(enumerate(texts)))).collect()}
     assert got == want
     base = sum(len(pii.base_spans(t)) for t in texts)
     kinds = Counter(k for spans in want.values() for k, _, _ in spans)
@@ -691,3 +691,26 @@ def test_stages_judge_rows_without_or_with_shared_ids(spark, tmp_path):
     assert pairs(decontamination.drop_contaminated(spark, frame, str(tmp_path))) == sorted([x for x in rows if x[1] != leak], key=str)
     kept = pairs(minhash.keep_one(spark, frame, str(tmp_path)))
     assert kept == sorted([(7, mail), (7, clean), (8, leak), rows[5], (9, copied + " x"), (None, None), (None, "")], key=str)
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    """Every stage but the last gives back columns of any name as they were; a run over the whole pipeline works on them too."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    names = ["features", "prediction", "rawPrediction", "probability", "calibrated", "text_to_score", "spans", "_spans", "row", "_row_key", "p", "label", "node", "component_id", "copy", "toxic", "secrets", "a.b", "item_id"]
+    rows = [(i, (prose(rng, "en", 60) + (" vile rotten scum you" if i % 4 == 0 else "")), "en", "web", 5) for i in range(60)] + [(60, f"write to a{1}@b.example.com " + prose(rng, "en", 30), "en", "web", 5), (None, None, None, None, None)]
+    base = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = base.select("*", *(F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in names))
+    sf = str(tmp_path)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, prose(rng, "de", 40) + ". Answer one")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+        assert found.columns == docs.columns, name
+        got = found.collect()
+        assert got and all(r[c] == f"{c} of {'none' if r['doc_id'] is None else r['doc_id']}" for r in got for c in names), name
+    assert any("<EMAIL>" in (r["text"] or "") for r in got)
+    packed = corpus_pipeline.run(spark, sf)
+    assert {r["doc_id"] for r in packed.collect()} <= {None, *range(61)} and packed.count() > 10
