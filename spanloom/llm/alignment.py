@@ -27,7 +27,7 @@ from .packing import _RARE, PRETOKENS, _byte_letters
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block, and words that a worker keeps aligned.
-BLOCK_BYTES, KEPT_WORDS = 4 << 20, 300_000
+BLOCK_BYTES, KEPT_WORDS = 2 << 20, 150_000
 #: An id pair is one number: the first id times this plus the second.
 _SECOND_IDS = 1 << 31
 _MARK = "▁"
@@ -274,6 +274,8 @@ def _blocks(batches, first, second):
                 number, ids, texts, held = number + 1, [], [], 0
     if ids:
         yield _block(base + number, ids, texts, aligner)
+    aligner.clear()  # the worker outlives the task
+    pa.default_memory_pool().release_unused()
 
 
 _FOUND = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
