@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.sources.scratch import kept
+
+from .ranks import ranked
+
 
 def document_statistics(entities: DataFrame, lengths: DataFrame) -> DataFrame:
     """(doc_id, n_chars, majority_class, majority_count, total_entities, purity) of (doc_id, label) and (doc_id, n_chars)."""
@@ -35,21 +39,33 @@ def density_statistics(rows: DataFrame, share: float = 0.95) -> DataFrame:
     return overall.join(pick, F.lit(True)).select("n", F.round("mean", 6).alias("mean"), F.round("top", 6).alias("top"), F.round(F.coalesce(F.nullif("pick", F.lit(0.0)), F.nullif("top", F.lit(0.0)), F.lit(1.0)), 6).alias("p95"))
 
 
-def balanced_subset(rows: DataFrame, classes: list[str], size: int, p95: float) -> DataFrame:
-    """(doc_id, majority_class, score, source): size / classes of each class by score, then a back-fill by score.
+def _quotas(rows: DataFrame, classes: list[str], size: int) -> tuple[DataFrame, int]:
+    """Rows with the bin they belong to (other classes are the remainder), and the quota of a main class."""
+    main = F.when(F.col("majority_class").isin(classes), F.col("majority_class"))
+    return rows.withColumn("bin", F.coalesce(main, F.lit(""))), size // max(1, len(classes))
+
+
+def balanced_subset(rows: DataFrame, classes: list[str], size: int, p95: float, remainder: int = 0) -> DataFrame:
+    """(doc_id, majority_class, score, source): size / classes of each main class by score, ``remainder`` of all others, then a back-fill by score.
 
-    score: half purity, half density up to its 95th percentile.
+    score: half purity, half density up to ``p95``, its 95th percentile (see
+    density_statistics). Classes that are no main ones, null among them, are the
+    remainder bin; with ``remainder`` main classes share what it leaves of
+    ``size``. Places in the bins and in the back-fill are exact ranks; no bin is
+    sorted in one task.
     """
-    score = F.round(0.5 * F.col("purity") / 100 + 0.5 * F.least(F.lit(1.0), F.col("density") / p95), 6)
-    rows = rows.withColumn("score", score)
-    quota = size // max(1, len(classes))
-    w = Window.partitionBy("majority_class").orderBy(F.desc("score"), "doc_id")
-    own = rows.filter(F.col("majority_class").isin(classes)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= quota).select("doc_id", "majority_class", "score", F.lit("quota").alias("source"))
-    rest = rows.join(own.select("doc_id"), "doc_id", "left_anti").orderBy(F.desc("score"), "doc_id").limit(size)
-    short = own.agg((F.lit(size) - F.count("*")).alias("short"))
-    ranked = rest.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
-    fill = ranked.join(F.broadcast(short), F.lit(True)).filter("rank <= short").select("doc_id", "majority_class", "score", F.lit("fill").alias("source"))
-    return own.unionByName(fill)
+    score = F.round(0.5 * F.col("purity") / 100 + 0.5 * (F.least(F.lit(1.0), F.col("density") / p95) if p95 > 0 else F.lit(0.0)), 6)
+    rows, quota = _quotas(rows.withColumn("score", score), classes, size - remainder)
+    order = [F.desc("score"), F.asc("doc_id")]
+    most = F.when(F.col("bin") == "", remainder).otherwise(quota)
+    binned = kept(ranked(rows, order, ["bin"]).withColumn("own", F.col("rank") < most).drop("rank", "size"))
+    source = F.when(F.col("bin") == "", "remainder").otherwise("quota")
+    own = binned.filter("own").select("doc_id", "majority_class", "score", source.alias("source"))
+    short = max(0, size - own.count())
+    if not short:
+        return own
+    fill = binned.filter("not own").orderBy(*order).limit(short)
+    return own.unionByName(fill.select("doc_id", "majority_class", "score", F.lit("fill").alias("source")))
 
 
 def subsets(rows: DataFrame, classes: list[str], sizes: list[int], p95: float) -> DataFrame:
@@ -75,6 +91,19 @@ def split(rows: DataFrame, key: Column, seed: str, shares: tuple[float, float] =
     return rows.withColumn("split", F.when(at < shares[0], "train").when(at < shares[0] + shares[1], "val").otherwise("test"))
 
 
+def exact_split(rows: DataFrame, key: Column, seed: str, shares: tuple[float, float] = (0.70, 0.15)) -> DataFrame:
+    """Adds split (train, val, test) with exact counts: floor(share * n) rows each, the rest test, in order of a digest of key and seed.
+
+    The order is that of ``split``; ties of equal keys go by the row's place in
+    the input. Counts are exact for any number of rows.
+    """
+    digest = F.md5(F.concat(key.cast("string"), F.lit(seed)))
+    found = ranked(rows.withColumn("_digest", digest), [F.asc("_digest")]).drop("_digest")
+    at = lambda share: F.floor(F.col("size") * F.lit(share))
+    name = F.when(F.col("rank") < at(shares[0]), "train").when(F.col("rank") < at(shares[0]) + at(shares[1]), "val").otherwise("test")
+    return found.withColumn("split", name).drop("rank", "size")
+
+
 def first_of(rows: DataFrame, key: list[Column], order: list[Column]) -> DataFrame:
     """One row of each key: the first in order."""
     named = [k.alias(f"_k{i}") for i, k in enumerate(key)]

@@ -172,6 +172,43 @@ def agreement(gold: DataFrame, test: DataFrame, mode: str = "exact", ignore_type
     return rows.withColumn("fn", F.col("n_gold") - F.col("tp_gold")).withColumn("fp", F.col("n_test") - F.col("tp_test"))
 
 
+def memberships(spans: DataFrame, flags: DataFrame, key: str) -> DataFrame:
+    """Adds ``groups``: the totals, the span's type, and each of its flags (doc_id, ent_id, flag)."""
+    listed = flags.groupBy("doc_id", F.col("ent_id").alias(key)).agg(F.collect_set("flag").alias("flags"))
+    one = lambda level, name: F.struct(F.lit(level).alias("level"), name.cast("string").alias("name"))
+    own = F.transform(F.coalesce("flags", F.array().cast("array<string>")), lambda f: one("flag", f))
+    groups = F.concat(F.array(one("total", F.lit(""))), F.array(one("type", F.coalesce("label", F.lit("")))), own)
+    return spans.join(listed, ["doc_id", key], "left").withColumn("groups", groups).drop("flags")
+
+
+def grouped_agreement(gold: DataFrame, test: DataFrame, gold_flags: DataFrame, test_flags: DataFrame, mode: str = "exact", ignore_type: bool = False) -> DataFrame:
+    """(level, name, n_gold, tp_gold, n_test, tp_test, fn, fp, precision, recall, f1): agreement over all, by type and by flag, matched anew in each group.
+
+    A span with several flags takes part in each flag's group, and there only
+    spans of the other side with that flag can match it; a span without flags is
+    in none. With ``ignore_type`` spans of different types match in the totals
+    and flags, but not by type. Pairs are found once; a pair counts in the groups
+    that both of its spans are in, and all groups are one aggregation.
+    """
+    rule = {"exact": F.expr("p_start = g_start and p_end = g_end"), "overlap": overlap(), "left": F.expr("p_start = g_start"), "right": F.expr("p_end = g_end")}[mode]
+    g, t = memberships(gold, gold_flags, "gold_id"), memberships(test, test_flags, "pred_id")
+    pairs = _sides(gold, test).filter(rule if ignore_type else rule & F.expr("p_label = g_label")).select("doc_id", "gold_id", "pred_id")
+    pairs = pairs.join(g.select("doc_id", "gold_id", F.col("groups").alias("g_groups")), ["doc_id", "gold_id"]).join(t.select("doc_id", "pred_id", F.col("groups").alias("t_groups")), ["doc_id", "pred_id"])
+    common = pairs.select("doc_id", "gold_id", "pred_id", F.explode(F.array_intersect("g_groups", "t_groups")).alias("x")).select("doc_id", "gold_id", "pred_id", "x.*")
+    names = ("n_gold", "tp_gold", "n_test", "tp_test")
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("level", "name").agg(F.count("*").alias("n")).select("level", "name", *(F.col("n").alias(c) if c == name else F.lit(0).cast("long").alias(c) for c in names))
+
+    members = lambda rows: rows.select(F.explode("groups").alias("x")).select("x.*")
+    parts = [counted(members(g), "n_gold"), counted(common.select("doc_id", "gold_id", "level", "name").distinct(), "tp_gold"), counted(members(t), "n_test"), counted(common.select("doc_id", "pred_id", "level", "name").distinct(), "tp_test")]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).groupBy("level", "name").agg(*(F.sum(c).alias(c) for c in names))
+    rows = rows.withColumn("fn", F.col("n_gold") - F.col("tp_gold")).withColumn("fp", F.col("n_test") - F.col("tp_test"))
+    rows = rows.withColumn("precision", F.round(ratio(F.col("tp_test"), F.col("n_test")), 6)).withColumn("recall", F.round(ratio(F.col("tp_gold"), F.col("n_gold")), 6))
+    p, r = ratio(F.col("tp_test"), F.col("n_test")), ratio(F.col("tp_gold"), F.col("n_gold"))
+    return rows.withColumn("f1", F.round(ratio(2 * p * r, p + r), 6))
+
+
 def missed(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Golds that no prediction of their label covers by start or by text: two anti joins, no OR in a join."""
     by_start = gold.join(predicted.select("doc_id", "label", "start").distinct(), ["doc_id", "label", "start"], "left_anti")

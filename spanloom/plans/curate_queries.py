@@ -88,6 +88,24 @@ def w_seeded_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.split(table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"), "seed42")
 
 
+@query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || 'seed42')) - 1 AS r, count(*) OVER () AS n FROM documents)
+SELECT doc_id, CASE WHEN r < floor(n * 0.7) THEN 'train' WHEN r < floor(n * 0.7) + floor(n * 0.15) THEN 'val' ELSE 'test' END AS split FROM a""")
+def w_exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.exact_split(table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"), "seed42")
+
+
+@query(f"""WITH {_STATS}, {_P95}, sc AS (SELECT *, round(0.5 * purity / 100 + 0.5 * least(1, density / p95), 6) AS score FROM st, (SELECT round(p95, 6) AS p95 FROM p)),
+q AS (SELECT *, CASE WHEN majority_class IN ('C0', 'C1', 'C2', 'C3', 'C4', 'C5') THEN majority_class ELSE '' END AS bin FROM sc), k AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY score DESC, doc_id) AS r FROM q),
+own AS (SELECT doc_id, majority_class, score, CASE WHEN bin = '' THEN 'remainder' ELSE 'quota' END AS source FROM k WHERE r <= CASE WHEN bin = '' THEN 30 ELSE 45 END),
+rest AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rr FROM k WHERE doc_id NOT IN (SELECT doc_id FROM own))
+SELECT * FROM own UNION ALL SELECT doc_id, majority_class, score, 'fill' FROM rest WHERE rr <= 300 - (SELECT count(*) FROM own)""")
+def w_balanced_with_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six main classes, a bin for all others, and densities measured against their own 95th percentile."""
+    rows = statistics(spark, sf_dir)
+    p95 = C.density_statistics(rows).first()["p95"]
+    return C.balanced_subset(rows, CLASSES[:6], 300, p95, remainder=30)
+
+
 @query("SELECT min(doc_id) AS doc_id, lower(trim(text)) AS norm, count(*) AS copies FROM documents GROUP BY norm HAVING count(*) > 1")
 def w_text_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", L.normal_text(F.col("text")).alias("norm"))

@@ -136,6 +136,37 @@ def j_agreement_left_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.agreement(*both(spark, sf_dir), mode="left", ignore_type=True)
 
 
+def _flag_sql(rule: str, typed: str) -> str:
+    return f"""WITH {OVERLAPS_SQL},
+gg AS (SELECT doc_id, gold_id, 'total' AS level, '' AS name FROM gold2 UNION ALL SELECT doc_id, gold_id, 'type', label FROM gold2 UNION ALL SELECT doc_id, gold_id, 'flag', 'Negated' FROM gold2 WHERE gold_id % 2 = 0 UNION ALL SELECT doc_id, gold_id, 'flag', 'Speculated' FROM gold2 WHERE gold_id % 3 = 0),
+tg AS (SELECT doc_id, pred_id, 'total' AS level, '' AS name FROM pred2 UNION ALL SELECT doc_id, pred_id, 'type', label FROM pred2 UNION ALL SELECT doc_id, pred_id, 'flag', 'Negated' FROM pred2 WHERE pred_id % 4 = 0 UNION ALL SELECT doc_id, pred_id, 'flag', 'Speculated' FROM pred2 WHERE pred_id % 3 = 0 UNION ALL SELECT doc_id, pred_id, 'flag', 'Reported' FROM pred2 WHERE pred_id % 5 = 0),
+hits AS (SELECT p.doc_id, g.gold_id, p.pred_id FROM pred2 p JOIN gold2 g ON p.doc_id = g.doc_id {typed} WHERE {rule}),
+hg AS (SELECT h.*, a.level, a.name FROM hits h JOIN gg a USING (doc_id, gold_id) JOIN tg b ON b.doc_id = h.doc_id AND b.pred_id = h.pred_id AND b.level = a.level AND b.name = a.name),
+k AS (SELECT level, name, sum(ng) AS n_gold, sum(tgn) AS tp_gold, sum(nt) AS n_test, sum(ttn) AS tp_test FROM (
+  SELECT level, name, count(*) AS ng, 0 AS tgn, 0 AS nt, 0 AS ttn FROM gg GROUP BY ALL UNION ALL SELECT level, name, 0, 0, count(*), 0 FROM tg GROUP BY ALL
+  UNION ALL SELECT level, name, 0, count(DISTINCT (doc_id, gold_id)), 0, count(DISTINCT (doc_id, pred_id)) FROM hg GROUP BY ALL) GROUP BY ALL),
+s AS (SELECT level, name, CAST(n_gold AS BIGINT) AS n_gold, CAST(tp_gold AS BIGINT) AS tp_gold, CAST(n_test AS BIGINT) AS n_test, CAST(tp_test AS BIGINT) AS tp_test, CASE WHEN n_test > 0 THEN tp_test / n_test ELSE 0 END AS p, CASE WHEN n_gold > 0 THEN tp_gold / n_gold ELSE 0 END AS r FROM k)
+SELECT level, name, n_gold, tp_gold, n_test, tp_test, n_gold - tp_gold AS fn, n_test - tp_test AS fp, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM s"""
+
+
+def _flagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    gold, test = both(spark, sf_dir)
+    given = lambda rows, key, every: rows.select("doc_id", F.col(key).alias("ent_id"), F.explode(F.array(*(F.when(F.col(key) % n == 0, name) for name, n in every.items()))).alias("flag")).filter("flag is not null")
+    return gold, test, given(gold, "gold_id", {"Negated": 2, "Speculated": 3}), given(test, "pred_id", {"Negated": 4, "Speculated": 3, "Reported": 5})
+
+
+@query(_flag_sql(_EXACT, "AND p.label = g.label"))
+def a_agreement_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement over all, by type and by flag, matched anew among the spans of each."""
+    return M.grouped_agreement(*_flagged(spark, sf_dir))
+
+
+@query(_flag_sql(_OVERLAP, ""))
+def a_overlap_agreement_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for overlapping spans of any type."""
+    return M.grouped_agreement(*_flagged(spark, sf_dir), mode="overlap", ignore_type=True)
+
+
 @query(f"""WITH {OVERLAPS_SQL}, c AS (SELECT p.doc_id, p.pred_id, g.label, g.start AS gs, g.gold_id, CASE WHEN {_EXACT} THEN 1 WHEN {_OVERLAP} AND p.label = g.label THEN 2 WHEN {_OVERLAP} AND {_CONTAINS} THEN 3 END AS tier FROM pred2 p JOIN gold2 g ON p.doc_id = g.doc_id),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pred_id ORDER BY tier, gs, gold_id) AS r FROM c WHERE tier IS NOT NULL) WHERE r = 1)
 SELECT p.label AS predicted, coalesce(b.label, 'O') AS gold, count(*) AS n FROM pred2 p LEFT JOIN b USING (doc_id, pred_id) GROUP BY ALL""")
