@@ -9,6 +9,7 @@ from spanloom.operators import prompts as P
 from spanloom.operators import sweep as X
 from spanloom.operators import text as T
 from spanloom.sources import annotations as A
+from spanloom.sources import quarantine as Q
 from spanloom.sources import sinks as K
 from spanloom.sources.runs import RunStore
 from spanloom.sources.scratch import through_files
@@ -310,6 +311,49 @@ def k_run_and_snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_files(spark, steps)
 
 
+_LINES = f"""{_ITEMS}, ln AS (SELECT doc_id, gold_id, gold_id + 1 AS line_no, CASE gold_id % 9 WHEN 0 THEN 'unknown kind of line' WHEN 1 THEN 'an entity needs three cells' WHEN 2 THEN 'unreadable offsets' WHEN 3 THEN 'an empty span' WHEN 4 THEN 'unknown type Odd' ELSE NULL END AS reason FROM gold)"""
+
+
+@query(f"""WITH {_LINES} SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(line_no AS INTEGER) AS line_no, reason, (SELECT count(*) FROM ln) AS n_rows, (SELECT count(*) FROM ln WHERE reason IS NOT NULL) AS n_bad FROM ln WHERE reason IS NOT NULL""")
+def s_quarantined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standoff lines of which many are broken, through files: the bad ones with file, line and reason, and the counts observed while writing."""
+    i = F.col("gold_id")
+    good = F.format_string("T%d\t%s %d %d\t%s", i, "label", "start", "end", "text")
+    line = (
+        F.when(i % 9 == 0, F.concat(F.lit("?"), good))
+        .when(i % 9 == 1, F.format_string("T%d\t%s %d %d", i, "label", "start", "end"))
+        .when(i % 9 == 2, F.format_string("T%d\t%s %d x\t%s", i, "label", "start", "text"))
+        .when(i % 9 == 3, F.format_string("T%d\t%s %d %d\t%s", i, "label", "end", "start", "text"))
+        .when(i % 9 == 4, F.format_string("T%d\tOdd %d %d\t%s", i, "start", "end", "text"))
+        .otherwise(good)
+    )
+    rows = item_mentions(spark, sf_dir).select("doc_id", i.alias("n"), F.concat((i + 1).cast("string"), F.lit("\x01"), line).alias("line"))
+
+    def steps(folder: str) -> DataFrame:
+        K.write_by_document(rows, f"{folder}/lines")
+        read = A.read_lines(spark, f"{folder}/lines")
+        lines = read.select("doc_id", F.substring_index("line", "\x01", 1).cast("int").alias("line_no"), F.substring_index("line", "\x01", -1).alias("line"))
+        kept, bad, counts = Q.set_apart(Q.standoff_records(lines, [f"C{k}" for k in range(9)]), f"{folder}/records")
+        assert counts["good"] == Q.good_entities(kept).filter("not bad").count()
+        return bad.select("doc_id", "line_no", "reason", F.lit(counts["rows"]).alias("n_rows"), F.lit(counts["bad"]).alias("n_bad"))
+
+    return through_files(spark, steps)
+
+
+@query(f"""WITH {_ITEMS}, n AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id), b AS (SELECT doc_id, n, CASE WHEN doc_id % 4 = 0 THEN n - 1 ELSE n END AS labels FROM n)
+SELECT doc_id, n AS n_lines, labels AS n_labels, CASE WHEN labels = n THEN md5((SELECT string_agg('B-' || (pos % 3) || chr(9) || token, chr(10) ORDER BY pos) FROM tok t WHERE t.doc_id = b.doc_id)) ELSE '' END AS digest FROM b WHERE labels > 0""")
+def p_attached_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label column taken off and put back; documents whose labels are one short are named and left out."""
+    rows = T.tokens(benchmark(spark, sf_dir))
+    lines = rows.select("doc_id", F.col("pos").alias("line_no"), F.concat_ws("\t", F.concat(F.lit("B-"), (F.col("pos") % 3).cast("string")), "token").alias("line"))
+    labels, bare = Q.stripped(lines)
+    labels = labels.filter("not (doc_id % 4 = 0 and line_no = 0)")
+    again, bad = Q.attached(labels, bare, strict=False)
+    digest = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n"))
+    good = again.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count("*").alias("n_labels"), digest.alias("digest"))
+    return good.unionByName(bad.filter("n_labels > 0").select("doc_id", "n_lines", "n_labels", F.lit("").alias("digest")))
+
+
 @query("""WITH b AS (SELECT CAST(user_id % 20 AS VARCHAR) AS run_id, user_id % 20 AS r, event_id FROM events)
 SELECT run_id, count(*) AS n, max(event_id) AS last, CAST(CASE WHEN r % 4 = 0 THEN 4 WHEN r % 2 = 1 THEN 3 ELSE 1 END AS BIGINT) AS seq FROM b WHERE r % 4 <> 0 OR event_id % 3 = 0 GROUP BY run_id, r""")
 def k_run_store(spark: SparkSession, sf_dir: str) -> DataFrame:
