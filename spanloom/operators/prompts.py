@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.labels import normal_text
 
+from .places import occurrences
 from .ranges import overlapping
 
 ANSWER = "struct<labeled_entities:array<struct<entity:string,final_label:string,rationale:string>>,new_discovered_entities:array<struct<entity:string,final_label:string,rationale:string>>>"
@@ -33,9 +36,15 @@ def evidence(spans: DataFrame, blind: bool = False) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x.line), "\n").alias("block"))
 
 
+def _filled(template: str, fields: dict[str, Column]) -> Column:
+    """The template with its fields filled in at once: what a field holds is never read as a field."""
+    parts = re.split("(" + "|".join(re.escape("{" + name + "}") for name in fields) + ")", template)
+    return F.concat(*(fields[x[1:-1]] if x[1:-1] in fields and x.startswith("{") else F.lit(x) for x in parts if x))
+
+
 def prompts(docs: DataFrame, blocks: DataFrame, template: str) -> DataFrame:
     """(doc_id, prompt): the template with {text} and {evidence} filled in."""
-    filled = F.replace(F.replace(F.lit(template), F.lit("{text}"), F.col("text")), F.lit("{evidence}"), F.coalesce("block", F.lit("")))
+    filled = _filled(template, {"text": F.coalesce("text", F.lit("")), "evidence": F.coalesce("block", F.lit(""))})
     return docs.join(blocks, "doc_id", "left").select("doc_id", filled.alias("prompt"))
 
 
@@ -86,16 +95,8 @@ def numbered_lines(answers: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def located(discoveries: DataFrame, docs: DataFrame, taken: DataFrame) -> DataFrame:
-    """(doc_id, entity, start, end): the first occurrence of each new entity, without case, that is no span already."""
-    rows = discoveries.select("doc_id", "entity").distinct().join(docs.select("doc_id", "text"), "doc_id").filter("entity <> ''")
-    # Case is folded character by character, so that offsets stay those of the text.
-    plain = lambda c: F.regexp_replace(c, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
-    pieces = F.split("text", F.concat(F.lit("(?iu)"), plain(F.col("entity"))))
-    size = F.length("entity")
-    starts = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, x: a + F.length(x)) + (i - 1) * size)
-    rows = rows.filter(F.size(pieces) > 1).select("doc_id", "entity", F.explode(starts).alias("start")).withColumn("end", F.col("start") + size)
-    free = rows.join(taken.select("doc_id", "start", "end").distinct(), ["doc_id", "start", "end"], "left_anti")
-    return free.groupBy("doc_id", "entity").agg(F.min(F.struct("start", "end")).alias("x")).select("doc_id", "entity", "x.*")
+    """(doc_id, entity, start, end): the first occurrence of each new entity, without case, that is no span already; one scan of a document for all its entities."""
+    return occurrences(discoveries.select("doc_id", "entity"), docs, taken)
 
 
 def error_table(reflections: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators import places as PL
 from spanloom.operators import prompts as P
 from spanloom.operators import sweep as X
 from spanloom.operators import text as T
@@ -441,3 +442,46 @@ def t_error_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = rows.select("doc_id", F.concat(F.lit("Errors:\n| Token | Type |\n|---|---|\n| "), "word", F.lit(" | FN |\n")).alias("raw"))
     sentences = docs.select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("sent_id", "text"))
     return P.containing_sentence(P.error_table(told), sentences).select("doc_id", "token", "error_type", F.md5("sentence").alias("digest"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[A-Za-z]{6,}')) AS words, text FROM documents), d AS (SELECT doc_id, text, unnest(words) AS word FROM w),
+n AS (SELECT DISTINCT doc_id, text, lower(word) AS word FROM d WHERE (ascii(word) + length(word)) % 7 = 0),
+f AS (SELECT doc_id, word, strpos(lower(text), word) - 1 AS s, text FROM n)
+SELECT doc_id, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(s + length(word)) AS BIGINT) AS ends FROM f GROUP BY doc_id""")
+def t_entities_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First places of many words of each document, in one scan a document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), 0))).alias("word"))
+    names = words.filter((F.ascii("word") + F.length("word")) % 7 == 0).select("doc_id", F.lower("word").alias("entity")).distinct()
+    found = PL.occurrences(names, docs)
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
+
+
+@query(f"""WITH {MENTIONS_SQL}, m AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS number, start, "end", text, label FROM gold),
+p AS (SELECT doc_id, number, 0 AS place, start, start + 4 AS "end", substr(text, 1, 4) AS text, 'Sleep' AS label, 'a' AS part FROM m WHERE number % 3 = 0 UNION ALL
+  SELECT doc_id, number, 1, start + strpos(text, substr(text, 5)) - 1, start + strpos(text, substr(text, 5)) - 1 + length(text) - 4, substr(text, 5), 'Nutrition', 'b' FROM m WHERE number % 3 = 0 UNION ALL
+  SELECT doc_id, number, 0, start, "end", text, CASE number % 2 WHEN 0 THEN 'Nutrition' ELSE 'O' END, '' FROM m WHERE number % 3 = 1 UNION ALL SELECT doc_id, number, 0, start, "end", text, 'O', '' FROM m WHERE number % 3 = 2)
+SELECT doc_id, label, part, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, CAST(sum("end") AS BIGINT) AS ends, CAST(sum(length(text)) AS BIGINT) AS chars FROM p GROUP BY ALL""")
+def t_parts_of_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered answers over each document's mentions: a third in two quoted parts, a third whole, a third without a line."""
+    rows = mentions(T.tokens(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("start"))
+    rows = rows.select("doc_id", number.alias("number"), "start", "end", "text")
+    n = F.col("number")
+    quoted = F.format_string("%da. \"%s\" is sleep\n%db: '%s' - nutrition", n, F.substring("text", 1, 4), n, F.expr("substring(text, 5)"))
+    line = F.when(n % 3 == 0, quoted).when((n % 3 == 1) & (n % 2 == 0), F.format_string("%d. \"not there\" NUTRITION", n)).when(n % 3 == 1, F.format_string("%d none", n))
+    raw = rows.filter(line.isNotNull()).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", line.alias("line")))), lambda x: x["line"]), "\n").alias("raw"))
+    found = PL.resolved_parts(rows, raw, ["Sleep", "Nutrition"])
+    return found.groupBy("doc_id", "label", "part").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(f"""WITH {MENTIONS_SQL}, a AS (SELECT doc_id, gold_id AS place, CASE WHEN gold_id % 2 = 0 THEN upper(text) ELSE 'the ' || text || ' itself' END AS name, label FROM gold WHERE gold_id % 5 < 3),
+m AS (SELECT g.doc_id, g.gold_id, arg_min(a.label, a.place) AS answer FROM gold g JOIN a ON a.doc_id = g.doc_id AND contains(lower(a.name), lower(g.text)) GROUP BY ALL)
+SELECT label, source, count(*) AS n FROM (SELECT coalesce(answer, 'P') AS label, CASE WHEN answer IS NULL THEN 'proposed' ELSE 'answer' END AS source FROM gold g LEFT JOIN m ON m.doc_id = g.doc_id AND m.gold_id = g.gold_id) GROUP BY ALL""")
+def t_aligned_or_proposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers by equal text or a name that holds the span's, else what was proposed."""
+    rows = mentions(T.tokens(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    i = F.col("gold_id")
+    answers = rows.filter(i % 5 < 3).select("doc_id", i.alias("place"), F.when(i % 2 == 0, F.upper("text")).otherwise(F.concat(F.lit("the "), "text", F.lit(" itself"))).alias("entity"), F.col("label").alias("final_label"))
+    found = PL.aligned_or_proposed(rows.select("doc_id", i.alias("span_id"), "text", F.lit("P").alias("proposed")), answers)
+    return found.groupBy("label", "source").agg(F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -203,9 +205,8 @@ def _configs_sql(configs: list[dict]) -> str:
     return f"configs({', '.join(X.FIELDS)}) AS (VALUES {', '.join('(' + ', '.join(lit(c[k]) for k in X.FIELDS) + ')' for c in configs)})"
 
 
-def _sweep_sql(configs: list[dict], tail: str) -> str:
-    return f"""{_FEATURES}, {_configs_sql(configs)},
-s0 AS (SELECT *, CASE method WHEN 'mcd' THEN u_mcd WHEN 'pe' THEN u_pe WHEN 'margin' THEN u_margin ELSE u_lc END AS u, CASE metric WHEN 'knn' THEN nov_knn WHEN 'lof' THEN nov_lof ELSE nov_centroid END AS nv FROM feat CROSS JOIN configs),
+#: From candidates and configurations to the metrics of each run.
+_RUNS = """s0 AS (SELECT *, CASE method WHEN 'mcd' THEN u_mcd WHEN 'pe' THEN u_pe WHEN 'margin' THEN u_margin ELSE u_lc END AS u, CASE metric WHEN 'knn' THEN nov_knn WHEN 'lof' THEN nov_lof ELSE nov_centroid END AS nv FROM feat CROSS JOIN configs),
 s1 AS (SELECT *, CASE mode WHEN 'weighted' THEN w_n * nv + w_u * u WHEN 'or' THEN greatest(u, nv) WHEN 'and' THEN least(u, nv) WHEN 'prob_or' THEN 1 - (1 - nv) * (1 - u)
   WHEN 'copula' THEN greatest(0, least(1, u + nv - 1.5 * u * nv)) ELSE 2 * nv * u / (nv + u + 1e-6) END AS fused FROM s0),
 s2 AS (SELECT *, CASE mode WHEN 'or' THEN u >= tau OR nv >= tau_novelty WHEN 'and' THEN u >= tau AND nv >= tau_novelty ELSE fused >= tau END AS escalated FROM s1),
@@ -218,8 +219,27 @@ s6 AS (SELECT *, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp +
 s7 AS (SELECT sweep, run_id, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, round(avg(f1), 6) AS macro_f1 FROM s6 GROUP BY ALL),
 s8 AS (SELECT run_id, count(*) AS n, count(*) FILTER (escalated) AS escalated FROM s3 GROUP BY run_id),
 metrics AS (SELECT sweep, run_id, n, escalated, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall,
-  round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1, macro_f1, round(1 - escalated / n, 6) AS saved FROM s7 JOIN s8 USING (run_id))
-{tail}"""
+  round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1, macro_f1, round(1 - escalated / n, 6) AS saved FROM s7 JOIN s8 USING (run_id))"""
+
+
+def _sweep_sql(configs: list[dict], tail: str) -> str:
+    return f"{_FEATURES}, {_configs_sql(configs)},\n{_RUNS}\n{tail}"
+
+
+def _chain_sql() -> str:
+    """Each sweep with the settings that won before it: its configurations are literals for what it varies and the winner's for the rest."""
+    made = [X.weight_sweep(), X.operator_sweep(), X.uncertainty_sweep(), X.novelty_sweep(), X.threshold_sweep(), X.ablations()]
+    parts, fields = [], [k for k in X.FIELDS if k not in ("run_id", "sweep")]
+    for k, configs in enumerate(made):
+        suffix = lambda text, k=k: re.sub(r"\b(s\d[ab]?|metrics|configs)\b", rf"\1_{k}", text)
+        varied = [f for f in fields if len({c[f] for c in configs}) > 1]
+        parts.append(suffix(_configs_sql(configs)).replace(f"configs_{k}(", f"given_{k}(", 1))
+        names = ", ".join(f"{'g' if f in varied or not k else 'w'}.{f}" for f in fields)
+        parts.append(f"configs_{k} AS (SELECT g.run_id, g.sweep, {names} FROM given_{k} g" + (f", won_{k - 1} w)" if k else ")"))
+        parts.append(suffix(_RUNS))
+        parts.append(f"won_{k} AS (SELECT c.*, m.macro_f1 FROM configs_{k} c JOIN metrics_{k} m ON m.run_id = c.run_id ORDER BY m.macro_f1 DESC, c.run_id LIMIT 1)")
+    union = " UNION ALL ".join(f"SELECT {k} AS step, sweep, run_id, macro_f1 FROM won_{k}" for k in range(len(made)))
+    return f"{_FEATURES}, " + ",\n".join(parts) + f"\n{union}"
 
 
 _ALL = [*X.weight_sweep(), *X.operator_sweep(), *X.uncertainty_sweep(), *X.novelty_sweep()]
@@ -250,7 +270,7 @@ def x_named_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.sweep(features(spark, sf_dir), X.optimum())
 
 
-@query()
+@query(_chain_sql())
 def x_chained_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir).persist()
     log = X.chained(rows)
