@@ -132,6 +132,13 @@ def merged(confident: DataFrame, arbitrated: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("start", F.desc(F.col("end") - F.col("start")), "escalated", "final_label")))
 
 
+def first_by_offsets(confident: DataFrame, arbitrated: DataFrame) -> DataFrame:
+    """The spans of both in one shape, one for each (doc_id, start, end): a confident one before an arbitrated one, then by ``place``."""
+    rows = merged(confident, arbitrated)
+    first = F.row_number().over(Window.partitionBy("doc_id", "start", "end").orderBy("escalated", "place"))
+    return rows.withColumn("first", first).filter("first = 1").drop("first")
+
+
 def document_ids(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """The ids that either side has."""
     return gold.select("doc_id").union(predicted.select("doc_id")).distinct()

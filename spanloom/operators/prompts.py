@@ -169,12 +169,25 @@ def definitions_block(definitions: DataFrame) -> DataFrame:
 def mention_prompts(docs: DataFrame, mentions: DataFrame, definitions: DataFrame, examples: str, template: str) -> DataFrame:
     """(doc_id, prompt): {text}, {mentions}, {definitions} and {examples} filled in; the definitions are one row."""
     rows = docs.join(mentions, "doc_id").join(F.broadcast(definitions), F.lit(True))
-    filled = F.lit(template)
-    for name, value in (("examples", F.lit(examples)), ("definitions", F.col("definitions")), ("mentions", F.col("mentions")), ("text", F.col("text"))):
-        filled = F.replace(filled, F.lit("{" + name + "}"), value)
+    filled = _filled(template, {"examples": F.lit(examples), "definitions": F.col("definitions"), "mentions": F.col("mentions"), "text": F.coalesce("text", F.lit(""))})
     return rows.select("doc_id", filled.alias("prompt"))
 
 
+def single_mention_prompts(docs: DataFrame, spans: DataFrame, definitions: DataFrame, template: str) -> DataFrame:
+    """(doc_id, span_id, prompt): a prompt for each mention (doc_id, span_id, start, end, text); {text}, {candidate}, {context} and {definitions} filled in.
+
+    {context} is the mention's sentence: what stands between the sentence ends
+    around it. A mention of a document without a text has none.
+    """
+    rows = spans.select("doc_id", "span_id", F.col("text").alias("candidate"), "start", "end").join(docs.select("doc_id", "text"), "doc_id", "left").join(F.broadcast(definitions), F.lit(True))
+    text = F.coalesce("text", F.lit(""))
+    before = F.regexp_extract(F.substring(text, F.lit(1), F.col("start")), r"(?s)(?:.*[.!?]\s|^)(.*)$", 1)
+    after = F.regexp_extract(F.substring(text, F.col("end") + 1, F.length(text)), r"(?s)^(.*?[.!?](?=\s|$)|.*)", 1)
+    context = F.concat(before, F.substring(text, F.col("start") + 1, F.col("end") - F.col("start")), after)
+    filled = _filled(template, {"text": text, "candidate": F.col("candidate"), "context": context, "definitions": F.col("definitions")})
+    return rows.select("doc_id", "span_id", filled.alias("prompt"))
+
+
 def evidence_line(entity: Column, **parts: Column) -> Column:
     """``- Entity: '...' | Name: value | ...``, without the parts that are null or empty; names are given with underscores."""
     told = [F.when(v.cast("string") != "", F.concat(F.lit(f"{k.replace('_', ' ')}: "), v.cast("string"))) for k, v in parts.items()]

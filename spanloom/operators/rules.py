@@ -102,6 +102,38 @@ def capped_examples(examples: DataFrame, most: int = 4) -> DataFrame:
     return ranked.withColumn("place", F.row_number().over(Window.partitionBy("bullet_id").orderBy("of_type", F.desc("seq")))).filter(F.col("place") <= most).drop("of_type")
 
 
+def merged_examples(stored: DataFrame, operations: DataFrame, most: int = 4) -> DataFrame:
+    """The examples of each rule after a batch: the stored ones (bullet_id, error_type, sentence, seq) and those of its MODIFY operations, capped.
+
+    operations: (bullet_id, seq, examples: array of struct(error_type, sentence)).
+    An operation's examples are newer than all stored ones and than those of
+    operations before it; inside an operation the later counts as newer. Of one
+    sentence the newest stays. Rules that no operation names keep theirs as they are.
+    """
+    newest = stored.groupBy("bullet_id").agg(F.max("seq").alias("newest"))
+    new = operations.select("bullet_id", F.col("seq").alias("op"), F.posexplode("examples").alias("place", "x")).select("bullet_id", "op", "place", "x.error_type", "x.sentence")
+    number = F.row_number().over(Window.partitionBy("bullet_id").orderBy("op", "place"))
+    new = new.join(newest, "bullet_id", "left").select("bullet_id", "error_type", "sentence", (F.coalesce("newest", F.lit(0)) + number).alias("seq"))
+    named = operations.select("bullet_id").distinct()
+    changed = capped_examples(stored.join(named, "bullet_id", "left_semi").unionByName(new), most).drop("place")
+    return stored.join(named, "bullet_id", "left_anti").unionByName(changed.select(stored.columns))
+
+
+def report(told: DataFrame, accepted: DataFrame, rejected: DataFrame) -> DataFrame:
+    """(what, grp, section, n) of one batch: operations by type, invalid ones by reason, rejected additions by cause, and new rules by super-category and section with totals.
+
+    ``grp`` holds the type, reason or cause, or the super-category; nulls in the
+    counts of new rules are totals.
+    """
+    group = F.create_map(*(F.lit(x) for s, _, g in SECTIONS for x in (s, g)))
+    one = lambda rows, what, by: rows.groupBy(by.alias("grp")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), F.coalesce("grp", F.lit("none")).alias("grp"), F.lit(None).cast("string").alias("section"), "n")
+    by_type = one(told, "operations", F.col("type"))
+    invalid = one(told.filter("reason is not null"), "invalid", F.col("reason"))
+    cause = one(rejected, "rejected", F.when(F.col("twin").isNotNull(), "sibling").otherwise("stored rule"))
+    new = accepted.withColumn("grp", group[F.col("section")]).rollup("grp", "section").agg(F.count("*").alias("n")).select(F.lit("new rules").alias("what"), "grp", "section", "n")
+    return by_type.unionByName(invalid).unionByName(cause).unionByName(new)
+
+
 def resolved(answers: DataFrame, rules: DataFrame) -> DataFrame:
     """The text of each rule that an answer cites; unknown ids stay as they are. answers: (doc_id, ids array)."""
     cited = answers.select("doc_id", F.posexplode("ids").alias("place", "bullet_id"))

@@ -313,6 +313,34 @@ def a_curation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.curated(rules(spark, sf_dir), tags(spark, sf_dir), operations(spark, sf_dir))[1]
 
 
+@query("""WITH op AS (SELECT vec_id AS seq, CASE WHEN vec_id % 10 = 9 THEN 'DROP' WHEN vec_id % 10 = 8 THEN 'MODIFY' ELSE 'ADD' END AS type, ['Nutrition', 'Sleep', 'Substance_use', 'Environmental_exposures'][vec_id % 4 + 1] AS section FROM embeddings),
+ok AS (SELECT *, CASE WHEN section IN ('Nutrition', 'Sleep') THEN 'behaviour' ELSE 'exposure' END AS g FROM op WHERE seq % 10 < 7)
+SELECT 'operations' AS what, type AS grp, NULL AS section, count(*) AS n FROM op GROUP BY type UNION ALL
+SELECT 'invalid', CASE WHEN seq % 10 = 9 THEN 'unknown type' ELSE 'no content' END, NULL, count(*) FROM op WHERE seq % 10 IN (7, 9) GROUP BY ALL UNION ALL SELECT 'new rules', g, section, count(*) FROM ok GROUP BY ROLLUP (g, section)""")
+def a_curation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a batch holds and what it adds, by super-category and section; all its valid additions count here."""
+    told = R.checked(operations(spark, sf_dir))
+    added = told.filter("reason is null and type = 'ADD'")
+    return R.report(told, added, added.limit(0).withColumn("twin", F.lit(None).cast("long")))
+
+
+@query("""WITH st AS (SELECT user_id % 40 AS bullet_id, event_type AS error_type, event_id % 25 AS sentence, event_id AS seq FROM events WHERE event_id % 2 = 0),
+op AS (SELECT user_id % 40 AS bullet_id, event_id AS op, event_type AS error_type, event_id % 30 AS sentence FROM events WHERE event_id % 10 = 1 AND user_id % 40 < 20),
+ne AS (SELECT op.bullet_id, error_type, sentence, newest + row_number() OVER (PARTITION BY op.bullet_id ORDER BY op, place) AS seq FROM (SELECT bullet_id, op, 0 AS place, error_type, sentence FROM op UNION ALL SELECT bullet_id, op, 1, 'second', sentence + 1 FROM op) op JOIN (SELECT bullet_id, max(seq) AS newest FROM st GROUP BY ALL) USING (bullet_id)),
+e AS (SELECT * FROM st WHERE bullet_id IN (SELECT bullet_id FROM op) UNION ALL SELECT * FROM ne), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bullet_id, sentence ORDER BY seq DESC) AS r FROM e) WHERE r = 1),
+k AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY bullet_id, error_type ORDER BY seq DESC) > 1 THEN 1 ELSE 0 END AS of_type FROM o),
+p AS (SELECT *, row_number() OVER (PARTITION BY bullet_id ORDER BY of_type, seq DESC) AS place FROM k)
+SELECT bullet_id, error_type, sentence, seq FROM p WHERE place <= 4 UNION ALL SELECT bullet_id, error_type, sentence, seq FROM st WHERE bullet_id NOT IN (SELECT bullet_id FROM op)""")
+def b_merged_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples of rules after operations that bring two each."""
+    events = table(spark, sf_dir, "events").withColumn("bullet_id", F.col("user_id") % 40)
+    stored = events.filter("event_id % 2 = 0").select("bullet_id", F.col("event_type").alias("error_type"), (F.col("event_id") % 25).alias("sentence"), F.col("event_id").alias("seq"))
+    example = lambda kind, sentence: F.struct(kind.alias("error_type"), sentence.alias("sentence"))
+    sentence = F.col("event_id") % 30
+    told = events.filter("event_id % 10 = 1 and bullet_id < 20").select("bullet_id", F.col("event_id").alias("seq"), F.array(example(F.col("event_type"), sentence), example(F.lit("second"), sentence + 1)).alias("examples"))
+    return R.merged_examples(stored, told)
+
+
 @query("""WITH e AS (SELECT user_id % 40 AS bullet_id, event_type AS error_type, event_id % 25 AS sentence, event_id AS seq FROM events),
 o AS (SELECT bullet_id, error_type, sentence, seq FROM (SELECT *, row_number() OVER (PARTITION BY bullet_id, sentence ORDER BY seq DESC) AS r FROM e) WHERE r = 1),
 k AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY bullet_id, error_type ORDER BY seq DESC) > 1 THEN 1 ELSE 0 END AS of_type FROM o),

@@ -485,3 +485,11 @@ def t_aligned_or_proposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = rows.filter(i % 5 < 3).select("doc_id", i.alias("place"), F.when(i % 2 == 0, F.upper("text")).otherwise(F.concat(F.lit("the "), "text", F.lit(" itself"))).alias("entity"), F.col("label").alias("final_label"))
     found = PL.aligned_or_proposed(rows.select("doc_id", i.alias("span_id"), "text", F.lit("P").alias("proposed")), answers)
     return found.groupBy("label", "source").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_ITEMS} SELECT doc_id, gold_id AS span_id, md5('D' || chr(10) || text || ' {{text}} ' || bt) AS digest FROM gold JOIN (SELECT item_id AS doc_id, text AS bt FROM benchmark) USING (doc_id)""".replace("{{", "{").replace("}}", "}"))
+def t_single_mention_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt for each mention; what stands in braces inside a field stays."""
+    told = spark.createDataFrame([("D",)], "definitions string")
+    spans = item_mentions(spark, sf_dir).select("doc_id", F.col("gold_id").alias("span_id"), "start", "end", F.concat("text", F.lit(" {text}")).alias("text"))
+    return P.single_mention_prompts(benchmark(spark, sf_dir), spans, told, "{definitions}\n{candidate} {text}").select("doc_id", "span_id", F.md5("prompt").alias("digest"))

@@ -208,6 +208,16 @@ def e_merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.merged(sure, told)
 
 
+@query(f"""WITH {OVERLAPS_SQL}, u AS (SELECT doc_id, start, "end", label, false AS escalated FROM pred2 WHERE pred_id % 2 = 0 UNION ALL SELECT doc_id, start, "end", 'X' || label, true FROM pred2 WHERE pred_id % 3 < 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start, "end" ORDER BY escalated, label) AS r FROM u) SELECT doc_id, start, "end", label AS final_label, escalated FROM r WHERE r = 1""")
+def w_confident_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One span for equal offsets, a confident one before an arbitrated one."""
+    rows = both(spark, sf_dir)[1]
+    sure = rows.filter("pred_id % 2 = 0").select("doc_id", "start", "end", "text", F.col("label").alias("proposed_label"))
+    told = rows.filter("pred_id % 3 < 2").select("doc_id", "start", "end", "text", F.concat(F.lit("X"), "label").alias("arbitrated_label"))
+    return M.first_by_offsets(sure, told).select("doc_id", "start", "end", "final_label", "escalated")
+
+
 #: Tags by the position of a token: runs of B and I, orphans and changes of class.
 _TAG = "CASE (pos * {a} + doc_id) % 7 WHEN 0 THEN 'B-C1' WHEN 1 THEN 'I-C1' WHEN 2 THEN 'I-C1' WHEN 3 THEN 'I-C2' WHEN 4 THEN 'O' WHEN 5 THEN 'I-C2' ELSE 'B-C2' END"
 _ZIPPED = f"""z AS (SELECT doc_id, pos, token, {_TAG.format(a=3)} AS gold_tag, CASE WHEN pos % 4 = 0 THEN {_TAG.format(a=5)} ELSE {_TAG.format(a=3)} END AS pred_tag FROM tok)"""

@@ -85,3 +85,29 @@ def test_fields_inside_fields_are_text(spark):
     blocks = spark.createDataFrame([(1, "BLOCK {text}")], "doc_id long, block string")
     got = {r["doc_id"]: r["prompt"] for r in P.prompts(docs, blocks, "<{text}|{evidence}|{other}>").collect()}
     assert got == {1: "<see {evidence} and {text}|BLOCK {text}|{other}>", 2: "<||{other}>"}
+
+
+def test_prompts_of_single_mentions_and_blind_evidence(spark):
+    docs = spark.createDataFrame([(1, "First one. A nap helps! Last.")], "doc_id long, text string")
+    spans = spark.createDataFrame([(1, 0, 13, 16, "nap", "Sleep"), (1, 1, 0, 5, "First", "O"), (2, 2, 0, 1, "x", "O")], "doc_id long, span_id long, start int, end int, text string, label string")
+    told = spark.createDataFrame([("D",)], "definitions string")
+    got = {r["span_id"]: r["prompt"] for r in P.single_mention_prompts(docs, spans, told, "{definitions}|{candidate}|{context}").collect()}
+    assert got == {0: "D|nap|A nap helps!", 1: "D|First|First one.", 2: "D|x|"}
+    assert {r["doc_id"]: r["block"] for r in P.evidence(spans, blind=True).collect()}[1] == '1. "First" [0:5]\n2. "nap" [13:16]'
+    assert {r["doc_id"]: r["block"] for r in P.evidence(spans).collect()}[2] == '1. "x" [0:1] -> O'
+
+
+def test_lines_explanations_and_candidates(spark):
+    from pyspark.sql import functions as F
+
+    from spanloom.functions import labels as L
+    from spanloom.functions import scores as S
+    from spanloom.operators import text as T
+
+    docs = spark.createDataFrame([(1, "One. Two! 3.5 x?\tY."), (2, None)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in T.with_lines(docs).collect()} == {1: "One.\nTwo!\n3.5 x?\nY.", 2: None}
+    name, _, told = S.AUDIT[0]
+    row = spark.range(1).select(S.explanation(F.lit("A"), F.lit("B"), F.lit("A"), F.lit("A"), F.lit(name)).alias("x")).first()
+    assert row["x"] == f"proposed A, answered B, kept A, gold A: {told}"
+    rows = spark.createDataFrame([(0, 0.9), (0, 0.1), (3, 0.0)], "c int, u double").select(L.kept(F.col("c"), F.col("u"), 0.8).alias("k"))
+    assert [r["k"] for r in rows.collect()] == [True, False, True]
