@@ -9,6 +9,7 @@ place, suppression searches the kept intervals, which never overlap.
 
 from __future__ import annotations
 
+import heapq
 from bisect import bisect_left
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from spanloom.functions.labels import normal_text
 
@@ -227,3 +229,49 @@ def suppressed(rows: DataFrame) -> DataFrame:
     """(doc_id, span_id, start, end) of the spans that greedy suppression keeps. rows: doc_id, span_id, start, end, k1, k2 (least first, then start and id)."""
     rows = rows.select("doc_id", "k1", "k2", *(F.col(c).cast("long").alias(c) for c in ("span_id", "start", "end"))).filter("start is not null and end is not null")
     return rows.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(_suppress, f"doc_id {dict(rows.dtypes)['doc_id']}, span_id long, start long, end long")
+
+
+def _tag(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Tokens with the tag of the span over their first covered character; spans arrive before the tokens that reach their start."""
+    key: object = None
+    last: tuple = ()
+    open_: list[tuple[int, int, str]] = []  # spans that began at or before the token, a heap by the largest id
+    begun: list[tuple[int, int, int, str]] = []  # spans that may begin inside the token
+    for batch in batches:
+        tags, keep = [], []
+        columns = (batch.column(c).to_pylist() for c in ("doc_id", "_span", "_start", "_end", "sent_id", "_label"))
+        for doc, span, start, end, sent, label in zip(*columns, strict=True):
+            if doc != key:
+                key, last, open_, begun = doc, (), [], []
+            keep.append(span is None)
+            if span is not None:
+                begun.append((start, -span, end, label))
+                continue
+            later = []
+            for x in begun:
+                if x[0] > start:
+                    later.append(x)
+                elif x[2] > start:
+                    heapq.heappush(open_, x[1:])
+            begun = later
+            while open_ and open_[0][1] <= start:
+                heapq.heappop(open_)
+            inside = None if open_ else min((x for x in begun if x[0] < end and x[2] > start), default=None)
+            found = open_[0][2] if open_ else inside[3] if inside else None
+            tags.append("O" if found is None else f"I-{found}" if last == (sent, found) else f"B-{found}")
+            last = (sent, found)
+        tokens = batch.filter(pa.array(keep)).select(names)
+        yield pa.RecordBatch.from_arrays([*tokens.columns, pa.array(tags, pa.string())], names=[*names, "tag"])
+
+
+def tagged(token_rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """``token_rows`` with their tag; spans: (doc_id, span_id, start, end, label). See text.spans_to_tags.
+
+    Tokens and spans are shuffled once, by document, and merged in order of
+    where a span begins and a token ends; the spans open at a place are a heap.
+    """
+    names = token_rows.columns
+    tokens = token_rows.select("*", F.lit(None).cast("long").alias("_span"), F.col("start").cast("long").alias("_start"), F.col("end").cast("long").alias("_end"), F.lit(None).cast("string").alias("_label"), (F.col("end") - 1).cast("long").alias("_at"), F.lit(1).alias("_kind"))
+    marks = spans.filter("label is not null and start < `end`").select("doc_id", F.col("span_id").cast("long").alias("_span"), F.col("start").cast("long").alias("_start"), F.col("end").cast("long").alias("_end"), F.col("label").alias("_label"), F.col("start").cast("long").alias("_at"), F.lit(0).alias("_kind"))
+    rows = tokens.unionByName(marks, allowMissingColumns=True).repartition("doc_id").sortWithinPartitions("doc_id", "_at", "_kind", "pos")
+    return rows.mapInArrow(lambda batches: _tag(batches, names), StructType([*token_rows.schema, StructField("tag", StringType())]))

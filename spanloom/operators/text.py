@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import suppressed
+from .folds import suppressed, tagged
 from .ranges import overlapping
 
 #: Tokens of an Arrow batch at most, but for a longer document.
@@ -82,14 +82,9 @@ def spans_to_tags(token_rows: DataFrame, spans: DataFrame) -> DataFrame:
     """Tags of tokens: the span over the token's first covered character, the later span where several cover it.
 
     B where the type changes or a sentence starts, so adjacent spans of a type merge.
+    Empty spans and those without a label tag nothing.
     """
-    s = spans.select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"), F.col("label"), F.col("span_id"))
-    over = overlapping(token_rows, s, ("start", "end"), ("s", "e")).withColumn("first", F.greatest("s", "start"))
-    chosen = over.groupBy("doc_id", "pos").agg(F.min_by("label", F.struct("first", (-F.col("span_id")).alias("late"))).alias("label"))
-    rows = token_rows.join(chosen, ["doc_id", "pos"], "left")
-    before = F.lag("label").over(Window.partitionBy("doc_id", "sent_id").orderBy("pos"))
-    tag = F.when(F.col("label").isNull(), "O").when(F.col("label").eqNullSafe(before), F.concat(F.lit("I-"), "label")).otherwise(F.concat(F.lit("B-"), "label"))
-    return rows.withColumn("tag", tag).drop("label")
+    return tagged(token_rows, spans)
 
 
 def tags_to_spans(tagged: DataFrame, max_gap: int | None = None) -> DataFrame:
