@@ -160,7 +160,7 @@ class PivotIndex:
 
     Pivots are the references of least hash, a bounded sample; every reference
     is filed. Of equal vectors of one label only the k + 1 least ids are kept,
-    as no others can be among a query's k nearest, so that a vector that a third
+    as no others can be among a query's k nearest (null vectors take no part), so that a vector that a third
     of the references share fills no shards. The worst case, vectors without
     structure or queries that are zero vectors, visits every shard, as a search
     without an index does.
@@ -168,7 +168,7 @@ class PivotIndex:
 
     def __init__(self, refs: DataFrame, k: int, rows: int = SHARD_ROWS, pivots: int = PIVOTS):
         self.k = k
-        refs = refs.select(F.col("id").alias("ref_id"), F.col("label").cast("string").alias("ref_label"), F.col("v").alias("ref_v"))
+        refs = refs.select(F.col("id").alias("ref_id"), F.col("label").cast("string").alias("ref_label"), F.col("v").alias("ref_v")).filter("ref_v is not null")
         place = F.row_number().over(Window.partitionBy("ref_v", "ref_label").orderBy("ref_id"))
         refs = kept(refs.withColumn("place", place).filter(F.col("place") <= k + 1).drop("place"))
         n = refs.count()
@@ -210,7 +210,7 @@ class PivotIndex:
         """
         if not len(self.shards.cell):
             return queries.sparkSession.createDataFrame([], "query_id long, ref_id long")
-        asked = queries.select("id", "v", F.array(F.col("label").cast("string")).alias("wanted"), F.lit(float(distance)).alias("kth"))
+        asked = queries.filter("v is not null").select("id", "v", F.array(F.col("label").cast("string")).alias("wanted"), F.lit(float(distance)).alias("kth"))
         return self._visit(asked, 0, None, first_near(distance, before)).groupBy("query_id").agg(F.min("ref_id").alias("ref_id"))
 
     def search(self, queries: DataFrame, exclude_self: bool = False, by_class: bool = False) -> DataFrame:
@@ -221,7 +221,7 @@ class PivotIndex:
         if not len(self.shards.cell):
             return best(queries.sparkSession.createDataFrame([], _FOUND), self.k, by_class)
         wanted = F.col("wanted") if by_class else F.lit(None).cast("array<string>")
-        asked = queries.select("id", "v", wanted.alias("wanted"))
+        asked = queries.filter("v is not null").select("id", "v", wanted.alias("wanted"))
         found = kept(best(self._visit(asked.withColumn("kth", F.lit(2.0)), 0, 1, meet(self.k, exclude_self)), self.k, by_class).drop("rank"))
         for first, until in ((1, 1 + SOON), (1 + SOON, None)):
             if len(self.shards.cell) <= first:

@@ -18,8 +18,9 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool = Fa
 
     queries: (id, v) and, with ``by_class``, ``wanted``: the labels that get k
     references each. refs: (id, label, v). References that fit one task meet the
-    queries in blocks; more of them are searched through a pivot index.
+    queries in blocks; more of them are searched through a pivot index. Null vectors take no part.
     """
+    queries, refs = queries.filter("v is not null"), refs.filter("v is not null")
     if refs.count() > SHARD_ROWS:
         return PivotIndex(refs, k).search(queries, exclude_self, by_class)
     blocks = max(1, -(-queries.count() // BLOCK_ROWS))

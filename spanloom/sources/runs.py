@@ -61,7 +61,7 @@ class RunStore:
         """Stages all runs in ``rows`` and makes them current; runs not in ``rows`` stay. Gives the new manifest."""
         seen, batch = self.version(), uuid.uuid4().hex
         rows.withColumn(self.key, F.col(self.key).cast("string")).write.partitionBy(self.key).parquet(f"{self.path}/batches/{batch}")
-        staged = self.spark.read.option("recursiveFileLookup", "false").schema(self._schema(rows)).parquet(f"{self.path}/batches/{batch}")
+        staged = self.spark.read.schema(self._schema(rows)).parquet(f"{self.path}/batches/{batch}")
         old = self.manifest()
         seq = (old.agg(F.max("seq")).first()[0] or 0) + 1
         new = staged.groupBy(self.key).agg(F.count("*").alias("n")).select(self.key, F.lit(batch).alias("batch"), "n", F.lit(seq).cast("long").alias("seq"))
