@@ -134,21 +134,28 @@ def anchored_sentences(docs: DataFrame, targets: DataFrame, anchors: DataFrame)
     A sentence lies between breaks: white space after a full stop, exclamation or
     question mark. Targets are (doc_id, span_id, start, end, text), anchors
     (doc_id, start, end, text, label); an anchor with the target's offsets is the
-    target. Sentences are found once for a document and meet spans by range join.
+    target. Sentences are found once for a document, meet spans by range join and
+    carry their own text, so no document is copied for its targets.
     """
     parts = F.split(F.regexp_replace("text", r"(?<=[.!?])(\s+)", "\u0001$1\u0002"), "\u0002")
-    size = lambda x: F.length(x) - F.when(x.contains("\u0001"), 1).otherwise(0)
-    begins = F.aggregate(parts, F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("n")), lambda a, x: F.struct(F.array_append(a.at, a.n).alias("at"), (a.n + size(x)).alias("n"))).at
-    rows = docs.select("doc_id", F.explode(F.arrays_zip(parts.alias("part"), begins.alias("at"))).alias("x")).select("doc_id", F.col("x.at").alias("s_start"), F.substring_index("x.part", "\u0001", 1).alias("sentence")).withColumn("s_end", F.col("s_start") + F.length("sentence"))
+    rows = docs.select("doc_id", F.posexplode(parts).alias("i", "part")).withColumn("whole", F.regexp_replace("part", "\u0001", ""))
+    earlier = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("s_start", F.coalesce(F.sum(F.length("whole")).over(earlier), F.lit(0)).cast("int")).withColumn("sentence", F.substring_index("part", "\u0001", 1))
+    rows = rows.select("doc_id", "s_start", (F.col("s_start") + F.length("sentence")).alias("s_end"), "sentence", "whole")
     inside = overlapping(rows, targets.select("doc_id", "span_id", F.col("start").alias("t_start"), F.col("end").alias("t_end"), F.col("text").alias("t_text")), ("s_start", "s_end"), ("t_start", "t_end"))
-    whole = inside.groupBy("doc_id", "span_id", "t_start", "t_end", "t_text").agg(F.min("s_start").alias("from"), F.max("s_end").alias("to"))
+    # A target may lie in several sentences: all but the last count with the white space after them.
+    held = inside.groupBy("doc_id", "span_id", "t_start", "t_end", "t_text").agg(F.array_sort(F.collect_list(F.struct("s_start", "s_end", "sentence", "whole"))).alias("all"))
+    last = F.element_at("all", -1)
+    text = F.concat(F.array_join(F.transform(F.slice("all", 1, F.size("all") - 1), lambda x: x["whole"]), ""), last["sentence"])
+    held = held.select("doc_id", "span_id", "t_start", "t_end", "t_text", F.col("all")[0]["s_start"].alias("from"), last["s_end"].alias("to"), text.alias("held"))
     named = anchors.select("doc_id", F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.concat(F.lit("[ANCHOR: "), F.col("text"), F.lit(" ("), F.col("label"), F.lit(")]")).alias("by"))
-    within = overlapping(whole, named, ("from", "to"), ("a_start", "a_end")).filter("a_start >= `from` and a_end <= `to` and not (a_start = t_start and a_end = t_end)")
+    places = held.select("doc_id", "span_id", "t_start", "t_end", "from", "to")
+    within = overlapping(places, named, ("from", "to"), ("a_start", "a_end")).filter("a_start >= `from` and a_end <= `to` and not (a_start = t_start and a_end = t_end)")
     mark = lambda s, e, by: F.struct((F.col(s) - F.col("from")).cast("int").alias("start"), (F.col(e) - F.col("from")).cast("int").alias("end"), by.alias("by"))
-    target = whole.select("doc_id", "span_id", "from", "to", mark("t_start", "t_end", F.concat(F.lit("[TARGET: "), F.col("t_text"), F.lit("]"))).alias("m"))
-    marks = target.unionByName(within.select("doc_id", "span_id", "from", "to", mark("a_start", "a_end", F.col("by")).alias("m"))).groupBy("doc_id", "span_id", "from", "to").agg(_from_right(F.col("m")).alias("marks"))
-    cut = F.substring(F.col("text"), F.col("from") + 1, F.col("to") - F.col("from"))
-    return marks.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "span_id", F.trim(_marked(cut, F.col("marks"))).alias("sentence"))
+    others = within.groupBy("doc_id", "span_id").agg(F.collect_list(mark("a_start", "a_end", F.col("by"))).alias("others"))
+    target = F.array(mark("t_start", "t_end", F.concat(F.lit("[TARGET: "), F.col("t_text"), F.lit("]"))))
+    marks = F.sort_array(F.concat(target, F.coalesce("others", F.array().cast("array<struct<start:int,end:int,by:string>>"))), asc=False)
+    return held.join(others, ["doc_id", "span_id"], "left").select("doc_id", "span_id", F.trim(_marked(F.col("held"), marks)).alias("sentence"))
 
 
 def mention_list(spans: DataFrame, suggestions: bool = True) -> DataFrame:
