@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, cache_of, cut, join_hot, table, utf8
+from .common import Scratch, apart, bounded, cache_of, cut, join_hot, table, utf8
 from .minhash import _WordHashes
 
 WINDOW = 50
@@ -190,8 +190,9 @@ def op11_doubling_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", gone.alias("n_removed"), "kept_sha256")
 
 
+@apart
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` with the kept words of each text; a null text stays null, all columns are kept."""
+    """``docs`` with the kept words of each text; a null text stays null, all columns are kept, whatever their names."""
     bounded(spark)
     key = F.struct("doc_id", F.xxhash64("text").alias("text_key"))
     found = repeated_substrings(docs).select(F.struct("doc_id", "text_key").alias("_found_key"), F.col("removed").alias("_removed")).dropDuplicates(["_found_key"])
