@@ -493,3 +493,12 @@ def t_single_mention_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = spark.createDataFrame([("D",)], "definitions string")
     spans = item_mentions(spark, sf_dir).select("doc_id", F.col("gold_id").alias("span_id"), "start", "end", F.concat("text", F.lit(" {text}")).alias("text"))
     return P.single_mention_prompts(benchmark(spark, sf_dir), spans, told, "{definitions}\n{candidate} {text}").select("doc_id", "span_id", F.md5("prompt").alias("digest"))
+
+
+@query(f"""WITH {_ITEMS} SELECT 'data/new/a' AS path, 'new' AS ontology UNION ALL SELECT 'data/legacy/a', 'legacy' UNION ALL SELECT 'data/relabeled_a', 'new'
+UNION ALL SELECT 'data/a', CASE WHEN max(CASE WHEN label IN ('C7', 'C8') THEN 1 ELSE 0 END) = 1 THEN 'new' ELSE 'legacy' END FROM gold UNION ALL SELECT 'data/b', CASE WHEN max(CASE WHEN label = 'none' THEN 1 ELSE 0 END) = 1 THEN 'new' ELSE 'legacy' END FROM gold""")
+def s_ontology_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ontology of a corpus by its path, else by the labels that its entities have."""
+    entities = item_mentions(spark, sf_dir)
+    paths = [("data/new/a", ["none"]), ("data/legacy/a", ["C7"]), ("data/relabeled_a", ["none"]), ("data/a", ["C7", "C8"]), ("data/b", ["none"])]
+    return spark.createDataFrame([(path, A.ontology_of(path, entities, only)) for path, only in paths], "path string, ontology string")

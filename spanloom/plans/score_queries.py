@@ -333,6 +333,15 @@ def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("category", S.audit_category(c("local"), c("answer"), c("final"), c("gold"))).withColumn("grp", S.audit_group(c("category")))
 
 
+_TOLD = "CASE category " + " ".join(f"WHEN '{name}' THEN '{told}'" for name, _, told in S.AUDIT) + " END"
+
+
+@query(f"{_GATED}, a AS (SELECT cand_id, local, answer, final, gold, {_CATEGORY} AS category FROM gated) SELECT cand_id, category, 'proposed ' || local || ', answered ' || answer || ', kept ' || final || ', gold ' || gold || ': ' || {_TOLD} AS explanation FROM a")
+def o_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    return audited(spark, sf_dir).select("cand_id", "category", S.explanation(c("local"), c("answer"), c("final"), c("gold"), c("category")).alias("explanation"))
+
+
 @query(f"{_GATED} SELECT cand_id, {_OUTCOME} AS outcome, {_CATEGORY} AS category FROM gated")
 def o_candidate_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(spark, sf_dir).select("cand_id", "outcome", "category")

@@ -222,6 +222,13 @@ def t_foreign_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.join(first, "doc_id", "left").withColumn("mismatch", F.coalesce("mismatch", F.lit(-1)))
 
 
+@query(r"""SELECT doc_id, md5(regexp_replace(text, '([.!?])[ \t]', '\1' || chr(10), 'g')) AS digest, length(text) AS n_chars FROM documents""")
+def t_sentence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence breaks as line ends, in texts of unchanged length."""
+    rows = T.with_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("n_chars"))
+
+
 def _windows(gold: DataFrame) -> DataFrame:
     """Overlapping spans: each mention, and from every third a longer one that reaches over what follows."""
     wide = F.when(F.col("gold_id") % 3 == 0, 25).otherwise(0)
