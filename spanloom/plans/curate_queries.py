@@ -170,11 +170,23 @@ def p_canonical_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(label.alias("label"), (~L.active(label)).alias("inactive")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH a(i, label) AS (VALUES (0, 'Sleep'), (1, 'Substance_use'), (2, 'Nutrition'), (3, 'O'), (4, 'O'), (5, 'Physical_activities'), (6, 'Personal_care_products_and_cosmetic_procedures'), (7, 'no idea'), (8, 'O'), (9, 'O'), (10, 'Substance_use'))
-SELECT label, count(*) AS n FROM events JOIN a ON event_id % 11 = i GROUP BY ALL""")
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of the documents, whose words stand in the answers."""
+    return mentions(token_rows(spark, sf_dir)).select("doc_id", "gold_id", F.col("text").alias("word"))
+
+
+@query(f"""WITH {MENTIONS_SQL}, {_ONTOLOGY}, n(k, name, new) AS (SELECT 2 * i, old, new FROM m UNION ALL SELECT 2 * i + 1, new, new FROM m),
+s AS (SELECT CASE gold_id % 8 WHEN 0 THEN ' ' || upper(old) || ' ' WHEN 1 THEN '''' || lower(m.new) || '''' WHEN 2 THEN 'probably ' || lower(old) || ', as ' || text || ' says' WHEN 3 THEN text WHEN 4 THEN 'None of the above' WHEN 5 THEN NULL WHEN 6 THEN '`' || m.new || '`' ELSE text || ': ' || upper(m.new) END AS raw FROM gold JOIN m ON gold_id % 10 = i),
+p AS (SELECT raw, regexp_replace(trim(raw), '^[''"`]+|[''"`]+$', '', 'g') AS plain, count(*) AS times FROM s GROUP BY ALL),
+f AS (SELECT raw, plain, times, coalesce(min(n.new) FILTER (lower(name) = lower(trim(plain))), arg_min(n.new, k) FILTER (contains(lower(plain), lower(name)))) AS known FROM p LEFT JOIN n ON contains(lower(plain), lower(name)) GROUP BY raw, plain, times)
+SELECT CASE WHEN raw IS NULL OR lower(plain) IN ('', 'o', 'non_lsf', 'non-lsf', 'none', 'none of the above', 'lifestyle_factor', 'lsf_out_of_context') THEN 'O' ELSE coalesce(known, plain) END AS label, CAST(sum(times) AS BIGINT) AS n FROM f GROUP BY ALL""")
 def p_answered_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.get(F.array(*(F.lit(x) for x in (" SLEEP ", "'drugs'", "probably nutrition, I think", "None of the above", "Lifestyle_factor", '"Physical_activity"', "category: beauty_and_cleaning", "no idea", "non-LSF", None, "`Substance_use`"))), (F.col("event_id") % 11).cast("int"))
-    return table(spark, sf_dir, "events").groupBy(L.answered_label(raw).alias("label")).agg(F.count("*").alias("n"))
+    """Free answers about each mention: bare, quoted and wordy labels, refusals, none, and the mention's word itself."""
+    names = lambda which: F.get(F.array(*(F.lit(x[which]) for x in L.LABELS)), (F.col("gold_id") % 10).cast("int"))
+    old, new = names(0), names(1)
+    forms = (F.concat(F.lit(" "), F.upper(old), F.lit(" ")), F.concat(F.lit("'"), F.lower(new), F.lit("'")), F.concat(F.lit("probably "), F.lower(old), F.lit(", as "), "word", F.lit(" says")), F.col("word"), F.lit("None of the above"), F.lit(None).cast("string"), F.concat(F.lit("`"), new, F.lit("`")), F.concat("word", F.lit(": "), F.upper(new)))
+    raw = F.get(F.array(*forms), (F.col("gold_id") % 8).cast("int"))
+    return _said(spark, sf_dir).groupBy(L.answered_label(raw).alias("label")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_ONTOLOGY}, x AS (SELECT event_id % 10 AS i FROM events)
@@ -207,10 +219,19 @@ def p_tag_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(prefix.alias("prefix"), kind.alias("kind"), L.single_class(tag).alias("single"), number.alias("number")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT ['Nutrition', 'Sleep', 'Substance_use', NULL, 'Environmental_exposures'][event_id % 5 + 1] AS section, count(*) AS n FROM events GROUP BY ALL""")
+@query(f"""WITH {MENTIONS_SQL}, a(i, section, abbr) AS (VALUES (0, 'Nutrition', 'NUT'), (1, 'Sleep', 'SLE'), (2, 'Substance_use', 'SUB'), (3, 'Environmental_exposures', 'ENV')),
+s AS (SELECT CASE gold_id % 6 WHEN 0 THEN abbr || '-' || lpad(CAST(gold_id % 10000 AS VARCHAR), 4, '0') WHEN 1 THEN lower(section) WHEN 2 THEN ' ' || upper(replace(section, '_', ' ')) WHEN 3 THEN text WHEN 4 THEN lower(abbr) ELSE text || '-7' END AS said FROM gold JOIN a ON doc_id % 4 = i),
+p AS (SELECT lower(trim(said)) AS plain, count(*) AS times FROM s GROUP BY ALL),
+k AS (SELECT CASE WHEN regexp_matches(plain, '^[a-z]+-[0-9]+$') THEN string_split(plain, '-')[1] ELSE replace(plain, ' ', '_') END AS name, times FROM p)
+SELECT section, CAST(sum(times) AS BIGINT) AS n FROM k LEFT JOIN a ON name IN (lower(section), lower(abbr)) GROUP BY ALL""")
 def p_resolved_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.get(F.array(*(F.lit(x) for x in ("NUT-0007", "sleep", " Substance use", "XYZ-1", "env"))), (F.col("event_id") % 5).cast("int"))
-    return table(spark, sf_dir, "events").groupBy(L.resolved_section(said, [(s, a) for s, a, _ in R.SECTIONS]).alias("section")).agg(F.count("*").alias("n"))
+    """Sections by rule id, name and abbreviation, and mentions' words, which name none."""
+    i = F.col("gold_id")
+    names = lambda which: F.get(F.array(*(F.lit(x[which]) for x in R.SECTIONS)), (F.col("doc_id") % 4).cast("int"))
+    section, abbr = names(0), names(1)
+    forms = (F.concat(abbr, F.lit("-"), F.lpad((i % 10_000).cast("string"), 4, "0")), F.lower(section), F.concat(F.lit(" "), F.upper(F.translate(section, "_", " "))), F.col("word"), F.lower(abbr), F.concat("word", F.lit("-7")))
+    said = F.get(F.array(*forms), (i % 6).cast("int"))
+    return _said(spark, sf_dir).groupBy(L.resolved_section(said, [(s, a) for s, a, _ in R.SECTIONS]).alias("section")).agg(F.count("*").alias("n"))
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -374,13 +374,17 @@ def k_run_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_files(spark, steps)
 
 
-@query("""SELECT item_id AS doc_id, 0 AS place, 'alpha' AS entity, 'first' AS hint, CASE WHEN item_id % 3 = 0 THEN 'A, B' ELSE '' END AS competing, md5('- Hint 1 for ''alpha''' || CASE WHEN item_id % 3 = 0 THEN ' [Competing: A, B]' ELSE '' END || ': first' || chr(10) || '- Hint 2 for ''beta'': second') AS block FROM benchmark
-UNION ALL SELECT item_id, 1, 'beta', 'second', '', md5('- Hint 1 for ''alpha''' || CASE WHEN item_id % 3 = 0 THEN ' [Competing: A, B]' ELSE '' END || ': first' || chr(10) || '- Hint 2 for ''beta'': second') FROM benchmark""")
+@query(f"""WITH {_ITEMS}, h AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, "end") - 1 AS INTEGER) AS place, text AS entity, 'in class ' || label AS hint, CASE WHEN doc_id % 3 = 0 AND gold_id % 3 = 0 THEN label || ', O' ELSE '' END AS competing FROM gold),
+b AS (SELECT doc_id, md5(string_agg('- Hint ' || (place + 1) || ' for ''' || entity || '''' || CASE WHEN competing <> '' THEN ' [Competing: ' || competing || ']' ELSE '' END || ': ' || hint, chr(10) ORDER BY place)) AS block FROM h GROUP BY doc_id)
+SELECT doc_id, place, entity, hint, competing, block FROM h JOIN b USING (doc_id)""")
 def t_hint_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("doc_id")
-    items = F.concat(F.when(i % 3 == 0, '[{"target_entity": "alpha", "resolution_hint": "first", "competing_categories": ["A", "B"]}, ').otherwise('[{"entity": "alpha", "hint": "first"}, '), F.lit('{"entity": "beta", "hint": "second"}]'))
-    raw = F.when(i % 4 == 0, items).when(i % 4 == 1, F.concat(F.lit('{"hints": '), items, F.lit("}"))).when(i % 4 == 2, F.concat(F.lit('```json\n{"new_hints": '), items, F.lit("}\n```"))).otherwise(F.concat(F.lit("```\n"), items, F.lit("\n```")))
-    hints = P.parsed_hints(benchmark(spark, sf_dir).select("doc_id", raw.alias("raw")))
+    """A hint for each mention, in answers of either field names and of every wrapping."""
+    i, hint = F.col("doc_id"), F.concat(F.lit("in class "), "label")
+    new = i % 3 == 0
+    item = F.struct(F.when(new, F.col("text")).alias("target_entity"), F.when(~new, F.col("text")).alias("entity"), F.when(new, hint).alias("resolution_hint"), F.when(~new, hint).alias("hint"), F.when(new & (F.col("gold_id") % 3 == 0), F.array("label", F.lit("O"))).alias("competing_categories"))
+    told = item_mentions(spark, sf_dir).groupBy("doc_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", item.alias("item")))), lambda x: x.item)).alias("items"))
+    raw = F.when(i % 4 == 0, F.col("items")).when(i % 4 == 1, F.concat(F.lit('{"hints": '), "items", F.lit("}"))).when(i % 4 == 2, F.concat(F.lit('```json\n{"new_hints": '), "items", F.lit("}\n```"))).otherwise(F.concat(F.lit("```\n"), "items", F.lit("\n```")))
+    hints = P.parsed_hints(told.select("doc_id", raw.alias("raw")))
     return hints.join(P.hint_block(hints), "doc_id").select("doc_id", "place", "entity", "hint", F.array_join("competing", ", ").alias("competing"), F.md5("block").alias("block"))
 
 
@@ -408,14 +412,21 @@ def t_mention_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.md5("prompt").alias("digest"))
 
 
-@query("""SELECT item_id AS doc_id, CAST(n AS INTEGER) AS number, CASE WHEN n = 2 THEN 'b' ELSE '' END AS part, CASE n WHEN 1 THEN 'Sleep' WHEN 2 THEN 'Nutrition' ELSE 'O' END AS label, 'NUT-0001,SLE-0002' AS ids FROM benchmark, (VALUES (1), (2), (3)) t(n)""")
+@query(f"""WITH {_ITEMS}, n AS (SELECT doc_id, label, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, "end") AS INTEGER) AS number, ['NUT', 'SLE', 'SUB', 'ENV'][gold_id % 4 + 1] || '-' || lpad(CAST(gold_id % 50 AS VARCHAR), 4, '0') AS rule FROM gold),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, rule ORDER BY number) AS time FROM n),
+d AS (SELECT doc_id, string_agg(rule, ',' ORDER BY number) AS ids FROM c WHERE doc_id % 2 = 1 OR time = 1 GROUP BY doc_id)
+SELECT doc_id, number, CASE WHEN number % 3 = 1 THEN 'b' ELSE '' END AS part, CASE WHEN number % 3 = 2 THEN 'O' ELSE label END AS label, ids FROM n JOIN d USING (doc_id)""")
 def t_numbered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers by number, and the rule ids that they cite, in JSON or anywhere in the text."""
-    i = F.col("doc_id")
-    raw = F.concat(F.lit("Answers:\n1. Sleep\n 2b) it is nutrition\n3: none\n"), F.when(i % 2 == 0, "see NUT-0001, SLE-0002 and NUT-0001").otherwise('```json\n["NUT-0001", "SLE-0002"]\n```'))
-    rows = benchmark(spark, sf_dir).select("doc_id", raw.alias("raw"))
+    """An answer line for each mention by number, and the rule ids that the answer cites: a JSON list in odd documents, anywhere in the text in even ones."""
+    i, r = F.col("gold_id"), F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end"))
+    rule = F.concat(F.get(F.array(*(F.lit(x) for x in ("NUT", "SLE", "SUB", "ENV"))), (i % 4).cast("int")), F.lit("-"), F.lpad((i % 50).cast("string"), 4, "0"))
+    numbered = item_mentions(spark, sf_dir).withColumns({"r": r, "rule": rule})
+    line = F.when(F.col("r") % 3 == 0, F.concat("r", F.lit(". "), "label")).when(F.col("r") % 3 == 1, F.concat(F.lit(" "), "r", F.lit("b) it is "), F.lower("label"), F.lit(" as "), "text")).otherwise(F.concat("r", F.lit(": none")))
+    told = numbered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("r", line.alias("line"), "rule"))).alias("x"))
+    cited = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("see "), F.array_join("x.rule", " and "))).otherwise(F.concat(F.lit("```json\n"), F.to_json("x.rule"), F.lit("\n```")))
+    rows = told.select("doc_id", F.concat(F.lit("Answers:\n"), F.array_join("x.line", "\n"), F.lit("\n"), cited).alias("raw"))
     ids = rows.select("doc_id", F.array_join(P.cited_ids(F.col("raw")), ",").alias("ids"))
-    return P.numbered_lines(rows, ["Sleep", "Nutrition"]).join(ids, "doc_id")
+    return P.numbered_lines(rows, [f"C{k}" for k in range(9)]).join(ids, "doc_id")
 
 
 _WORDS = "w AS (SELECT item_id AS doc_id, text, regexp_extract(text, '([A-Za-z]{6,})', 1) AS word FROM benchmark)"
