@@ -24,6 +24,9 @@ KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
 #: Rounds of scoring; least distinct seed instances and least score of a reliable pattern; least confidence of an instance.
 ROUNDS, SUPPORT, RELIABLE, CONFIDENT = 3, 5, 0.8, 0.75
+#: Least score in the query and the pipeline: most instances of a pattern are of the kind; below a score of 0.75 only several
+#: patterns together make an instance confident.
+MAJORITY = 0.5
 #: Characters on either side of a span in which its neighbouring words are sought.
 CONTEXT_CHARS = 80
 
@@ -247,7 +250,7 @@ def _of(kind: str):
 
 
 def op8_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(table(spark, sf_dir, "documents"))
+    found = find(table(spark, sf_dir, "documents"), least=MAJORITY)
     counts = [F.size(F.filter("base", _of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("secrets").cast("long").alias("n_secret"))
 
@@ -281,7 +284,7 @@ def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     rank = F.create_map(*(F.lit(x) for i, k in enumerate(ALL_KINDS) for x in (k, i)))
     listed = lambda column, kind: F.transform(column, lambda x: F.struct(x.start.alias("start"), rank[kind(x)].alias("rank"), x.end.alias("end"), kind(x).alias("kind")))
     spans = F.array_sort(F.concat(listed("spans", lambda x: x.kind), listed("secrets", lambda _: F.lit("secret"))))
-    found = find(rows, id_col=ROW_KEY).select(F.col("doc_id").alias(ROW_KEY), spans.alias("_spans")).filter("size(_spans) > 0").groupBy(ROW_KEY).agg(F.first("_spans").alias("_spans"))
+    found = find(rows, id_col=ROW_KEY, least=MAJORITY).select(F.col("doc_id").alias(ROW_KEY), spans.alias("_spans")).filter("size(_spans) > 0").groupBy(ROW_KEY).agg(F.first("_spans").alias("_spans"))
     joined = rows.join(found, ROW_KEY, "left").select(*docs.columns, "_spans")
     done = joined.mapInArrow(per_batch(_redact), docs.schema)
     return done.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else done

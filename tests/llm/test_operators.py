@@ -407,6 +407,30 @@ def test_bootstrapping_finds_unseen_numbers(spark):
     assert pii.find(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("seeds", "unseen", "found"), [(9, 6, True), (6, 9, False)])
+def test_patterns_need_a_majority_of_seeds(spark, seeds, unseen, found):
+    def card(i):
+        return next(x for c in range(10) if pii.luhn(x := f"4{i:014d}{c}"))
+
+    forms = {
+        "email": ("kindly write to", "about this", lambda i: f"user{i}@mail.example.org", lambda i: f"user{i} [at] mail [dot] example"),
+        "ip": ("requests from host", "were refused", lambda i: f"10.1.{i}.7", lambda i: f"fe80:0:0:0:1:2:3:{i:x}"),
+        "card": ("paid with card", "before expiry", lambda i: " ".join(textwrap.wrap(card(i), 4)), lambda i: "/".join(textwrap.wrap(card(i), 4))),
+        "phone": ("call us on", "every day", lambda i: f"+44 20 7946 {i:04d}", lambda i: f"020 7946 {i:04d}"),
+    }
+    rows, want = [], {}
+    for lead, tail, seed, other in forms.values():
+        rows += [(len(rows) + i, f"{lead} {seed(i)} {tail}") for i in range(seeds)]
+        for i in range(100, 100 + unseen):
+            want[len(rows)] = next(k for k, x in forms.items() if x[0] == lead), len(lead) + 1, len(lead) + 1 + len(other(i))
+            rows.append((len(rows), f"{lead} {other(i)} {tail}"))
+        rows.append((len(rows), f"see part {other(999)} of the list"))
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.find(docs_of(spark, rows), least=pii.MAJORITY).collect() if not r["base"] and r["spans"]}
+    plain = plain_bootstrap([t for _, t in rows], least=pii.MAJORITY)
+    assert got == {i: sorted(plain[i], key=lambda x: x[1]) for i in plain if plain[i] and not pii.base_spans(rows[i][1])}
+    assert got == ({i: [x] for i, x in want.items()} if found else {})
+
+
 def test_redaction():
     assert pii.redact("call +1 555 now", [("phone", 5, 11)]) == "call <PHONE> now"
     assert pii.redact("abcdef", [("card", 1, 4), ("phone", 2, 5)]) == "a<CARD>f"
