@@ -11,7 +11,7 @@ from spanloom.sources import sinks as K
 
 from .curate_queries import rules
 from .derived import table
-from .text_queries import _WINDOWS, MENTIONS_SQL, mentions, token_rows
+from .text_queries import _WINDOWS, MENTION, MENTIONS_SQL, mentions, token_rows
 from .text_queries import _windows as windows
 
 QUERIES, ORACLE = {}, {}
@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 @query(f'WITH {MENTIONS_SQL} SELECT doc_id, label, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, CAST(sum("end") AS BIGINT) AS ends FROM gold GROUP BY ALL')
 def s_standoff_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = K.standoff_lines(mentions(token_rows(spark, sf_dir)))
+    lines = K.standoff_lines(mentions(token_rows(spark, sf_dir, MENTION)))
     return A.spans(A.standoff(lines)).groupBy("doc_id", "label").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
 
 
@@ -64,7 +64,7 @@ SELECT doc_id, md5(string_agg(tag || chr(9) || start || chr(9) || "end" || chr(9
 def s_corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts and overlapping spans as column lines, one digest for each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    gold = mentions(token_rows(spark, sf_dir))
+    gold = mentions(token_rows(spark, sf_dir, MENTION))
     spans = windows(gold).join(gold.select("doc_id", F.col("gold_id").alias("span_id"), "label"), ["doc_id", "span_id"])
     lines = K.corpus_lines(docs, spans)
     return lines.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n")).alias("digest"))
@@ -84,4 +84,4 @@ def k_index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MENTIONS_SQL} SELECT doc_id || '_gt_' || (row_number() OVER (PARTITION BY doc_id ORDER BY start, \"end\") - 1) AS id, label, text FROM gold")
 def k_vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.vector_table(mentions(token_rows(spark, sf_dir)), "gt").select("id", "label", "text")
+    return K.vector_table(mentions(token_rows(spark, sf_dir, MENTION)), "gt").select("id", "label", "text")
