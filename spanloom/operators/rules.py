@@ -65,18 +65,22 @@ def checked(operations: DataFrame) -> DataFrame:
     return operations.withColumn("reason", reason)
 
 
-def near_duplicates(added: DataFrame, rules: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(added: DataFrame, rules: DataFrame, threshold: float = 0.8, siblings: bool = True) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) additions (seq, section, v, ...), in order of seq; all their columns are kept.
 
     Rejected with ``rule_no``: a stored rule of the section is as similar as
     ``threshold``. Rejected with ``twin``: an accepted addition of the same batch
-    and section is, so of siblings alike the first is added. Without a vector an
+    and section is, so of siblings alike the first is added; without ``siblings``
+    additions are compared with stored rules only. Without a vector an
     addition is accepted.
     """
     vectors = added.filter("v is not null")
     asked = vectors.select(F.col("seq").alias("id"), "v", F.array("section").alias("wanted"))
     refs = rules.filter("v is not null").select(F.col("rule_no").alias("id"), F.col("section").alias("label"), "v")
     near = kept(nearest(asked, refs, 1, by_class=True).filter(1 - F.col("distance") >= threshold).select(F.col("query_id").alias("seq"), F.col("ref_id").alias("rule_no")))
+    if not siblings:
+        out = near.withColumn("twin", F.lit(None).cast("long"))
+        return added.join(out, "seq", "left_anti"), added.join(out, "seq")
     new = vectors.join(near, "seq", "left_anti").select(F.col("seq").alias("id"), F.col("section").alias("label"), "v")
     twins = first_independent(new, 1 - threshold).filter("twin is not null").select(F.col("id").alias("seq"), "twin")
     out = kept(near.unionByName(twins, allowMissingColumns=True))
@@ -146,15 +150,16 @@ def reconciled(stored: DataFrame, index: DataFrame, key: str = "bullet_id") -> D
     return missing.unionByName(index.select(key).join(stored.select(key), key, "left_anti").withColumn("state", F.lit("stale")))
 
 
-def curated(rules: DataFrame, tags: DataFrame, operations: DataFrame, margin: int = 5) -> tuple[DataFrame, DataFrame]:
+def curated(rules: DataFrame, tags: DataFrame, operations: DataFrame, margin: int = 5, siblings: bool = True) -> tuple[DataFrame, DataFrame]:
     """(snapshot, report) of one batch: counters, checks, changes, additions without near duplicates, pruning.
 
     Batches are synchronous: rules learned from a document act from the next batch on.
+    ``siblings``: see near_duplicates.
     """
     rules = counted(rules, tags)
     told = checked(operations)
     rules = modified(rules, told.filter("reason is null and type = 'MODIFY'").select("bullet_id", "seq", "content"))
-    accepted, rejected = near_duplicates(told.filter("reason is null and type = 'ADD'"), rules)
+    accepted, rejected = near_duplicates(told.filter("reason is null and type = 'ADD'"), rules, siblings=siblings)
     abbr = F.create_map(*(F.lit(x) for s, a, _ in SECTIONS for x in (s, a)))
     new = next_ids(rules, accepted.drop("bullet_id").withColumn("abbr", abbr[F.col("section")]))
     zero = {c: F.lit(0).cast("long") for c in ("helpful", "harmful", "usage_count", "modification_count")}
