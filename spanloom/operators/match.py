@@ -5,6 +5,8 @@ Frames: gold (doc_id, gold_id, start, end, label, text), predictions the same wi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +14,8 @@ from spanloom.functions.labels import active, normal_text
 from spanloom.functions.metrics import ratio
 from spanloom.functions.scores import token_error
 
-from .folds import matched
+from .folds import chunk_counts, matched
 from .ranges import overlapping
-from .text import chunks
 
 
 def _sides(gold: DataFrame, predicted: DataFrame, reach: int = 0) -> DataFrame:
@@ -113,8 +114,9 @@ def document_scores(gold: DataFrame, predicted: DataFrame, documents: DataFrame)
 
 def coverage_checks(gold_files: DataFrame, test_files: DataFrame) -> DataFrame:
     """(doc_id, state): documents that only the gold or only the test side has: no_test or extra_test."""
-    gold, test = gold_files.select("doc_id").distinct(), test_files.select("doc_id").distinct()
-    return gold.join(test, "doc_id", "left_anti").withColumn("state", F.lit("no_test")).unionByName(test.join(gold, "doc_id", "left_anti").withColumn("state", F.lit("extra_test")))
+    side = lambda rows, is_gold: rows.select("doc_id", F.lit(is_gold).alias("is_gold"))
+    sides = side(gold_files, True).unionByName(side(test_files, False)).groupBy("doc_id").agg(F.max("is_gold").alias("gold"), F.max(~F.col("is_gold")).alias("test"))
+    return sides.filter("gold <> test").select("doc_id", F.when(F.col("gold"), "no_test").otherwise("extra_test").alias("state"))
 
 
 def merged(confident: DataFrame, arbitrated: DataFrame) -> DataFrame:
@@ -155,28 +157,55 @@ def chunk_scores(zipped: DataFrame, mode: str = "exact") -> DataFrame:
 
     exact: equal first and last token and class; an I after O or another class
     opens a chunk. overlap: a shared token and equal class; such an I opens none.
+    Tags are shuffled once, by document; chunks of both sides are counted there.
     """
-    side = lambda c: chunks(zipped.select("doc_id", "pos", F.col(c).alias("tag")), orphans=mode == "exact")
-    gold, predicted = side("gold_tag").withColumn("gold_id", F.col("first")), side("pred_tag").withColumn("pred_id", F.col("first"))
-    as_spans = lambda rows: rows.select("*", F.col("first").alias("start"), (F.col("last") + 1).alias("end"), F.lit("").alias("text"))
-    found = agreement(as_spans(gold), as_spans(predicted), mode, by=["label"])
-    sums = found.rollup("label").agg(*(F.sum(c).alias(c) for c in ("n_gold", "n_test", "tp_gold", "tp_test")))
+    sums = chunk_counts(zipped, mode).rollup("label").agg(*(F.sum(c).alias(c) for c in ("n_gold", "n_test", "tp_gold", "tp_test")))
     sums = sums.withColumn("p", ratio(F.col("tp_test"), F.col("n_test"))).withColumn("r", ratio(F.col("tp_gold"), F.col("n_gold")))
     return sums.select("label", "n_gold", F.col("n_test").alias("n_pred"), "tp_gold", F.col("tp_test").alias("tp_pred"), F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"), F.round(ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), 6).alias("f1"))
 
 
+#: Ends of a span that must be equal for a match.
+_EQUAL = {"exact": ["start", "end"], "left": ["start"], "right": ["end"]}
+
+
+def _met(gold: DataFrame, test: DataFrame, mode: str, keys: list[str], columns: list[str]) -> DataFrame:
+    """The spans of both sides (``columns``, is_gold) with ``hit``: whether one of the other side with the same ``keys`` meets it.
+
+    No pairs are formed. Spans with equal ends are one group. A span overlaps
+    one of the other side if, of those that start before its end, the greatest
+    end lies beyond its start: a running maximum over starts and ends in order.
+    """
+    needed = list(dict.fromkeys([*keys, "start", "end", *columns]))
+    rows = gold.select(*needed, F.lit(True).alias("is_gold")).unionByName(test.select(*needed, F.lit(False).alias("is_gold")))
+    whole = lambda names: reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in names))
+    if mode in _EQUAL:
+        same = [*keys, *_EQUAL[mode]]
+        w = Window.partitionBy(*same)
+        hit = F.when(F.col("is_gold"), F.max(~F.col("is_gold")).over(w)).otherwise(F.max("is_gold").over(w)) & whole(same)
+        return rows.select(*columns, "is_gold", hit.alias("hit"))
+    # begins after ends where both are at one place, as touching spans don't overlap
+    ends = F.explode(F.array(F.struct(F.col("end").alias("at"), F.lit(0).alias("begins")), F.struct(F.col("start").alias("at"), F.lit(1).alias("begins"))))
+    rows = rows.withColumn("x", ends).select("*", "x.at", "x.begins").drop("x")
+    w = Window.partitionBy(*keys).orderBy("at", "begins").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = lambda side: F.max(F.when(side & (F.col("begins") == 1) & F.col("at").isNotNull(), F.col("end"))).over(w)
+    far = F.when(F.col("is_gold"), reach(~F.col("is_gold"))).otherwise(reach(F.col("is_gold")))
+    hit = F.coalesce(far > F.col("start"), F.lit(False)) & whole([*keys, "start", "end"])
+    return rows.withColumn("hit", hit).filter("begins = 0").select(*columns, "is_gold", "hit")
+
+
+def _agreed(rows: DataFrame, by: list[str]) -> DataFrame:
+    gold = F.col("is_gold")
+    counts = rows.groupBy(*by).agg(F.count_if(gold).alias("n_gold"), F.count_if(gold & F.col("hit")).alias("tp_gold"), F.count_if(~gold).alias("n_test"), F.count_if(~gold & F.col("hit")).alias("tp_test"))
+    return counts.withColumn("fn", F.col("n_gold") - F.col("tp_gold")).withColumn("fp", F.col("n_test") - F.col("tp_test"))
+
+
 def agreement(gold: DataFrame, test: DataFrame, mode: str = "exact", ignore_type: bool = False, by: list[str] | None = None) -> DataFrame:
     """True positives of either side, and what is unmatched, by document and further keys.
 
     mode: exact, overlap, left (equal starts) or right (equal ends).
     """
-    rule = {"exact": F.expr("p_start = g_start and p_end = g_end"), "overlap": overlap(), "left": F.expr("p_start = g_start"), "right": F.expr("p_end = g_end")}[mode]
-    pairs = _sides(gold, test).filter(rule if ignore_type else rule & F.expr("p_label = g_label"))
-    g = gold.join(pairs.select("doc_id", "gold_id").distinct().withColumn("hit", F.lit(1)), ["doc_id", "gold_id"], "left").groupBy(*(by or ["doc_id"])).agg(F.count("*").alias("n_gold"), F.count("hit").alias("tp_gold"))
-    t = test.join(pairs.select("doc_id", "pred_id").distinct().withColumn("hit", F.lit(1)), ["doc_id", "pred_id"], "left").groupBy(*(by or ["doc_id"])).agg(F.count("*").alias("n_test"), F.count("hit").alias("tp_test"))
-    rows = g.join(t, by or ["doc_id"], "full_outer")
-    rows = rows.select(*(by or ["doc_id"]), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_gold", "tp_gold", "n_test", "tp_test")))
-    return rows.withColumn("fn", F.col("n_gold") - F.col("tp_gold")).withColumn("fp", F.col("n_test") - F.col("tp_test"))
+    by = by or ["doc_id"]
+    return _agreed(_met(gold, test, mode, ["doc_id"] if ignore_type else ["doc_id", "label"], by), by)
 
 
 def memberships(spans: DataFrame, flags: DataFrame, key: str) -> DataFrame:
@@ -194,23 +223,13 @@ def grouped_agreement(gold: DataFrame, test: DataFrame, gold_flags: DataFrame, t
     A span with several flags takes part in each flag's group, and there only
     spans of the other side with that flag can match it; a span without flags is
     in none. With ``ignore_type`` spans of different types match in the totals
-    and flags, but not by type. Pairs are found once; a pair counts in the groups
-    that both of its spans are in, and all groups are one aggregation.
+    and flags, but not by type. A span stands once in each of its groups, and all
+    groups are one aggregation; no pairs are formed.
     """
-    rule = {"exact": F.expr("p_start = g_start and p_end = g_end"), "overlap": overlap(), "left": F.expr("p_start = g_start"), "right": F.expr("p_end = g_end")}[mode]
-    g, t = memberships(gold, gold_flags, "gold_id"), memberships(test, test_flags, "pred_id")
-    pairs = _sides(gold, test).filter(rule if ignore_type else rule & F.expr("p_label = g_label")).select("doc_id", "gold_id", "pred_id")
-    pairs = pairs.join(g.select("doc_id", "gold_id", F.col("groups").alias("g_groups")), ["doc_id", "gold_id"]).join(t.select("doc_id", "pred_id", F.col("groups").alias("t_groups")), ["doc_id", "pred_id"])
-    common = pairs.select("doc_id", "gold_id", "pred_id", F.explode(F.array_intersect("g_groups", "t_groups")).alias("x")).select("doc_id", "gold_id", "pred_id", "x.*")
-    names = ("n_gold", "tp_gold", "n_test", "tp_test")
-
-    def counted(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("level", "name").agg(F.count("*").alias("n")).select("level", "name", *(F.col("n").alias(c) if c == name else F.lit(0).cast("long").alias(c) for c in names))
-
-    members = lambda rows: rows.select(F.explode("groups").alias("x")).select("x.*")
-    parts = [counted(members(g), "n_gold"), counted(common.select("doc_id", "gold_id", "level", "name").distinct(), "tp_gold"), counted(members(t), "n_test"), counted(common.select("doc_id", "pred_id", "level", "name").distinct(), "tp_test")]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).groupBy("level", "name").agg(*(F.sum(c).alias(c) for c in names))
-    rows = rows.withColumn("fn", F.col("n_gold") - F.col("tp_gold")).withColumn("fp", F.col("n_test") - F.col("tp_test"))
+    spread = lambda rows: rows.select("doc_id", "start", "end", "label", F.explode("groups").alias("x")).select("*", "x.*").drop("x")
+    g, t = spread(memberships(gold, gold_flags, "gold_id")), spread(memberships(test, test_flags, "pred_id"))
+    keys = ["doc_id", "level", "name"] if ignore_type else ["doc_id", "level", "name", "label"]
+    rows = _agreed(_met(g, t, mode, keys, ["level", "name"]), ["level", "name"])
     rows = rows.withColumn("precision", F.round(ratio(F.col("tp_test"), F.col("n_test")), 6)).withColumn("recall", F.round(ratio(F.col("tp_gold"), F.col("n_gold")), 6))
     p, r = ratio(F.col("tp_test"), F.col("n_test")), ratio(F.col("tp_gold"), F.col("n_gold"))
     return rows.withColumn("f1", F.round(ratio(2 * p * r, p + r), 6))

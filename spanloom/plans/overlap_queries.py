@@ -11,7 +11,7 @@ from spanloom.operators import prompts as P
 from spanloom.operators import text as T
 
 from .derived import CANDIDATES_SQL, candidates, table
-from .text_queries import MENTIONS_SQL, mentions, token_rows
+from .text_queries import MENTION, MENTIONS_SQL, mentions, token_rows
 
 QUERIES, ORACLE = {}, {}
 
@@ -29,11 +29,12 @@ def query(sql: str | None = None):
 def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Golds of which every third reaches over what follows; predictions that miss, shift, stretch, relabel and double them."""
     i = F.col("gold_id")
-    gold = mentions(token_rows(spark, sf_dir)).withColumn("end", F.col("end") + F.when(i % 3 == 0, 12).otherwise(0))
+    gold = mentions(token_rows(spark, sf_dir, MENTION)).withColumn("end", F.col("end") + F.when(i % 3 == 0, 12).otherwise(0))
     label = F.when(i % 5 == 0, F.concat(F.lit("C"), ((F.substring("label", 2, 1).cast("int") + 1) % 9).cast("string"))).otherwise(F.col("label"))
-    kept = gold.filter(i % 7 != 0).select("doc_id", i.alias("pred_id"), (F.col("start") + F.when(i % 11 == 0, 1).otherwise(0)).alias("start"), (F.col("end") + F.when(i % 4 == 1, 6).otherwise(0)).alias("end"), label.alias("label"), "text")
-    again = gold.filter(i % 5 == 2).select("doc_id", (i + 1_000_000).alias("pred_id"), (F.col("start") + 1).alias("start"), "end", "label", "text")
-    return gold, kept.unionByName(again)
+    one = lambda use, key, start, end, of: F.when(use, F.struct(key.alias("pred_id"), start.alias("start"), end.alias("end"), of.alias("label")))
+    own = one(i % 7 != 0, i, F.col("start") + F.when(i % 11 == 0, 1).otherwise(0), F.col("end") + F.when(i % 4 == 1, 6).otherwise(0), label)
+    again = one(i % 5 == 2, i + 1_000_000, F.col("start") + 1, F.col("end"), F.col("label"))
+    return gold, gold.select("doc_id", F.explode(F.array_compact(F.array(own, again))).alias("x"), "text").select("doc_id", "x.*", "text")
 
 
 OVERLAPS_SQL = f"""{MENTIONS_SQL},
@@ -306,7 +307,7 @@ sen AS (SELECT doc_id, i, sentence, s, s + length(sentence) AS e FROM p1)"""
 
 
 def _anchored_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = mentions(token_rows(spark, sf_dir))
+    rows = mentions(token_rows(spark, sf_dir, MENTION))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs, rows.filter("gold_id % 2 = 0").withColumnRenamed("gold_id", "span_id"), rows.filter("gold_id % 2 = 1")
 
