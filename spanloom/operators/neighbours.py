@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from spanloom.sources.scratch import kept
 
-#: Rows of a shard of references and of a block of queries: what meets in a task.
-SHARD_ROWS, BLOCK_ROWS = 8_192, 1_024
-#: Pivots and shards at most: both go to every task. With more references shards grow.
-PIVOTS, SHARDS = 512, 65_536
+#: Rows of a shard of references and of a block of queries: what meets in a task. Queries meet references in slices.
+SHARD_ROWS, BLOCK_ROWS, SLICE_ROWS = 8_192, 16_384, 256
+#: Pivots and shards at most: both go to every task, and a query goes to each shard it visits. With more references shards grow.
+PIVOTS, SHARDS = 512, 64
 #: Shards of the second round.
 SOON = 4
 #: Rings of a cell: at most so many.
@@ -38,30 +38,57 @@ def unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return out / np.where(norms == 0, 1e-10, norms)
 
 
+_NEAR = pa.schema([("query_id", pa.int64()), ("ref_id", pa.int64()), ("ref_label", pa.string()), ("distance", pa.float64())])
+
+
+def _codes(names: pa.Array | pa.ChunkedArray, codes: dict) -> np.ndarray:
+    """Numbers of names in ``codes``; -1 for names that are not in it and for null."""
+    return np.array([-1 if x is None else codes.get(x, -1) for x in names.to_pylist()], np.int64)
+
+
+def _wanted(column: pa.ChunkedArray, codes: dict) -> np.ndarray | None:
+    """The numbers of each query's labels, each once, a column for each place (-2: none); None where any label will do."""
+    lists = [None if x is None else list(dict.fromkeys(x)) for x in column.to_pylist()]
+    if all(x is None for x in lists):
+        return None
+    out = np.full((len(lists), max((len(x or ()) for x in lists), default=0)), -2, np.int64)
+    for i, x in enumerate(lists):
+        out[i, : len(x or ())] = [codes.get(name, -2) for name in x or ()]
+    return out
+
+
 def meet(k: int, exclude_self: bool):
-    """The k best of a part of the references for each query of a block, for each wanted label."""
+    """The k best of a part of the references for each query of a block, for each wanted label; no farther than ``kth`` where queries have it."""
 
     def best_of(asked: pa.Table, refs: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("ref_id", pa.int64()), ("ref_label", pa.string()), ("distance", pa.float64())])
         if not asked.num_rows or not refs.num_rows:
-            return schema.empty_table()
-        q, r = unit_rows(asked["v"]), unit_rows(refs["ref_v"])
-        ids, labels = refs["ref_id"].to_numpy(), np.array(refs["ref_label"].to_pylist(), object)
-        wanted = asked["wanted"].to_pylist()
-        near = np.clip(1 - q @ r.T, 0.0, 2.0)
-        out = []
-        for i, (own, classes) in enumerate(zip(asked["id"].to_pylist(), wanted, strict=True)):
-            row = near[i]
-            use = np.arange(len(ids))
+            return _NEAR.empty_table()
+        r, own, ids = unit_rows(refs["ref_v"]), asked["id"].to_numpy(), refs["ref_id"].to_numpy()
+        codes = {x: i for i, x in enumerate(refs["ref_label"].unique().to_pylist())}
+        labels, wanted = _codes(refs["ref_label"], codes), _wanted(asked["wanted"], codes)
+        reach = asked["kth"].to_numpy() + _SLACK if "kth" in asked.column_names else np.full(len(own), 3.0)
+        queries, places, distances = [], [], []
+        for at in range(0, len(own), SLICE_ROWS):
+            part = slice(at, at + SLICE_ROWS)
+            near = np.clip(1 - unit_rows(asked["v"].slice(at, SLICE_ROWS)) @ r.T, 0.0, 2.0)
             if exclude_self:
-                use = use[ids != own]
-            for name in classes if classes is not None else [None]:
-                mine = use if name is None else use[labels[use] == name]
-                if len(mine) > k:
-                    mine = mine[row[mine] <= np.partition(row[mine], k - 1)[k - 1]]  # all that tie with the kth stay
-                best = mine[np.lexsort((ids[mine], row[mine]))[:k]]
-                out += [(own, int(ids[j]), labels[j], float(row[j])) for j in best]
-        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else schema.empty_table()
+                near[own[part, None] == ids[None, :]] = np.inf
+            for kind in [None] if wanted is None else range(wanted.shape[1]):
+                row = near if kind is None else np.where(wanted[part, kind, None] == labels[None, :], near, np.inf)
+                limit = reach[part].copy()
+                wide = np.flatnonzero((row <= limit[:, None]).sum(axis=1) > 4 * k)  # all that tie with the kth stay
+                if len(wide):
+                    limit[wide] = np.minimum(limit[wide], np.partition(row[wide], k - 1, axis=1)[:, k - 1])
+                q, j = np.nonzero(row <= limit[:, None])
+                order = np.lexsort((ids[j], row[q, j], q))
+                q, j = q[order], j[order]
+                first = np.searchsorted(q, q)
+                keep = np.arange(len(q)) - first < k
+                queries.append(own[part][q[keep]])
+                places.append(j[keep])
+                distances.append(row[q[keep], j[keep]])
+        j = pa.array(np.concatenate(places))
+        return pa.table([pa.array(np.concatenate(queries)), refs["ref_id"].take(j), refs["ref_label"].take(j), pa.array(np.concatenate(distances))], schema=_NEAR)
 
     return best_of
 
@@ -70,9 +97,11 @@ def first_near(distance: float, before: bool):
     """The least reference id of the query's label within ``distance``, for each query of a block that has one; with ``before`` below its own id."""
 
     def least(asked: pa.Table, refs: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("ref_id", pa.int64()), ("ref_label", pa.string()), ("distance", pa.float64())])
         if not asked.num_rows or not refs.num_rows:
-            return schema.empty_table()
+            return _NEAR.empty_table()
+        return pa.concat_tables([some(asked.slice(i, SLICE_ROWS), refs) for i in range(0, asked.num_rows, SLICE_ROWS)])
+
+    def some(asked: pa.Table, refs: pa.Table) -> pa.Table:
         ids, labels = refs["ref_id"].to_numpy(), np.array(refs["ref_label"].to_pylist(), object)
         own = np.array([w[0] for w in asked["wanted"].to_pylist()], object)
         near = np.clip(1 - unit_rows(asked["v"]) @ unit_rows(refs["ref_v"]).T, 0.0, 2.0)
@@ -81,8 +110,8 @@ def first_near(distance: float, before: bool):
             fits &= ids[None, :] < asked["id"].to_numpy()[:, None]
         order = np.argsort(ids)
         at = order[fits[:, order].argmax(axis=1)]
-        some = np.flatnonzero(fits.any(axis=1))
-        return pa.table([asked["id"].take(pa.array(some)), pa.array(ids[at[some]]), pa.array(own[some], pa.string()), pa.array(near[some, at[some]])], schema=schema)
+        has = np.flatnonzero(fits.any(axis=1))
+        return pa.table([asked["id"].take(pa.array(has)), pa.array(ids[at[has]]), pa.array(own[has], pa.string()), pa.array(near[has, at[has]])], schema=_NEAR)
 
     return least
 
@@ -149,8 +178,8 @@ def _routed(pivots: np.ndarray, shards: Shards, first: int, until: int | None):
             at, place = np.nonzero(visit)
             for i in range(0, len(at), 4096):
                 part = slice(i, i + 4096)
-                rows = batch.select(["id", "v", "wanted"]).take(pa.array(at[part]))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(order[at[part], place[part]].astype(np.int32))], names=["id", "v", "wanted", "shard"])
+                rows = batch.select(["id", "v", "wanted", "kth"]).take(pa.array(at[part]))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(order[at[part], place[part]].astype(np.int32))], names=["id", "v", "wanted", "kth", "shard"])
 
     return run
 
@@ -194,7 +223,8 @@ class PivotIndex:
     def _visit(self, asked: DataFrame, first: int, until: int | None, meeting) -> DataFrame:
         """What ``meeting`` finds in the shards that the queries (id, v, wanted, kth) still have to visit."""
         kind = asked.schema["v"].dataType.simpleString()
-        visits = kept(asked.mapInArrow(_routed(self.pivots, self.shards, first, until), f"id long, v {kind}, wanted array<string>, shard int"))
+        asked = kept(asked)  # the queries are written once, not once for each visit
+        visits = asked.mapInArrow(_routed(self.pivots, self.shards, first, until), f"id long, v {kind}, wanted array<string>, kth double, shard int")
         sizes = visits.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"), F.count("*").alias("n"))
         sizes = kept(sizes)
         self.met += sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

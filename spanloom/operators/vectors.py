@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from spanloom.functions.scores import logistic
 from spanloom.sources.scratch import kept
 
-from .neighbours import BLOCK_ROWS, SHARD_ROWS, PivotIndex, best, meet
+from .neighbours import SHARD_ROWS, PivotIndex, best, meet
+
+#: Queries that meet all of a few references in a task.
+QUERY_ROWS = 1_024
 
 
 def nearest(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool = False, by_class: bool = False) -> DataFrame:
@@ -23,7 +26,7 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool = Fa
     queries, refs = queries.filter("v is not null"), refs.filter("v is not null")
     if refs.count() > SHARD_ROWS:
         return PivotIndex(refs, k).search(queries, exclude_self, by_class)
-    blocks = max(1, -(-queries.count() // BLOCK_ROWS))
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
     wanted = F.col("wanted") if by_class else F.lit(None).cast("array<string>")
     left = queries.select("id", "v", wanted.alias("wanted"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long").alias("block"))
     right = refs.select(F.col("id").alias("ref_id"), F.col("label").cast("string").alias("ref_label"), F.col("v").alias("ref_v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
@@ -60,6 +63,13 @@ def local_outlier_factor(queries: DataFrame, refs: DataFrame, k: int = 10, exclu
     return _outlier_factors(pairs, among)
 
 
+def knn_and_outlier_factor(refs: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:
+    """(id, knn, lof) of the references themselves: both scores from one search."""
+    among = kept(nearest(refs.select("id", "v"), refs, k, exclude_self=True))
+    pairs = among if exclude_self else kept(nearest(refs.select("id", "v"), refs, k))
+    return _means(pairs).join(_outlier_factors(pairs, among), "id")
+
+
 def calibration(scores: DataFrame, column: str) -> DataFrame:
     """One row: population mean and deviation of a reference score."""
     return scores.agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("deviation"))

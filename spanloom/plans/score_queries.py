@@ -176,10 +176,9 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p")
     rows = rows.withColumns({"u_pe": S.entropy(p), "u_lc": S.least_confidence(p), "u_margin": S.margin_uncertainty(S.softmax(F.col("logits"), 1.8))})
     vectors = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("doc_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    knn = V.knn_distance(refs, refs, exclude_self=True).select(F.col("id").alias("cand_id"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "knn")).alias("nov_knn"))
-    lof = V.local_outlier_factor(refs, refs, exclude_self=True).select(F.col("id").alias("cand_id"), (F.col("lof") / (1 + F.col("lof"))).alias("nov_lof"))
+    novel = V.knn_and_outlier_factor(refs, exclude_self=True).select(F.col("id").alias("cand_id"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "knn")).alias("nov_knn"), (F.col("lof") / (1 + F.col("lof"))).alias("nov_lof"))
     center = V.centroid_distance(vectors, refs).select(F.col("id").alias("cand_id"), F.col("centroid_distance").alias("nov_centroid"))
-    return rows.join(mean_passes(rows).select("cand_id", "u_mcd"), "cand_id").join(knn, "cand_id").join(lof, "cand_id").join(center, "cand_id")
+    return rows.join(mean_passes(rows).select("cand_id", "u_mcd"), "cand_id").join(novel, "cand_id").join(center, "cand_id")
 
 
 _FEATURES = f"""{_KNN}, {_LOF}, {_CENTROID}, {CANDIDATES_SQL}, {_MEAN_P},
