@@ -4,11 +4,14 @@ References are filed under their nearest pivot and in rings by their distance
 to it. Cosine distance d of unit vectors is half the square of their Euclidean
 distance, which is a metric: what a ring holds is no nearer to a query than the
 triangle inequality says, so a query visits its most promising shard first and
-then only shards whose bound reaches the distance of its kth neighbour.
+then only shards whose bound reaches the distance of its kth neighbour. Shards
+are sent in a few groups, to a few blocks of queries, so that a query that has
+to visit all shards is not sent to each of them.
 """
 
 from __future__ import annotations
 
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -18,16 +21,21 @@ from pyspark.sql import functions as F
 
 from spanloom.sources.scratch import kept
 
-#: Rows of a shard of references and of a block of queries: what meets in a task. Queries meet references in slices.
-SHARD_ROWS, BLOCK_ROWS, SLICE_ROWS = 8_192, 16_384, 256
-#: Pivots and shards at most: both go to every task, and a query goes to each shard it visits. With more references shards grow.
+#: Rows of a shard of references. Queries meet references in slices.
+SHARD_ROWS, SLICE_ROWS = 8_192, 256
+#: Pivots and shards at most: both go to every task. With more references shards grow.
 PIVOTS, SHARDS = 512, 64
-#: Shards of the second round.
-SOON = 4
+#: Groups of shards, and blocks of queries in the first round and in the other: a query is sent to a group at most once a
+#: round, whatever shards it visits there, and a group to each block. So what is sent grows with the rows, not with visits.
+GROUPS, HOME_BLOCKS, BLOCKS = 8, 2, 8
+#: Rows of a block that is worth a task of its own, and most rows of a group or a block: what meets in a task. More rows make more of both.
+LEAST_ROWS, TASK_ROWS = 512, 131_072
 #: Rings of a cell: at most so many.
 _RINGS = 64
 #: Slack of a bound against rounding.
 _SLACK = 1e-6
+#: Pairs whose distances are computed at once in double precision.
+_PAIRS = 65_536
 _FOUND = "query_id long, ref_id long, ref_label string, distance double"
 
 
@@ -57,61 +65,150 @@ def _wanted(column: pa.ChunkedArray, codes: dict) -> np.ndarray | None:
     return out
 
 
-def meet(k: int, exclude_self: bool):
-    """The k best of a part of the references for each query of a block, for each wanted label; no farther than ``kth`` where queries have it."""
+class Visits(NamedTuple):
+    """Which shards of a group the queries of a slice still have to visit: their first ones only, or all but those."""
+
+    pivots: np.ndarray
+    shards: Shards
+    home: bool
+
+    def parts(self, refs: pa.Table) -> list[tuple[int, slice]]:
+        """Shards of references in order of shard, and where their rows are."""
+        found, starts = np.unique(refs["shard"].to_numpy(), return_index=True)
+        return [(int(x), slice(int(i), int(j))) for x, i, j in zip(found, starts, [*starts[1:], refs.num_rows], strict=True)]
+
+    def bounds(self, unit: np.ndarray, of: list[int]) -> np.ndarray:
+        return np.zeros((len(unit), len(of))) if self.home else Shards(*(x[of] for x in self.shards)).bounds(unit, self.pivots)
+
+
+def _radius(distance: np.ndarray) -> np.ndarray:
+    """Euclidean distances of unit vectors at a cosine distance, with slack."""
+    return np.sqrt(2 * np.clip(distance, 0.0, 2.0)) + _SLACK
+
+
+def _slices(asked: pa.Table, refs: pa.Table, reach: np.ndarray, visits: Visits | None):
+    """(rows of the queries, their unit vectors, shards in order of promise), a slice at a time.
+
+    A shard is a function that gives, by what ``reach`` is by then, the places of the slice's
+    queries that have to visit it, and where its references are. Without ``visits`` all references are one shard.
+    """
+    if visits:
+        parts = visits.parts(refs)
+        of, first = [x for x, _ in parts], asked["first"].to_numpy()
+    for at in range(0, asked.num_rows, SLICE_ROWS):
+        part = slice(at, min(at + SLICE_ROWS, asked.num_rows))
+        unit = unit_rows(asked["v"].slice(at, SLICE_ROWS))
+        if not visits:
+            yield part, unit, [lambda n=len(unit): (np.arange(n), slice(0, refs.num_rows))]
+            continue
+        bound = visits.bounds(unit, of)
+
+        def visit(i: int, part=part, bound=bound):
+            own = first[part] == of[i]
+            return np.flatnonzero(own if visits.home else ~own & (bound[:, i] <= _radius(reach[part]))), parts[i][1]
+
+        yield part, unit, [partial(visit, int(i)) for i in np.argsort(bound.mean(axis=0), kind="stable")]
+
+
+def _distances_of(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosine distances of pairs of unit rows."""
+    parts = [slice(at, at + _PAIRS) for at in range(0, len(i), _PAIRS)]
+    return np.clip(1 - np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", a[i[x]], b[j[x]]) for x in parts)]), 0.0, 2.0)
+
+
+def _in_order(asked: pa.Table, refs: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """Queries of one first shard together, so that they meet it at once; references by shard and id."""
+    if "first" in asked.column_names:
+        asked = asked.sort_by("first")
+    return asked, refs.sort_by([(x, "ascending") for x in ("shard", "ref_id") if x in refs.column_names])
+
+
+def meet(k: int, exclude_self: bool, visits: Visits | None = None):
+    """The k best of a part of the references for each query of a block, for each wanted label; no farther than ``kth`` where queries have it.
+
+    Products in single precision leave out pairs that are too far by more than
+    their error; the distances of the others are computed in double precision.
+    """
 
     def best_of(asked: pa.Table, refs: pa.Table) -> pa.Table:
         if not asked.num_rows or not refs.num_rows:
             return _NEAR.empty_table()
+        asked, refs = _in_order(asked, refs)
         r, own, ids = unit_rows(refs["ref_v"]), asked["id"].to_numpy(), refs["ref_id"].to_numpy()
         codes = {x: i for i, x in enumerate(refs["ref_label"].unique().to_pylist())}
         labels, wanted = _codes(refs["ref_label"], codes), _wanted(asked["wanted"], codes)
         reach = asked["kth"].to_numpy() + _SLACK if "kth" in asked.column_names else np.full(len(own), 3.0)
+        kinds = 1 if wanted is None else wanted.shape[1]
+        single, error = r.astype(np.float32), 1.2e-7 * (r.shape[1] + 4)
         queries, places, distances = [], [], []
-        for at in range(0, len(own), SLICE_ROWS):
-            part = slice(at, at + SLICE_ROWS)
-            near = np.clip(1 - unit_rows(asked["v"].slice(at, SLICE_ROWS)) @ r.T, 0.0, 2.0)
-            if exclude_self:
-                near[own[part, None] == ids[None, :]] = np.inf
-            for kind in [None] if wanted is None else range(wanted.shape[1]):
-                row = near if kind is None else np.where(wanted[part, kind, None] == labels[None, :], near, np.inf)
-                limit = reach[part].copy()
-                wide = np.flatnonzero((row <= limit[:, None]).sum(axis=1) > 4 * k)  # all that tie with the kth stay
-                if len(wide):
-                    limit[wide] = np.minimum(limit[wide], np.partition(row[wide], k - 1, axis=1)[:, k - 1])
-                q, j = np.nonzero(row <= limit[:, None])
-                order = np.lexsort((ids[j], row[q, j], q))
-                q, j = q[order], j[order]
-                first = np.searchsorted(q, q)
-                keep = np.arange(len(q)) - first < k
-                queries.append(own[part][q[keep]])
-                places.append(j[keep])
-                distances.append(row[q[keep], j[keep]])
+        for part, unit, shards in _slices(asked, refs, reach, visits):
+            key, place, distance = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+            for shard in shards:
+                some, there = shard()
+                if not len(some):
+                    continue
+                near = -unit[some].astype(np.float32) @ single[there].T  # the distance less 1
+                if exclude_self:
+                    low, high = (np.searchsorted(ids[there], own[part][some], side) for side in ("left", "right"))
+                    for i in np.flatnonzero(high > low):
+                        near[i, low[i] : high[i]] = np.inf
+                for kind in range(kinds):
+                    row = near if wanted is None else np.where(wanted[part][some, kind, None] == labels[None, there], near, np.inf)
+                    limit = reach[part][some]
+                    most = (limit - 1 + error).astype(np.float32)
+                    fits = row <= most[:, None]
+                    wide = np.flatnonzero(np.count_nonzero(fits, axis=1) > 4 * k)  # all that tie with the kth stay
+                    if len(wide):
+                        kth = np.partition(row[wide], k - 1, axis=1)[:, k - 1]
+                        fits[wide] = row[wide] <= np.minimum(kth + np.float32(2 * error), most[wide])[:, None]
+                    q, j = np.nonzero(fits)
+                    found = _distances_of(unit, r, some[q], j + there.start)
+                    close = found <= limit[q]
+                    key = np.r_[key, (some[q] * kinds + kind)[close]]
+                    place = np.r_[place, j[close] + there.start]
+                    distance = np.r_[distance, found[close]]
+                order = np.lexsort((ids[place], distance, key))
+                rank = np.arange(len(key)) - np.searchsorted(key[order], key[order])
+                order = order[rank < k]
+                key, place, distance = key[order], place[order], distance[order]
+                if wanted is None:
+                    full = order[:0] if k < 1 else np.flatnonzero(rank[rank < k] == k - 1)
+                    reach[part][key[full]] = np.minimum(reach[part][key[full]], distance[full] + _SLACK)
+            queries.append(own[part][key // kinds] if len(key) else own[:0])
+            places.append(place)
+            distances.append(distance)
         j = pa.array(np.concatenate(places))
         return pa.table([pa.array(np.concatenate(queries)), refs["ref_id"].take(j), refs["ref_label"].take(j), pa.array(np.concatenate(distances))], schema=_NEAR)
 
     return best_of
 
 
-def first_near(distance: float, before: bool):
+def first_near(distance: float, before: bool, visits: Visits | None = None):
     """The least reference id of the query's label within ``distance``, for each query of a block that has one; with ``before`` below its own id."""
 
     def least(asked: pa.Table, refs: pa.Table) -> pa.Table:
         if not asked.num_rows or not refs.num_rows:
             return _NEAR.empty_table()
-        return pa.concat_tables([some(asked.slice(i, SLICE_ROWS), refs) for i in range(0, asked.num_rows, SLICE_ROWS)])
-
-    def some(asked: pa.Table, refs: pa.Table) -> pa.Table:
-        ids, labels = refs["ref_id"].to_numpy(), np.array(refs["ref_label"].to_pylist(), object)
-        own = np.array([w[0] for w in asked["wanted"].to_pylist()], object)
-        near = np.clip(1 - unit_rows(asked["v"]) @ unit_rows(refs["ref_v"]).T, 0.0, 2.0)
-        fits = (near <= distance) & (own[:, None] == labels[None, :])
-        if before:
-            fits &= ids[None, :] < asked["id"].to_numpy()[:, None]
-        order = np.argsort(ids)
-        at = order[fits[:, order].argmax(axis=1)]
-        has = np.flatnonzero(fits.any(axis=1))
-        return pa.table([asked["id"].take(pa.array(has)), pa.array(ids[at[has]]), pa.array(own[has], pa.string()), pa.array(near[has, at[has]])], schema=_NEAR)
+        asked, refs = _in_order(asked, refs)
+        r, ids, labels = unit_rows(refs["ref_v"]), refs["ref_id"].to_numpy(), np.array(refs["ref_label"].to_pylist(), object)
+        own, wanted = asked["id"].to_numpy(), np.array([w[0] for w in asked["wanted"].to_pylist()], object)
+        found = []
+        for part, unit, shards in _slices(asked, refs, np.full(len(own), distance), visits):
+            for shard in shards:
+                some, there = shard()
+                if not len(some):
+                    continue
+                near = np.clip(1 - unit[some] @ r[there].T, 0.0, 2.0)
+                fits = (near <= distance) & (wanted[part][some, None] == labels[None, there])
+                if before:
+                    fits &= ids[None, there] < own[part][some, None]
+                has = np.flatnonzero(fits.any(axis=1))
+                at = fits[has].argmax(axis=1)  # ids ascend in a shard
+                found.append((own[part][some[has]], ids[there][at], wanted[part][some[has]], near[has, at]))
+        if not found:
+            return _NEAR.empty_table()
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+        return pa.table([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2], pa.string()), pa.array(columns[3])], schema=_NEAR)
 
     return least
 
@@ -164,22 +261,25 @@ def _filed(pivots: np.ndarray):
     return run
 
 
-def _routed(pivots: np.ndarray, shards: Shards, first: int, until: int | None):
-    """Queries with each shard to visit, from place ``first`` of their order by bound: those whose bound reaches the kth distance."""
+def _routed(pivots: np.ndarray, shards: Shards, group: np.ndarray, home: bool):
+    """Queries with each group to visit and the number ``n`` of shards there: their most promising shard's, or those with others whose bound reaches the kth distance."""
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             bound = shards.bounds(unit_rows(batch.column("v")), pivots)
-            order = np.argsort(bound, axis=1, kind="stable")[:, first:until]
-            reach = np.sqrt(2 * np.clip(batch.column("kth").to_numpy(zero_copy_only=False), 0.0, 2.0)) + _SLACK
-            visit = np.take_along_axis(bound, order, axis=1) <= reach[:, None]
-            at, place = np.nonzero(visit)
+            first = bound.argmin(axis=1)
+            own = first[:, None] == np.arange(len(group))[None, :]
+            visit = own if home else ~own & (bound <= _radius(batch.column("kth").to_numpy(zero_copy_only=False))[:, None])
+            n = np.add.reduceat(visit, starts, axis=1, dtype=np.int64)
+            at, place = np.nonzero(n)
             for i in range(0, len(at), 4096):
                 part = slice(i, i + 4096)
                 rows = batch.select(["id", "v", "wanted", "kth"]).take(pa.array(at[part]))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(order[at[part], place[part]].astype(np.int32))], names=["id", "v", "wanted", "kth", "shard"])
+                numbers = (first[at[part]], group[starts[place[part]]], n[at[part], place[part]])
+                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(x.astype(np.int32)) for x in numbers)], names=["id", "v", "wanted", "kth", "first", "group", "n"])
 
     return run
 
@@ -214,24 +314,29 @@ class PivotIndex:
         ringed = filed.join(F.broadcast(edges), "cell").withColumn("ring", F.floor(place * rings / _RINGS)).drop("c", "edges")
         parts = F.broadcast(ringed.groupBy("cell", "ring").agg(F.ceil(F.count("*") / rows).alias("parts")))
         ringed = ringed.join(parts, ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("ref_id"), "parts")).drop("parts")
-        made = sorted(tuple(r) for r in ringed.groupBy("cell", "ring", "part").agg(F.min("d"), F.max("d")).collect())
+        made = sorted(tuple(r) for r in ringed.groupBy("cell", "ring", "part").agg(F.min("d"), F.max("d"), F.count("*")).collect())
         self.shards = Shards(*(np.array([r[i] for r in made], kind) for i, kind in ((0, np.int64), (3, np.float64), (4, np.float64))))
-        numbers = refs.sparkSession.createDataFrame([(*map(int, r[:3]), i) for i, r in enumerate(made)], "cell int, ring long, part long, shard int")
-        self.refs = kept(ringed.join(F.broadcast(numbers), ["cell", "ring", "part"]).select("shard", "ref_id", "ref_label", "ref_v"))
-        self.met = 0
-
-    def _visit(self, asked: DataFrame, first: int, until: int | None, meeting) -> DataFrame:
-        """What ``meeting`` finds in the shards that the queries (id, v, wanted, kth) still have to visit."""
+        # Shards of near cells are neighbours, so a query that visits few shards visits few groups.
+        before = np.cumsum([0, *(r[5] for r in made)])
+        self.group = (before[:-1] * max(GROUPS, -(-n // TASK_ROWS)) // max(n, 1)).astype(np.int64)
+        numbers = refs.sparkSession.createDataFrame([(*map(int, r[:3]), i, int(g)) for i, (r, g) in enumerate(zip(made, self.group, strict=True))], "cell int, ring long, part long, shard int, group int")
+        self.refs = kept(ringed.join(F.broadcast(numbers), ["cell", "ring", "part"]).select("group", "shard", "ref_id", "ref_label", "ref_v"))
+        self.met = self.sent = 0
+
+    def _visit(self, asked: DataFrame, home: bool, meeting) -> DataFrame:
+        """What ``meeting`` finds in the first shards of the queries (id, v, wanted, kth), or in the others that they have to visit."""
         kind = asked.schema["v"].dataType.simpleString()
         asked = kept(asked)  # the queries are written once, not once for each visit
-        visits = asked.mapInArrow(_routed(self.pivots, self.shards, first, until), f"id long, v {kind}, wanted array<string>, kth double, shard int")
-        sizes = visits.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"), F.count("*").alias("n"))
-        sizes = kept(sizes)
-        self.met += sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        sizes = F.broadcast(sizes.drop("n"))
-        left = visits.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).drop("blocks")
-        right = self.refs.join(sizes, "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
-        return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(meeting, _FOUND)
+        visits = asked.mapInArrow(_routed(self.pivots, self.shards, self.group, home), f"id long, v {kind}, wanted array<string>, kth double, first int, group int, n int")
+        n = F.count("*")
+        blocks = F.greatest(F.least(F.lit(HOME_BLOCKS if home else BLOCKS), F.ceil(n / LEAST_ROWS)), F.ceil(n / TASK_ROWS))
+        sizes = kept(visits.groupBy("group").agg(blocks.alias("blocks"), F.sum("n").alias("met"), n.alias("sent")))
+        met, sent = sizes.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("met", "sent"))).first()
+        self.met, self.sent = self.met + met, self.sent + sent
+        sizes = F.broadcast(sizes.select("group", "blocks"))
+        left = visits.drop("n").join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).drop("blocks")
+        right = self.refs.join(sizes, "group").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+        return left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInArrow(meeting(Visits(self.pivots, self.shards, home)), _FOUND)
 
     def near(self, queries: DataFrame, distance: float, before: bool = False) -> DataFrame:
         """(query_id, ref_id): the least reference of a query's label within ``distance``, for queries (id, label, v) that have one.
@@ -241,27 +346,30 @@ class PivotIndex:
         if not len(self.shards.cell):
             return queries.sparkSession.createDataFrame([], "query_id long, ref_id long")
         asked = queries.filter("v is not null").select("id", "v", F.array(F.col("label").cast("string")).alias("wanted"), F.lit(float(distance)).alias("kth"))
-        return self._visit(asked, 0, None, first_near(distance, before)).groupBy("query_id").agg(F.min("ref_id").alias("ref_id"))
+        meeting = lambda visits: first_near(distance, before, visits)
+        found = self._visit(asked, True, meeting)
+        if len(self.shards.cell) > 1:
+            found = found.unionByName(self._visit(asked, False, meeting))
+        return found.groupBy("query_id").agg(F.min("ref_id").alias("ref_id"))
 
     def search(self, queries: DataFrame, exclude_self: bool = False, by_class: bool = False) -> DataFrame:
         """query_id, rank, ref_id, ref_label, distance for queries (id, v, and with ``by_class`` wanted).
 
-        ``met`` is the number of visits of a query to a shard since the index was made.
+        ``met`` is the number of visits of a query to a shard since the index was made, ``sent`` how often a query was sent to a group.
         """
         if not len(self.shards.cell):
             return best(queries.sparkSession.createDataFrame([], _FOUND), self.k, by_class)
         wanted = F.col("wanted") if by_class else F.lit(None).cast("array<string>")
         asked = queries.filter("v is not null").select("id", "v", wanted.alias("wanted"))
-        found = kept(best(self._visit(asked.withColumn("kth", F.lit(2.0)), 0, 1, meet(self.k, exclude_self)), self.k, by_class).drop("rank"))
-        for first, until in ((1, 1 + SOON), (1 + SOON, None)):
-            if len(self.shards.cell) <= first:
-                break
+        meeting = lambda visits: meet(self.k, exclude_self, visits)
+        found = kept(best(self._visit(asked.withColumn("kth", F.lit(2.0)), True, meeting), self.k, by_class).drop("rank"))
+        if len(self.shards.cell) > 1:
             groups = found.groupBy(F.col("query_id").alias("_id"), *(["ref_label"] if by_class else [])).agg(F.when(F.count("*") >= self.k, F.max("distance")).alias("kth"))
             if by_class:
                 groups = groups.groupBy("_id").agg(F.when(F.count("*") == F.count("kth"), F.max("kth")).alias("kth"), F.count("*").alias("labels"))
             far = F.when(F.size(F.array_distinct("wanted")) == F.col("labels"), F.col("kth")) if by_class else F.col("kth")
             waiting = asked.join(groups, F.col("id") == F.col("_id"), "left").select("id", "v", "wanted", F.coalesce(far, F.lit(2.0)).alias("kth"))
-            found = kept(best(found.unionByName(self._visit(waiting, first, until, meet(self.k, exclude_self))), self.k, by_class).drop("rank"))
+            found = kept(best(found.unionByName(self._visit(waiting, False, meeting)), self.k, by_class).drop("rank"))
         return best(found, self.k, by_class)
 
 
