@@ -88,18 +88,21 @@ def decided(rows: DataFrame) -> DataFrame:
 
 
 def run_metrics(rows: DataFrame) -> DataFrame:
-    """Micro and macro scores and cost of each run, from one aggregation by run and class."""
-    labels = F.array_distinct(F.array(F.struct(F.col("gold").alias("label")), F.struct(F.col("final").alias("label"))))
-    by_class = rows.select("sweep", "run_id", "gold", "final", F.explode(labels).alias("x")).select("sweep", "run_id", "gold", "final", "x.label").filter("label <> 'O'").groupBy("sweep", "run_id", "label").agg(
+    """Micro and macro scores and cost of each run, from one aggregation by run and class; a null class holds the cost, so that candidates are read once."""
+    classes = F.filter(F.array_distinct(F.array("gold", "final")), lambda x: x.isNotNull() & (x != "O"))
+    rows = rows.select("sweep", "run_id", "gold", "final", "escalated", F.explode(F.concat(classes, F.array(F.lit(None).cast("string")))).alias("label"))
+    by_class = rows.groupBy("sweep", "run_id", "label").agg(
         F.count_if((F.col("gold") == F.col("label")) & (F.col("final") == F.col("label"))).alias("tp"),
         F.count_if((F.col("gold") != F.col("label")) & (F.col("final") == F.col("label"))).alias("fp"),
         F.count_if((F.col("gold") == F.col("label")) & (F.col("final") != F.col("label"))).alias("fn"),
+        F.count("*").alias("n"),
+        F.count_if("escalated").alias("escalated"),
     )
-    by_class = by_class.withColumn("f1", prf(F.col("tp"), F.col("fp"), F.col("fn"))["f1"])
-    runs = by_class.groupBy("sweep", "run_id").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.round(F.avg("f1"), 6).alias("macro_f1"))
-    cost = rows.groupBy("run_id").agg(F.count("*").alias("n"), F.count_if("escalated").alias("escalated"))
+    f1 = F.when(F.col("label").isNotNull(), prf(F.col("tp"), F.col("fp"), F.col("fn"))["f1"])
+    cost = lambda name: F.max(F.when(F.col("label").isNull(), F.col(name))).alias(name)
+    runs = by_class.groupBy("sweep", "run_id").agg(*(F.sum(x).alias(x) for x in ("tp", "fp", "fn")), F.round(F.avg(f1), 6).alias("macro_f1"), cost("n"), cost("escalated"), F.count("label").alias("classes"))
     scores = prf(F.col("tp"), F.col("fp"), F.col("fn"))
-    return runs.join(cost, "run_id").select("sweep", "run_id", "n", "escalated", "tp", "fp", "fn", *(v.alias(k) for k, v in scores.items()), "macro_f1", F.round(1 - F.col("escalated") / F.col("n"), 6).alias("saved"))
+    return runs.filter("classes > 0").select("sweep", "run_id", "n", "escalated", "tp", "fp", "fn", *(v.alias(k) for k, v in scores.items()), "macro_f1", F.round(1 - F.col("escalated") / F.col("n"), 6).alias("saved"))
 
 
 def sweep(candidates: DataFrame, configs: list[dict]) -> DataFrame:
