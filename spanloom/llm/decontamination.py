@@ -32,8 +32,8 @@ RANK, ITEMS_A_RANK, OVERSAMPLE = 96, 2, 12
 NEIGHBOURS, REGISTERS, LEAST_WEIGHT = 2, 256, 0.01
 #: Least share of an item's word pairs in a passage that shares them, and the least count (or all, where an item has fewer).
 PAIRS, LEAST_PAIRS = 0.25, 4
-#: Terms of a row of partial results.
-SKETCH_TERMS = 256
+#: Terms of a row of partial results; passages whose counts are a matrix at once.
+SKETCH_TERMS, SKETCH_PASSAGES = 256, 256
 #: Words of documents that are handled at once.
 LOT_WORDS = 16_384
 #: Least cosine of a candidate; least share of the item in the common subsequence, and of its answer terms in the passage.
@@ -116,7 +116,7 @@ def _number(batches, numbers: dict[bytes, int]):
     cache_of("decontamination")
     number, width = _Numbers(numbers).__getitem__, _width(len(numbers))
     for batch in batches:
-        coded = [np.array(list(map(number, plain_words(t))), width).tobytes() for t in utf8(batch.column(1))]
+        coded = [np.fromiter(map(number, plain_words(t)), width).tobytes() for t in utf8(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary())], names=["doc_id", "terms"])
 
 
@@ -211,28 +211,20 @@ def _rows_of(lot: Lot, span: int) -> tuple[np.ndarray, np.ndarray]:
     return firsts[doc] + (block - lot.starts[doc]) // span, lot.words[known]
 
 
-def _sums(values: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of rows over runs of equal ``groups``."""
-    if not len(groups):
-        return groups, values
-    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
-    return groups[starts], np.add.reduceat(values, starts, axis=0)
-
-
 def _sketch(batches, weights: np.ndarray, omega: np.ndarray, span: int):
     """This partition's share of A'(A omega) for unit rows A; one row for each SKETCH_TERMS terms."""
     total = np.zeros(omega.shape, np.float64)
     weighted = (omega * weights[:, None]).astype(np.float32)
     for lot in (x for batch in batches for x in _lots(batch.column(0), _width(len(weights)))):
         passage, term = _rows_of(lot, span)
-        if not len(term):
-            continue
-        of, y = _sums(weighted[term], passage)
-        _, square = _sums(weights[term] ** 2, passage)
-        y /= square[:, None]  # both rows of the product have the passage's norm
-        order = np.argsort(term, kind="stable")
-        which, share = _sums(y[np.searchsorted(of, passage[order])], term[order])
-        total[which] += share * weights[which][:, None]
+        for low in range(0, passage[-1] + 1 if len(term) else 0, SKETCH_PASSAGES):
+            part = slice(*np.searchsorted(passage, [low, low + SKETCH_PASSAGES]))
+            which, at = np.unique(term[part], return_inverse=True)
+            counts = np.bincount((passage[part] - low) * len(which) + at, minlength=SKETCH_PASSAGES * len(which)).reshape(SKETCH_PASSAGES, len(which))
+            counts = counts[counts.any(axis=1)].astype(np.float32)
+            y = counts @ weighted[which]
+            y /= (counts @ weights[which] ** 2)[:, None]  # both rows of the product have the passage's norm
+            total[which] += (counts.T @ y) * weights[which][:, None]
     for at in range(0, len(total), SKETCH_TERMS):
         part = total[at : at + SKETCH_TERMS]
         if part.any():
@@ -302,12 +294,13 @@ def _longer(rows: np.ndarray, left: np.ndarray, by: int, join) -> np.ndarray:
     return out
 
 
-def _near(lot: Lot, latent: np.ndarray, sought: list, cosine: float, filled: dict[int, np.ndarray], least: np.ndarray):
+def _near(lot: Lot, latent: np.ndarray, sought: list, cosine: float, filled: dict[int, np.ndarray], least: np.ndarray, lengths: np.ndarray):
     """(item, first and last block of a passage, cosine) by the latent space; the items of each span at once.
 
-    ``filled``: for each span its items' terms, filled up with the number after
+    ``filled``: for each span its items' terms, those of most weight first, filled up with the number after
     the last one; ``least``: how many of them a passage and a span on either
-    side of it must hold, as the subsequence can't be longer.
+    side of it must hold, as the subsequence can't be longer. The others of an item's
+    ``lengths`` may be missing, so the first half of the terms tells most passages.
     """
     known = lot.known
     if not len(known):
@@ -322,23 +315,31 @@ def _near(lot: Lot, latent: np.ndarray, sought: list, cosine: float, filled: dic
     there = np.packbits(there, axis=1, bitorder="little")
     left, span = np.repeat(lot.starts[1:], np.diff(lot.starts)) - np.arange(lot.starts[-1]), 1
     begin = np.repeat(lot.starts[:-1], np.diff(lot.starts))
+    missing = np.floor(lengths - least + 1e-9)
     for wanted, which, mine in sought:
         while span < wanted:
             rows, there = _longer(rows, left, span, np.add), _longer(there, left, span, np.bitwise_or)
             span *= 2
         block = np.arange(len(rows))
         around = there | there[np.maximum(block - span, begin)] | there[np.minimum(block + span, block + left - 1)]
+        width, around = around.shape[1], around.ravel()
+        half = filled[wanted].shape[1] // 2
+
+        def held(block: np.ndarray, own: np.ndarray, width=width, around=around) -> np.ndarray:
+            return (around.take((block * width)[:, None] + (own >> 3)) >> (own & 7).astype(np.uint8) & 1).sum(axis=1)
+
         size = np.sqrt(np.einsum("ij,ij->i", rows, rows))
         some = np.flatnonzero(size > 0)
         for low in range(0, len(some), 2_048):
             at = some[low : low + 2_048]
             i, k = np.nonzero((rows[at] @ mine) >= cosine * size[at, None])
-            for low_i in range(0, len(i), 50_000):
-                block, j = at[i[low_i : low_i + 50_000]], k[low_i : low_i + 50_000]
+            for low_i in range(0, len(i), 8_192):
+                block, j = at[i[low_i : low_i + 8_192]], k[low_i : low_i + 8_192]
                 item = which[j]
-                own = filled[wanted][item]
-                shared = (around[block[:, None], own >> 3] >> (own & 7).astype(np.uint8) & 1).sum(axis=1)
-                enough = shared >= least[item]
+                # not more than ``missing`` of the first half, or of all terms of an item that is no longer, may be missing
+                enough = held(block, filled[wanted][item, :half]) >= np.minimum(lengths[item], half) - missing[item]
+                block, item, j = block[enough], item[enough], j[enough]
+                enough = held(block, filled[wanted][item]) >= least[item]
                 block, item, j = block[enough], item[enough], j[enough]
                 yield item, block, block + span, np.einsum("ij,ij->i", rows[block], mine.T[j]) / size[block]
 
@@ -355,7 +356,7 @@ def _search(batches, items: Items, weights: np.ndarray, vectors: np.ndarray, cos
     for span, which, _ in sought:
         filled[span] = np.full((len(items.ids), lengths[which].max()), len(weights))
         for k in which:
-            filled[span][k, : lengths[k]] = items.terms[k]
+            filled[span][k, : lengths[k]] = sorted(items.terms[k], key=lambda t: -weights[t])
     least = subsequence * lengths
     cosine_of = lambda passage, k: float(latent[passage].sum(axis=0) @ targets[:, k] / max(np.linalg.norm(latent[passage].sum(axis=0)), 1e-12)) if len(passage) else 0.0
     for batch in batches:
@@ -379,7 +380,7 @@ def _search(batches, items: Items, weights: np.ndarray, vectors: np.ndarray, cos
                         key = (lot.rows[doc], k)
                         best[key] = max(best.get(key, (0.0, 0.0, -1.0)), (share, told, near))
 
-            for k, first, last, near in _near(lot, latent, sought, cosine, filled, least):
+            for k, first, last, near in _near(lot, latent, sought, cosine, filled, least, lengths):
                 doc = np.searchsorted(lot.starts, first, side="right") - 1
                 first, last, n = first * BLOCK_WORDS, last * BLOCK_WORDS, lengths[k]
                 for x in zip(k.tolist(), doc.tolist(), (first - n).tolist(), (last + n).tolist(), near.tolist(), strict=True):
