@@ -5,8 +5,9 @@ to it. Cosine distance d of unit vectors is half the square of their Euclidean
 distance, which is a metric: what a ring holds is no nearer to a query than the
 triangle inequality says, so a query visits its most promising shard first and
 then only shards whose bound reaches the distance of its kth neighbour. Shards
-are sent in a few groups, to a few blocks of queries, so that a query that has
-to visit all shards is not sent to each of them.
+lie in a few groups. Queries are packed in blocks and groups in packs, and each
+block meets each pack where both lie, so that neither is sent again however many
+shards a query visits.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +27,9 @@ from spanloom.sources.scratch import kept
 SHARD_ROWS, SLICE_ROWS = 8_192, 256
 #: Pivots and shards at most: both go to every task. With more references shards grow.
 PIVOTS, SHARDS = 512, 64
-#: Groups of shards, and blocks of queries in the first round and in the other: a query is sent to a group at most once a
-#: round, whatever shards it visits there, and a group to each block. So what is sent grows with the rows, not with visits.
-GROUPS, HOME_BLOCKS, BLOCKS = 8, 2, 8
+#: Groups of shards and blocks of queries. Each group is packed once, each query once a round, and blocks and packs are read where
+#: they meet. So what is sent grows with the rows, not with visits, groups or blocks.
+GROUPS, BLOCKS = 8, 8
 #: Rows of a block that is worth a task of its own, and most rows of a group or a block: what meets in a task. More rows make more of both.
 LEAST_ROWS, TASK_ROWS = 512, 131_072
 #: Rings of a cell: at most so many.
@@ -261,9 +263,8 @@ def _filed(pivots: np.ndarray):
     return run
 
 
-def _routed(pivots: np.ndarray, shards: Shards, group: np.ndarray, home: bool):
-    """Queries with each group to visit and the number ``n`` of shards there: their most promising shard's, or those with others whose bound reaches the kth distance."""
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+def _routed(pivots: np.ndarray, shards: Shards, home: bool):
+    """Queries that have shards to visit with the most promising one ``first`` and their number ``n``: that one, or the others whose bound reaches the kth distance."""
 
     def run(batches):
         for batch in batches:
@@ -271,15 +272,48 @@ def _routed(pivots: np.ndarray, shards: Shards, group: np.ndarray, home: bool):
                 continue
             bound = shards.bounds(unit_rows(batch.column("v")), pivots)
             first = bound.argmin(axis=1)
-            own = first[:, None] == np.arange(len(group))[None, :]
-            visit = own if home else ~own & (bound <= _radius(batch.column("kth").to_numpy(zero_copy_only=False))[:, None])
-            n = np.add.reduceat(visit, starts, axis=1, dtype=np.int64)
-            at, place = np.nonzero(n)
-            for i in range(0, len(at), 4096):
-                part = slice(i, i + 4096)
-                rows = batch.select(["id", "v", "wanted", "kth"]).take(pa.array(at[part]))
-                numbers = (first[at[part]], group[starts[place[part]]], n[at[part], place[part]])
-                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(x.astype(np.int32)) for x in numbers)], names=["id", "v", "wanted", "kth", "first", "group", "n"])
+            if home:
+                n = np.ones(len(first), np.int64)
+            else:
+                visit = bound <= _radius(batch.column("kth").to_numpy(zero_copy_only=False))[:, None]
+                visit[np.arange(len(first)), first] = False
+                n = np.count_nonzero(visit, axis=1)
+            at = np.flatnonzero(n)
+            rows = batch.select(["id", "v", "wanted", "kth"]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(x[at].astype(np.int32)) for x in (first, n))], names=["id", "v", "wanted", "kth", "first", "n"])
+
+    return run
+
+
+_PACKED = "packed binary, rows long, visits long"
+
+
+def _packed(batches):
+    """The rows of a partition as one row, an Arrow stream, with their number and the sum of ``n`` if they have it; none for an empty partition."""
+    full = [x for x in batches if x.num_rows]
+    if full:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, full[0].schema) as stream:
+            for x in full:
+                stream.write_batch(x)
+        visits = sum(int(x.column("n").to_numpy().sum()) for x in full if "n" in x.schema.names)
+        yield pa.RecordBatch.from_pydict({"packed": pa.array([out.getvalue().to_pybytes()], pa.binary()), "rows": [sum(x.num_rows for x in full)], "visits": [visits]})
+
+
+def _unpacked(packed: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(packed.as_buffer()).read_all()
+
+
+def _met(best_of, home: bool):
+    """What ``best_of`` finds for pairs of packed queries ``asked`` and references ``refs``; with ``home`` for queries whose first shard is among these."""
+
+    def run(batches):
+        for batch in batches:
+            for asked, refs in zip(batch.column("asked"), batch.column("refs"), strict=True):
+                asked, refs = _unpacked(asked), _unpacked(refs)
+                if home:
+                    asked = asked.filter(pc.is_in(asked["first"], value_set=refs["shard"].unique()))
+                yield from best_of(asked, refs).to_batches(max_chunksize=_PAIRS)
 
     return run
 
@@ -320,23 +354,24 @@ class PivotIndex:
         before = np.cumsum([0, *(r[5] for r in made)])
         self.group = (before[:-1] * max(GROUPS, -(-n // TASK_ROWS)) // max(n, 1)).astype(np.int64)
         numbers = refs.sparkSession.createDataFrame([(*map(int, r[:3]), i, int(g)) for i, (r, g) in enumerate(zip(made, self.group, strict=True))], "cell int, ring long, part long, shard int, group int")
-        self.refs = kept(ringed.join(F.broadcast(numbers), ["cell", "ring", "part"]).select("group", "shard", "ref_id", "ref_label", "ref_v"))
+        refs = ringed.join(F.broadcast(numbers), ["cell", "ring", "part"]).select("group", "shard", "ref_id", "ref_label", "ref_v")
+        groups = int(self.group[-1]) + 1 if len(self.group) else 1
+        self.packs = kept(refs.repartitionById(groups, F.col("group")).drop("group").mapInArrow(_packed, _PACKED)).select(F.col("packed").alias("refs"))
         self.met = self.sent = 0
 
-    def _visit(self, asked: DataFrame, home: bool, meeting) -> DataFrame:
-        """What ``meeting`` finds in the first shards of the queries (id, v, wanted, kth), or in the others that they have to visit."""
+    def _visit(self, asked: DataFrame, n: int, home: bool, meeting) -> DataFrame:
+        """What ``meeting`` finds in the first shards of the ``n`` queries (id, v, wanted, kth), or in the others that they have to visit.
+
+        Each pair of a block and a pack is a task that reads both; the hint keeps Spark from sending either through the driver.
+        """
         kind = asked.schema["v"].dataType.simpleString()
-        asked = kept(asked)  # the queries are written once, not once for each visit
-        visits = asked.mapInArrow(_routed(self.pivots, self.shards, self.group, home), f"id long, v {kind}, wanted array<string>, kth double, first int, group int, n int")
-        n = F.count("*")
-        blocks = F.greatest(F.least(F.lit(HOME_BLOCKS if home else BLOCKS), F.ceil(n / LEAST_ROWS)), F.ceil(n / TASK_ROWS))
-        sizes = kept(visits.groupBy("group").agg(blocks.alias("blocks"), F.sum("n").alias("met"), n.alias("sent")))
-        met, sent = sizes.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("met", "sent"))).first()
+        visits = asked.mapInArrow(_routed(self.pivots, self.shards, home), f"id long, v {kind}, wanted array<string>, kth double, first int, n int")
+        blocks = max(1, min(BLOCKS, -(-n // LEAST_ROWS)), -(-n // TASK_ROWS))
+        left = kept(visits.repartitionById(blocks, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).mapInArrow(_packed, _PACKED))
+        sent, met = left.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("rows", "visits"))).first()
         self.met, self.sent = self.met + met, self.sent + sent
-        sizes = F.broadcast(sizes.select("group", "blocks"))
-        left = visits.drop("n").join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).drop("blocks")
-        right = self.refs.join(sizes, "group").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
-        return left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInArrow(meeting(Visits(self.pivots, self.shards, home)), _FOUND)
+        pairs = left.select(F.col("packed").alias("asked")).crossJoin(self.packs.hint("shuffle_replicate_nl"))
+        return pairs.mapInArrow(_met(meeting(Visits(self.pivots, self.shards, home)), home), _FOUND)
 
     def near(self, queries: DataFrame, distance: float, before: bool = False) -> DataFrame:
         """(query_id, ref_id): the least reference of a query's label within ``distance``, for queries (id, label, v) that have one.
@@ -347,29 +382,31 @@ class PivotIndex:
             return queries.sparkSession.createDataFrame([], "query_id long, ref_id long")
         asked = queries.filter("v is not null").select("id", "v", F.array(F.col("label").cast("string")).alias("wanted"), F.lit(float(distance)).alias("kth"))
         meeting = lambda visits: first_near(distance, before, visits)
-        found = self._visit(asked, True, meeting)
+        n = asked.count()
+        found = self._visit(asked, n, True, meeting)
         if len(self.shards.cell) > 1:
-            found = found.unionByName(self._visit(asked, False, meeting))
+            found = found.unionByName(self._visit(asked, n, False, meeting))
         return found.groupBy("query_id").agg(F.min("ref_id").alias("ref_id"))
 
     def search(self, queries: DataFrame, exclude_self: bool = False, by_class: bool = False) -> DataFrame:
         """query_id, rank, ref_id, ref_label, distance for queries (id, v, and with ``by_class`` wanted).
 
-        ``met`` is the number of visits of a query to a shard since the index was made, ``sent`` how often a query was sent to a group.
+        ``met`` is the number of visits of a query to a shard since the index was made, ``sent`` how often a query was packed.
         """
         if not len(self.shards.cell):
             return best(queries.sparkSession.createDataFrame([], _FOUND), self.k, by_class)
         wanted = F.col("wanted") if by_class else F.lit(None).cast("array<string>")
         asked = queries.filter("v is not null").select("id", "v", wanted.alias("wanted"))
+        n = asked.count()
         meeting = lambda visits: meet(self.k, exclude_self, visits)
-        found = kept(best(self._visit(asked.withColumn("kth", F.lit(2.0)), True, meeting), self.k, by_class).drop("rank"))
+        found = kept(best(self._visit(asked.withColumn("kth", F.lit(2.0)), n, True, meeting), self.k, by_class).drop("rank"))
         if len(self.shards.cell) > 1:
             groups = found.groupBy(F.col("query_id").alias("_id"), *(["ref_label"] if by_class else [])).agg(F.when(F.count("*") >= self.k, F.max("distance")).alias("kth"))
             if by_class:
                 groups = groups.groupBy("_id").agg(F.when(F.count("*") == F.count("kth"), F.max("kth")).alias("kth"), F.count("*").alias("labels"))
             far = F.when(F.size(F.array_distinct("wanted")) == F.col("labels"), F.col("kth")) if by_class else F.col("kth")
             waiting = asked.join(groups, F.col("id") == F.col("_id"), "left").select("id", "v", "wanted", F.coalesce(far, F.lit(2.0)).alias("kth"))
-            found = kept(best(found.unionByName(self._visit(waiting, False, meeting)), self.k, by_class).drop("rank"))
+            found = kept(best(found.unionByName(self._visit(waiting, n, False, meeting)), self.k, by_class).drop("rank"))
         return best(found, self.k, by_class)
 
 

@@ -56,13 +56,20 @@ def u_single_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("cand_id", r6(S.least_confidence(F.col("p"))).alias("u_lc"), r6(S.entropy(F.col("p"))).alias("u_pe"), r6(S.margin_uncertainty(S.softmax(F.col("logits"), 1.8))).alias("u_margin"), r6(u).alias("u_evidential"), r6(expected[0]).alias("expected_o"))
 
 
+def _passes(rows: DataFrame) -> DataFrame:
+    return rows.select("cand_id", F.posexplode("passes").alias("pass", "z")).withColumn("q", S.softmax(F.col("z")))
+
+
+def mean_entropy(rows: DataFrame) -> DataFrame:
+    """(cand_id, u_mcd): mean entropy over stochastic passes."""
+    return _passes(rows).groupBy("cand_id").agg(F.avg(S.entropy(F.col("q"))).alias("u_mcd"))
+
+
 def mean_passes(rows: DataFrame) -> DataFrame:
     """(cand_id, u_mcd, mean_p): mean entropy over stochastic passes, and their mean distribution."""
-    passes = rows.select("cand_id", F.posexplode("passes").alias("pass", "z")).withColumn("q", S.softmax(F.col("z")))
-    u = passes.groupBy("cand_id").agg(F.avg(S.entropy(F.col("q"))).alias("u_mcd"))
-    mean = passes.select("cand_id", F.posexplode("q").alias("i", "x")).groupBy("cand_id", "i").agg(F.avg("x").alias("x"))
+    mean = _passes(rows).select("cand_id", F.posexplode("q").alias("i", "x")).groupBy("cand_id", "i").agg(F.avg("x").alias("x"))
     mean = mean.groupBy("cand_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("mean_p"))
-    return u.join(mean, "cand_id")
+    return mean_entropy(rows).join(mean, "cand_id")
 
 
 @query(f"""WITH {CANDIDATES_SQL}, {_MEAN_P},
@@ -178,7 +185,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("doc_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     novel = V.knn_and_outlier_factor(refs, exclude_self=True).select(F.col("id").alias("cand_id"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "knn")).alias("nov_knn"), (F.col("lof") / (1 + F.col("lof"))).alias("nov_lof"))
     center = V.centroid_distance(vectors, refs).select(F.col("id").alias("cand_id"), F.col("centroid_distance").alias("nov_centroid"))
-    return rows.join(mean_passes(rows).select("cand_id", "u_mcd"), "cand_id").join(novel, "cand_id").join(center, "cand_id")
+    return rows.join(mean_entropy(rows), "cand_id").join(novel, "cand_id").join(center, "cand_id")
 
 
 _FEATURES = f"""{_KNN}, {_LOF}, {_CENTROID}, {CANDIDATES_SQL}, {_MEAN_P},

@@ -4,7 +4,7 @@ import random
 
 from spanloom.operators import sweep as X
 from spanloom.operators import vectors as V
-from spanloom.operators.neighbours import SHARDS, PivotIndex
+from spanloom.operators.neighbours import SHARDS, PivotIndex, meet
 
 
 def _frame(spark, n=600, width=6):
@@ -59,3 +59,15 @@ def test_ties_zeros_and_missing_numbers(spark):
     assert got[1003] == [(i, 0.0) for i in (0, 1000, 1001, 1002, 1004)]
     assert 2000 not in got and all(2000 != i for x in got.values() for i, _ in x)
     assert [d for _, d in got[2001]] == [1.0] * 5
+
+
+def test_what_is_shuffled_does_not_grow_with_groups(spark):
+    """References and queries are packed once; a block meets a pack where both lie, so no group is sent to each block of queries."""
+    rows = _frame(spark, 1200, 40)
+    index = PivotIndex(rows, 3, rows=20)
+    found = index.search(rows, True)
+    assert len(set(index.group.tolist())) > 4 and found.count() == 3 * 1200
+    assert index.sent <= 2 * 1200  # before, a query was sent to each group that it visits
+    met = index._visit(rows.selectExpr("id", "v", "cast(null as array<string>) wanted", "2.0D kth"), 1200, False, lambda visits: meet(3, True, visits))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "Broadcast" not in plan
