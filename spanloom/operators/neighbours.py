@@ -5,9 +5,9 @@ to it. Cosine distance d of unit vectors is half the square of their Euclidean
 distance, which is a metric: what a ring holds is no nearer to a query than the
 triangle inequality says, so a query visits its most promising shard first and
 then only shards whose bound reaches the distance of its kth neighbour. Shards
-lie in a few groups. Queries are packed in blocks and groups in packs, and each
-block meets each pack where both lie, so that neither is sent again however many
-shards a query visits.
+lie in a few groups. Queries are packed in blocks and groups in packs, and a task
+reads a block and one pack after the other where they lie, so that neither is
+sent again and a query has k rows at most, however many shards it visits.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ SHARD_ROWS, SLICE_ROWS = 8_192, 256
 PIVOTS, SHARDS = 512, 64
 #: Groups of shards and blocks of queries. Each group is packed once, each query once a round, and blocks and packs are read where
 #: they meet. So what is sent grows with the rows, not with visits, groups or blocks.
-GROUPS, BLOCKS = 8, 8
+GROUPS, BLOCKS = 8, 32
 #: Rows of a block that is worth a task of its own, and most rows of a group or a block: what meets in a task. More rows make more of both.
 LEAST_ROWS, TASK_ROWS = 512, 131_072
 #: Rings of a cell: at most so many.
@@ -304,16 +304,50 @@ def _unpacked(packed: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(packed.as_buffer()).read_all()
 
 
-def _met(best_of, home: bool):
-    """What ``best_of`` finds for pairs of packed queries ``asked`` and references ``refs``; with ``home`` for queries whose first shard is among these."""
+def _k_of_each(found: pa.Table, k: int, by_class: bool) -> tuple[pa.Table, np.ndarray]:
+    """The k best of each query, and with ``by_class`` of each label; their places in that order."""
+    query, distance, ids = (found[x].to_numpy() for x in ("query_id", "distance", "ref_id"))
+    label = _codes(found["ref_label"], {x: i for i, x in enumerate(found["ref_label"].unique().to_pylist())}) if by_class else np.zeros(len(query), np.int64)
+    order = np.lexsort((ids, distance, label, query))
+    new = np.r_[True, (np.diff(query[order]) != 0) | (np.diff(label[order]) != 0)][: len(order)]
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return found.take(pa.array(order[rank < k])), rank[rank < k]
+
+
+def _nearer(asked: pa.Table, found: pa.Table, rank: np.ndarray, k: int) -> pa.Table:
+    """Queries with ``kth`` lowered to the distance of the last of k found."""
+    full = found.filter(pa.array(rank == k - 1))
+    order = np.argsort(asked["id"].to_numpy(), kind="stable")
+    ids, kth, query = asked["id"].to_numpy()[order], asked["kth"].to_numpy()[order].copy(), full["query_id"].to_numpy()
+    at, n = np.searchsorted(query, ids), len(query)
+    has = (at < n) & (query[np.minimum(at, n - 1)] == ids) if n else np.zeros(len(ids), bool)
+    kth[has] = np.minimum(kth[has], full["distance"].to_numpy()[at[has]])
+    back = np.empty(len(order))
+    back[order] = kth
+    return asked.set_column(asked.column_names.index("kth"), "kth", pa.array(back))
+
+
+def _met(best_of, home: bool, k: int, by_class: bool):
+    """What ``best_of`` finds for packed queries ``asked`` of a ``block`` and packs of references ``refs``; with ``home`` for queries whose first shard is among these.
+
+    Packs that follow each other for one block add to the same k best (all that is found, if k is 0).
+    """
 
     def run(batches):
+        block, asked, found = None, None, _NEAR.empty_table()
         for batch in batches:
-            for asked, refs in zip(batch.column("asked"), batch.column("refs"), strict=True):
-                asked, refs = _unpacked(asked), _unpacked(refs)
-                if home:
-                    asked = asked.filter(pc.is_in(asked["first"], value_set=refs["shard"].unique()))
-                yield from best_of(asked, refs).to_batches(max_chunksize=_PAIRS)
+            for number, queries, refs in zip(batch.column("block").to_pylist(), batch.column("asked"), batch.column("refs"), strict=True):
+                if number != block:
+                    yield from found.to_batches(max_chunksize=_PAIRS)
+                    block, asked, found = number, _unpacked(queries), _NEAR.empty_table()
+                refs = _unpacked(refs)
+                some = asked.filter(pc.is_in(asked["first"], value_set=refs["shard"].unique())) if home else asked
+                found = pa.concat_tables([found, best_of(some, refs)]).combine_chunks()
+                if k:
+                    found, rank = _k_of_each(found, k, by_class)
+                    if not by_class:
+                        asked = _nearer(asked, found, rank, k)
+        yield from found.to_batches(max_chunksize=_PAIRS)
 
     return run
 
@@ -359,19 +393,20 @@ class PivotIndex:
         self.packs = kept(refs.repartitionById(groups, F.col("group")).drop("group").mapInArrow(_packed, _PACKED)).select(F.col("packed").alias("refs"))
         self.met = self.sent = 0
 
-    def _visit(self, asked: DataFrame, n: int, home: bool, meeting) -> DataFrame:
+    def _visit(self, asked: DataFrame, n: int, home: bool, meeting, k: int = 0, by_class: bool = False) -> DataFrame:
         """What ``meeting`` finds in the first shards of the ``n`` queries (id, v, wanted, kth), or in the others that they have to visit.
 
-        Each pair of a block and a pack is a task that reads both; the hint keeps Spark from sending either through the driver.
+        A task reads a block and all packs in turn; the hint keeps Spark from sending either through the driver.
         """
         kind = asked.schema["v"].dataType.simpleString()
         visits = asked.mapInArrow(_routed(self.pivots, self.shards, home), f"id long, v {kind}, wanted array<string>, kth double, first int, n int")
         blocks = max(1, min(BLOCKS, -(-n // LEAST_ROWS)), -(-n // TASK_ROWS))
-        left = kept(visits.repartitionById(blocks, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).mapInArrow(_packed, _PACKED))
+        left = visits.repartitionById(blocks, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).mapInArrow(_packed, _PACKED)
+        left = kept(left.withColumn("block", F.spark_partition_id()))
         sent, met = left.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("rows", "visits"))).first()
         self.met, self.sent = self.met + met, self.sent + sent
-        pairs = left.select(F.col("packed").alias("asked")).crossJoin(self.packs.hint("shuffle_replicate_nl"))
-        return pairs.mapInArrow(_met(meeting(Visits(self.pivots, self.shards, home)), home), _FOUND)
+        pairs = left.select("block", F.col("packed").alias("asked")).crossJoin(self.packs.hint("shuffle_replicate_nl")).coalesce(blocks)
+        return pairs.mapInArrow(_met(meeting(Visits(self.pivots, self.shards, home)), home, k, by_class), _FOUND)
 
     def near(self, queries: DataFrame, distance: float, before: bool = False) -> DataFrame:
         """(query_id, ref_id): the least reference of a query's label within ``distance``, for queries (id, label, v) that have one.
@@ -399,14 +434,14 @@ class PivotIndex:
         asked = queries.filter("v is not null").select("id", "v", wanted.alias("wanted"))
         n = asked.count()
         meeting = lambda visits: meet(self.k, exclude_self, visits)
-        found = kept(best(self._visit(asked.withColumn("kth", F.lit(2.0)), n, True, meeting), self.k, by_class).drop("rank"))
+        found = kept(best(self._visit(asked.withColumn("kth", F.lit(2.0)), n, True, meeting, self.k, by_class), self.k, by_class).drop("rank"))
         if len(self.shards.cell) > 1:
             groups = found.groupBy(F.col("query_id").alias("_id"), *(["ref_label"] if by_class else [])).agg(F.when(F.count("*") >= self.k, F.max("distance")).alias("kth"))
             if by_class:
                 groups = groups.groupBy("_id").agg(F.when(F.count("*") == F.count("kth"), F.max("kth")).alias("kth"), F.count("*").alias("labels"))
             far = F.when(F.size(F.array_distinct("wanted")) == F.col("labels"), F.col("kth")) if by_class else F.col("kth")
             waiting = asked.join(groups, F.col("id") == F.col("_id"), "left").select("id", "v", "wanted", F.coalesce(far, F.lit(2.0)).alias("kth"))
-            found = kept(best(found.unionByName(self._visit(waiting, n, False, meeting)), self.k, by_class).drop("rank"))
+            found = kept(best(found.unionByName(self._visit(waiting, n, False, meeting, self.k, by_class)), self.k, by_class).drop("rank"))
         return best(found, self.k, by_class)
 
 

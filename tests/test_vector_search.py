@@ -71,3 +71,14 @@ def test_what_is_shuffled_does_not_grow_with_groups(spark):
     met = index._visit(rows.selectExpr("id", "v", "cast(null as array<string>) wanted", "2.0D kth"), 1200, False, lambda visits: meet(3, True, visits))
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan and "Broadcast" not in plan
+
+
+def test_a_query_has_k_rows_whatever_it_visits(spark):
+    """A block goes through all packs in one task and keeps the k best; before, each group gave up to k rows for each query."""
+    rows = _frame(spark, 800, 40)
+    index = PivotIndex(rows, 3, rows=20)
+    asked = rows.selectExpr("id", "v", "cast(null as array<string>) wanted", "2.0D kth")
+    found = index._visit(asked, 800, False, lambda visits: meet(3, True, visits), 3)
+    assert found.count() == 3 * 800
+    by_class = rows.selectExpr("id", "v", "array('0', '1') wanted", "2.0D kth")
+    assert index._visit(by_class, 800, False, lambda visits: meet(3, True, visits), 3, True).count() == 6 * 800
