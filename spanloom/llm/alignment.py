@@ -201,14 +201,24 @@ def _aligner(first: str, second: str) -> Aligner:
 
 
 _LONGS = pa.list_(pa.int64())
-#: Results of a block's documents; then, packed as little-endian 32-bit numbers: distinct entries of each document and their times, pairs of each entry.
+#: Blocks in a row group of Parquet, of which a task holds one.
+GROUP_BLOCKS = 8
+#: Results of a block's documents; then, packed: distinct entries of each document and their times, pairs of each entry.
 _RESULTS, _PACKED = ("n_a", "n_b", "n_groups", "n_links"), ("entries_of", "entry", "times", "pairs_of", "pair")
 _BLOCK = pa.schema([("block", pa.int64()), ("doc_id", _LONGS), *((c, _LONGS) for c in _RESULTS), ("groups_sha256", pa.list_(pa.string())), *((c, pa.binary()) for c in _PACKED), ("pairs", _LONGS), ("counts", _LONGS)])
 _BLOCK_DDL = ", ".join(["block long", "doc_id array<long>", *(f"{c} array<long>" for c in _RESULTS), "groups_sha256 array<string>", *(f"{c} binary" for c in _PACKED), "pairs array<long>", "counts array<long>"])
 
 
 def _packed(x: np.ndarray) -> bytes:
-    return x.astype("<i4").tobytes()
+    """Numbers below 2^31: how many, then their 32-bit differences, byte by byte and compressed; ascending runs take one or two bytes a number."""
+    planes = np.diff(x, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(x).to_bytes(4, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    n = int.from_bytes(x[:4], "little")
+    planes = np.frombuffer(pa.decompress(x[4:], 4 * n, "zstd", asbytes=True) if n else b"", np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel(), dtype=np.int64)
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -285,7 +295,7 @@ def _weighed(blocks: pa.Table, pairs: pa.Table) -> pa.Table:
     """The documents of a block, with the corpus-wide counts of its pairs."""
     cache_of("alignment-weights")  # the tokenizers and words of the stage before go
     of = lambda name: blocks[name].combine_chunks()[0]
-    entries_of, entry, times, pairs_of, pair = (np.frombuffer(of(c).as_buffer(), "<i4") for c in _PACKED)
+    entries_of, entry, times, pairs_of, pair = (_unpacked(of(c).as_py()) for c in _PACKED)
     ids = of("doc_id").values
     doc = np.repeat(np.arange(len(ids)), entries_of)
     of_entry = np.repeat(np.arange(len(pairs_of)), pairs_of)
@@ -311,7 +321,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     with Scratch(docs.sparkSession) as scratch:
-        blocks = scratch.save(rows.mapInArrow(lambda batches: _blocks(batches, first, second), _BLOCK_DDL), "blocks")
+        blocks = scratch.save(rows.mapInArrow(lambda batches: _blocks(batches, first, second), _BLOCK_DDL), "blocks", **{"parquet.block.row.count.limit": GROUP_BLOCKS})
         pairs = scratch.save(blocks.select("block", F.posexplode(F.arrays_zip("pairs", "counts")).alias("place", "x")).select("block", "place", F.col("x.pairs").alias("pair"), F.col("x.counts").alias("count")), "pairs")
         totals = scratch.save(pairs.groupBy("pair").agg(F.sum("count").alias("total")).withColumn("b", F.col("pair") % _SECOND_IDS), "totals")
         highest = totals.groupBy("b").agg(F.max("total").alias("highest"))

@@ -216,3 +216,28 @@ def test_ranks_decide_as_merges_do():
     letters = "abcdefghijklmnopqrstuvwxyzéèöüßABC0123.,'-\n"
     text = " ".join("".join(rng.choices(letters, k=rng.randrange(1, 14))) for _ in range(20_000))
     assert known.first_ids(" " + text) == first.encode(" " + text, add_special_tokens=False).ids
+
+
+def test_blocks_are_small(spark, monkeypatch):
+    from pathlib import Path
+
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(4)
+    entries = np.concatenate([np.unique(rng.integers(0, 20_000, 400)) for _ in range(500)])
+    for x in (entries, entries[::-1], np.zeros(0, np.int64), np.array([2**31 - 1, 0, 2**31 - 1]), rng.integers(1, 4, 1000)):
+        assert alignment._unpacked(alignment._packed(x)).tolist() == x.tolist()
+    assert len(alignment._packed(entries)) < 2 * len(entries)  # 4 before
+    rows = spark.range(10).selectExpr("id as doc_id", "concat(repeat(concat('word', id, ' '), 360000), 'x') as text").coalesce(1)
+    saved = []
+
+    class Kept(alignment.Scratch):
+        def drop(self, name=""):
+            saved.append(self.root.removeprefix("file://"))
+
+    monkeypatch.setattr(alignment, "Scratch", Kept)
+    assert alignment.align(rows).count() == 10
+    found = [pq.ParquetFile(f).metadata for f in Path(saved[0], "blocks").glob("*.parquet")]
+    groups = [m.row_group(i).num_rows for m in found for i in range(m.num_row_groups)]
+    assert sum(groups) == 10 and max(groups) <= alignment.GROUP_BLOCKS
