@@ -64,10 +64,8 @@ SELECT doc_id, md5(string_agg(tag || chr(9) || start || chr(9) || "end" || chr(9
 def s_corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts and overlapping spans as column lines, one digest for each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    gold = mentions(token_rows(spark, sf_dir, MENTION))
-    spans = windows(gold).join(gold.select("doc_id", F.col("gold_id").alias("span_id"), "label"), ["doc_id", "span_id"])
-    lines = K.corpus_lines(docs, spans)
-    return lines.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n")).alias("digest"))
+    spans = windows(mentions(token_rows(spark, sf_dir, MENTION)), "label")
+    return K.corpus_texts(docs, spans).select("doc_id", F.md5("text").alias("digest"))
 
 
 @query("""WITH r AS (SELECT item_id, ['NUT', 'SLE', 'SUB', 'ENV'][item_id % 4 + 1] || '-' || lpad(CAST(item_id // 4 AS VARCHAR), 4, '0') AS b, ['Nutrition', 'Sleep', 'Substance_use', 'Environmental_exposures'][item_id % 4 + 1] AS section, text FROM benchmark)

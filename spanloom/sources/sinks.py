@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators.text import eliminate_overlaps, spans_to_tags
-from spanloom.operators.text import tokens as tokens_of
+from spanloom.operators.text import eliminate_overlaps, line_texts, tagged_texts
 
 
 def standoff_lines(entities: DataFrame) -> DataFrame:
@@ -100,7 +99,12 @@ def write_sweeps(metrics: DataFrame, best: DataFrame, path: str) -> None:
 
 def corpus_lines(docs: DataFrame, spans: DataFrame, offsets: bool = True) -> DataFrame:
     """(doc_id, sent_id, pos, line) of a corpus: texts cut into tokens, overlapping spans dropped, the others as tags."""
-    return column_lines(spans_to_tags(tokens_of(docs), eliminate_overlaps(spans)), offsets)
+    return column_lines(tagged_texts(docs, eliminate_overlaps(spans)), offsets)
+
+
+def corpus_texts(docs: DataFrame, spans: DataFrame, offsets: bool = True, parted: bool = False) -> DataFrame:
+    """(doc_id, text): the lines of corpus_lines as one text for each document, with a blank line between sentences if ``parted``."""
+    return line_texts(docs, eliminate_overlaps(spans), offsets, parted)
 
 
 def audit_rows(audited: DataFrame, path: str) -> None:
