@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from spanloom.functions import scores as S
 
 
+#: Bytes in an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table ``name`` under ``sf_dir``; also bounds Arrow batches for this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -49,11 +49,9 @@ def s_discontinuous_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {MENTIONS_SQL}, x AS (SELECT doc_id, sent_id, count(*) AS n FROM tok GROUP BY ALL), m AS (SELECT doc_id, count(*) AS tagged FROM gold GROUP BY ALL)
 SELECT doc_id, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS sentences, any_value(coalesce(tagged, 0)) AS tagged FROM x LEFT JOIN m USING (doc_id) GROUP BY doc_id""")
 def s_column_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = token_rows(spark, sf_dir)
-    tagged = T.spans_to_tags(rows, mentions(rows).withColumnRenamed("gold_id", "span_id").select("doc_id", "span_id", "start", "end", "label"))
-    lines = K.column_lines(tagged).select("doc_id", (2 * F.col("pos") + 1).alias("line_no"), "sent_id", "line")
-    breaks = lines.groupBy("doc_id", "sent_id").agg(F.min("line_no").alias("first")).select("doc_id", (F.col("first") - 1).alias("line_no"), "sent_id", F.lit("").alias("line"))
-    read = A.columns(lines.unionByName(breaks).drop("sent_id"), separator="\t", width=4)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = T.line_texts(docs, mentions(T.tokens(docs, like=MENTION)).withColumnRenamed("gold_id", "span_id"), parted=True)
+    read = A.column_texts(files, separator="\t", width=4)
     return read.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.countDistinct("sent_id").alias("sentences"), F.count_if(F.col("cells")[0] != "O").alias("tagged"))
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.labels import canonical
 from spanloom.operators.curate import first_of
+from spanloom.operators.text import in_parts
 from spanloom.operators.vectors import sampled_key
 
 
@@ -123,6 +129,32 @@ def columns(lines: DataFrame, separator: str = r"\s+", boundary: str = "", width
     return rows.select("doc_id", "sent_id", "line_no", cells.alias("cells"), bad.alias("bad"))
 
 
+def _read_columns(batches: Iterator[pa.RecordBatch], boundary: str) -> Iterator[pa.RecordBatch]:
+    for part in in_parts(batches):
+        lines = pc.split_pattern(part.column(1).fill_null(" "), "\n")
+        size = pc.list_value_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc, first = np.repeat(np.arange(part.num_rows), size), np.concatenate([[0], np.cumsum(size)])
+        line = pc.utf8_trim(lines.flatten(), " ")
+        stop = pc.or_(pc.equal(line, ""), pc.equal(line, boundary)).to_numpy(zero_copy_only=False)
+        stops = np.concatenate([[0], np.cumsum(stop)])
+        kept = np.flatnonzero(~stop)
+        if not len(kept):
+            continue
+        own = doc[kept]
+        head = kept[np.searchsorted(own, np.arange(part.num_rows))[own]]
+        small = lambda x: pa.array(x.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), small(stops[kept] - stops[first[own]]), small(kept - first[own]), line.take(pa.array(kept)), line.take(pa.array(head))], names=["doc_id", "sent_id", "line_no", "line", "head"])
+
+
+def column_texts(texts: DataFrame, separator: str = r"\s+", boundary: str = "", width: int | None = None) -> DataFrame:
+    """``columns`` of whole column files (doc_id, text), each read in its own row: no line is shuffled."""
+    rows = texts.select("doc_id", "text")
+    read = rows.mapInArrow(lambda batches: _read_columns(batches, boundary), f"doc_id {dict(rows.dtypes)['doc_id']}, sent_id int, line_no int, line string, head string")
+    cells = F.split("line", separator)
+    n = F.size(cells)
+    return read.select("doc_id", "sent_id", "line_no", cells.alias("cells"), (n != (F.lit(width) if width is not None else F.size(F.split("head", separator)))).alias("bad"))
+
+
 def ontology_of(path: str, entities: DataFrame, new_only: list[str]) -> str:
     """Names the ontology by the path, else by whether any label is new."""
     lowered = path.lower()

@@ -12,6 +12,8 @@ from spanloom.operators import rules as R
 from spanloom.operators import text as T
 from spanloom.operators.folds import _AT_ONCE, whole_documents
 from spanloom.plans.registry import ORACLE, QUERIES
+from spanloom.sources import annotations as A
+from spanloom.sources import sinks as K
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -124,3 +126,43 @@ def test_foreign_tokens_stay_in_their_row(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Join" not in plan and "collect_list" not in plan
     assert differences(spark, QUERIES["t_foreign_tokens"], ORACLE["t_foreign_tokens"], SMALL) == []
+
+
+def _marks(spark):
+    random.seed(7)
+    rows = [(d, i, s, s + random.choice([1, 2, 5, 9]), random.choice(["A", "B"])) for d in range(41) for i, s in enumerate(random.sample(range(60), 6))]
+    return spark.createDataFrame(rows, "doc_id long, span_id long, start int, end int, label string")
+
+
+def test_lines_of_a_corpus_are_those_of_its_rows_and_no_token_is_shuffled(spark):
+    docs, spans = _docs(spark), _marks(spark)
+    for offsets in (True, False):
+        rows = sorted(tuple(r) for r in K.column_lines(T.spans_to_tags(T.tokens(docs), T.eliminate_overlaps(spans)), offsets).select("doc_id", "pos", "sent_id", "line").collect())
+        assert rows == sorted(tuple(r) for r in K.corpus_lines(docs, spans, offsets).select("doc_id", "pos", "sent_id", "line").collect())
+        for parted in (False, True):
+            want = {}
+            for d, _, sent, line in rows:
+                last, text = want.get(d, (sent, None))
+                want[d] = sent, line if text is None else text + ("\n\n" if parted and sent != last else "\n") + line
+            found = K.corpus_texts(docs, spans, offsets, parted)
+            assert {r["doc_id"]: r["text"] for r in found.collect()} == {d: t for d, (_, t) in want.items()}
+    plan = QUERIES["s_corpus_lines"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan  # tokens were dealt out by document before
+    assert differences(spark, QUERIES["s_corpus_lines"], ORACLE["s_corpus_lines"], SMALL) == []
+
+
+def test_column_files_are_read_as_their_lines_are(spark):
+    random.seed(8)
+    texts = [(d, "\n".join(random.choice(["", " ", "a b", " a  b ", "x", "-DOCSTART-", "\t", "é\ty z", " -DOCSTART- "]) for _ in range(random.randrange(9)))) for d in range(40)]
+    docs = spark.createDataFrame([*texts, (40, None)], "doc_id long, text string")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    for more in ({}, {"separator": "\t", "width": 1}, {"boundary": "-DOCSTART-"}, {"boundary": "-DOCSTART-", "separator": " ", "width": 2}):
+        told, got = A.columns(lines, **more), A.column_texts(docs, **more)
+        want = [(*r[:1], r["sent_id"], *r[2:]) for r in told.collect()]
+        assert sorted(want) == sorted(tuple(r) for r in got.collect()) and len(want) > 50
+
+
+def test_column_round_trip_shuffles_no_token(spark):
+    plan = QUERIES["s_column_round_trip"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan and "Window" not in plan
+    assert differences(spark, QUERIES["s_column_round_trip"], ORACLE["s_column_round_trip"], SMALL) == []
