@@ -132,13 +132,14 @@ def s_vector_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors in stores of three layouts; of the dictionaries only the allowed abstracts stay."""
     i = F.col("vec_id")
     record = F.to_json(F.struct(F.lit("x").alias("text"), F.col("label").cast("string").alias("label"), F.col("embedding")))
-    value = F.when(i % 4 == 3, F.concat(F.lit("["), F.to_json("embedding"), F.lit("]"))).when(i % 4 == 2, F.concat(F.lit("["), record, F.lit("]")))
-    keyed = F.concat(F.format_string('{"%d": {"%s": [', i, F.when(i % 4 == 1, "predicted").otherwise("ground_truth")), record, F.lit("]}}"))
+    keyed = F.concat(F.format_string('{"%s": [', F.when(i % 4 == 1, "predicted").otherwise("ground_truth")), record, F.lit("]}"))
+    layout = F.when(i % 4 == 3, "array").when(i % 4 == 2, "list").otherwise("dictionary")
+    item = F.when(i % 4 == 3, F.to_json("embedding")).when(i % 4 == 2, record).otherwise(keyed)
     vectors = table(spark, sf_dir, "embeddings")
-    rows = vectors.select(F.coalesce(value, keyed).alias("value"))
+    rows = K.json_stores(vectors.select(layout.alias("layout"), F.when(layout == "dictionary", F.coalesce(i.cast("string"), F.lit("null"))).alias("key"), item.alias("item")))
 
     def steps(folder: str) -> DataFrame:
-        rows.write.option("maxRecordsPerFile", 1).option("lineSep", "\x00").text(folder)
+        _one_a_file(rows, folder)
         found = A.vector_records(spark, folder, vectors.filter("vec_id % 5 <> 0").select(i.cast("string").alias("abstract_id")))
         return found.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"), F.round(F.sum(F.col("embedding")[0].cast("double")), 2).alias("first"))
 

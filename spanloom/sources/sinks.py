@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +66,44 @@ def vector_table(entities: DataFrame, prefix: str) -> DataFrame:
     return entities.withColumn("id", F.concat_ws("_", F.col("doc_id").cast("string"), F.lit(prefix), i.cast("string")))
 
 
+#: Characters of JSON in a store's file, but for a larger item.
+STORE_CHARS = 4 << 20
+
+
+def _stores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, list[str]] = {}
+    keys: dict[str, set[str]] = {}
+    size: dict[str, int] = {}
+
+    def whole(layout: str) -> pa.RecordBatch:
+        size.pop(layout)
+        marks = "{}" if keys.pop(layout) else "[]"
+        return pa.RecordBatch.from_pydict({"value": [marks[0] + ", ".join(held.pop(layout)) + marks[1]]})
+
+    for batch in batches:
+        for layout, key, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if layout in held and (size[layout] >= STORE_CHARS or key in keys[layout]):
+                yield whole(layout)
+            if key is not None:
+                keys.setdefault(layout, set()).add(key)
+                item = f"{json.dumps(key)}: {item}"
+            keys.setdefault(layout, set())
+            held.setdefault(layout, []).append(item)
+            size[layout] = size.get(layout, 0) + len(item)
+    for layout in list(held):
+        yield whole(layout)
+
+
+def json_stores(items: DataFrame) -> DataFrame:
+    """(value): the JSON of whole stores from rows (layout, key, item); items of a layout share stores of about 4 MB, in the task that reads them.
+
+    Items with keys are an object, those without a list; a key that its store holds
+    already opens another, null items are left out. The number of stores, which the driver
+    lists as files, grows with bytes and tasks, not with rows.
+    """
+    return items.filter("item is not null").select("layout", F.col("key").cast("string"), "item").mapInArrow(_stores, "value string")
+
+
 def pair_lines(zipped: DataFrame) -> DataFrame:
     """(doc_id, n, line): token, gold and predicted tag of each token, tab-separated, for write_by_document."""
     return zipped.select("doc_id", F.col("pos").alias("n"), F.concat_ws("\t", F.coalesce("token", F.lit("<UNK>")), "gold_tag", "pred_tag").alias("line"))

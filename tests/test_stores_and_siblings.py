@@ -1,6 +1,7 @@
 """The run store, token placing and near duplicates inside a batch, by hand and against brute force."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,6 +9,8 @@ import pytest
 from spanloom.operators import rules as R
 from spanloom.operators import text as T
 from spanloom.operators.neighbours import first_independent
+from spanloom.plans import file_queries as FQ
+from spanloom.sources import annotations as A
 from spanloom.sources import sinks as K
 from spanloom.sources.runs import RunStore
 
@@ -116,3 +119,18 @@ def test_siblings_of_a_batch(spark):
     accepted, rejected = R.near_duplicates(added, rules)
     assert sorted((r["seq"], r["diagnostic_context"]) for r in accepted.collect()) == [(1, "c1"), (3, "c3"), (4, "c4")]
     assert sorted((r["seq"], r["rule_no"], r["twin"], r["diagnostic_context"]) for r in rejected.collect()) == [(2, None, 1, "c2"), (5, 7, None, "c5")]
+
+
+def test_vectors_share_stores(spark, tmp_path, monkeypatch):
+    rows = [("d", str(i % 400), '{"ground_truth": [{"text": "x", "label": "1", "embedding": [%d.0]}]}' % i) for i in range(500)]
+    rows += [("l", None, '{"text": "y", "label": "2", "embedding": [%d.0]}' % i) for i in range(300)] + [("a", None, f"[{i}.0]") for i in range(200)] + [("a", None, None)]
+    stores = K.json_stores(spark.createDataFrame(rows, "layout string, key string, item string").coalesce(1))
+    FQ._one_a_file(stores, str(tmp_path / "stores"))
+    assert len(list((tmp_path / "stores").glob("part-*"))) == 4  # keys 0 to 99 come twice
+    found = A.vector_records(spark, str(tmp_path / "stores")).collect()
+    assert sorted((r["source"], r["abstract_id"], r["embedding"][0]) for r in found if r["abstract_id"]) == sorted(("ground_truth", str(i % 400), float(i)) for i in range(500))
+    assert sorted((r["source"], r["embedding"][0]) for r in found if not r["abstract_id"]) == sorted([*(("list", float(i)) for i in range(300)), *(("array", float(i)) for i in range(200))])
+    files, read = [], A.vector_records
+    monkeypatch.setattr(A, "vector_records", lambda s, path, *more: files.append(len(list(Path(path.removeprefix("file://")).glob("part-*")))) or read(s, path, *more))
+    assert FQ.s_vector_stores(spark, "/root/testdata/sf0.001").count() == 4
+    assert files[0] <= 3  # a file for each of 500 vectors before
